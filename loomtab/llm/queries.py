@@ -36,8 +36,8 @@ ORACLE_SQL = {
     "op2_quality_rules": rf"""
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 parts AS (
-  SELECT rid, doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), x -> x <> '') AS w,
-         list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  SELECT rid, doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
   FROM docs),
 grams AS (
   SELECT rid, i, count(*) OVER (PARTITION BY rid, w[i], w[i + 1], w[i + 2]) AS n
@@ -47,8 +47,8 @@ base AS (
   SELECT doc_id, len(w)::BIGINT AS n_words, len(array_to_string(w, ''))::BIGINT AS word_chars,
          len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
-         len(list_filter(w, x -> x IN ({_STOPS})))::BIGINT AS stops,
-         len(list_filter(w, x -> x = upper(x) AND x <> lower(x) AND length(x) > 3))::BIGINT AS shouted, len(lines)::BIGINT AS n_lines
+         len(list_filter(w, lambda x: x IN ({_STOPS})))::BIGINT AS stops,
+         len(list_filter(w, lambda x: x = upper(x) AND x <> lower(x) AND length(x) > 3))::BIGINT AS shouted, len(lines)::BIGINT AS n_lines
   FROM parts LEFT JOIN covered USING (rid)),
 failed AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
