@@ -4,21 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtab.llm import quality_rules
+from loomtab.llm import line_dedup, near_dup, packing, pii, quality_rules
+from loomtab.llm.common import stage
 
-STAGES = [("quality_rules", lambda spark, docs, sf_dir: quality_rules.keep(docs))]
 
-#: Word hashes, byte-pair merges and keyed surrogates are beyond SQL; the tests hold the stages against brute force.
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no quality rule rejects."""
+    return quality_rules.keep(docs)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later repeated runs of lines; those that only repeat others go."""
+    return line_dedup.keep(spark, docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates, by shingles of five words and a similarity of 0.8."""
+    return near_dup.keep(spark, docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with surrogates for personal data."""
+    return pii.replace_table(spark, docs).drop("__n_entities")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their places in sequences of 4096 tokens."""
+    return packing.pack(spark, docs)
+
+
+STAGES = [("quality_rules", quality), ("line_dedup", lines), ("near_dup", near_duplicates), ("pii", personal_data), ("packing", pack)]
+
+#: Shingle hashes, byte-pair merges and keyed surrogates are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents, each on a written copy of what the one before returned."""
-    from loomtab.llm.common import stage
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, apply) in enumerate(STAGES):
-        docs = apply(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stage(spark, docs, name)
-    return docs
+    for name, apply in STAGES[:-1]:
+        docs = stage(spark, apply(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

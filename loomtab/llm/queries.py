@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, near_dup, packing, quality_rules
+from . import bpe, license_scan, line_dedup, near_dup, packing, permutation_index, pii, quality_classifier, quality_rules, warc
 from .common import table
 
 
@@ -20,15 +20,58 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(F.col(f"__{n}").alias(n) for n in names))
 
 
+def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace_table(spark, docs).select("doc_id", F.col("__n_entities").alias("n_entities"), "text")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_table(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.drop_runs(spark, docs).select("doc_id", F.col("__removed_units").alias("removed_units"), "text")
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
 def op7_min_max_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.label(spark, table(spark, sf_dir, "documents"), 3, 85, 100)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op4_bpe, op7_min_max_hashing)}
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.concat_ws(",", "__sentence_ids").alias("sentence_ids"), F.concat_ws(",", "__licenses").alias("licenses"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    weights, bias = quality_classifier.fit(spark, docs, table(spark, sf_dir, "labels"))
+    return quality_classifier.score(spark, docs, weights, bias)
+
+
+def op10_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.search(spark, table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing,
+        op2_quality_rules,
+        op3_surrogates,
+        op4_bpe,
+        op5_line_dedup,
+        op6_warc,
+        op7_min_max_hashing,
+        op8_license_scan,
+        op9_quality_classifier,
+        op10_permutation_index,
+    )
+}
 
 _STOPS = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted({w for ws in quality_rules.STOP_WORDS.values() for w in ws}))
 
@@ -56,5 +99,27 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        AND word_chars >= 2.0::DOUBLE * n_words AND word_chars <= 12.0::DOUBLE * n_words AND n_symbols <= 0.1::DOUBLE * n_words
        AND shouted <= 0.3::DOUBLE * n_words AND stops >= 0.02::DOUBLE * n_words AND n_dup_lines <= 0.5::DOUBLE * n_lines AS kept
 FROM failed
+""",
+    "op6_warc": """
+WITH p AS (SELECT row_number() OVER () AS rid, page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT rid, page_id, octet_length(encode(h))::BIGINT AS payload_bytes, sha1(h) AS payload_digest, sha256(h) AS same FROM p),
+r AS (SELECT *, count(*) OVER w AS n, first_value(rid) OVER w AS head, first_value(page_id) OVER w AS head_page
+      FROM d WINDOW w AS (PARTITION BY same ORDER BY page_id DESC NULLS LAST, rid DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND rid <> head THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND rid <> head THEN head_page END AS refers_to
+FROM r
+""",
+    "op8_license_scan": rf"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+sentences AS (
+  SELECT rid, i, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS s
+  FROM (SELECT rid, unnest(parts) AS s, generate_subscripts(parts, 1) AS i
+        FROM (SELECT rid, string_split_regex(regexp_replace(t, '([.!?;:])[\x20\x09\x0B-\x0D]+', '\1' || chr(10), 'g'), '\n+') AS parts FROM docs))),
+known(sentence, id) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in license_scan.KNOWN.items())}),
+ids AS (SELECT rid, list(id ORDER BY i) AS ids FROM sentences JOIN known ON s = sentence GROUP BY rid),
+held AS (SELECT doc_id, coalesce(ids, []::VARCHAR[]) AS ids, ',' || array_to_string(coalesce(ids, []::VARCHAR[]), ',') || ',' AS line FROM docs LEFT JOIN ids USING (rid))
+SELECT doc_id, array_to_string(ids, ',') AS sentence_ids,
+       array_to_string(list_filter([{", ".join(f"CASE WHEN {' AND '.join(['line LIKE ' + chr(39) + '%,' + ',%,'.join(rule) + ',%' + chr(39)] + ([] if len(rule) == 1 else []))} AND NOT ({' OR '.join(['false'] + ['line LIKE ' + chr(39) + '%,' + ',%,'.join(r) + ',%' + chr(39) for k, (m, r) in enumerate(license_scan.RULES) if m == name and k < at])}) THEN '{name}' END" for at, (name, rule) in enumerate(license_scan.RULES))}], lambda x: x IS NOT NULL), ',') AS licenses
+FROM held
 """,
 }
