@@ -419,3 +419,32 @@ def user_sessions(spark, sf_dir):
     from loomtab.streaming import windows
 
     return windows.sessions(load(spark, sf_dir, "events"), "6 hours")
+
+
+def lineitem_features(spark, sf_dir):
+    y = F.col("l_extendedprice") / 1000 + F.when(F.col("l_returnflag") == "N", 5).otherwise(0)
+    held = F.when(F.col("l_linenumber") != 3, F.col("l_discount"))
+    return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", held.alias("l_discount"), "l_returnflag", (F.col("l_quantity") / 2 + y).alias("y"))
+
+
+@query()
+def sample_program(spark, sf_dir):
+    from loomtab.operators import program
+
+    fitted = program.fit(lineitem_features(spark, sf_dir), "y", ["l_quantity", "l_discount"], ["l_returnflag"])
+    return program.sample(spark, program.Program.decode(fitted.encode()), 10_000)
+
+
+@query()
+def predict_program(spark, sf_dir):
+    from loomtab.operators import program
+
+    rows = lineitem_features(spark, sf_dir)
+    return program.predict(rows, program.fit(rows, "y", ["l_quantity", "l_discount"], ["l_returnflag"])).select("l_orderkey", "y", "prediction")
+
+
+@query()
+def program_retention(spark, sf_dir):
+    from loomtab.operators import program
+
+    return program.retention(spark, lineitem_features(spark, sf_dir), "l_orderkey", "y", ["l_quantity", "l_discount"], ["l_returnflag"])
