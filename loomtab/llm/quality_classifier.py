@@ -21,8 +21,8 @@ from .near_dup import CACHE_ENTRIES, _words, mixed
 
 BITS = 18
 MOST_TRAINING_ROWS = 8_000
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.0, 1e-3
+EPOCHS = 4
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.0, 0.0
 FOLDS = 5
 THRESHOLD = 0.3
 
