@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from loomtab.plans import catalogue
+from loomtab.plans import catalogue, evidence  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 
