@@ -12,18 +12,24 @@ QUANTILES = [0.05, 0.25, 0.5, 0.75, 0.95]
 
 
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row for each numeric column: rows, missing share, distinct values, moments and quantiles, in one aggregation."""
+    """One row for each numeric column: rows, missing share, distinct values, moments and quantiles.
+
+    One aggregation has all but the distinct values: these group the rows by
+    value, which would make a quantile's state for each value.
+    """
     aggs = []
     for c in columns:
         x = F.col(c).cast("double")
         aggs.append(
             F.struct(
-                F.lit(c).alias("column"), F.count("*").alias("n_rows"), (1 - F.count(x) / F.count("*")).alias("missing_share"), F.count_distinct(x).alias("n_distinct"),
+               F.lit(c).alias("column"), F.count("*").alias("n_rows"), (1 - F.count(x) / F.count("*")).alias("missing_share"), 
                 F.min(x).alias("min_value"), F.max(x).alias("max_value"), F.avg(x).alias("mean_value"), F.var_pop(x).alias("variance"), F.skewness(x).alias("skew"),
                 F.percentile(x, F.array(*map(F.lit, QUANTILES))).alias("q"),
             )
         )
+    levels = df.agg(F.array(*(F.struct(F.lit(c).alias("column"), F.count_distinct(F.col(c).cast("double")).alias("n_distinct")) for c in columns)).alias("all"))
     whole = df.agg(F.array(*aggs).alias("all")).select(F.explode("all").alias("p")).select("p.*")
+    whole = whole.join(F.broadcast(levels.select(F.explode("all").alias("l")).select("l.*")), "column")
     names = ["q05", "q25", "q50", "q75", "q95"]
     return whole.select(*(c for c in whole.columns if c != "q"), *(F.col("q")[k].alias(n) for k, n in enumerate(names)))
 

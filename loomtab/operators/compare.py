@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ranks import running_sum
+from .ranks import running_sum, running_sums
 
 
 def ks(df: DataFrame, side: Column, column: str) -> DataFrame:
     """The largest distance of the distribution functions of the rows where side holds and where it doesn't."""
     counts = df.groupBy(column).agg(F.sum(side.cast("int")).alias("a"), F.sum((~side).cast("int")).alias("b"))
-    both = running_sum(running_sum(counts, column, "a", "fa"), column, "b", "fb").join(F.broadcast(counts.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))))
+    both = running_sums(counts, column, {"a": "fa", "b": "fb"}).join(F.broadcast(counts.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))))
     return both.agg(F.max(F.abs(F.col("fa") / F.col("na") - F.col("fb") / F.col("nb"))).alias("ks"))
 
 

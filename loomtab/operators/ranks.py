@@ -14,16 +14,21 @@ from pyspark.sql import functions as F
 RANGES = 64
 
 
-def running_sum(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
-    """df, one row for each numeric order, with the sum of value up to and including its row."""
+def running_sums(df: DataFrame, order: str, names: dict[str, str]) -> DataFrame:
+    """df, one row for each numeric order, with the sums of columns up to and including its row, named by names."""
     bounds = sorted(set(df.approxQuantile(order, [k / RANGES for k in range(1, RANGES)], 0.01)))
     place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(order))) if bounds else F.lit(0)
     dealt = df.withColumn("__range", place)
-    totals = dealt.groupBy("__range").agg(F.sum(value).alias("__total"))
+    totals = dealt.groupBy("__range").agg(*(F.sum(v).alias(f"__{v}") for v in names))
     # RANGES rows at most, so one task orders them.
-    before = totals.select("__range", (F.sum("__total").over(W.orderBy("__range")) - F.col("__total")).alias("__before"))
-    own = F.sum(value).over(W.partitionBy("__range").orderBy(order))
-    return dealt.join(F.broadcast(before), "__range").withColumn(name, own + F.col("__before")).drop("__range", "__before")
+    before = totals.select("__range", *((F.sum(f"__{v}").over(W.orderBy("__range")) - F.col(f"__{v}")).alias(f"__{v}") for v in names))
+    own = W.partitionBy("__range").orderBy(order)
+    joined = dealt.join(F.broadcast(before), "__range")
+    return joined.withColumns({n: F.sum(v).over(own) + F.col(f"__{v}") for v, n in names.items()}).drop("__range", *(f"__{v}" for v in names))
+
+
+def running_sum(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    return running_sums(df, order, {value: name})
 
 
 def value_ranks(df: DataFrame, column: str) -> DataFrame:
