@@ -33,26 +33,31 @@ def units(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), r"(?<=\n)|(?<=[.!?] )")
 
 
-def words_in(unit: Column) -> Column:
-    """Runs of characters other than ASCII white space."""
-    return F.size(F.filter(F.split(unit, f"[{BLANKS}]+"), lambda w: w != ""))
-
-
 def hashed(docs: DataFrame) -> DataFrame:
     """__row, doc_id, and of all units with a word their places, hashes and numbers of words."""
 
+    blanks = F.lit(" \t\n\x0b\x0c\r")
+
     def of(parts: Column) -> Column:
-        trimmed = F.transform(parts, lambda u, i: F.struct(i.alias("place"), F.xxhash64(F.regexp_replace(u, f"^[{BLANKS}]+|[{BLANKS}]+$", "")).alias("hash"), words_in(u).alias("words")))
-        return F.filter(trimmed, lambda u: u["words"] > 0)
+        bare = F.transform(parts, lambda u: F.btrim(u, blanks))
+        # A unit without blanks at its ends has as many words as splitting it gives parts.
+        counted = F.transform(bare, lambda u, i: F.struct(i.alias("place"), F.xxhash64(u).alias("hash"), F.when(u == "", 0).otherwise(F.size(F.split(u, f"[{BLANKS}]+"))).alias("word")))
+        return F.filter(counted, lambda u: u["word"] > 0)
 
-    return docs.select("doc_id", F.xxhash64("text").alias("__same"), let(units(F.col("text")), of).alias("units"))
+    found = docs.select("doc_id", F.xxhash64("text").alias("__same"), let(units(F.col("text")), of).alias("units"))
+    # Three arrays take 16 bytes a unit, an array of structs 40.
+    return found.select(
+        "doc_id", "__same", F.transform("units", lambda u: u["hash"]).alias("hashes"), F.transform("units", lambda u: u["word"]).alias("words"), F.transform("units", lambda u: u["place"]).alias("places")
+    )
 
 
 def runs(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, __same and the runs (array of first and last place) to delete, for each document that has any."""
     # Documents are told apart by doc_id and the hash of their text; equal rows beyond the first are repeats of it as a whole.
-    known = stage(spark, hashed(docs.filter("doc_id is not null")).dropDuplicates(["doc_id", "__same"]).withColumn("size", F.size("units")), "units")
-    each = known.select("doc_id", "__same", F.posexplode("units").alias("at", "unit")).select("doc_id", "__same", "at", "unit.hash", "unit.words")
+    known = stage(spark, hashed(docs.filter("doc_id is not null")).dropDuplicates(["doc_id", "__same"]), "units")
+    # The arrays are dealt by document, not their units: the windows below need no other exchange.
+    dealt = known.select("doc_id", "__same", "hashes", "words").repartition("doc_id", "__same")
+    each = dealt.select("doc_id", "__same", F.posexplode(F.arrays_zip("hashes", "words")).alias("at", "unit")).select("doc_id", "__same", "at", F.col("unit.hashes").alias("hash"), F.col("unit.words").alias("words"))
     own = W.partitionBy("doc_id", "__same").orderBy("at")
     each = each.withColumn("begins", F.sum("words").over(own) - F.col("words"))
     spread = W.partitionBy("doc_id", "__same").orderBy("begins")
@@ -64,19 +69,21 @@ def runs(spark: SparkSession, docs: DataFrame) -> DataFrame:
     )
     grams = ahead.withColumn("gram", F.when(F.col("covered") >= GRAM_WORDS, F.xxhash64("hashes")))
     least = grams.withColumn("least", F.min(F.when(F.col("gram").isNotNull(), F.struct("gram", "at"))).over(spread.rangeBetween(0, WINDOW_WORDS - 1)))
-    prints = stage(spark, least.filter("least is not null").select("doc_id", "__same", F.col("least.gram").alias("gram"), F.col("least.at").alias("at")).distinct(), "prints")
+    chosen = least.filter("least is not null").select("doc_id", "__same", F.col("least.gram").alias("gram"), F.col("least.at").alias("at")).distinct()
+    before = F.lag("at").over(W.partitionBy("doc_id", "__same", "gram").orderBy("at"))
+    prints = stage(spark, chosen.withColumn("before", before), "prints")
 
     # Each fingerprint meets the one before it in its document, or the first of all documents.
-    before = F.lag("at").over(W.partitionBy("doc_id", "__same", "gram").orderBy("at"))
-    firsts = prints.groupBy("gram").agg(F.min(F.struct("doc_id", "__same", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("gram", "first")
-    here = prints.withColumn("before", before).join(firsts, "gram")
-    earlier = F.when(F.col("before").isNotNull(), F.struct("doc_id", "__same", F.col("before").alias("at"))).otherwise(F.col("first"))
-    anchors = here.withColumn("e", earlier).filter((F.struct("doc_id", "__same", "at") != F.col("e")))
-    diagonals = anchors.select("doc_id", "__same", F.col("e.doc_id").alias("e_id"), F.col("e.__same").alias("e_same"), (F.col("e.at") - F.col("at")).alias("shift")).distinct()
+    again = prints.filter("before is not null").select("doc_id", "__same", F.col("doc_id").alias("e_id"), F.col("__same").alias("e_same"), (F.col("before") - F.col("at")).alias("shift"))
+    once = prints.filter("before is null").select("doc_id", "__same", "gram", "at")
+    firsts = once.groupBy("gram").agg(F.min(F.struct("doc_id", "__same", "at")).alias("e"), F.count("*").alias("n")).filter("n > 1").select("gram", "e")
+    met = once.join(firsts, "gram").filter(F.struct("doc_id", "__same", "at") != F.col("e"))
+    across = met.select("doc_id", "__same", F.col("e.doc_id").alias("e_id"), F.col("e.__same").alias("e_same"), (F.col("e.at") - F.col("at")).alias("shift"))
+    diagonals = again.union(across).distinct()
 
     # Along each diagonal, the units that agree; runs of them with enough words go.
-    mine = known.select("doc_id", "__same", F.transform("units", lambda u: u["hash"]).alias("hashes"), F.transform("units", lambda u: u["words"]).alias("words"), F.transform("units", lambda u: u["place"]).alias("places"))
-    theirs = known.select(F.col("doc_id").alias("e_id"), F.col("__same").alias("e_same"), F.transform("units", lambda u: u["hash"]).alias("e_hashes"))
+    mine = known.select("doc_id", "__same", "hashes", "words", "places")
+    theirs = known.select(F.col("doc_id").alias("e_id"), F.col("__same").alias("e_same"), F.col("hashes").alias("e_hashes"))
     faced = diagonals.join(mine, ["doc_id", "__same"]).join(theirs, ["e_id", "e_same"])
 
     def agreeing(h: Column, e: Column) -> Column:
@@ -102,8 +109,9 @@ def drop_runs(spark: SparkSession, docs: DataFrame) -> DataFrame:
     empty table gives an empty one; texts of any length are read whole.
     """
     names = docs.columns
+    # The runs have no bound, so they are never broadcast.
     found = stage(spark, runs(spark, docs.select("doc_id", "text")).select(F.col("doc_id").alias("__doc_id"), F.col("__same").alias("__of"), "runs"), "runs").withColumnRenamed("runs", "__runs")
-    joined = docs.withColumn("__same", F.xxhash64("text")).join(found, (F.col("doc_id") == F.col("__doc_id")) & (F.col("__same") == F.col("__of")), "left")
+    joined = docs.withColumn("__same", F.xxhash64("text")).join(found.hint("merge"), (F.col("doc_id") == F.col("__doc_id")) & (F.col("__same") == F.col("__of")), "left")
 
     def left(parts: Column) -> Column:
         return F.filter(parts, lambda u, i: ~F.exists(F.col("__runs"), lambda r: (i >= r["first"]) & (i <= r["last"])))
