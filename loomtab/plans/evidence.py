@@ -187,3 +187,40 @@ def chow_liu_tree(spark, sf_dir):
 def fold_slopes(spark, sf_dir):
     fold = splits.fold_of(F.col("l_suppkey"), 4).alias("fold")
     return rounded(load(spark, sf_dir, "lineitem").groupBy(fold).agg(F.regr_slope("l_extendedprice", "l_quantity").alias("slope"), F.count("*").alias("n")), 5)
+
+
+@query()
+def auditor_families(spark, sf_dir):
+    from loomtab.operators import auditors, program
+    from loomtab.plans.catalogue import lineitem_features
+
+    rows = lineitem_features(spark, sf_dir).withColumn("y", F.col("y").cast("double"))
+    held = splits.fold_of(F.col("l_orderkey"), 5) == 0
+    train, test = rows.filter(~held), rows.filter(held)
+    made = program.sample(spark, program.fit(train, "y", ["l_quantity", "l_discount"], ["l_returnflag"]), 20_000)
+    return auditors.family_losses(train, made, test, ["l_quantity", "l_discount"], "y")
+
+
+@query()
+def two_sample_classifier(spark, sf_dir):
+    from loomtab.operators import auditors
+
+    items, side = load(spark, sf_dir, "lineitem"), F.col("l_orderkey") % 2 == 0
+    auc = auditors.c2st(items.filter(side), items.filter(~side), ["l_quantity", "l_extendedprice", "l_discount"])
+    return spark.createDataFrame([(round(float(auc), 6),)], "auc double")
+
+
+@query()
+def gaussian_regimes(spark, sf_dir):
+    from loomtab.operators import auditors
+
+    scaled = load(spark, sf_dir, "orders").select((F.col("o_totalprice") / 1000).alias("price"), (F.col("o_custkey") / 1000).alias("customer"))
+    return auditors.regimes(spark, scaled, ["price", "customer"], 3)
+
+
+@query()
+def budget_frontier(spark, sf_dir):
+    from loomtab.operators import auditors
+    from loomtab.plans.catalogue import lineitem_features
+
+    return auditors.frontier(spark, lineitem_features(spark, sf_dir), "l_orderkey", "y", ["l_quantity", "l_discount"], ["l_returnflag"], [256, 512, 1024, 4096])
