@@ -11,13 +11,16 @@ title's gender and the name's script.
 Lists and formats can still make two entities meet, and a surrogate may be
 another document's real entity. So all distinct entities are checked: of those
 that meet, all but the least, and all whose surrogate is real, are keyed anew
-until none meet. Only these exceptions travel to the documents.
+until none meet. Formats may have fewer values than entities, so surrogates grow
+after ``SAME_LENGTH`` attempts and a free value always exists. Only these
+exceptions travel to the documents.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -30,6 +33,9 @@ from .common import ship, stage
 DEFAULT_KEY = b"loomtab surrogate key"
 #: Exceptions up to this number are broadcast; more are joined to the texts that hold them.
 BROADCAST_EXCEPTIONS = 10_000
+#: Attempts in an entity's own format; each later one adds GROWTH characters more.
+SAME_LENGTH = 6
+GROWTH = 3
 
 # Titles by the gender that they tell.
 TITLES = {
@@ -66,9 +72,22 @@ MAY_HOLD = re.compile(r"[0-9@]")
 TITLE_WORDS = [t for ts in TITLES.values() for t in ts]
 
 
+@lru_cache(4096)
+def other_class(letter: str) -> str:
+    """For a letter outside CLASSES those of its script and case near it (256 code points) that are outside, too."""
+    kind, first = unicodedata.category(letter), ord(letter) & ~255
+    near = (c for c in map(chr, range(first, first + 256)) if unicodedata.category(c) == kind and script(c) == script(letter))
+    return "".join(c for c in near if len(c.upper()) == len(c.lower()) == 1 and not any(c in letters for letters in CLASSES))
+
+
 def permuted(text: str, key: bytes, tweak: str, classes: list[str]) -> str:
     """text with each character of a class moved within it, a bijection for each format and tweak."""
     members = {c: k for k, letters in enumerate(classes) for c in letters}
+    if classes is CLASSES:
+        for c in text:
+            if c not in members and c.isalpha() and c in other_class(c):
+                members |= dict.fromkeys(other_class(c), len(classes))
+                classes = [*classes, other_class(c)]
     places = [i for i, c in enumerate(text) if c in members]
     if not places:
         return text
@@ -120,7 +139,26 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
 
 
 def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
-    """The canonical surrogate of a canonical value."""
+    """The canonical surrogate of a canonical value, longer than it after SAME_LENGTH attempts."""
+    made = formatted(kind, value, key, attempt)
+    more = GROWTH * (attempt - SAME_LENGTH + 1)
+    if more <= 0:
+        return made
+    letters = {"token": HEX[0], "access_key": KEY32[0], "email": CLASSES[2]}.get(kind, CLASSES[0])
+    if kind.startswith("name "):
+        last = made[-1].lower()[0]
+        letters = next((c for c in [*CLASSES, other_class(last)] if last in c and len(c) > 1), CLASSES[2])
+    stream, block = b"", 0
+    while len(stream) < 4 * more:
+        stream += blake2b(f"{kind}|{attempt}|{value}|more|{block}".encode(), key=key[:64], digest_size=64).digest()
+        block += 1
+    end = "".join(letters[int.from_bytes(stream[4 * k : 4 * k + 4], "big") % len(letters)] for k in range(more))
+    local, at, domain = made.rpartition("@") if kind == "email" else (made, "", "")
+    return local + end + at + domain
+
+
+def formatted(kind: str, value: str, key: bytes, attempt: int) -> str:
+    """The surrogate in the format of its value."""
     tweak = f"{kind}|{attempt}"
     if kind == "email":
         local, _, domain = value.rpartition("@")
@@ -169,7 +207,7 @@ def dressed(found: str, kind: str, value: str) -> str:
     """The surrogate value in the spelling of the text found: its separators, or its case."""
     if kind in ("card", "phone", "iban"):
         signs = iter(value)
-        return "".join(next(signs, "") if re.match(r"[0-9A-Za-z+]", c) else c for c in found)
+        return "".join(next(signs, "") if re.match(r"[0-9A-Za-z+]", c) else c for c in found) + "".join(signs)
     if kind == "email" and len(found) == len(value):
         return "".join(v.upper() if c.isupper() else v for c, v in zip(found, value, strict=True))
     return value

@@ -154,6 +154,16 @@ def test_surrogates_that_meet_are_keyed_anew(spark):
     assert rare and len(set(made)) == len(made) and not set(made) & set(names)
 
 
+def test_surrogates_of_exhausted_and_letterless_formats(spark):
+    values = [(f"name {g}", v) for g in ("male", "female") for v in [*"AEIOU", "王", "Ä"]] + [("email", "_@example.com"), ("email", "-@example.com")]
+    values += [("name male", v) for v in "BCDFGHJKLMNPQRSTVWXYZ"]
+    known = spark.createDataFrame(values, "kind string, value string")
+    rare = {(r["kind"], r["value"]): r["attempt"] for r in pii.exceptions(spark, known, b"key").collect()}
+    made = [pii.surrogate(k, v, b"key", rare.get((k, v), 0)) for k, v in values]
+    assert len(set(made)) == len(made) and not set(made) & {v for _, v in values}
+    assert pii.dressed("+49 30 1234", "phone", "+49305678901") == "+49 30 5678901"
+
+
 def test_line_dedup(spark, empty):
     rng = random.Random(3)
     sentence = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n)) + "."
