@@ -56,16 +56,20 @@ KEY32 = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"]
 
 _title = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
 _name = r"[^\W\d_a-zа-я][^\W\d_]*(?:[-’'][^\W\d_]+)*"
+_initial = r"[^\W\d_a-zа-я]\."
+# Small words inside family names.
+PARTICLES = "von van der den de del della di da dos du la le zu zum zur ter ten bin al".split()
+_particles = "|".join(PARTICLES)
 PATTERNS = [
     ("email", r"(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}"),
     ("access_key", r"(?<!\w)A[KS]IA[0-9A-Z]{16}(?!\w)"),
-    ("token", r"(?<!\w)[0-9a-f]{32,64}(?!\w)"),
+    ("token", r"(?<!\w)[0-9A-Fa-f]{32,64}(?!\w)"),
     ("iban", r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"),
     ("ip", r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)"),
     ("card", r"(?<![\w.])\d(?:[ -]?\d){12,18}(?![\w]|\.\d)"),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     ("phone", r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}(?!\w)|(?<!\w)\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"),
-    ("name", rf"(?<!\w)(?P<title>{_title})\.? (?P<given>{_name} )?(?P<family>{_name})"),
+    ("name", rf"(?<!\w)(?P<title>{_title})\.? (?P<given>(?:{_initial}[ -]?|(?!(?:{_title})\b)(?:{_name}|{_particles}) )*)(?P<family>{_name})"),
 ]
 FINDER = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS))
 MAY_HOLD = re.compile(r"[0-9@]")
@@ -132,7 +136,7 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
             value = text[start:end]
         elif kind in ("card", "phone", "iban"):
             value = re.sub(r"[^0-9A-Za-z+]", "", value)
-        elif kind == "email":
+        elif kind in ("email", "token"):
             value = value.lower()
         found.append((start, end, kind, value))
     return found
@@ -191,15 +195,18 @@ def formatted(kind: str, value: str, key: bytes, attempt: int) -> str:
     if kind == "iban":
         return value[:2] + permuted(value[2:], key, tweak + value[:2], CLASSES)
     if kind.startswith("name "):
-        given, _, family = value.rpartition(" ")
+        given, family = re.fullmatch(r"(.*[ .])?([^ .]+)", value).groups(default="")
         new = permuted(family, key, tweak, CLASSES)
         names = GIVEN.get((kind[5:], script(value)))
-        if given and names:
-            own = blake2b(f"{tweak}|{given}".encode(), key=key[:64], digest_size=8).digest()
-            given = names[int.from_bytes(own, "big") % len(names)]
-        elif given:
-            given = permuted(given, key, tweak + "|given", CLASSES)
-        return f"{given} {new}" if given else new
+        # The first name comes from the list; initials and other names move within their letters, small words stay.
+        words = re.split(r"([ .]+)", given)
+        for k in range(0, len(words), 2):
+            if k == 0 and names and len(words[0]) > 1 and words[0] not in PARTICLES:
+                own = blake2b(f"{tweak}|{given.strip()}".encode(), key=key[:64], digest_size=8).digest()
+                words[0] = names[int.from_bytes(own, "big") % len(names)]
+            elif words[k] not in PARTICLES:
+                words[k] = permuted(words[k], key, f"{tweak}|given{k or ''}", CLASSES)
+        return "".join(words) + new
     return permuted(value, key, tweak, CLASSES)
 
 
@@ -208,7 +215,9 @@ def dressed(found: str, kind: str, value: str) -> str:
     if kind in ("card", "phone", "iban"):
         signs = iter(value)
         return "".join(next(signs, "") if re.match(r"[0-9A-Za-z+]", c) else c for c in found) + "".join(signs)
-    if kind == "email" and len(found) == len(value):
+    if kind == "token" and found.upper() == found:
+        return value.upper()
+    if kind in ("email", "token") and len(found) == len(value):
         return "".join(v.upper() if c.isupper() else v for c, v in zip(found, value, strict=True))
     return value
 

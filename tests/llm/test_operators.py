@@ -164,6 +164,18 @@ def test_surrogates_of_exhausted_and_letterless_formats(spark):
     assert pii.dressed("+49 30 1234", "phone", "+49305678901") == "+49 30 5678901"
 
 
+def test_surrogates_of_long_names_and_capital_tokens(spark):
+    token = "9233A8ECF7C5" * 3
+    texts = ["Mr J. Smith came.", "Mr John Ronald Smith came.", "Herr J.R. Smith kam.", "Frau Ursula von der Smith kam.", "Mrs Anna-Maria K. L. Smith-Jones left.", f"key {token} end", f"key {token.lower()} end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.replace_table(spark, docs).collect()}
+    for i, text in enumerate(texts):
+        assert got[i]["__n_entities"] == 1
+        assert not re.search("Smith|Ronald|John|J[.]|Ursula|Jones|9233A8EC", got[i]["text"], re.I if "key" in text else 0), got[i]["text"]
+    assert re.fullmatch(r"Mr [A-Z]\. [A-Z][a-z]+ came\.", got[0]["text"]) and " von der " in got[3]["text"]
+    assert re.fullmatch(r"key [0-9A-F]{36} end", got[5]["text"]) and got[5]["text"].lower() == got[6]["text"].lower()
+
+
 def test_line_dedup(spark, empty):
     rng = random.Random(3)
     sentence = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n)) + "."
