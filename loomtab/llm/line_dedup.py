@@ -1,17 +1,15 @@
-"""Removal of repeated runs of lines by winnowing over line hashes.
+"""Removal of repeated runs of lines by hashes of their shortest parts.
 
 A unit is a line, or a sentence where a line has several; it keeps what
-separates it from the next, so units joined give the text. From each unit on, a
-gram covers as few units as hold ``GRAM_WORDS`` words. Of all grams that begin
-within ``WINDOW_WORDS`` words the least hash is a fingerprint, so each run of
-``GRAM_WORDS + WINDOW_WORDS - 1`` words that occurs twice has a fingerprint at
-both places. A fingerprint's occurrence is joined with the occurrence before it
-in the same document or, if there is none, with the first one in any document;
-the match is extended both ways, unit by unit, and the later run is deleted if
-it has as many words as the guarantee.
+separates it from the next, so units joined give the text. A gram is as few
+units as hold ``RUN_WORDS`` words, counted from its first unit on or from its
+last one back. Each unit of a repeated run of that many words or more lies in a
+gram inside the run, so the repeated grams make up all repeated runs: each
+occurrence of a gram that isn't the first of all documents is deleted. No
+partner has to be chosen, and none is missed.
 
 Everything is DataFrame operations. Texts meet only the runs to delete; what is
-compared are arrays of hashes.
+counted are hashes.
 """
 
 from __future__ import annotations
@@ -20,12 +18,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BLANKS, let, stage
+from .common import BLANKS, discard, let, stage
 
-GRAM_WORDS = 20
-WINDOW_WORDS = 11
 #: Runs of fewer words stay; all runs of as many are found.
-RUN_WORDS = GRAM_WORDS + WINDOW_WORDS - 1
+RUN_WORDS = 30
 
 
 def units(text: Column) -> Column:
@@ -56,48 +52,44 @@ def runs(spark: SparkSession, docs: DataFrame) -> DataFrame:
     # Documents are told apart by doc_id and the hash of their text; equal rows beyond the first are repeats of it as a whole.
     known = stage(spark, hashed(docs.filter("doc_id is not null")).dropDuplicates(["doc_id", "__same"]), "units")
     # The arrays are dealt by document, not their units: the windows below need no other exchange.
-    dealt = known.select("doc_id", "__same", "hashes", "words").repartition("doc_id", "__same")
+    dealt = known.select("doc_id", "__same", F.concat("hashes", F.array(F.lit(0).cast("long"))).alias("hashes"), F.concat("words", F.array(F.lit(0))).alias("words")).repartition("doc_id", "__same")
     each = dealt.select("doc_id", "__same", F.posexplode(F.arrays_zip("hashes", "words")).alias("at", "unit")).select("doc_id", "__same", "at", F.col("unit.hashes").alias("hash"), F.col("unit.words").alias("words"))
     own = W.partitionBy("doc_id", "__same").orderBy("at")
-    each = each.withColumn("begins", F.sum("words").over(own) - F.col("words"))
+    each = each.withColumns({"begins": F.sum("words").over(own) - F.col("words"), "past": F.lag("hash").over(own), "past_words": F.lag("words").over(own)})
+    # The units from this one on that begin within RUN_WORDS words; and those before this one that end within as many.
+    # The unit of no words at the end of each document lets its last unit be one before.
     spread = W.partitionBy("doc_id", "__same").orderBy("begins")
-    ahead = each.withColumns(
-        {
-            "hashes": F.collect_list("hash").over(spread.rangeBetween(0, GRAM_WORDS - 1)),
-            "covered": F.sum("words").over(spread.rangeBetween(0, GRAM_WORDS - 1)),
-        }
-    )
-    grams = ahead.withColumn("gram", F.when(F.col("covered") >= GRAM_WORDS, F.xxhash64("hashes")))
-    least = grams.withColumn("least", F.min(F.when(F.col("gram").isNotNull(), F.struct("gram", "at"))).over(spread.rangeBetween(0, WINDOW_WORDS - 1)))
-    chosen = least.filter("least is not null").select("doc_id", "__same", F.col("least.gram").alias("gram"), F.col("least.at").alias("at")).distinct()
-    before = F.lag("at").over(W.partitionBy("doc_id", "__same", "gram").orderBy("at"))
-    prints = stage(spark, chosen.withColumn("before", before), "prints")
-
-    # Each fingerprint meets the one before it in its document, or the first of all documents.
-    again = prints.filter("before is not null").select("doc_id", "__same", F.col("doc_id").alias("e_id"), F.col("__same").alias("e_same"), (F.col("before") - F.col("at")).alias("shift"))
-    once = prints.filter("before is null").select("doc_id", "__same", "gram", "at")
-    firsts = once.groupBy("gram").agg(F.min(F.struct("doc_id", "__same", "at")).alias("e"), F.count("*").alias("n")).filter("n > 1").select("gram", "e")
-    met = once.join(firsts, "gram").filter(F.struct("doc_id", "__same", "at") != F.col("e"))
-    across = met.select("doc_id", "__same", F.col("e.doc_id").alias("e_id"), F.col("e.__same").alias("e_same"), (F.col("e.at") - F.col("at")).alias("shift"))
-    diagonals = again.union(across).distinct()
-
-    # Along each diagonal, the units that agree; runs of them with enough words go.
-    mine = known.select("doc_id", "__same", "hashes", "words", "places")
-    theirs = known.select(F.col("doc_id").alias("e_id"), F.col("__same").alias("e_same"), F.col("hashes").alias("e_hashes"))
-    faced = diagonals.join(mine, ["doc_id", "__same"]).join(theirs, ["e_id", "e_same"])
-
-    def agreeing(h: Column, e: Column) -> Column:
-        """Places just outside of each run of agreeing units: the units that differ, and both ends."""
-        differ = F.filter(F.transform(h, lambda x, i: F.when((i + F.col("shift") >= 0) & (x == F.get(e, i + F.col("shift"))), F.lit(None)).otherwise(i)), lambda i: i.isNotNull())
-        return F.concat(F.array(F.lit(-1)), differ, F.array(F.size(h)))
-
-    edges = let(F.col("hashes"), lambda h: let(F.col("e_hashes"), lambda e: agreeing(h, e)))
-    gaps = let(edges, lambda d: F.filter(F.transform(d, lambda x, i: F.struct((x + 1).alias("first"), (F.get(d, i + 1) - 1).alias("last"))), lambda r: r["last"] >= r["first"]))
-    total = lambda w, r: F.aggregate(F.slice(w, r["first"] + 1, r["last"] - r["first"] + 1), F.lit(0), lambda a, x: a + x)
-    long = let(F.col("words"), lambda w: F.filter(gaps, lambda r: total(w, r) >= RUN_WORDS))
-    placed = let(F.col("places"), lambda p: F.transform(long, lambda r: F.struct(F.get(p, r["first"]).alias("first"), F.get(p, r["last"]).alias("last"))))
-    found = faced.select("doc_id", "__same", F.explode(placed).alias("run")).distinct()
-    return found.groupBy("doc_id", "__same").agg(F.collect_list("run").alias("runs"))
+    ahead, behind = spread.rangeBetween(0, RUN_WORDS - 1), spread.rangeBetween(1 - RUN_WORDS, 0)
+    both = each.withColumns({"ahead": F.collect_list("hash").over(ahead), "n_ahead": F.sum("words").over(ahead), "behind": F.collect_list("past").over(behind), "n_behind": F.sum("past_words").over(behind)})
+
+    def gram(hashes: str, first: Column) -> Column:
+        # A gram has at most RUN_WORDS units. Among n grams some two differ and share a hash with a chance of n * n / 2^65.
+        return F.struct(F.xxhash64(hashes).alias("gram"), (first * RUN_WORDS + F.size(hashes) - 1).cast("long").alias("spot"))
+
+    forward = F.when(F.col("n_ahead") >= RUN_WORDS, gram("ahead", F.col("at")))
+    # A gram from its last unit back is also one from its first unit on, unless it has enough words without the last.
+    backward = F.when(F.col("n_behind") - F.col("past_words") >= RUN_WORDS, gram("behind", F.col("at") - F.size("behind")))
+    grams = both.select("doc_id", "__same", F.explode(F.filter(F.array(forward, backward), lambda g: g.isNotNull())).alias("g")).select("doc_id", "__same", "g.*")
+    before = F.lag("spot").over(W.partitionBy("doc_id", "__same", "gram").orderBy("spot"))
+    grams = stage(spark, grams.withColumn("again", before.isNotNull()), "grams")
+
+    # Of each gram all occurrences but the first go; repeats inside a document need no comparison with others.
+    again = grams.filter("again").select("doc_id", "__same", "spot")
+    once = grams.filter("not again").select("doc_id", "__same", "gram", "spot")
+    firsts = once.groupBy("gram").agg(F.min(F.struct("doc_id", "__same")).alias("e"), F.count("*").alias("n")).filter("n > 1").select("gram", "e")
+    across = once.join(firsts, "gram").filter(F.struct("doc_id", "__same") != F.col("e")).select("doc_id", "__same", "spot")
+    gone = again.union(across).select("doc_id", "__same", F.floor(F.col("spot") / RUN_WORDS).alias("first"), F.pmod("spot", F.lit(RUN_WORDS)).alias("more"))
+    gone = stage(spark, gone.select("doc_id", "__same", "first", (F.col("first") + F.col("more")).alias("last")), "gone")
+    discard(spark, grams)
+
+    # Grams that overlap or follow one another are one run.
+    by = W.partitionBy("doc_id", "__same").orderBy("first", "last")
+    reach = F.max("last").over(by.rowsBetween(W.unboundedPreceding, -1))
+    parted = gone.withColumn("starts", F.when(F.col("first") <= reach + 1, 0).otherwise(1))
+    run = parted.withColumn("run", F.sum("starts").over(by)).groupBy("doc_id", "__same", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    found = run.groupBy("doc_id", "__same").agg(F.collect_list(F.struct(F.col("first").cast("int").alias("first"), F.col("last").cast("int").alias("last"))).alias("found"))
+    placed = let(F.col("places"), lambda p: F.transform("found", lambda r: F.struct(F.get(p, r["first"]).alias("first"), F.get(p, r["last"]).alias("last"))))
+    return known.select("doc_id", "__same", "places").join(found.hint("merge"), ["doc_id", "__same"]).select("doc_id", "__same", placed.alias("runs"))
 
 
 def drop_runs(spark: SparkSession, docs: DataFrame) -> DataFrame:

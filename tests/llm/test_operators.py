@@ -193,6 +193,31 @@ def test_line_dedup(spark, empty):
     assert [r["doc_id"] for r in line_dedup.keep(spark, copies).collect()] == [1]
 
 
+def test_line_dedup_finds_runs_whose_parts_came_before(spark):
+    rng = random.Random(7)
+    sentence = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n)) + ". "
+    one, two = sentence(26), sentence(27)
+    fixed = [one + "\n", two + "\n", sentence(9) + one + two, sentence(8) + one + two + "\n\n"]
+    pool = [sentence(n) for n in (3, 5, 8, 12, 14, 20, 25, 29, 31)]
+    texts = fixed + ["".join(rng.choice(pool) + rng.choice(["", "", "\n", "\n\n"]) for _ in range(rng.randint(1, 14))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen, want = set(), {}
+    for i, text in enumerate(texts):
+        units = [u.strip() for u in re.split(r"(?<=\n)|(?<=[.!?] )", text) if u.strip()]
+        gone, place = set(), {}
+        for first in range(len(units)):
+            for last in range(first, len(units)):
+                own = tuple(units[first : last + 1])
+                if sum(len(u.split()) for u in own) >= 30:
+                    if own in seen or own in place:
+                        gone |= set(range(first, last + 1))
+                    place.setdefault(own, first)
+        seen |= set(place)
+        want[i] = [u for k, u in enumerate(units) if k not in gone]
+    got = {r["doc_id"]: [u.strip() for u in re.split(r"(?<=\n)|(?<=[.!?] )", r["text"]) if u.strip()] for r in line_dedup.drop_runs(spark, docs).collect()}
+    assert len(want[3]) == 1 and got == want
+
+
 def test_warc_round_trip(spark):
     html = "<html>" + "é" * 700 + "\r\n\r\nWARC/1.1\r\nx</html>"
     pages = spark.createDataFrame([(1, "http://a b/", html, 0), (2, None, html, 0), (3, "", "short", 0), (4, "http://c", None, 0), (5, "u", "short", 0), (None, "u", html, 0), (2, "x", html, 0)], "page_id long, url string, html string, uid int")
