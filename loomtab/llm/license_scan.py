@@ -2,7 +2,9 @@
 
 Each text is cut into sentences, each sentence normalised, and the known ones
 become identifiers; a licence is found where the identifiers, in the order of
-the text, hold its rule's identifiers as a subsequence. All of it is one
+the text, hold its rule's identifiers as a subsequence. Known sentences that
+lines, comment signs or inner stops cut into pieces are put on lines of their
+own first; the long ones count inside other sentences, too. All of it is one
 projection of built-in functions, with the sentences and rules as constants.
 """
 
@@ -53,6 +55,31 @@ SENTENCE_END = r"\n+|(?<=[.!?;:])[\x20\x09\x0B-\x0D]+"
 KNOWN = {sentence: name for name, sentences in SENTENCES.items() for sentence in sentences}
 #: Longer sentences can't be known ones, even with a sign between all their letters.
 LONGEST = 4 * max(map(len, KNOWN))
+#: Known sentences of so many words are found wherever they stand, shorter ones only from a sentence's start to its end.
+LONG_WORDS = 10
+# What may stand for a known sentence's words in a licence's own text, as regular expressions.
+WORDINGS = {
+    "the copyright holder": r"(?:(?!nor the names)[^\n]|\n(?!\s*\n)){1,200}?",
+}
+
+
+def whole(text: Column) -> Column:
+    """text with each known sentence on a line of its own, whatever signs and line ends are between its words."""
+    gap = "[^a-zA-Z0-9]+"
+    for sentence in sorted(KNOWN, key=len, reverse=True):
+        words = sentence.split()
+        if len(words) < 4:
+            continue
+        pattern = gap.join(words)
+        for usual, wording in WORDINGS.items():
+            pattern = pattern.replace(gap.join(usual.split()), wording)
+        if len(words) >= LONG_WORDS:
+            pattern = f"(?i)(?<![a-zA-Z0-9]){pattern}(?![a-zA-Z0-9])"
+        else:
+            blank = r"[\x20\x09\x0B-\x0D]"
+            pattern = rf"(?i)(?<=^|\n|[.!?;:]{blank})(?:(?!\n)[^a-zA-Z0-9])*{pattern}(?=[^a-zA-Z0-9\n]*(?:\n|$|[.!?;:]{blank}))"
+        text = F.regexp_replace(text, pattern, f"\n{sentence}\n")
+    return text
 
 
 def normalised(sentence: Column) -> Column:
@@ -69,7 +96,7 @@ def scan(docs: DataFrame) -> DataFrame:
     table = F.create_map(*(F.lit(x) for pair in KNOWN.items() for x in pair))
     # Only sentences that hold a word of each known one's kind are normalised.
     hints = "(?i)licen[cs]e|rights|redistribution|copyright|warranty|permission|public domain|compliance"
-    sentences = F.filter(F.split(F.coalesce("text", F.lit("")), SENTENCE_END), lambda s: (F.length(s) <= LONGEST) & s.rlike(hints))
+    sentences = F.filter(F.split(whole(F.coalesce("text", F.lit(""))), SENTENCE_END), lambda s: (F.length(s) <= LONGEST) & s.rlike(hints))
     ids = F.filter(F.transform(sentences, lambda s: F.element_at(table, normalised(s))), lambda x: x.isNotNull())
     found = docs.withColumn("__sentence_ids", F.when(F.col("text").rlike(hints), ids).otherwise(F.array().cast("array<string>")))
 

@@ -279,6 +279,42 @@ def test_license_scan(spark, empty):
     assert license_scan.scan(empty).count() == 0
 
 
+def test_license_scan_of_wrapped_texts(spark):
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software."""
+    bsd = """Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+    endorse = """
+3. Neither the name of Example Org. nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+    apache = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use
+this file except in compliance with the License. You may obtain a copy of the
+License at
+
+    http://www.apache.org/licenses/LICENSE-2.0"""
+    gpl = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+    commented = "\n".join(" * " + x for x in gpl.split("\n"))
+    texts = [mit, "1. " + bsd, "1. " + bsd + endorse, apache, gpl, commented, gpl.replace("version 3", "version 2"), "This work is licensed under a Creative Commons\nAttribution 4.0 International License.\n", "A tool licensed under the MIT License and more."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["__licenses"] for r in license_scan.scan(docs).collect()}
+    assert got == {0: ["MIT"], 1: ["BSD-2-Clause"], 2: ["BSD-3-Clause", "BSD-2-Clause"], 3: ["Apache-2.0"], 4: ["GPL-3.0"], 5: ["GPL-3.0"], 6: [], 7: ["CC-BY-4.0"], 8: []}
+
+
 def test_classifier_learns_and_ignores_the_held_out(spark, docs, empty):
     rng = random.Random(2)
     bad = "BUY!! CHEAP!! NOW!! | spam".split()
