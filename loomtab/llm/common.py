@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, which separates the words of every contract.
@@ -77,6 +77,25 @@ def discard(spark: SparkSession, df: DataFrame) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """name, with underscores before it until no column has it, whatever its letters' case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def boxed(docs: DataFrame) -> Column:
+    """All columns but text as one struct, so that none of their names meets another."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return F.struct(*rest) if rest else F.struct(F.lit(None).cast("boolean").alias("none"))
+
+
+def unboxed(docs: DataFrame, row: str, text: Column) -> list[Column]:
+    """The columns of docs, in their order, out of its box, with this text."""
+    return [text.alias(c) if c == "text" else F.col(row)[c].alias(c) for c in docs.columns]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

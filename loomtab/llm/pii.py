@@ -5,21 +5,27 @@ within its own class (digit, hexadecimal digit, small or capital letter of its
 script), by a Feistel network over the two halves. So distinct entities of one
 format get distinct surrogates, and one entity gets the same surrogate in all
 documents and in all its spellings (case and spacing of the spelling at hand
-are kept). Given names after a title are drawn by key from a list of the
-title's gender and the name's script.
+are kept).
+
+A name after a title is two entities: the family name, which has one surrogate
+whatever stands before it, and the given names within that family, drawn by key
+from a list of the title's gender and the name's script. Later mentions of a
+name that a document has introduced, with or without its given names, get the
+same surrogates.
 
 Lists and formats can still make two entities meet, and a surrogate may be
 another document's real entity. So all distinct entities are checked: of those
 that meet, all but the least, and all whose surrogate is real, are keyed anew
-until none meet. Formats may have fewer values than entities, so surrogates grow
-after ``SAME_LENGTH`` attempts and a free value always exists. Only these
-exceptions travel to the documents.
+and checked against those that stand, until none is left. Formats may have fewer
+values than entities, so surrogates grow after ``SAME_LENGTH`` attempts and a
+free value always exists. Only these exceptions travel to the documents.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from functools import lru_cache
 from hashlib import blake2b
 
@@ -28,11 +34,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship, stage
+from .common import boxed, ship, stage, unboxed
 
-DEFAULT_KEY = b"loomtab surrogate key"
+#: The setting that holds the secret key, in hexadecimal digits.
+KEY_SETTING = "spark.loomtab.surrogateKey"
 #: Exceptions up to this number are broadcast; more are joined to the texts that hold them.
 BROADCAST_EXCEPTIONS = 10_000
+#: Parts of the rows of one text in that join.
+SALTS = 16
 #: Attempts in an entity's own format; each later one adds GROWTH characters more.
 SAME_LENGTH = 6
 GROWTH = 3
@@ -40,7 +49,8 @@ GROWTH = 3
 # Titles by the gender that they tell.
 TITLES = {
     "male": ["Mr", "Sir", "Herr", "Herrn", "Monsieur", "Señor", "Господин"],
-    "female": ["Mrs", "Ms", "Madam", "Frau", "Madame", "Señora", "Госпожа"],
+    "female": ["Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Mlle", "Señora", "Señorita", "Госпожа"],
+    "any": ["Dr", "Prof", "Professor", "Doctor"],
 }
 # Given names by gender and script.
 GIVEN = {
@@ -49,14 +59,18 @@ GIVEN = {
     ("male", "CYRILLIC"): ["Антон", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Иван", "Кирилл", "Максим", "Олег", "Павел", "Роман"],
     ("female", "CYRILLIC"): ["Анна", "Вера", "Галина", "Дарья", "Елена", "Зоя", "Ирина", "Мария", "Нина", "Ольга", "Раиса", "Софья"],
 }
+for _script in ("LATIN", "CYRILLIC"):
+    GIVEN["any", _script] = GIVEN["male", _script] + GIVEN["female", _script]
 # Letters by script, vowels apart from consonants, so that surrogates can be spoken.
 CLASSES = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "АЕИОУЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ", "αεηιουω", "βγδζθκλμνξπρστφχψ"]
 HEX = ["0123456789abcdef"]
 KEY32 = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"]
 
 _title = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
-_name = r"[^\W\d_a-zа-я][^\W\d_]*(?:[-’'][^\W\d_]+)*"
-_initial = r"[^\W\d_a-zа-я]\."
+_small = "".join(c for c in map(chr, range(0x80, 0x2000)) if c.islower())
+_letter = r"[^\W\d_]"
+_name = rf"[^\W\d_a-z{_small}]{_letter}*(?:-{_letter}+|[’'](?!s(?!\w)){_letter}+)*"
+_initial = rf"[^\W\d_a-z{_small}]\."
 # Small words inside family names.
 PARTICLES = "von van der den de del della di da dos du la le zu zum zur ter ten bin al".split()
 _particles = "|".join(PARTICLES)
@@ -69,7 +83,7 @@ PATTERNS = [
     ("card", r"(?<![\w.])\d(?:[ -]?\d){12,18}(?![\w]|\.\d)"),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     ("phone", r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}(?!\w)|(?<!\w)\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"),
-    ("name", rf"(?<!\w)(?P<title>{_title})\.? (?P<given>(?:{_initial}[ -]?|(?!(?:{_title})\b)(?:{_name}|{_particles}) )*)(?P<family>{_name})"),
+    ("name", rf"(?<!\w)(?P<title>{_title})\.? (?P<given>(?:{_initial}[ -]?|(?!(?:{_title})(?!\w))(?:{_name}|{_particles}) )*)(?P<family>(?!(?:{_title})(?!\w)){_name})"),
 ]
 FINDER = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS))
 MAY_HOLD = re.compile(r"[0-9@]")
@@ -122,23 +136,48 @@ def script(text: str) -> str:
 
 
 def entities(text: str) -> list[tuple[int, int, str, str]]:
-    """start, end, type and canonical value of each entity, in order; a name's type tells its gender."""
+    """start, end, type and canonical value of each entity, in order.
+
+    A given name's type tells its gender, its value also the family; a name
+    makes two entries, or one without given names.
+    """
     if not MAY_HOLD.search(text) and not any(t in text for t in TITLE_WORDS):
         return []
-    found = []
+    found, named = [], {}
     for m in FINDER.finditer(text):
         kind, start, end = m.lastgroup, m.start(), m.end()
         kind = next(k for k, _ in PATTERNS if m[k] is not None)
         value = m[kind]
         if kind == "name":
-            kind = "name " + next(g for g, ts in TITLES.items() if m["title"] in ts)
-            start = m.start("given") if m["given"] else m.start("family")
-            value = text[start:end]
-        elif kind in ("card", "phone", "iban"):
+            gender = next(g for g, ts in TITLES.items() if m["title"] in ts)
+            given, family = (m["given"] or "").rstrip(), m["family"]
+            named.setdefault(family, {})
+            if given:
+                named[family].setdefault(given, f"name {gender}")
+                found.append((m.start("given"), m.start("given") + len(given), named[family][given], f"{given}\n{family}"))
+            found.append((m.start("family"), m.end("family"), "family", family))
+            continue
+        if kind in ("card", "phone", "iban"):
             value = re.sub(r"[^0-9A-Za-z+]", "", value)
         elif kind in ("email", "token"):
             value = value.lower()
         found.append((start, end, kind, value))
+    # A single cased letter may be any word; other families are looked for in the whole text.
+    later = [f for f in named if len(f) > 1 or f.lower() == f.upper()]
+    if later:
+        taken = [(e[0], e[1]) for e in found]
+        starts = [t[0] for t in taken]
+        for m in re.finditer(r"(?<!\w)(?:" + "|".join(sorted(map(re.escape, later), key=len, reverse=True)) + r")(?!\w)", text):
+            at = bisect_right(starts, m.start())
+            if (at and taken[at - 1][1] > m.start()) or (at < len(taken) and taken[at][0] < m.end()):
+                continue
+            family = m[0]
+            for given, kind in named[family].items():
+                first = m.start() - len(given) - 1
+                if first >= 0 and text[first : m.start()] in (given + " ", given + "\n") and not (first and text[first - 1].isalnum()) and not (at and taken[at - 1][1] > first):
+                    found.append((first, first + len(given), kind, f"{given}\n{family}"))
+            found.append((m.start(), m.end(), "family", family))
+        found.sort()
     return found
 
 
@@ -149,8 +188,10 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
     if more <= 0:
         return made
     letters = {"token": HEX[0], "access_key": KEY32[0], "email": CLASSES[2]}.get(kind, CLASSES[0])
-    if kind.startswith("name "):
-        last = made[-1].lower()[0]
+    family = ""
+    if kind == "family" or kind.startswith("name "):
+        made, _, family = made.partition("\n")
+        last = (made.rstrip(".") or "x")[-1].lower()[0]
         letters = next((c for c in [*CLASSES, other_class(last)] if last in c and len(c) > 1), CLASSES[2])
     stream, block = b"", 0
     while len(stream) < 4 * more:
@@ -158,7 +199,7 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
         block += 1
     end = "".join(letters[int.from_bytes(stream[4 * k : 4 * k + 4], "big") % len(letters)] for k in range(more))
     local, at, domain = made.rpartition("@") if kind == "email" else (made, "", "")
-    return local + end + at + domain
+    return local + end + at + domain + ("\n" + family if family else "")
 
 
 def formatted(kind: str, value: str, key: bytes, attempt: int) -> str:
@@ -195,23 +236,23 @@ def formatted(kind: str, value: str, key: bytes, attempt: int) -> str:
     if kind == "iban":
         return value[:2] + permuted(value[2:], key, tweak + value[:2], CLASSES)
     if kind.startswith("name "):
-        given, family = re.fullmatch(r"(.*[ .])?([^ .]+)", value).groups(default="")
-        new = permuted(family, key, tweak, CLASSES)
-        names = GIVEN.get((kind[5:], script(value)))
+        given, family = value.split("\n")
+        names = GIVEN.get((kind[5:], script(given)))
         # The first name comes from the list; initials and other names move within their letters, small words stay.
         words = re.split(r"([ .]+)", given)
         for k in range(0, len(words), 2):
             if k == 0 and names and len(words[0]) > 1 and words[0] not in PARTICLES:
-                own = blake2b(f"{tweak}|{given.strip()}".encode(), key=key[:64], digest_size=8).digest()
+                own = blake2b(f"{tweak}|{value}".encode(), key=key[:64], digest_size=8).digest()
                 words[0] = names[int.from_bytes(own, "big") % len(names)]
             elif words[k] not in PARTICLES:
-                words[k] = permuted(words[k], key, f"{tweak}|given{k or ''}", CLASSES)
-        return "".join(words) + new
+                words[k] = permuted(words[k], key, f"{tweak}|{family}|given{k or ''}", CLASSES)
+        return "".join(words) + "\n" + family
     return permuted(value, key, tweak, CLASSES)
 
 
 def dressed(found: str, kind: str, value: str) -> str:
     """The surrogate value in the spelling of the text found: its separators, or its case."""
+    value = value.partition("\n")[0]
     if kind in ("card", "phone", "iban"):
         signs = iter(value)
         return "".join(next(signs, "") if re.match(r"[0-9A-Za-z+]", c) else c for c in found) + "".join(signs)
@@ -226,7 +267,7 @@ def replaced(text: str, key: bytes, attempts: dict[tuple[str, str], int]) -> tup
     out, at, n = [], 0, 0
     for start, end, kind, value in entities(text):
         out += [text[at:start], dressed(text[start:end], kind, surrogate(kind, value, key, attempts.get((kind, value), 0)))]
-        at, n = end, n + 1
+        at, n = end, n + (not kind.startswith("name "))  # its family name follows
     return ("".join(out) + text[at:], n) if n else (text, 0)
 
 
@@ -244,7 +285,11 @@ def distinct_entities(docs: DataFrame) -> DataFrame:
 
 
 def exceptions(spark: SparkSession, known: DataFrame, key: bytes) -> DataFrame:
-    """kind, value and attempt (1 and up) of the entities whose first surrogate would meet another or a real one."""
+    """kind, value and attempt (1 and up) of the entities whose first surrogate would meet another or a real one.
+
+    Each round makes surrogates only for what met in the round before, and
+    checks them against all that stand by then.
+    """
 
     def run(batches):
         from loomtab.llm import pii
@@ -254,22 +299,35 @@ def exceptions(spark: SparkSession, known: DataFrame, key: bytes) -> DataFrame:
             made = [pii.surrogate(k, v, key, a) for k, v, a in zip(kinds, values, attempts, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], names=["kind", "value", "attempt", "made"])
 
-    current = known.withColumn("attempt", F.lit(0))
+    real = known.select(F.col("value").alias("made")).distinct().withColumn("real", F.lit(True))
+    standing: DataFrame | None = None
+    current, attempt = known.withColumn("attempt", F.lit(0)), 0
     while True:
         made = stage(spark, current.mapInArrow(run, "kind string, value string, attempt int, made string"), "surrogates")
-        # A surrogate belongs to the least value that has it, unless it is real.
+        # A surrogate belongs to the least value that has it, unless it is real or was given before.
         owners = made.groupBy("made").agg(F.min(F.struct("kind", "value")).alias("owner"))
-        real = known.select(F.col("value").alias("made")).distinct().withColumn("real", F.lit(True))
-        judged = made.join(owners, "made").join(real, "made", "left")
+        taken = real if standing is None else real.union(standing.select("made", F.lit(True))).distinct()
+        judged = made.join(owners, "made").join(taken, "made", "left")
         meets = (F.struct("kind", "value") != F.col("owner")) | F.col("real").isNotNull()
-        judged = stage(spark, judged.select("kind", "value", "attempt", meets.alias("meets")), "judged")
+        judged = stage(spark, judged.select("kind", "value", "attempt", "made", meets.alias("meets")), "judged")
+        stand = judged.filter("not meets").select("kind", "value", "attempt", "made")
+        standing = stand if standing is None else standing.union(stand)
         if judged.filter("meets").isEmpty():
-            return judged.filter("attempt > 0").select("kind", "value", "attempt")
-        current = judged.select("kind", "value", (F.col("attempt") + F.col("meets").cast("int")).alias("attempt"))
+            return standing.filter("attempt > 0").select("kind", "value", "attempt")
+        attempt += 1
+        current = judged.filter("meets").select("kind", "value", F.lit(attempt).alias("attempt"))
+
 
+def key_of(spark: SparkSession, key: bytes | None) -> bytes:
+    """The key given, or that of the session's KEY_SETTING; there is no other, as surrogates of a known key can be undone."""
+    found = key or bytes.fromhex(spark.conf.get(KEY_SETTING, "") or "")
+    if len(found) < 8:
+        raise ValueError(f"give a secret key of 8 bytes or more, or set {KEY_SETTING}")
+    return found
 
-def replace_table(spark: SparkSession, docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
-    """docs, all columns as they are, with entities in text replaced, and ``__n_entities``.
+
+def replace_table(spark: SparkSession, docs: DataFrame, key: bytes | None = None, count: str | None = None) -> DataFrame:
+    """docs, all columns as they are, with entities in text replaced; with count, their number in a last column of that name.
 
     A null text stays null and an empty one empty, with no entities. Equal rows
     get equal results, a null doc_id is of no account, and columns of any other
@@ -277,17 +335,16 @@ def replace_table(spark: SparkSession, docs: DataFrame, key: bytes = DEFAULT_KEY
     are searched whole.
     """
     ship(spark)
+    key = key_of(spark, key)
     rare = stage(spark, exceptions(spark, stage(spark, distinct_entities(docs), "entities"), key), "exceptions")
     few = rare.limit(BROADCAST_EXCEPTIONS + 1).collect()
-    names = docs.columns
-    out = T.StructType([*docs.schema.fields, T.StructField("__n_entities", T.LongType())])
+    source = docs.select("text", boxed(docs).alias("row"))
+    attempts: dict[tuple[str, str], int] = {}
     if len(few) <= BROADCAST_EXCEPTIONS:
         attempts = {(r["kind"], r["value"]): r["attempt"] for r in few}
-        source = docs.withColumn("__attempts", F.lit(None).cast("map<string,int>"))
+        source = source.withColumn("attempts", F.lit(None).cast("map<string,int>"))
     else:
-        # Each text that holds exceptions is joined with its own ones, by its digest.
-        attempts = {}
-
+        # Each text that holds exceptions is joined with its own ones, by its digest; salted, as many rows may share a text.
         def run_spans(batches):
             from loomtab.llm import pii
 
@@ -296,21 +353,24 @@ def replace_table(spark: SparkSession, docs: DataFrame, key: bytes = DEFAULT_KEY
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1, 2)], names=["digest", "kind", "value"])
 
         spans = docs.select(F.sha2("text", 256).alias("digest"), "text").mapInArrow(run_spans, "digest string, kind string, value string").distinct()
-        own = spans.join(rare, ["kind", "value"]).groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\n", "kind", "value"), "attempt"))).alias("__attempts"))
-        source = docs.withColumn("__digest", F.sha2("text", 256)).join(own, F.col("__digest") == own["digest"], "left").select(*(F.col(f"`{c}`") for c in names), "__attempts")
+        named = F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\n\n", "kind", "value"), "attempt")))
+        own = spans.join(rare, ["kind", "value"]).groupBy("digest").agg(named.alias("attempts")).withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+        source = source.withColumns({"digest": F.sha2("text", 256), "salt": F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")})
+        source = source.join(own, ["digest", "salt"], "left").select("text", "row", "attempts")
 
     def run(batches):
         from loomtab.llm import pii
 
         for batch in batches:
             texts, counts = [], []
-            own = batch.column("__attempts").to_pylist()
+            own = batch.column("attempts").to_pylist()
             for text, more in zip(batch.column("text").to_pylist(), own, strict=True):
-                known = attempts | {tuple(k.split("\n", 1)): v for k, v in more} if more else attempts
+                known = attempts | {tuple(k.split("\n\n", 1)): v for k, v in more} if more else attempts
                 new, n = pii.replaced(text, key, known) if text else (text, 0)
                 texts.append(new)
                 counts.append(n)
-            columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(k) for k, c in enumerate(names)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], names=[*names, "__n_entities"])
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column("row"), pa.array(counts, pa.int64())], names=["text", "row", "n"])
 
-    return source.mapInArrow(run, out)
+    out = T.StructType([T.StructField("text", T.StringType()), source.schema["row"], T.StructField("n", T.LongType())])
+    done = source.mapInArrow(run, out)
+    return done.select(*unboxed(docs, "row", F.col("text")), *([F.col("n").alias(count)] if count else []))
