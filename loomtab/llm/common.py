@@ -96,6 +96,22 @@ def unboxed(docs: DataFrame, row: str, text: Column) -> list[Column]:
     return [text.alias(c) if c == "text" else F.col(row)[c].alias(c) for c in docs.columns]
 
 
+#: Keys of more rows than this, and more than one row in MOST_HOT, are joined by broadcast: there are MOST_HOT of them at most.
+HOT_ROWS, MOST_HOT = 10_000, 4096
+
+
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """left (of so many rows, staged) joined with right (a row for each key, and n, the rows of left that have it).
+
+    Hot keys have a bounded number, so their rows stay where they are; the
+    others are shuffled.
+    """
+    limit = max(HOT_ROWS, rows // MOST_HOT)
+    hot, rest = right.filter(F.col("n") > limit).drop("n"), right.filter(F.col("n") <= limit).drop("n")
+    cold = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys)
+    return left.join(F.broadcast(hot), keys).select(*cold.columns).union(cold)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

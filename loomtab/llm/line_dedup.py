@@ -1,15 +1,20 @@
-"""Removal of repeated runs of lines by hashes of their shortest parts.
+"""Removal of repeated runs of lines by winnowing over the lines' hashes.
 
 A unit is a line, or a sentence where a line has several; it keeps what
-separates it from the next, so units joined give the text. A gram is as few
+separates it from the next, so units joined give the text. A window is as few
 units as hold ``RUN_WORDS`` words, counted from its first unit on or from its
-last one back. Each unit of a repeated run of that many words or more lies in a
-gram inside the run, so the repeated grams make up all repeated runs: each
-occurrence of a gram that isn't the first of all documents is deleted. No
-partner has to be chosen, and none is missed.
+last one back, and its fingerprint is the least of its units' hashes. Each unit
+of a repeated run of that many words or more lies in a window inside the run,
+and equal windows choose equal fingerprints: so a run that two documents share
+shows in a shared fingerprint at least, for certain.
+
+Where fingerprints meet those of other documents, they are extended both ways to
+all windows that chose them. Equal windows, told by 128 bits, make up the
+repeated runs: each occurrence of a window that isn't the first of all documents
+is deleted. No partner has to be chosen, and none is missed.
 
 Everything is DataFrame operations. Texts meet only the runs to delete; what is
-counted are hashes.
+joined and counted are hashes.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BLANKS, discard, let, stage
+from .common import BLANKS, boxed, discard, join_counted, let, stage, unboxed
 
 #: Runs of fewer words stay; all runs of as many are found.
 RUN_WORDS = 30
@@ -30,91 +35,108 @@ def units(text: Column) -> Column:
 
 
 def hashed(docs: DataFrame) -> DataFrame:
-    """__row, doc_id, and of all units with a word their places, hashes and numbers of words."""
+    """doc_id, same (the text's hash), and of all units with a word their places, two hashes and numbers of words."""
 
     blanks = F.lit(" \t\n\x0b\x0c\r")
 
     def of(parts: Column) -> Column:
         bare = F.transform(parts, lambda u: F.btrim(u, blanks))
         # A unit without blanks at its ends has as many words as splitting it gives parts.
-        counted = F.transform(bare, lambda u, i: F.struct(i.alias("place"), F.xxhash64(u).alias("hash"), F.when(u == "", 0).otherwise(F.size(F.split(u, f"[{BLANKS}]+"))).alias("word")))
+        words = lambda u: F.when(u == "", 0).otherwise(F.size(F.split(u, f"[{BLANKS}]+")))
+        # 58 bits of the second hash, so that those of a window can be added up.
+        second = lambda u: F.shiftright(F.xxhash64(F.lit(1), u), 6)
+        counted = F.transform(bare, lambda u, i: F.struct(i.alias("place"), F.xxhash64(u).alias("hash"), second(u).alias("second"), words(u).alias("word")))
         return F.filter(counted, lambda u: u["word"] > 0)
 
-    found = docs.select("doc_id", F.xxhash64("text").alias("__same"), let(units(F.col("text")), of).alias("units"))
-    # Three arrays take 16 bytes a unit, an array of structs 40.
-    return found.select(
-        "doc_id", "__same", F.transform("units", lambda u: u["hash"]).alias("hashes"), F.transform("units", lambda u: u["word"]).alias("words"), F.transform("units", lambda u: u["place"]).alias("places")
-    )
+    found = docs.select("doc_id", F.xxhash64("text").alias("same"), let(units(F.col("text")), of).alias("units"))
+    # Arrays take 24 bytes a unit, an array of structs 48.
+    return found.select("doc_id", "same", *(F.col(f"units.{f}").alias(n) for n, f in {"hashes": "hash", "seconds": "second", "words": "word", "places": "place"}.items()))
 
 
 def runs(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, __same and the runs (array of first and last place) to delete, for each document that has any."""
+    """doc_id, same and the runs (array of first and last place) to delete, for each document that has any."""
     # Documents are told apart by doc_id and the hash of their text; equal rows beyond the first are repeats of it as a whole.
-    known = stage(spark, hashed(docs.filter("doc_id is not null")).dropDuplicates(["doc_id", "__same"]), "units")
+    known = stage(spark, hashed(docs.filter("doc_id is not null")).dropDuplicates(["doc_id", "same"]), "units")
     # The arrays are dealt by document, not their units: the windows below need no other exchange.
-    dealt = known.select("doc_id", "__same", F.concat("hashes", F.array(F.lit(0).cast("long"))).alias("hashes"), F.concat("words", F.array(F.lit(0))).alias("words")).repartition("doc_id", "__same")
-    each = dealt.select("doc_id", "__same", F.posexplode(F.arrays_zip("hashes", "words")).alias("at", "unit")).select("doc_id", "__same", "at", F.col("unit.hashes").alias("hash"), F.col("unit.words").alias("words"))
-    own = W.partitionBy("doc_id", "__same").orderBy("at")
-    each = each.withColumns({"begins": F.sum("words").over(own) - F.col("words"), "past": F.lag("hash").over(own), "past_words": F.lag("words").over(own)})
+    closed = [F.concat(c, F.array(F.lit(0).cast(t))).alias(c) for c, t in (("hashes", "long"), ("seconds", "long"), ("words", "int"))]
+    dealt = known.select("doc_id", "same", *closed).repartition("doc_id", "same")
+    each = dealt.select("doc_id", "same", F.posexplode(F.arrays_zip("hashes", "seconds", "words")).alias("at", "unit")).select("doc_id", "same", "at", F.col("unit.hashes").alias("hash"), F.col("unit.seconds").alias("second"), F.col("unit.words").alias("words"))
+    own = W.partitionBy("doc_id", "same").orderBy("at")
+    each = each.withColumns({"begins": F.sum("words").over(own) - F.col("words"), "past": F.lag(F.struct("hash", "second", "words")).over(own)})
     # The units from this one on that begin within RUN_WORDS words; and those before this one that end within as many.
     # The unit of no words at the end of each document lets its last unit be one before.
-    spread = W.partitionBy("doc_id", "__same").orderBy("begins")
+    spread = W.partitionBy("doc_id", "same").orderBy("begins")
     ahead, behind = spread.rangeBetween(0, RUN_WORDS - 1), spread.rangeBetween(1 - RUN_WORDS, 0)
-    both = each.withColumns({"ahead": F.collect_list("hash").over(ahead), "n_ahead": F.sum("words").over(ahead), "behind": F.collect_list("past").over(behind), "n_behind": F.sum("past_words").over(behind)})
-
-    def gram(hashes: str, first: Column) -> Column:
-        # A gram has at most RUN_WORDS units. Among n grams some two differ and share a hash with a chance of n * n / 2^65.
-        return F.struct(F.xxhash64(hashes).alias("gram"), (first * RUN_WORDS + F.size(hashes) - 1).cast("long").alias("spot"))
-
-    forward = F.when(F.col("n_ahead") >= RUN_WORDS, gram("ahead", F.col("at")))
-    # A gram from its last unit back is also one from its first unit on, unless it has enough words without the last.
-    backward = F.when(F.col("n_behind") - F.col("past_words") >= RUN_WORDS, gram("behind", F.col("at") - F.size("behind")))
-    grams = both.select("doc_id", "__same", F.explode(F.filter(F.array(forward, backward), lambda g: g.isNotNull())).alias("g")).select("doc_id", "__same", "g.*")
-    before = F.lag("spot").over(W.partitionBy("doc_id", "__same", "gram").orderBy("spot"))
+    both = each.withColumns({
+        "ahead": F.collect_list("hash").over(ahead), "n_ahead": F.sum("words").over(ahead), "s_ahead": F.sum("second").over(ahead),
+        "behind": F.collect_list("past.hash").over(behind), "n_behind": F.sum("past.words").over(behind), "s_behind": F.sum("past.second").over(behind),
+    })
+
+    def window(hashes: str, second: str, first: Column) -> Column:
+        # A window has at most RUN_WORDS units.
+        return F.struct(F.xxhash64(hashes).alias("gram"), F.col(second).alias("second"), F.array_min(hashes).alias("mark"), (first * RUN_WORDS + F.size(hashes) - 1).cast("long").alias("spot"))
+
+    forward = F.when(F.col("n_ahead") >= RUN_WORDS, window("ahead", "s_ahead", F.col("at")))
+    # A window from its last unit back is also one from its first unit on, unless it has enough words without the last.
+    backward = F.when(F.col("n_behind") - F.col("past.words") >= RUN_WORDS, window("behind", "s_behind", F.col("at") - F.size("behind")))
+    grams = both.select("doc_id", "same", F.explode(F.filter(F.array(forward, backward), lambda g: g.isNotNull())).alias("g")).select("doc_id", "same", "g.*")
+    before = F.lag("spot").over(W.partitionBy("doc_id", "same", "gram", "second").orderBy("spot"))
     grams = stage(spark, grams.withColumn("again", before.isNotNull()), "grams")
 
-    # Of each gram all occurrences but the first go; repeats inside a document need no comparison with others.
-    again = grams.filter("again").select("doc_id", "__same", "spot")
-    once = grams.filter("not again").select("doc_id", "__same", "gram", "spot")
-    firsts = once.groupBy("gram").agg(F.min(F.struct("doc_id", "__same")).alias("e"), F.count("*").alias("n")).filter("n > 1").select("gram", "e")
-    across = once.join(firsts, "gram").filter(F.struct("doc_id", "__same") != F.col("e")).select("doc_id", "__same", "spot")
-    gone = again.union(across).select("doc_id", "__same", F.floor(F.col("spot") / RUN_WORDS).alias("first"), F.pmod("spot", F.lit(RUN_WORDS)).alias("more"))
-    gone = stage(spark, gone.select("doc_id", "__same", "first", (F.col("first") + F.col("more")).alias("last")), "gone")
+    # Fingerprints that more than one document has; documents are told apart by a hash here.
+    once = grams.filter("not again").drop("again")
+    who = F.xxhash64("doc_id", "same")
+    marks = once.groupBy("mark").agg(F.min(who).alias("a"), F.max(who).alias("b"), F.count("*").alias("n")).filter("a < b").select("mark", "n")
+    n = grams.count()
+    around = stage(spark, join_counted(once, stage(spark, marks, "marks"), ["mark"], n).drop("mark"), "around")
+
+    # Of each window all occurrences but the first go; repeats inside a document need no comparison with others.
+    again = grams.filter("again").select("doc_id", "same", "spot")
+    firsts = around.groupBy("gram", "second").agg(F.min(F.struct("doc_id", "same")).alias("e"), F.count("*").alias("n")).filter("n > 1")
+    across = join_counted(around, stage(spark, firsts, "firsts"), ["gram", "second"], n).filter(F.struct("doc_id", "same") != F.col("e")).select("doc_id", "same", "spot")
+    gone = again.union(across).select("doc_id", "same", F.floor(F.col("spot") / RUN_WORDS).alias("first"), F.pmod("spot", F.lit(RUN_WORDS)).alias("more"))
+    gone = stage(spark, gone.select("doc_id", "same", "first", (F.col("first") + F.col("more")).alias("last")), "gone")
     discard(spark, grams)
+    discard(spark, around)
 
-    # Grams that overlap or follow one another are one run.
-    by = W.partitionBy("doc_id", "__same").orderBy("first", "last")
+    # Windows that overlap or follow one another are one run.
+    by = W.partitionBy("doc_id", "same").orderBy("first", "last")
     reach = F.max("last").over(by.rowsBetween(W.unboundedPreceding, -1))
     parted = gone.withColumn("starts", F.when(F.col("first") <= reach + 1, 0).otherwise(1))
-    run = parted.withColumn("run", F.sum("starts").over(by)).groupBy("doc_id", "__same", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    found = run.groupBy("doc_id", "__same").agg(F.collect_list(F.struct(F.col("first").cast("int").alias("first"), F.col("last").cast("int").alias("last"))).alias("found"))
+    run = parted.withColumn("run", F.sum("starts").over(by)).groupBy("doc_id", "same", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    found = run.groupBy("doc_id", "same").agg(F.collect_list(F.struct(F.col("first").cast("int").alias("first"), F.col("last").cast("int").alias("last"))).alias("found"))
     placed = let(F.col("places"), lambda p: F.transform("found", lambda r: F.struct(F.get(p, r["first"]).alias("first"), F.get(p, r["last"]).alias("last"))))
-    return known.select("doc_id", "__same", "places").join(found.hint("merge"), ["doc_id", "__same"]).select("doc_id", "__same", placed.alias("runs"))
+    return known.select("doc_id", "same", "places").join(found.hint("merge"), ["doc_id", "same"]).select("doc_id", "same", placed.alias("runs"))
 
 
-def drop_runs(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs, all columns as they are, with the later runs cut out of text, and ``__removed_units``.
+def drop_runs(spark: SparkSession, docs: DataFrame, count: str | None = None) -> DataFrame:
+    """docs, all columns as they are, with the later runs cut out of text; with count, the number of units removed in a last column of that name.
 
     A null text stays null and an empty one empty; a row of null doc_id is left
     as it is and is no other's source. Equal rows lose the same runs (the row
     itself isn't its own repeat). Columns of any other name are handed on; an
     empty table gives an empty one; texts of any length are read whole.
     """
-    names = docs.columns
+    cut = shortened(spark, docs)
+    return cut.select(*unboxed(docs, "row", F.col("text")), *([F.col("removed").alias(count)] if count else []))
+
+
+def shortened(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """row (the columns but text), text without the later runs, and removed, the number of units cut."""
     # The runs have no bound, so they are never broadcast.
-    found = stage(spark, runs(spark, docs.select("doc_id", "text")).select(F.col("doc_id").alias("__doc_id"), F.col("__same").alias("__of"), "runs"), "runs").withColumnRenamed("runs", "__runs")
-    joined = docs.withColumn("__same", F.xxhash64("text")).join(found.hint("merge"), (F.col("doc_id") == F.col("__doc_id")) & (F.col("__same") == F.col("__of")), "left")
+    found = stage(spark, runs(spark, docs.select("doc_id", "text")), "runs").select(F.col("doc_id").alias("of_id"), F.col("same").alias("of_text"), "runs")
+    source = docs.select("text", boxed(docs).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("same"))
+    joined = source.join(found.hint("merge"), (F.col("id") == F.col("of_id")) & (F.col("same") == F.col("of_text")), "left")
 
     def left(parts: Column) -> Column:
-        return F.filter(parts, lambda u, i: ~F.exists(F.col("__runs"), lambda r: (i >= r["first"]) & (i <= r["last"])))
+        return F.filter(parts, lambda u, i: ~F.exists(F.col("runs"), lambda r: (i >= r["first"]) & (i <= r["last"])))
 
-    cut = joined.withColumn("__left", F.when(F.col("__runs").isNotNull(), left(units(F.col("text")))))
-    cut = cut.withColumn("__removed_units", F.when(F.col("__runs").isNotNull(), F.size(units(F.col("text"))) - F.size("__left")).otherwise(0).cast("long"))
-    text = F.when(F.col("__runs").isNotNull(), F.array_join("__left", "")).otherwise(F.col("text"))
-    return cut.select(*(text.alias(c) if c == "text" else F.col(f"`{c}`") for c in names), "__removed_units")
+    cut = joined.withColumn("left", F.when(F.col("runs").isNotNull(), left(units(F.col("text")))))
+    removed = F.when(F.col("runs").isNotNull(), F.size(units(F.col("text"))) - F.size("left")).otherwise(0).cast("long")
+    return cut.select("row", F.when(F.col("runs").isNotNull(), F.array_join("left", "")).otherwise(F.col("text")).alias("text"), removed.alias("removed"))
 
 
 def keep(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """drop_runs without the rows whose text it has emptied of words: they only repeat others."""
-    cut = drop_runs(spark, docs)
-    return cut.filter((F.col("__removed_units") == 0) | F.col("text").rlike(f"[^{BLANKS}]")).drop("__removed_units")
+    cut = shortened(spark, docs).filter((F.col("removed") == 0) | F.col("text").rlike(f"[^{BLANKS}]"))
+    return cut.select(*unboxed(docs, "row", F.col("text")))

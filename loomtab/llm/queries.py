@@ -36,7 +36,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.drop_runs(spark, docs).select("doc_id", F.col("__removed_units").alias("removed_units"), "text")
+    return line_dedup.drop_runs(spark, docs, "removed_units").select("doc_id", "removed_units", "text")
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from loomtab.llm import bpe, license_scan, line_dedup, near_dup, packing, permutation_index, pii, quality_classifier, quality_rules, warc
+from pyspark.sql import functions as F
+from loomtab.llm import bpe, common, license_scan, line_dedup, near_dup, packing, permutation_index, pii, quality_classifier, quality_rules, warc
 
 DIR = "/root/testdata/sf0.001"
 KEY = b"a key for tests"
@@ -226,7 +227,7 @@ def test_line_dedup(spark, empty):
     short = sentence(8)
     own = [sentence(15) for _ in range(8)]
     texts = [f"{own[0]}\n{passage}\n{own[1]}", f"{own[2]} {passage} {own[3]}\n{short}", f"{short}\n{own[4]}", None, "", f"{own[5]}\n{passage}\n{own[6]}\n{passage}\n{own[7]}"]
-    docs = spark.createDataFrame([(k, t, k) for k, t in enumerate(texts)] + [(None, texts[1], 9)], "doc_id long, text string, runs int")
+    docs = spark.createDataFrame([(k, t, k) for k, t in enumerate(texts)] + [(None, texts[1], 9)], "doc_id long, text string, runs int").withColumns({"__doc_id": F.lit(1), "same": F.lit("x"), "row": F.lit(2)})
     got = {(r["doc_id"], r["runs"]): r["text"] for r in line_dedup.drop_runs(spark, docs).collect()}
     assert got[0, 0] == texts[0] and got[2, 2] == texts[2] and got[3, 3] is None and got[4, 4] == "" and got[None, 9] == texts[1]
     assert got[1, 1].split() == f"{own[2]} {own[3]}\n{short}".split()
@@ -236,7 +237,9 @@ def test_line_dedup(spark, empty):
     assert [r["doc_id"] for r in line_dedup.keep(spark, copies).collect()] == [1]
 
 
-def test_line_dedup_finds_runs_whose_parts_came_before(spark):
+@pytest.mark.parametrize("hot", [10_000, 1])
+def test_line_dedup_finds_runs_whose_parts_came_before(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     rng = random.Random(7)
     sentence = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n)) + ". "
     one, two = sentence(26), sentence(27)
