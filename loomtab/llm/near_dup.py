@@ -24,14 +24,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ship, stage
+from .common import boxed, join_counted, ship, stage, unboxed
 
 PERMUTATIONS = 64
 BAND_ROWS = 4
 #: Five standard deviations of the share of agreeing values, at a similarity of 0.8.
 SLACK = 5 * (0.8 * 0.2 / (2 * PERMUTATIONS)) ** 0.5
-#: Bytes of sets in a block of the comparison inside a pivot's buckets.
+#: Bytes of sets, and sets, in a block of the comparison inside a pivot's buckets; the memory of a pair of blocks is bounded by both.
 BLOCK_BYTES = 4 << 20
+BLOCK_SETS = 1_500
 #: Words whose hashes a worker keeps before it starts afresh.
 CACHE_ENTRIES = 500_000
 #: Shingles hashed at once, which bounds memory for texts of any length.
@@ -92,7 +93,7 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set (null if it is empty) and its signature, for each row."""
+    """doc_id, same (the text's hash), n_shingles, digest of the set (null if it is empty) and its signature, for each row."""
     ship(docs.sparkSession)
 
     def run(batches):
@@ -108,11 +109,11 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                     digests.append(blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                     signs.append(nd.signature(s).astype("<u4").tobytes() if len(s) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(signs, pa.binary())], names=["doc_id", "n_shingles", "digest", "sign"]
+                    [part.column("doc_id"), part.column("same"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(signs, pa.binary())], names=["doc_id", "same", "n_shingles", "digest", "sign"]
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, sign binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("same"), "text").mapInArrow(run, f"doc_id {kind}, same long, n_shingles long, digest binary, sign binary")
 
 
 def banded(classes: DataFrame) -> DataFrame:
@@ -175,24 +176,35 @@ def linked_in(sets: list[np.ndarray], roots: np.ndarray, numerator: int, denomin
     sizes = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(len(sets)), sizes)
     _, element, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = often > 1
-    column = np.cumsum(shared) - 1
-    kept = shared[element]
-    owner, element = owner[kept], column[element[kept]]
-    common = np.zeros((len(sets), len(sets)), np.float32)
-    for at in range(0, int(shared.sum()), CHUNK):
-        own = (element >= at) & (element < at + CHUNK)
-        dense = np.zeros((len(sets), CHUNK), np.float32)
-        dense[owner[own], element[own] - at] = 1
+    # Two linked sets share one of the rarest elements of each: those beyond the first ceil(share x size) - 1 of its others.
+    order = np.lexsort((element, often[element], owner))
+    place = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    least = -(-numerator * sizes // denominator)
+    early = order[place < (sizes - least + 1)[owner[order]]]
+    able = np.zeros(len(sets), bool)
+    able[owner[early[often[element[early]] > 1]]] = True
+    kept = np.flatnonzero(able)
+    if len(kept) < 2:
+        return kept[:0], kept[:0]
+    own = able[owner] & (often[element] > 1)
+    row, (_, column) = (np.cumsum(able) - 1)[owner[own]], np.unique(element[own], return_inverse=True)
+    common = np.zeros((len(kept), len(kept)), np.float32)
+    for at in range(0, int(column.max()) + 1, CHUNK):
+        part = (column >= at) & (column < at + CHUNK)
+        dense = np.zeros((len(kept), CHUNK), np.float32)
+        dense[row[part], column[part] - at] = 1
         common += dense @ dense.T
-    union = sizes[:, None] + sizes[None, :] - common
-    return np.nonzero(np.triu((denominator * common >= numerator * union) & (roots[:, None] != roots[None, :]), 1))
+    size, root = sizes[kept].astype(np.float32), roots[kept]
+    found = denominator * common >= numerator * (size[:, None] + size[None, :] - common)
+    found &= root[:, None] != root[None, :]
+    i, j = np.nonzero(np.triu(found, 1))
+    return kept[i], kept[j]
 
 
 def linked_apart(groups: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
     """Links (a, b) of nodes of one group (group, node, root) with different roots, compared in pairs of blocks."""
     full = groups.join(sets, "node")
-    blocks = full.groupBy("group").agg(F.ceil(F.sum(F.length("set")) / BLOCK_BYTES).cast("long").alias("blocks"))
+    blocks = full.groupBy("group").agg(F.ceil(F.greatest(F.sum(F.length("set")) / BLOCK_BYTES, F.count("*") / BLOCK_SETS)).cast("long").alias("blocks"))
     dealt = full.join(blocks, "group").withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
@@ -233,14 +245,14 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
 
 
 def classes(spark: SparkSession, docs: DataFrame, width: int = 5, numerator: int = 80, denominator: int = 100) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, n_shingles, digest) of docs, and digest, root for all sets of any row.
+    """Rows (doc_id, same, n_shingles, digest) of docs, and digest, root and n (rows) for all sets of any row.
 
     root is the least doc_id of the class that links of numerator / denominator
     or more reach. A row without words, or with a null text, has no digest.
     """
     rows = stage(spark, sketches(docs, width), "sketches")
     threshold = numerator / denominator
-    sets = rows.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("sign").alias("sign"))
+    sets = rows.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("sign").alias("sign"), F.count("*").alias("rows"))
     # A node is named by 63 bits of its digest; among n sets, some two share a name with a chance of n * n / 2^64.
     sets = sets.withColumn("node", F.shiftrightunsigned(F.xxhash64("digest"), 1))
     nodes = stage(spark, sets, "nodes")
@@ -286,9 +298,19 @@ def classes(spark: SparkSession, docs: DataFrame, width: int = 5, numerator: int
         if not late.isEmpty():
             roots = components(spark, links.union(late))
 
-    grouped = nodes.select("node", "digest", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    grouped = nodes.select("node", "digest", "least", "rows").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = grouped.groupBy("root").agg(F.min("least").alias("component"))
-    return rows.drop("sign"), grouped.join(named, "root").select("digest", F.col("component").alias("root"))
+    return rows.drop("sign"), grouped.join(named, "root").select("digest", F.col("component").alias("root"), F.col("rows").alias("n"))
+
+
+def labelled(spark: SparkSession, docs: DataFrame, width: int, numerator: int, denominator: int) -> DataFrame:
+    """doc_id, same, n_shingles, component_id and kept of each row of docs."""
+    rows, roots = classes(spark, docs, width, numerator, denominator)
+    full, bare = rows.filter("digest is not null"), rows.filter("digest is null")
+    joined = join_counted(full, stage(spark, roots, "roots"), ["digest"], rows.count())
+    names = ["doc_id", "same", "n_shingles"]
+    both = joined.select(*names, F.coalesce("root", "doc_id").alias("component_id")).union(bare.select(*names, "doc_id"))
+    return both.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def label(spark: SparkSession, docs: DataFrame, width: int = 5, numerator: int = 80, denominator: int = 100) -> DataFrame:
@@ -300,13 +322,19 @@ def label(spark: SparkSession, docs: DataFrame, width: int = 5, numerator: int =
     docs, whatever their names, are ignored; an empty table gives an empty one;
     texts of any length are read whole.
     """
-    rows, roots = classes(spark, docs, width, numerator, denominator)
-    joined = rows.join(roots, "digest", "left")
-    component = F.coalesce("root", "doc_id")
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    return labelled(spark, docs.select("doc_id", "text"), width, numerator, denominator).drop("same")
 
 
 def keep(spark: SparkSession, docs: DataFrame, width: int = 5, numerator: int = 80, denominator: int = 100) -> DataFrame:
-    """The rows of docs, all columns as they are, of the document that stays of each class."""
-    kept = label(spark, docs, width, numerator, denominator).filter("kept").select(F.col("doc_id").alias("__doc_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("__doc_id"), "left_semi")
+    """The rows of docs, all columns as they are, of the document that stays of each class.
+
+    Rows are told apart by doc_id and text, so of two texts of one doc_id the one
+    that is linked with a kept document goes only if its class has another, smaller
+    doc_id; equal rows stay or go together. A row of null doc_id goes if its
+    class has a document of an id, and stays otherwise.
+    """
+    labels = labelled(spark, docs.select("doc_id", "text"), width, numerator, denominator)
+    gone = labels.filter(F.col("component_id").isNotNull() & ~F.col("kept")).select(F.col("doc_id").alias("of_id"), F.col("same").alias("of_text")).distinct()
+    source = docs.select("text", boxed(docs).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("same"))
+    left = source.join(gone, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("same") == F.col("of_text")), "left_anti")
+    return left.select(*unboxed(docs, "row", F.col("text")))

@@ -314,6 +314,48 @@ def test_near_duplicates(spark, docs, rows, empty):
     assert near_dup.keep(spark, both).columns == docs.columns
 
 
+def test_blocks_of_near_duplicates_find_all_links_in_bounded_memory():
+    rng = np.random.default_rng(8)
+    base = rng.integers(1 << 60, size=(5, 40), dtype=np.uint64)
+    sets = [np.unique(np.concatenate((rng.choice(base[k % 5], 38, replace=False), rng.integers(1 << 60, size=k % 4, dtype=np.uint64)))) for k in range(120)]
+    roots = rng.integers(0, 60, 120)
+    i, j = near_dup.linked_in(sets, roots, 85, 100)
+    want = {(a, b) for a in range(120) for b in range(a + 1, 120) if roots[a] != roots[b] and 100 * len(c := np.intersect1d(sets[a], sets[b])) >= 85 * (len(sets[a]) + len(sets[b]) - len(c))}
+    assert want and set(zip(i.tolist(), j.tolist(), strict=True)) == want
+
+
+def test_near_duplicates_of_many_short_texts_of_one_template(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK_SETS", 200)
+    texts = [f"dear customer number {k} your order of {k % 7} items has been sent to you today and will arrive in {k % 5} days thank you" for k in range(1500)]
+    texts += [texts[3] + " bye", texts[3]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.label(spark, docs, 3, 85, 100).collect()}
+    sets = [frozenset(zip(w, w[1:], w[2:], strict=False)) for w in (t.split() for t in texts)]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a + 1, len(sets)):
+            c = len(sets[a] & sets[b])
+            if 100 * c >= 85 * (len(sets[a]) + len(sets[b]) - c):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    assert got == {k: find(k) for k in range(len(texts))}
+
+
+def test_near_duplicates_keep_rows_of_null_ids_and_second_texts(spark):
+    rng = random.Random(12)
+    one, two, three = (prose(rng, 60) for _ in range(3))
+    rows = [(5, one, "a"), (5, two, "b"), (2, two, "c"), (None, three, "d"), (None, one, "e"), (7, None, "f"), (8, "", "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __doc_id string").withColumns({"row": F.lit(1), "same": F.lit(2)})
+    assert {r["__doc_id"] for r in near_dup.keep(spark, docs).collect()} == {"a", "c", "d", "f", "g"}
+    assert near_dup.keep(spark, docs).columns == docs.columns
+
+
 def test_license_scan(spark, empty):
     docs = spark.createDataFrame(
         [(1, "Some text. Licensed under the Apache License, Version 2.0.\nmore"), (2, "Released under the MIT License.\nAll rights reserved."), (3, "The license of nothing."), (4, None), (5, "")]
