@@ -5,9 +5,11 @@ ARC header lines are parsed by the version that the file's first block names
 where the record ends. For WARC, identifiers, timestamps, types and digests are
 made from what ARC has. Records of equal payloads become revisits of one.
 
-Archives are files of about ``SEGMENT_BYTES``, made by Spark's text writer, one
-row a file, so they go to whatever store the shared folder is in; they are read
-as binary files, one at a time.
+Archives are files of records whose payloads make up about ``SEGMENT_BYTES``,
+each record a gzip member of its own. Spark's text writer makes them, one row a
+file, so they go to whatever store the shared folder is in; its rows are bytes,
+so payloads may be in any encoding or in none. They are read as binary files, one
+at a time, and named as Spark names its files.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, ship, stage
+from .common import join_counted, new_path, ship, stage
 
 SEGMENT_BYTES = 16 << 20
 #: Payloads of fewer bytes are never revisits.
@@ -46,10 +48,18 @@ def arc_version_block(name: str, version: int) -> bytes:
     return f"filedesc://{name} 0.0.0.0 {CAPTURED} text/plain {extra}{len(body)}\n".encode() + body + b"\n"
 
 
-def arc_record(version: int, name: str, offset: int, url: str | None, block: bytes) -> bytes:
+def arc_record(version: int, name: str, offset: int, url: str | None, block: bytes, ip: str = "0.0.0.0", date: str = CAPTURED, kind: str = "text/html") -> bytes:
     place = re.sub(r"\s", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url or "") or "about:blank"
     extra = "" if version == 1 else f"200 - - {offset} {name} "
-    return f"{place} 0.0.0.0 {CAPTURED} text/html {extra}{len(block)}\n".encode() + block + b"\n"
+    return f"{place} {ip} {date} {kind} {extra}{len(block)}\n".encode() + block + b"\n"
+
+
+def header_text(line: bytes) -> str:
+    """A header line as text; where it isn't UTF-8, its bytes beyond ASCII as in a URL."""
+    try:
+        return line.decode().strip()
+    except UnicodeDecodeError:
+        return "".join(chr(b) if b < 128 else f"%{b:02X}" for b in line).strip()
 
 
 def parse_arc(data: bytes) -> Iterator[dict]:
@@ -57,7 +67,7 @@ def parse_arc(data: bytes) -> Iterator[dict]:
     at, version = 0, None
     while at < len(data):
         end = data.find(b"\n", at)
-        if end < 0 or not (line := data[at:end].decode("utf-8", "replace").strip()):
+        if end < 0 or not (line := header_text(data[at:end])):
             at = len(data) if end < 0 else end + 1
             continue
         fields = line.split(" ")
@@ -102,14 +112,21 @@ def warc_date(date: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def warc_record(kind: str, record_id: str, url: str, date: str, block: bytes, payload_digest: str, content_type: str, refers_to: str | None = None) -> bytes:
+def warc_record(kind: str, record_id: str, url: str | None, date: str, block: bytes, payload_digest: str | None, content_type: str, ip: str | None = None, original: tuple[str, str, str] | None = None) -> bytes:
+    """A WARC record; original is the identifier, URI and date of the record that a revisit refers to."""
     fields = [
-        ("WARC-Type", kind), ("WARC-Record-ID", f"<urn:uuid:{record_id}>"), ("WARC-Date", date), ("WARC-Target-URI", url),
+        ("WARC-Type", kind), ("WARC-Record-ID", f"<urn:uuid:{record_id}>"), ("WARC-Date", date), ("WARC-Target-URI", url), ("WARC-IP-Address", ip),
         ("WARC-Payload-Digest", payload_digest), ("WARC-Block-Digest", labelled(hashlib.sha1(block).digest())),
-        *([("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", f"<urn:uuid:{refers_to}>")] if refers_to else []),
+        *([("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", f"<urn:uuid:{original[0]}>"), ("WARC-Refers-To-Target-URI", original[1]), ("WARC-Refers-To-Date", original[2])] if original else []),
         ("Content-Type", content_type), ("Content-Length", str(len(block))),
     ]
-    return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n").encode() + block + b"\r\n\r\n"
+    return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields if v is not None) + "\r\n").encode() + block + b"\r\n\r\n"
+
+
+def warc_info(name: str, date: str) -> bytes:
+    """The record that opens a WARC file."""
+    block = f"software: loomtab\r\nformat: WARC File Format 1.1\r\nisPartOf: {name}\r\n".encode()
+    return warc_record("warcinfo", str(uuid.uuid5(uuid.NAMESPACE_URL, f"warcinfo {name}")), None, date, block, None, "application/warc-fields")
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[bytes, bytes]]:
@@ -128,15 +145,41 @@ def parse_warc(data: bytes) -> Iterator[tuple[bytes, bytes]]:
         at = end + length + 4
 
 
-def write_archives(rows: DataFrame, run, path: str, line_end: str) -> None:
-    """Write the files that run makes, one a row of part and value; value lacks the last line end."""
-    made = rows.mapInArrow(run, "part string, value string")
-    made.write.partitionBy("part").option("lineSep", line_end).option("compression", "gzip").text(path)
+class Archive:
+    """Collects a task's records, each a gzip member, and gives them out as files."""
+
+    def __init__(self, task: int, opening):
+        self.task, self.opening, self.number, self.held, self.size = task, opening, 0, [], 0
+
+    def name(self) -> str:
+        return f"{self.task:06d}-{self.number:05d}"
+
+    def add(self, record: bytes) -> bool:
+        """Whether the archive is full with this record."""
+        if not self.held:
+            self.held.append(gzip.compress(self.opening(self.name()), 6, mtime=0))
+        self.held.append(gzip.compress(record, 6, mtime=0))
+        self.size += len(record)
+        return self.size > SEGMENT_BYTES
+
+    def taken(self) -> pa.RecordBatch:
+        # The writer ends each row with a zero byte, as does a gzip member of under 16 MB; an empty one is added for longer records.
+        if self.held[-1][-1]:
+            self.held.append(gzip.compress(b"", mtime=0))
+        whole = pa.RecordBatch.from_arrays([pa.array([b"".join(self.held)[:-1]], pa.binary())], names=["value"])
+        self.number, self.held, self.size = self.number + 1, [], 0
+        return whole
+
+
+def write_archives(rows: DataFrame, run, path: str) -> None:
+    """Write the files that run makes, one a row."""
+    made = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
+    made.write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
 
 
 def archives(spark: SparkSession, path: str) -> DataFrame:
-    """name and content of each archive below path; parts with no record leave none."""
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").load(path)
+    """name and content of each archive in path; tasks without records leave none, or an empty one."""
+    read = spark.read.format("binaryFile").load(path).filter("length > 0")
     return read.select(F.col("path").alias("archive"), "content")
 
 
@@ -165,94 +208,85 @@ def pages_to_arc(spark: SparkSession, pages: DataFrame, path: str) -> None:
 
         from loomtab.llm import warc as w
 
-        task = TaskContext.get().partitionId()
-        number, held, total = 0, [], 0
-
-        def full():
-            return pa.RecordBatch.from_arrays([pa.array([f"{task:06d}-{number:05d}"]), pa.array([b"".join(held)[:-1]], pa.binary()).cast(pa.string())], names=["part", "value"])
-
+        made = w.Archive(TaskContext.get().partitionId(), lambda name: w.arc_version_block(f"{name}.arc", int(name[-1]) % 2 + 1))
         for b in batches:
             for at in range(0, len(b), 256):
                 part = b.slice(at, 256)
                 for page_id, url, html in zip(part.column("page_id").to_pylist(), part.column("url").to_pylist(), part.column("html").cast(pa.binary()).to_pylist(), strict=True):
-                    version, name = number % 2 + 1, f"{task:06d}-{number:05d}.arc"
-                    if not held:
-                        held.append(w.arc_version_block(name, version))
-                        total = len(held[0])
-                    held.append(w.arc_record(version, name, total, url, w.http_response(page_id, html or b"")))
-                    total += len(held[-1])
-                    if total > w.SEGMENT_BYTES:
-                        yield full()
-                        number, held = number + 1, []
-        if held:
-            yield full()
-
-    write_archives(pages.select("page_id", "url", "html"), run, path, "\n")
-
-
-def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all ARC files below path with what WARC needs: uid, url, date, block, digests and the page's id."""
-    ship(spark)
-
-    def run(batches):
-        from loomtab.llm import warc as w
-
-        names = ["uid", "url", "date", "type", "block", "page_id", "payload_bytes", "sha1", "sha256"]
-        kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+                    if made.add(w.arc_record(made.number % 10 % 2 + 1, f"{made.name()}.arc", made.size, url, w.http_response(page_id, html or b""))):
+                        yield made.taken()
+        if made.held:
+            yield made.taken()
 
-        def rows():
-            for b in batches:
-                for name, content in zip(b.column("archive").to_pylist(), b.column("content").to_pylist(), strict=True):
-                    for k, r in enumerate(w.parse_arc(gzip.decompress(content))):
-                        head, payload = w.split_http(r["block"])
-                        uid = str(uuid.uuid5(uuid.NAMESPACE_URL, f"{name.rsplit('part=', 1)[-1]}#{k}|{r['url']}|{r['date']}"))
-                        page = w.header(head, "X-Page-Id")
-                        yield (uid, r["url"], w.warc_date(r["date"]), w.warc_type(r["url"], head), r["block"], int(page) if page else None, len(payload), hashlib.sha1(payload).digest(), hashlib.sha256(payload).digest())
+    write_archives(pages.select("page_id", "url", "html"), run, path)
 
-        yield from w.in_batches(rows(), names, kinds, lambda r: len(r[4]))
 
-    return archives(spark, path).mapInArrow(run, "uid string, url string, date string, type string, block binary, page_id long, payload_bytes long, sha1 binary, sha256 binary")
+def arc_records(archive: str, content: bytes) -> Iterator[dict]:
+    """The records of an ARC file with what WARC needs: uid, place in the file, url, ip, date, type, HTTP header and payload."""
+    name = archive.rsplit("/", 1)[-1]
+    for k, r in enumerate(parse_arc(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content)):
+        head, payload = split_http(r["block"])
+        uid = str(uuid.uuid5(uuid.NAMESPACE_URL, f"{name}#{k}|{r['url']}|{r['date']}"))
+        yield r | {"uid": uid, "place": k, "date": warc_date(r["date"]), "kind": warc_type(r["url"], head), "head": head, "payload": payload}
 
 
 def arc_to_warc(spark: SparkSession, source: str, target: str) -> None:
-    """Convert the ARC files below source to WARC files below target.
+    """Convert the ARC files in source, compressed or not, to WARC files in target.
 
     Of records with one payload of LEAST_REVISIT_BYTES or more, that with the
     largest page_id stays (null ids come last; of equal ids the largest uid),
     the others become revisits of it, with their HTTP header as the block.
+    Payloads are any bytes. Verdicts are joined to whole archives, not payloads
+    to verdicts.
     """
-    records = read_arc(spark, source)
-    keys = stage(spark, records.filter(F.col("payload_bytes") >= LEAST_REVISIT_BYTES).select("uid", "page_id", "sha256"), "payloads")
-    chosen = keys.groupBy("sha256").agg(F.max(F.struct(F.coalesce("page_id", F.lit(-(1 << 63))).alias("page"), "uid")).alias("chosen"), F.count("*").alias("n")).filter("n > 1")
-    revisits = stage(spark, keys.join(chosen, "sha256").filter("uid <> chosen.uid").select("uid", F.col("chosen.uid").alias("refers_to")), "revisits")
-    joined = records.join(revisits, "uid", "left")
+    ship(spark)
+
+    def keys(batches):
+        from loomtab.llm import warc as w
+
+        names = ["archive", "place", "uid", "url", "date", "page_id", "sha256"]
+        kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+
+        def rows():
+            for b in batches:
+                for archive, content in zip(b.column("archive").to_pylist(), b.column("content").to_pylist(), strict=True):
+                    for r in w.arc_records(archive, content):
+                        if len(r["payload"]) >= w.LEAST_REVISIT_BYTES:
+                            page = w.header(r["head"], "X-Page-Id")
+                            yield archive, r["place"], r["uid"], r["url"], r["date"], int(page) if page else None, hashlib.sha256(r["payload"]).digest()
+
+        yield from w.in_batches(rows(), names, kinds, lambda r: 200 + len(r[3]))
+
+    all_archives = archives(spark, source)
+    known = all_archives.mapInArrow(keys, "archive string, place int, uid string, url string, date string, page_id long, sha256 binary")
+    known = stage(spark, known, "payloads")
+    chosen = known.groupBy("sha256").agg(F.max(F.struct(F.coalesce("page_id", F.lit(-(1 << 63))).alias("page"), "uid", "url", "date")).alias("chosen"), F.count("*").alias("n")).filter("n > 1")
+    met = join_counted(known.select("archive", "place", "uid", "sha256"), stage(spark, chosen, "chosen"), ["sha256"], known.count()).filter("uid <> chosen.uid")
+    # An archive has a bounded number of records of that length.
+    verdicts = met.groupBy("archive").agg(F.collect_list(F.struct("place", "chosen.uid", "chosen.url", "chosen.date")).alias("verdicts"))
+    joined = all_archives.join(stage(spark, verdicts, "verdicts"), "archive", "left")
 
     def run(batches):
         from pyspark import TaskContext
 
         from loomtab.llm import warc as w
 
-        task = TaskContext.get().partitionId()
-        number, held, total = 0, [], 0
-
-        def full():
-            return pa.RecordBatch.from_arrays([pa.array([f"{task:06d}-{number:05d}"]), pa.array([b"".join(held)[:-2]], pa.binary()).cast(pa.string())], names=["part", "value"])
-
+        made = w.Archive(TaskContext.get().partitionId(), lambda name: w.warc_info(f"{name}.warc.gz", w.warc_date(w.CAPTURED)))
         for b in batches:
-            for at in range(0, len(b), 256):
-                for r in b.slice(at, 256).to_pylist():
-                    head, _ = w.split_http(r["block"])
-                    kind = "revisit" if r["refers_to"] else r["type"]
-                    block = head if r["refers_to"] else r["block"]
-                    held.append(w.warc_record(kind, r["uid"], r["url"], r["date"], block, w.labelled(r["sha1"]), "application/http;msgtype=response" if head else "application/octet-stream", r["refers_to"]))
-                    total += len(held[-1])
-                    if total > w.SEGMENT_BYTES:
-                        yield full()
-                        number, held, total = number + 1, [], 0
-        if held:
-            yield full()
-
-    write_archives(joined.select("uid", "url", "date", "type", "block", "sha1", "refers_to"), run, target, "\r\n")
+            for archive, content, verdicts in zip(*(b.column(c).to_pylist() for c in ("archive", "content", "verdicts")), strict=True):
+                originals = {v["place"]: (v["uid"], v["url"], v["date"]) for v in verdicts or ()}
+                for r in w.arc_records(archive, content):
+                    original = originals.get(r["place"])
+                    record = w.warc_record(
+                        "revisit" if original else r["kind"], r["uid"], r["url"], r["date"], r["head"] if original else r["block"], w.labelled(hashlib.sha1(r["payload"]).digest()),
+                        "application/http;msgtype=response" if r["head"] else r["type"] if "/" in r["type"] else "application/octet-stream", r["ip"], original,
+                    )
+                    if made.add(record):
+                        yield made.taken()
+        if made.held:
+            yield made.taken()
+
+    write_archives(joined.select("archive", "content", "verdicts"), run, target)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -273,6 +307,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 for content in b.column("content").to_pylist():
                     for head, block in w.parse_warc(gzip.decompress(content)):
                         kind = w.header(head, "WARC-Type")
+                        if kind == "warcinfo":
+                            continue
                         message, payload = w.split_http(block)
                         page, size = w.header(message, "X-Page-Id"), w.header(message, "Content-Length")
                         digest = base64.b32decode(w.header(head, "WARC-Payload-Digest")[5:])

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 from zlib import crc32
 
@@ -275,6 +276,41 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(spark, pages.filter("false")).count() == 0
 
 
+def test_warc_of_payloads_that_are_no_text(spark, tmp_path):
+    latin = "é".encode("latin-1") * 1500
+    blob = bytes(range(256)) * 8
+    http = lambda body, k: f"HTTP/1.0 200 OK\r\nContent-Type: text/html; charset=iso-8859-1\r\nX-Page-Id: {k}\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body
+    for version in (1, 2):
+        records = [warc.arc_record(version, "old.arc", 0, "http://e.org/a", http(latin, 1), "192.0.2.7", "19991231235959"), warc.arc_record(version, "old.arc", 0, "http://e.org/b", http(latin, 2))]
+        records += [warc.arc_record(version, "old.arc", 0, "dns:e.org", b"e.org. 1 IN A 192.0.2.7", kind="text/dns"), warc.arc_record(version, "old.arc", 0, "http://e.org/c", http(blob, 3))]
+        records += [warc.arc_record(version, "old.arc", 0, "http://e.org/X", b"\x00\xff raw", kind="image/png").replace(b"/X ", b"/\xe9 ", 1)]
+        source, target = tmp_path / f"arc{version}", tmp_path / f"warc{version}"
+        source.mkdir()
+        (source / "old.arc").write_bytes(warc.arc_version_block("old.arc", version) + b"".join(records))
+        warc.arc_to_warc(spark, f"file://{source}", f"file://{target}")
+        files = [f for f in target.iterdir() if f.name.startswith("part-") and f.stat().st_size]
+        data = b"".join(f.read_bytes() for f in files)
+        members = []
+        while data:
+            d = zlib.decompressobj(31)
+            members.append(d.decompress(data))
+            data = d.unused_data
+        parsed = [list(warc.parse_warc(m)) for m in members if m]
+        assert all(len(p) == 1 for p in parsed) and len(parsed) == 6
+        heads, blocks = zip(*(p[0] for p in parsed), strict=True)
+        assert [warc.header(h, "WARC-Type") for h in heads] == ["warcinfo", "revisit", "response", "response", "response", "resource"]
+        assert blocks[1].endswith(b"\r\n\r\n") and blocks[2] == http(latin, 2) and blocks[4] == http(blob, 3) and blocks[5] == b"\x00\xff raw"
+        assert warc.header(heads[1], "WARC-Refers-To") == warc.header(heads[2], "WARC-Record-ID") and warc.header(heads[1], "WARC-Refers-To-Target-URI") == "http://e.org/b"
+        assert warc.header(heads[1], "WARC-IP-Address") == "192.0.2.7" and warc.header(heads[1], "WARC-Date") == "1999-12-31T23:59:59Z" and warc.header(heads[5], "WARC-Target-URI") == "http://e.org/%E9"
+        got = {(r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"]) for r in warc.read_warc(spark, f"file://{target}").collect()}
+        assert (1, 1500, hashlib.sha1(latin).hexdigest(), "revisit") in got and (3, 2048, hashlib.sha1(blob).hexdigest(), "response") in got and len(got) == 5
+
+
+def test_warc_of_long_pages(spark):
+    pages = spark.createDataFrame([(1, "u", "x" * (17 << 20)), (2, "v", "y" * 999)], "page_id long, url string, html string")
+    assert {(r["page_id"], r["payload_bytes"], r["record_type"]) for r in warc.round_trip(spark, pages).collect()} == {(1, 17 << 20, "response"), (2, 999, "response")}
+
+
 def test_near_duplicates(spark, docs, rows, empty):
     rng = random.Random(9)
     base = [prose(rng, 150).split() for _ in range(3)]
