@@ -49,7 +49,7 @@ def op7_min_max_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", F.concat_ws(",", "__sentence_ids").alias("sentence_ids"), F.concat_ws(",", "__licenses").alias("licenses"))
+    return found.select("doc_id", F.concat_ws(",", "sentence_ids").alias("sentence_ids"), F.concat_ws(",", "licenses").alias("licenses"))
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +80,17 @@ QUERIES = {
 
 _STOPS = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted({w for ws in quality_rules.STOP_WORDS.values() for w in ws}))
 
+
+
+def _replaced(column: str) -> str:
+    for sentence, name in license_scan.long_sentences():
+        column = f"replace({column}, '{sentence}', '{name}')"
+    return column
+
+
+_names = "MAP {" + ", ".join(f"'{n}': '{x}'" for n, x in license_scan.NOTICES.items()) + "}"
+_rules = ", ".join(f"CASE WHEN line LIKE '%,{',%,'.join(rule)},%' THEN '{name}' END" for name, rule in license_scan.RULES)
+
 ORACLE_SQL = {
     "op2_quality_rules": rf"""
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
@@ -115,16 +126,18 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 A
 FROM r
 """,
     "op8_license_scan": rf"""
-WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
-sentences AS (
-  SELECT rid, i, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS s
-  FROM (SELECT rid, unnest(parts) AS s, generate_subscripts(parts, 1) AS i
-        FROM (SELECT rid, string_split_regex(regexp_replace(t, '([.!?;:])[\x20\x09\x0B-\x0D]+', '\1' || chr(10), 'g'), '\n+') AS parts FROM docs))),
-known(sentence, id) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in license_scan.KNOWN.items())}),
-ids AS (SELECT rid, list(id ORDER BY i) AS ids FROM sentences JOIN known ON s = sentence GROUP BY rid),
-held AS (SELECT doc_id, coalesce(ids, []::VARCHAR[]) AS ids, ',' || array_to_string(coalesce(ids, []::VARCHAR[]), ',') || ',' AS line FROM docs LEFT JOIN ids USING (rid))
-SELECT doc_id, array_to_string(ids, ',') AS sentence_ids,
-       array_to_string(list_filter([{", ".join(f"CASE WHEN {' AND '.join(['line LIKE ' + chr(39) + '%,' + ',%,'.join(rule) + ',%' + chr(39)] + ([] if len(rule) == 1 else []))} AND NOT ({' OR '.join(['false'] + ['line LIKE ' + chr(39) + '%,' + ',%,'.join(r) + ',%' + chr(39) for k, (m, r) in enumerate(license_scan.RULES) if m == name and k < at])}) THEN '{name}' END" for at, (name, rule) in enumerate(license_scan.RULES))}], lambda x: x IS NOT NULL), ',') AS licenses
-FROM held
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, lower(coalesce(text, '')) AS t FROM documents),
+marked AS (SELECT rid, doc_id, regexp_replace(' | | ' || regexp_replace(t, '{license_scan.SENTENCE_END}', ' | | ', 'g') || ' | | ', '[^a-z0-9|]+', ' ', 'g') AS m FROM docs),
+whole AS (SELECT rid, doc_id, m, regexp_replace(regexp_replace(m, '\|', ' ', 'g'), ' +', '  ', 'g') AS w FROM marked),
+ids AS (
+  SELECT rid, doc_id, regexp_extract_all({_replaced("w")}, '{license_scan.IDENTIFIER}', 1) AS s,
+         list_transform(regexp_extract_all(m, '{license_scan.NOTICE}', 0),
+                        lambda n: {_names}[regexp_replace(CASE WHEN regexp_extract(n, '{license_scan.NOTICE}', 1) <> '' THEN regexp_extract(n, '{license_scan.NOTICE}', 1) ELSE regexp_extract(n, '{license_scan.NOTICE}', 2) END, '[| ]+', ' ', 'g')]) AS n
+  FROM whole),
+lines AS (SELECT *, ',' || array_to_string(s, ',') || ',' AS line FROM ids),
+ruled AS (SELECT doc_id, s, n, list_filter([{_rules}], lambda x: x IS NOT NULL) || list_filter(n, lambda x: x <> 'reserved') AS g FROM lines)
+SELECT doc_id, array_to_string(s || n, ',') AS sentence_ids,
+       CASE WHEN len(g) > 0 THEN array_to_string(list_filter(g, lambda x, i: list_position(g, x) = i), ',') WHEN list_contains(n, 'reserved') THEN 'proprietary' ELSE '' END AS licenses
+FROM ruled
 """,
 }

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 from zlib import crc32
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -265,6 +266,19 @@ def test_line_dedup_finds_runs_whose_parts_came_before(spark, monkeypatch, hot):
     assert len(want[3]) == 1 and got == want
 
 
+def test_sql_of_license_scan(spark, tmp_path):
+    from loomtab.llm import queries
+
+    texts = ["Released under the MIT License.\nAll rights reserved.", "All rights reserved.", None, "", "x. MIT" + " " * 50 + "License", "This work is licensed under a Creative Commons\nAttribution 4.0 International License.\n", "public-domain"]
+    texts += ["// " + s.replace(" ", "\n// ", 3) for s in license_scan.SENTENCES.values()] + [f"{v} under the {n} license." for v in ("Released", "This software is\nlicensed") for n in license_scan.NOTICES]
+    pd.DataFrame({"doc_id": range(len(texts)), "text": texts}).to_parquet(tmp_path / "documents.parquet")
+    got = queries.op8_license_scan(spark, str(tmp_path)).toPandas().sort_values("doc_id")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    want = con.execute(queries.ORACLE_SQL["op8_license_scan"]).df().sort_values("doc_id")
+    assert got.values.tolist() == want[got.columns].values.tolist() and (want["licenses"] != "").sum() > 80
+
+
 def test_warc_round_trip(spark):
     html = "<html>" + "é" * 700 + "\r\n\r\nWARC/1.1\r\nx</html>"
     pages = spark.createDataFrame([(1, "http://a b/", html, 0), (2, None, html, 0), (3, "", "short", 0), (4, "http://c", None, 0), (5, "u", "short", 0), (None, "u", html, 0), (2, "x", html, 0)], "page_id long, url string, html string, uid int")
@@ -393,13 +407,29 @@ def test_near_duplicates_keep_rows_of_null_ids_and_second_texts(spark):
 
 
 def test_license_scan(spark, empty):
-    docs = spark.createDataFrame(
-        [(1, "Some text. Licensed under the Apache License, Version 2.0.\nmore"), (2, "Released under the MIT License.\nAll rights reserved."), (3, "The license of nothing."), (4, None), (5, "")]
-        + [(6, "You may obtain a copy of the License at\nYou may not use this file except in compliance with the License."), (7, "You may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n")],
-        "doc_id long, text string",
-    )
-    got = {r["doc_id"]: r["__licenses"] for r in license_scan.scan(docs).collect()}
-    assert got == {1: ["Apache-2.0"], 2: ["MIT", "proprietary"], 3: [], 4: [], 5: [], 6: [], 7: ["Apache-2.0"]}
+    texts = {
+        1: ("Some text. Licensed under the Apache License, Version 2.0.\nmore", ["Apache-2.0"]),
+        2: ("Released under the MIT License.\nAll rights reserved.", ["MIT"]),
+        3: ("The license of nothing.", []),
+        4: (None, []),
+        5: ("", []),
+        6: ("You may obtain a copy of the License at\nYou may not use this file except in compliance with the License.", []),
+        7: ("You may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n", ["Apache-2.0"]),
+        8: ("Some words.\nAll rights reserved.\n", ["proprietary"]),
+        9: ("MIT" + " " * 3000 + "License", ["MIT"]),
+        10: ("This work is in the public-domain.", ["public-domain"]),
+        11: ("word " * 300_000 + ".\n# This software is available under\n# the terms of the GNU General Public License, version 2.\n", ["GPL-2.0"]),
+        12: ("Licensed under CC BY-NC-SA 4.0. Licensed under CC BY-NC-SA 4.0. Licensed under CC BY 4.0.", ["CC-BY-NC-SA-4.0", "CC-BY-4.0"]),
+        13: ("ISC License\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.", ["ISC"]),
+        14: ("This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy", ["MPL-2.0"]),
+    }
+    docs = spark.createDataFrame([(k, t, 1, "x") for k, (t, _) in texts.items()] + [(1, texts[1][0], 1, "x")], "doc_id long, text string, found int, licenses string")
+    got = license_scan.scan(docs)
+    assert got.columns == ["doc_id", "text", "found", "sentence_ids", "licenses"] and got.count() == 15
+    assert {r["doc_id"]: r["licenses"] for r in got.collect()} == {k: v for k, (_, v) in texts.items()}
+    hints = set(license_scan.HINTS)
+    assert all(hints & set(x.split()) for x in [*license_scan.SENTENCES.values(), *license_scan.PHRASES]) and not any("k" in h for h in hints)
+    assert len({name for name, _ in license_scan.RULES} | set(license_scan.NAMES)) >= 30
     assert license_scan.scan(empty).count() == 0
 
 
@@ -433,10 +463,10 @@ but WITHOUT ANY WARRANTY; without even the implied warranty of
 MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
 GNU General Public License for more details."""
     commented = "\n".join(" * " + x for x in gpl.split("\n"))
-    texts = [mit, "1. " + bsd, "1. " + bsd + endorse, apache, gpl, commented, gpl.replace("version 3", "version 2"), "This work is licensed under a Creative Commons\nAttribution 4.0 International License.\n", "A tool licensed under the MIT License and more."]
+    texts = [mit, "1. " + bsd, "1. " + bsd + endorse, apache, gpl, commented, gpl.replace("version 3", "version 2"), "Copyright Example Org. All rights reserved.\n\n1. " + bsd, "This work is licensed under a Creative Commons\nAttribution 4.0 International License.\n", "A tool licensed under the MIT License and more."]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r["__licenses"] for r in license_scan.scan(docs).collect()}
-    assert got == {0: ["MIT"], 1: ["BSD-2-Clause"], 2: ["BSD-3-Clause", "BSD-2-Clause"], 3: ["Apache-2.0"], 4: ["GPL-3.0"], 5: ["GPL-3.0"], 6: [], 7: ["CC-BY-4.0"], 8: []}
+    got = {r["doc_id"]: r["licenses"] for r in license_scan.scan(docs).collect()}
+    assert got == {0: ["MIT"], 1: ["BSD-2-Clause"], 2: ["BSD-3-Clause", "BSD-2-Clause"], 3: ["Apache-2.0"], 4: ["GPL-3.0"], 5: ["GPL-3.0"], 6: ["GPL-2.0"], 7: ["BSD-2-Clause"], 8: ["CC-BY-4.0"], 9: []}
 
 
 def test_classifier_learns_and_ignores_the_held_out(spark, docs, empty):
