@@ -27,9 +27,19 @@ from pyspark.sql import functions as F
 
 from .common import ship
 
+# What the tokenizer file has to say about normalising, splitting and its model, for plain texts to be split by SPLIT.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+PRE_TOKENIZERS = [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+ADDED = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False}
+
 NONE = np.int64(1 << 40)
 #: Characters whose lower case and composed form are the same everywhere and
-#: among which there is no white space; texts with others go to the library.
+#: among which there is no white space. Pieces of text with others are normalised
+#: and split by the tokenizers library's own parts, and then merged like the rest.
 PLAIN = regex.compile(r"[\x21-\x7e\xa1-įı-ſ\n]*")
 SPLIT = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: Bytes of text whose new pre-tokens are merged together.
@@ -46,6 +56,20 @@ def byte_letters() -> list[str]:
     return [chr(b if b in prints else next(rest)) for b in range(256)]
 
 
+def check(file: dict) -> None:
+    """Refuse a tokenizer file that says anything else than what this module does."""
+    parts = {
+        "normalizer": (file.get("normalizer") or {}).get("normalizers") == NORMALIZERS,
+        "pre_tokenizer": (file.get("pre_tokenizer") or {}).get("pretokenizers") == PRE_TOKENIZERS,
+        "model": all(file["model"].get(k, v) == v for k, v in MODEL.items()),
+        "post_processor": file.get("post_processor") is None,
+        "decoder": file.get("decoder") is None,
+        "added_tokens": all(t[k] == v for t in file.get("added_tokens", []) for k, v in ADDED.items()),
+    }
+    if wrong := [k for k, holds in parts.items() if not holds]:
+        raise ValueError(f"this tokenizer file needs other rules: {', '.join(wrong)}")
+
+
 class Slots(dict):
     """A number for each piece of text; new ones are noted in the order of their numbers."""
 
@@ -73,6 +97,7 @@ class Encoder:
         self.library.no_padding()
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
+        check(model)
         vocab, merges = model["model"]["vocab"], model["model"]["merges"]
         self.suffix = model["model"]["end_of_word_suffix"] or ""
         letters = byte_letters()
@@ -89,7 +114,9 @@ class Encoder:
         keys = left << 20 | right
         self.by_key = np.argsort(keys, kind="stable")
         self.keys = keys[self.by_key]
-        self.added = [t["content"] for t in model.get("added_tokens", [])]
+        self.added = {t["content"]: t["id"] for t in model.get("added_tokens", [])}
+        self.cuts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        self.byte_of = {x: b for b, x in enumerate(letters)}
         size = max([*vocab.values(), *(t["id"] for t in model.get("added_tokens", []))]) + 1
         self.tokens = [""] * size
         for token, i in [*vocab.items(), *((t["content"], t["id"]) for t in model.get("added_tokens", []))]:
@@ -171,32 +198,45 @@ class Encoder:
         if not pieces:
             return
         whole = b"\n".join(pieces).decode("utf-8", "replace")
-        plain = PLAIN.fullmatch(whole) and not any(x in whole for x in self.added)
-        own: dict[int, np.ndarray] = {}
-        if not plain:
-            texts = whole.split("\n")
-            for k, t in enumerate(texts):
-                if any(x in t for x in self.added) or not PLAIN.fullmatch(t):
-                    own[k] = np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint32)
-                    texts[k] = ""
-            whole = "\n".join(texts)
-        words = SPLIT.findall(whole.lower())
-        raw = np.frombuffer("".join(words).encode(), np.uint8)
-        first = np.append(np.flatnonzero(raw & 0xC0 != 0x80), len(raw))  # the byte where each character begins
-        ends = first[np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))]
-        line = raw[ends - 1] == 10 if len(ends) else np.zeros(0, bool)
-        real = np.cumsum(np.concatenate(([0], raw != 10)))[ends] if len(ends) else ends  # ends without line feeds
-        ids, upto = self.merge(raw[raw != 10], real[~line])
-        before = np.concatenate(([0], upto))[np.concatenate((np.cumsum(~line)[line], [(~line).sum()]))]  # ids up to each piece's end
-        if own:
-            counts, start, parts, done = np.diff(before, prepend=0), 0, [], 0
-            for k in sorted(own):
-                parts += [ids[done : before[k]], own[k]]
-                done = before[k]
-                counts[k] = len(own[k])
-            ids, before = np.concatenate([*parts, ids[done:]]), start + np.cumsum(counts)
+        if PLAIN.fullmatch(whole) and not any(x in whole for x in self.added):
+            words = SPLIT.findall(whole.lower())
+            raw = np.frombuffer("".join(words).encode(), np.uint8)
+            first = np.append(np.flatnonzero(raw & 0xC0 != 0x80), len(raw))  # the byte where each character begins
+            ends = first[np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))]
+            line = raw[ends - 1] == 10 if len(ends) else np.zeros(0, bool)
+            real = np.cumsum(np.concatenate(([0], raw != 10)))[ends] if len(ends) else ends  # ends without line feeds
+            ids, upto = self.merge(raw[raw != 10], real[~line])
+            upto = np.concatenate(([0], upto))[np.concatenate((np.cumsum(~line)[line], [(~line).sum()]))]  # ids up to each piece's end
+        else:
+            words, counts, taken = [], [], {}
+            for piece in whole.split("\n"):
+                before = len(words)
+                words += self.split(piece, len(words), taken)
+                counts.append(len(words) - before)
+            ids, upto = self.merge(np.frombuffer(b"".join(words), np.uint8), np.cumsum(np.fromiter(map(len, words), np.int64, len(words))))
+            lengths = np.diff(upto, prepend=0)
+            for at in taken:
+                lengths[at] = 1
+            upto = np.concatenate(([0], np.cumsum(lengths)))
+            if taken:
+                # An added token stands as a word of one letter, which makes one id.
+                ids = ids.copy()
+                ids[upto[list(taken)]] = list(taken.values())
+            upto = upto[np.cumsum(counts)]
         self.ids = np.concatenate((self.ids, ids))
-        self.upto = np.concatenate((self.upto, self.upto[-1] + before))
+        self.upto = np.concatenate((self.upto, self.upto[-1] + upto))
+
+    def split(self, piece: str, at: int, taken: dict[int, int]) -> list[bytes]:
+        """The words of a piece of text as bytes; those from number at on that are added tokens go to taken, with their ids."""
+        words = []
+        for part in self.cuts.split(piece) if self.cuts else [piece]:
+            if part in self.added:
+                taken[at + len(words)] = self.added[part]
+                words.append(b"x")
+            elif part:
+                for word, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part)):
+                    words.append(bytes(map(self.byte_of.__getitem__, word)))
+        return words
 
     def forget(self) -> None:
         self.pieces.clear()
