@@ -34,8 +34,8 @@ from .common import stage
 CAPACITY = 4096
 #: The id that closes each document.
 CLOSING_ID = 1
-#: Within a length, ranks are counted in so many parts, so that no length lands in one task.
-RANK_PARTS = 64
+#: Within a length, ranks are counted in parts of about so many pieces, so that no length lands in one task.
+PART_PIECES = 100_000
 
 
 def reduce_by_dominance(counts: np.ndarray, capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -152,7 +152,10 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and, with with_ids, the ids of each piece of each document."""
+    """doc_id, piece, start, length, ids_crc32, row and, with with_ids, the ids of each piece of each document.
+
+    row numbers the pieces, which equal rows of docs don't share.
+    """
     closing = np.array([CLOSING_ID], "<u4").tobytes()
 
     def row(_, ids):
@@ -163,36 +166,31 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
             made.append((k, at // 4, len(own) // 4, crc32(own), *([np.frombuffer(own, "<u4").astype(np.int32)] if with_ids else [])))
         return made
 
-    return bpe.encoded(docs, tokenizer, "piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids, row, ["doc_id"])
+    cut = bpe.encoded(docs, tokenizer, "piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids, row, ["doc_id"])
+    return cut.withColumn("row", F.monotonically_increasing_id())
 
 
 def assign(spark: SparkSession, cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The pieces with sequence_id and offset. cut is read more than once: stage it first.
+    """The pieces with sequence_id and offset, without row. cut is read more than once: stage it first.
 
-    The driver gets one row for each length and each plan row, which capacity
-    bounds. Ranks are counted within (length, part), parts by the document's
-    hash, and lifted by the number of pieces in the parts before.
+    The driver gets one row for each length, which capacity bounds. Ranks are
+    counted within (length, part), parts by the piece's row number, and lifted by
+    the number of pieces in the parts before.
     """
-    cut = cut.withColumn("__part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(RANK_PARTS)))
-    by_part = cut.groupBy("length", "__part").agg(F.count("*").alias("__n"))
-    sums = by_part.withColumn("__before", F.sum("__n").over(W.partitionBy("length").orderBy("__part")) - F.col("__n"))
-    counted = sums.collect()  # at most capacity x RANK_PARTS rows of four numbers
-    counts: dict[int, int] = {}
-    for r in counted:
-        counts[r["length"]] = counts.get(r["length"], 0) + r["__n"]
-    before = spark.createDataFrame([(r["length"], r["__part"], r["__before"]) for r in counted], "length long, __part long, __before long")
-    rows = plan(counts, capacity)
-    places = spark.createDataFrame(rows, "__length long, __first long, __ranks long, __sequence long, __copies long, __offset long")
-    ranked = cut.withColumn("__row", F.row_number().over(W.partitionBy("length", "__part").orderBy("doc_id", "piece", "ids_crc32")) - F.lit(1))
-    ranked = ranked.join(F.broadcast(before), ["length", "__part"]).withColumn("__rank", F.col("__before") + F.col("__row"))
-    k = F.col("__rank") - F.col("__first")
-    found = ranked.join(
-        F.broadcast(places),
-        (F.col("length") == F.col("__length")) & (F.col("__rank") >= F.col("__first")) & (k < F.col("__ranks")),
-    )
-    placed = found.withColumn("sequence_id", F.col("__sequence") + F.floor(k / F.col("__copies")).cast("long"))
-    placed = placed.withColumn("offset", F.col("__offset") + F.pmod(k, F.col("__copies")) * F.col("length"))
-    return placed.select(*(c for c in cut.columns if c != "__part"), "sequence_id", "offset")
+    lengths = cut.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most capacity rows
+    counts = {r["length"]: r["n"] for r in lengths}
+    parts = spark.createDataFrame([(s, -(-n // PART_PIECES)) for s, n in counts.items()], "length long, parts long")
+    dealt = cut.join(F.broadcast(parts), "length").withColumn("part", F.pmod(F.xxhash64("row"), "parts"))
+    by_part = dealt.groupBy("length", "part").agg(F.count("*").alias("n"))
+    before = by_part.withColumn("before", F.sum("n").over(W.partitionBy("length").orderBy("part")) - F.col("n")).drop("n")
+    places = spark.createDataFrame(plan(counts, capacity), "length long, first long, ranks long, sequence long, copies long, at long")
+    ranked = dealt.withColumn("own", F.row_number().over(W.partitionBy("length", "part").orderBy("row")) - F.lit(1))
+    ranked = ranked.join(before, ["length", "part"]).withColumn("rank", F.col("before") + F.col("own"))
+    k = F.col("rank") - F.col("p.first")
+    found = ranked.alias("r").join(F.broadcast(places).alias("p"), (F.col("r.length") == F.col("p.length")) & (F.col("rank") >= F.col("p.first")) & (k < F.col("p.ranks")))
+    sequence = (F.col("p.sequence") + F.floor(k / F.col("p.copies")).cast("long")).alias("sequence_id")
+    offset = (F.col("p.at") + F.pmod(k, F.col("p.copies")) * F.col("r.length")).alias("offset")
+    return found.select(*(F.col(f"r.{c}") for c in cut.columns if c != "row"), sequence, offset)
 
 
 def pack(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
