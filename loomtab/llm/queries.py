@@ -22,7 +22,7 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    return judged.select("doc_id", *(F.col(f"__{n}").alias(n) for n in names))
+    return judged.select("doc_id", *names)
 
 
 def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +78,7 @@ QUERIES = {
     )
 }
 
+_AROUND = quality_rules.AROUND.replace("'", "''")
 _STOPS = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted({w for ws in quality_rules.STOP_WORDS.values() for w in ws}))
 
 
@@ -106,14 +107,17 @@ base AS (
   SELECT doc_id, len(w)::BIGINT AS n_words, len(array_to_string(w, ''))::BIGINT AS word_chars,
          len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
-         len(list_filter(w, lambda x: x IN ({_STOPS})))::BIGINT AS stops,
+         (len(list_filter(w, lambda x: trim(lower(x), '{_AROUND}') IN ({_STOPS}))) + len(regexp_extract_all(t, '{quality_rules.OTHER_LETTERS.replace("Is", "")}')))::BIGINT AS stops,
+         len(regexp_extract_all(t, '\p{{L}}'))::BIGINT AS letters,
+         len(list_filter(lines, lambda x: regexp_matches(x, '{quality_rules.BULLET}')))::BIGINT AS bullets, len(list_filter(lines, lambda x: regexp_matches(x, '{quality_rules.ELLIPSIS}')))::BIGINT AS cut,
          len(list_filter(w, lambda x: x = upper(x) AND x <> lower(x) AND length(x) > 3))::BIGINT AS shouted, len(lines)::BIGINT AS n_lines
   FROM parts LEFT JOIN covered USING (rid)),
 failed AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND n_words > 0 AND n_lines > 0
        AND word_chars >= 2.0::DOUBLE * n_words AND word_chars <= 12.0::DOUBLE * n_words AND n_symbols <= 0.1::DOUBLE * n_words
-       AND shouted <= 0.3::DOUBLE * n_words AND stops >= 0.02::DOUBLE * n_words AND n_dup_lines <= 0.5::DOUBLE * n_lines AS kept
+       AND shouted <= 0.3::DOUBLE * n_words AND stops >= 0.02::DOUBLE * n_words AND n_dup_lines <= 0.5::DOUBLE * n_lines
+       AND word_chars > 0 AND letters >= 0.5::DOUBLE * word_chars AND n_words >= 2.0::DOUBLE * n_lines AND bullets <= 0.9::DOUBLE * n_lines AND cut <= 0.3::DOUBLE * n_lines AS kept
 FROM failed
 """,
     "op6_warc": """

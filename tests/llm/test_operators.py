@@ -1,6 +1,7 @@
 """Each operator against a plain version of itself, on cases that include nulls, ties, repeats and empty tables."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -66,7 +67,32 @@ def test_bpe_is_the_librarys(docs, rows, empty, library):
     assert bpe.digest_table(empty).count() == 0
 
 
-def test_packing_is_gapless_and_whole(spark, docs, rows, empty, library):
+def test_bpe_of_other_scripts_goes_through_the_pair_index(library, monkeypatch):
+    texts = ["“Quoted” — dashes… and ‘single’", "Привет, мир! Ёлка", "日本語のテキスト と 中文", "مرحبا بالعالم", "Ünïcödé é e\u0301", "ﬁ ſ K İstanbul ΣΑΣ", "a<|endoftext|>b <|startoftext|>", "🎉🎉 emoji\u200dzwj", "x\u00a0y\u2003z\x85w\x1cq", "it’s IT'S don't", "\ufeffbom \x00nul", "", " \n ", "<|endoftext|>", "１２３ ½ x²", "नमस्ते दुनिया", "a\u0300\u0301b"]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    coder = bpe.Encoder(bpe.vocabulary(None))
+    parts = coder.library
+
+    class Parts:
+        normalizer, pre_tokenizer = parts.normalizer, parts.pre_tokenizer
+
+    coder.library = Parts  # no model to encode by
+    assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode([t.encode() for t in texts])] == want
+    assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode([" ".join(texts).encode()])] == [library.encode(" ".join(texts), add_special_tokens=False).ids]
+
+
+def test_other_tokenizer_files_are_refused(tmp_path):
+    with open(bpe.vocabulary(None), encoding="utf-8") as f:
+        file = json.load(f)
+    for part, other in (("normalizer", None), ("decoder", {"type": "Fuse"}), ("pre_tokenizer", {"type": "Whitespace"})):
+        (tmp_path / "other.json").write_text(json.dumps(file | {part: other}))
+        with pytest.raises(ValueError, match=part):
+            bpe.Encoder(str(tmp_path / "other.json"))
+
+
+@pytest.mark.parametrize("part", [100_000, 2])
+def test_packing_is_gapless_and_whole(spark, docs, rows, empty, library, monkeypatch, part):
+    monkeypatch.setattr(packing, "PART_PIECES", part)
     got = packing.pack(spark, docs, with_ids=True).collect()
     want = Counter()
     for r in rows:
@@ -85,6 +111,13 @@ def test_packing_is_gapless_and_whole(spark, docs, rows, empty, library):
             at += length
         assert at <= 4096
     assert packing.pack(spark, empty).count() == 0
+    assert all(r["length"] == len(r["ids"]) and crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] for r in got)
+
+
+def test_packing_comes_near_the_bound(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    cut = packing.pack(spark, docs).agg(F.sum("length").alias("tokens"), F.countDistinct("sequence_id").alias("sequences"), F.max(F.col("offset") + F.col("length")).alias("most")).first()
+    assert cut["most"] <= 4096 and cut["sequences"] <= 1.002 * -(-cut["tokens"] // 4096) + 1
 
 
 def least_bins(items, cap):
@@ -126,12 +159,34 @@ def test_quality_rules(docs, rows, empty):
         covered = {p for i, g in enumerate(grams) if often[g] > 1 for p in (i, i + 1, i + 2)}
         return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(covered)
 
-    names = ["__n_words", "__word_chars", "__n_symbols", "__n_dup_lines", "__n_repeat_words"]
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     judged = quality_rules.judge(docs)
     assert Counter(tuple(r[n] for n in ["doc_id", *names]) for r in judged.collect()) == Counter((r[0], *measured(r[1])) for r in rows)
     kept = quality_rules.keep(docs)
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
     assert quality_rules.judge(empty).count() == 0
+    clash = docs.withColumns({c: F.lit(k) for k, c in enumerate(["words", "found", "__row", "row", "n_words", "failed", "__lines"])})
+    assert quality_rules.keep(clash).columns == clash.columns and quality_rules.keep(clash).select(docs.columns).collect() == kept.collect()
+    assert {r["n_words"] for r in quality_rules.keep(clash).collect()} == {4}
+    assert Counter(tuple(r[n] for n in ["doc_id", *names]) for r in quality_rules.judge(clash).collect()) == Counter((r[0], *measured(r[1])) for r in rows)
+
+
+def test_quality_rules_by_language_and_line(spark):
+    texts = {
+        "english": "The Cat sat on THE mat, and, of course, the dog did too. " * 2 + "Many other things happened then, which nobody had seen before in that small town near a river; people say it was a warm day and that birds sang.",
+        "russian": "и в не на что я с он как это по городу улица дом река вечер утро человек время жизнь работа слово дело рука глаз день ночь вода земля небо свет голос письмо книга стол окно дверь сад лес поле гора море берег камень трава дерево лист цвет зима весна",
+        "chinese": " ".join(f"漢字{chr(0x4E00 + k)}文章" for k in range(60)),
+        "no stop words": " ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60)),
+        "bullets": "\n".join(f"- item number {chr(97 + k)} of the list is {chr(98 + k)}x" for k in range(20)),
+        "cut": "\n".join(f"the story of {chr(97 + k)} and the {chr(98 + k)}x goes on..." for k in range(15)),
+        "digits": " ".join(f"{k}{k * 7919} the" for k in range(60)),
+        "short lines": "\n".join(f"the{chr(97 + k % 26)}{k // 26}" for k in range(60)) + " the of and to",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    got = {r["doc_id"]: r["failed_rules"] for r in quality_rules.judge(docs).collect()}
+    assert got["english"] == got["russian"] == got["chinese"] == []
+    assert got["no stop words"] == ["stop_word_share"] and got["bullets"] == ["bullet_line_share"] and got["cut"] == ["ellipsis_line_share"]
+    assert "letter_share" in got["digits"] and "words_per_line" in got["short lines"]
 
 
 def test_surrogates(spark, empty):
@@ -469,7 +524,7 @@ GNU General Public License for more details."""
     assert got == {0: ["MIT"], 1: ["BSD-2-Clause"], 2: ["BSD-3-Clause", "BSD-2-Clause"], 3: ["Apache-2.0"], 4: ["GPL-3.0"], 5: ["GPL-3.0"], 6: ["GPL-2.0"], 7: ["BSD-2-Clause"], 8: ["CC-BY-4.0"], 9: []}
 
 
-def test_classifier_learns_and_ignores_the_held_out(spark, docs, empty):
+def test_classifier_learns_and_ignores_the_held_out(spark, docs, empty, monkeypatch):
     rng = random.Random(2)
     bad = "BUY!! CHEAP!! NOW!! | spam".split()
     made = [(k, " ".join(rng.choice(WORDS if k % 2 else bad) for _ in range(60)), k % 2) for k in range(400)]
@@ -481,10 +536,55 @@ def test_classifier_learns_and_ignores_the_held_out(spark, docs, empty):
     assert all(r["held_out"] == held(r["doc_id"]) and r["predicted"] == r["doc_id"] % 2 for r in got)
     assert all(0 <= r["score"] <= 1 for r in quality_classifier.score(spark, docs, weights, bias).collect())
     assert quality_classifier.score(spark, empty, weights, bias).count() == 0
+    same_id = spark.createDataFrame([(7, f"text {k} of one id", 1) for k in range(50)], "doc_id long, text string, quality int")
+    assert quality_classifier.fit(spark, same_id, same_id)[0].any()
+    monkeypatch.setattr(quality_classifier, "MOST_TRAINING_FEATURES", 9)
+    assert quality_classifier.fit(spark, same_id, same_id)[0].astype(bool).sum() <= 9
+    monkeypatch.undo()
     none, zero = quality_classifier.fit(spark, table, poisoned.filter("false"))
     assert not none.any() and zero == 0
 
 
+def test_classifier_on_held_out_documents_of_the_tables(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    weights, bias = quality_classifier.fit(spark, docs, labels)
+    # Copies of training texts are no test: a held-out text counts only where no other row has it.
+    alone = docs.groupBy("text").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).filter("n = 1").select("doc_id")
+    scored = quality_classifier.score(spark, docs, weights, bias).filter("held_out").join(alone, "doc_id").join(labels, "doc_id").select("score", "predicted", "quality").toPandas()
+    good, bad = scored[scored.quality == 1], scored[scored.quality == 0]
+    order = scored["score"].rank()
+    auc = (order[good.index].sum() - len(good) * (len(good) + 1) / 2) / (len(good) * len(bad))
+    print("held out", len(good), len(bad), "auc", auc, "kept", good.predicted.mean(), bad.predicted.mean())
+    assert auc > 0.97 and good.predicted.mean() > 0.93 and bad.predicted.mean() < 0.25
+
+
+def test_updates_are_those_of_the_definition():
+    rng = np.random.default_rng(3)
+    rows = [(np.unique(rng.integers(0, 40, 6)).astype(np.int32), int(rng.integers(2))) for _ in range(30)]
+    weights, bias = quality_classifier.train(rows, 0.01, 0.3, 2)
+    size, z, n = (1 << quality_classifier.BITS) + 1, {}, {}
+
+    def weight(i):
+        if i == size - 1:
+            return -z.get(i, 0.0) * quality_classifier.ALPHA / (quality_classifier.BETA + n.get(i, 0.0) ** 0.5)
+        if abs(z.get(i, 0.0)) <= 0.01:
+            return 0.0
+        return -(z[i] - np.sign(z[i]) * 0.01) / ((quality_classifier.BETA + n[i] ** 0.5) / quality_classifier.ALPHA + 0.3)
+
+    order = np.random.default_rng(7)
+    for _ in range(2):
+        for k in order.permutation(30):
+            x = {int(i): 1 / len(rows[k][0]) ** 0.5 for i in rows[k][0]} | {size - 1: 1.0}
+            own = {i: weight(i) for i in x}
+            p = 1 / (1 + np.exp(-sum(own[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - rows[k][1]) * v
+                z[i] = z.get(i, 0.0) + g - ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / quality_classifier.ALPHA * own[i]
+                n[i] = n.get(i, 0.0) + g * g
+    assert all(abs(weights[i] - weight(i)) < 1e-5 for i in range(40)) and abs(bias - weight(size - 1)) < 1e-9 and (weights == 0).sum() > size - 42
+
+
 def test_permutation_index(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(600, 16)).astype(np.float32)
