@@ -30,8 +30,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their places in sequences of 4096 tokens."""
-    return packing.pack(spark, docs)
+    """Pieces of the documents, with their token ids, and their places in sequences of 4096 tokens."""
+    return packing.pack(spark, docs, with_ids=True)
 
 
 STAGES = [("quality_rules", quality), ("line_dedup", lines), ("near_dup", near_duplicates), ("pii", personal_data), ("packing", pack)]
