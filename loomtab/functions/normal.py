@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 
 def cdf(z: np.ndarray) -> np.ndarray:
@@ -36,3 +40,47 @@ def uniform(seed: int, stream: int, row: np.ndarray) -> np.ndarray:
 
 def normal(seed: int, stream: int, row: np.ndarray) -> np.ndarray:
     return ppf(uniform(seed, stream, row))
+
+
+def ppf_column(p: Column) -> Column:
+    """The inverse of the normal distribution function as an expression, to 1.2e-9 relative (Acklam's rational form)."""
+    # Coefficients of the published approximation, highest power first.
+    a = [-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00]
+    b = [-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0]
+    c = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00]
+    d = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0]
+    low = 0.02425
+
+    def polynomial(coefficients: list[float], x: Column) -> Column:
+        out = F.lit(coefficients[0])
+        for k in coefficients[1:]:
+            out = out * x + F.lit(k)
+        return out
+
+    middle = p - 0.5
+    tail = lambda q: polynomial(c, q) / polynomial(d, q)
+    return (
+        F.when((p <= 0) | (p >= 1), F.lit(None).cast("double"))
+        .when(p < low, tail(F.sqrt(-2 * F.ln(p))))
+        .when(p > 1 - low, -tail(F.sqrt(-2 * F.ln(1 - p))))
+        .otherwise(polynomial(a, middle * middle) * middle / polynomial(b, middle * middle))
+    )
+
+
+def student_lower(alpha: float, freedom: int) -> float:
+    """The one-sided quantile of Student's distribution at 1 - alpha, by bisection on its density's integral."""
+    if freedom <= 0:
+        return math.inf
+    scale = math.exp(math.lgamma((freedom + 1) / 2) - math.lgamma(freedom / 2)) / math.sqrt(freedom * math.pi)
+
+    def upper(t: float) -> float:
+        # The integral over theta of the density at sqrt(freedom) * tan(theta).
+        grid = np.linspace(0, math.atan(t / math.sqrt(freedom)), 2001)
+        f = np.cos(grid) ** (freedom - 1)
+        return 0.5 - scale * math.sqrt(freedom) * float((f[0] + f[-1] + 4 * f[1:-1:2].sum() + 2 * f[2:-1:2].sum()) * (grid[1] - grid[0]) / 3)
+
+    lo, hi = 0.0, 1e6
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if upper(mid) > alpha else (lo, mid)
+    return (lo + hi) / 2

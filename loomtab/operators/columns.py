@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ranks import running_sum
+from loomtab.session import staged
+
+from .ranks import long_form, quantiles, running_sum
 
 QUANTILES = [0.05, 0.25, 0.5, 0.75, 0.95]
 
@@ -14,33 +16,41 @@ QUANTILES = [0.05, 0.25, 0.5, 0.75, 0.95]
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row for each numeric column: rows, missing share, distinct values, moments and quantiles.
 
-    One aggregation has all but the distinct values: these group the rows by
-    value, which would make a quantile's state for each value.
+    One aggregation has the moments; values are counted once for their number and
+    quantiles. A column without values has null moments and quantiles, an empty
+    table a missing share of 0.
     """
     aggs = []
     for c in columns:
         x = F.col(c).cast("double")
         aggs.append(
             F.struct(
-               F.lit(c).alias("column"), F.count("*").alias("n_rows"), (1 - F.count(x) / F.count("*")).alias("missing_share"), 
+               F.lit(c).alias("column"), F.count("*").alias("n_rows"), F.coalesce(1 - F.try_divide(F.count(x), F.count("*")), F.lit(0.0)).alias("missing_share"),
                 F.min(x).alias("min_value"), F.max(x).alias("max_value"), F.avg(x).alias("mean_value"), F.var_pop(x).alias("variance"), F.skewness(x).alias("skew"),
-                F.percentile(x, F.array(*map(F.lit, QUANTILES))).alias("q"),
             )
         )
-    levels = df.agg(F.array(*(F.struct(F.lit(c).alias("column"), F.count_distinct(F.col(c).cast("double")).alias("n_distinct")) for c in columns)).alias("all"))
     whole = df.agg(F.array(*aggs).alias("all")).select(F.explode("all").alias("p")).select("p.*")
-    whole = whole.join(F.broadcast(levels.select(F.explode("all").alias("l")).select("l.*")), "column")
+    levels = quantiles(long_form(df, {c: F.col(c) for c in columns}), ["column"], "value", QUANTILES)
+    both = whole.join(F.broadcast(levels), "column", "left")  # a row for each column
     names = ["q05", "q25", "q50", "q75", "q95"]
-    return whole.select(*(c for c in whole.columns if c != "q"), *(F.col("q")[k].alias(n) for k, n in enumerate(names)))
+    return both.select(*whole.columns, F.coalesce("levels", F.lit(0)).alias("n_distinct"), *(F.col("q")[k].alias(n) for k, n in enumerate(names)))
 
 
 def robust_scale(df: DataFrame, column: str) -> DataFrame:
-    """lo, hi and whether the logarithm is taken: the 0.5 % and 99.5 % quantiles, of log(1 + x) if x >= 0 is skewed beyond 2."""
+    """lo, hi and whether the logarithm is taken: the 0.5 % and 99.5 % quantiles, of log(1 + x) if x >= 0 is skewed beyond 2.
+
+    Where both quantiles agree, least and most take their place, and where these
+    agree, too, hi is lo + 1.
+    """
     x = F.col(column).cast("double")
-    found = df.agg(F.min(x).alias("least"), F.skewness(x).alias("skew"), F.percentile(x, F.array(F.lit(0.005), F.lit(0.995))).alias("q"))
-    log = (F.col("least") >= 0) & (F.col("skew") > 2)
+    found = df.agg(F.min(x).alias("least"), F.max(x).alias("most"), F.skewness(x).alias("skew"))
+    cuts = quantiles(df.select(x.alias("value")), [], "value", [0.005, 0.995]).select("q")
+    log = (F.col("least") >= 0) & (F.coalesce("skew", F.lit(0.0)) > 2)
     scale = lambda v: F.when(log, F.log1p(F.greatest(v, F.lit(0.0)))).otherwise(v)
-    return found.select(log.alias("logged"), scale(F.col("q")[0]).alias("lo"), scale(F.col("q")[1]).alias("hi"))
+    lo, hi = scale(F.col("q")[0]), scale(F.col("q")[1])
+    narrow = hi - lo <= 1e-12 * (1 + F.abs(lo))
+    ends = found.join(F.broadcast(cuts), how="left").select(log.alias("logged"), F.when(narrow, scale(F.col("least"))).otherwise(lo).alias("lo"), F.when(narrow, scale(F.col("most"))).otherwise(hi).alias("hi"))
+    return ends.withColumn("hi", F.when(F.col("hi") - F.col("lo") <= 1e-12 * (1 + F.abs("lo")), F.col("lo") + 1).otherwise(F.col("hi")))
 
 
 def ordered_levels(df: DataFrame, column: str, target: Column, prior: float = 10.0, least: int = 5, most: int = 64, other: str = "__other__") -> DataFrame:
@@ -51,11 +61,11 @@ def ordered_levels(df: DataFrame, column: str, target: Column, prior: float = 10
     pooled = pooled.groupBy("level").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     # Only the kept levels and the pool are left, most + 1 rows, so windows over all of them are small.
     every = W.partitionBy(F.lit(0))
-    mean = F.sum("s").over(every) / F.sum("n").over(every)
+    mean = F.try_divide(F.sum("s").over(every), F.sum("n").over(every))
     scored = pooled.withColumn("score", (F.col("s") + prior * mean) / (F.col("n") + prior))
     place = F.row_number().over(every.orderBy("score", "level")) - 1
     size = F.count("*").over(every)
-    return scored.select("level", "n", "score", F.when(size > 1, place / (size - 1)).otherwise(0.5).alias("code"))
+    return scored.select("level", "n", "score", F.coalesce(F.try_divide(place, size - 1), F.lit(0.5)).alias("code"))
 
 
 def one_hot(df: DataFrame, key: str, column: str, levels: list[str]) -> DataFrame:
@@ -72,7 +82,7 @@ def discrete_marginal(df: DataFrame, column: str) -> DataFrame:
 
 
 def quantile_knots(df: DataFrame, column: str, probabilities: list[float]) -> DataFrame:
-    found = df.agg(F.percentile(F.col(column), F.array(*map(F.lit, probabilities))).alias("q"))
+    found = quantiles(df.select(F.col(column).alias("value")), [], "value", probabilities)
     return found.select(F.posexplode("q").alias("knot", "value"))
 
 
@@ -83,21 +93,40 @@ def atoms(df: DataFrame, column: str, share: float = 0.1) -> DataFrame:
 
 
 def min_max_card(df: DataFrame, columns: list[str]) -> DataFrame:
-    aggs = [F.struct(F.lit(c).alias("column"), F.min(F.col(c).cast("double")).alias("lo"), F.max(F.col(c).cast("double")).alias("hi"), F.median(F.col(c).cast("double")).alias("fill"), F.count_if(F.col(c).isNull()).alias("n_missing")) for c in columns]
-    return df.agg(F.array(*aggs).alias("all")).select(F.explode("all").alias("p")).select("p.*")
+    """Least and greatest value, median and number of missing values of each column."""
+    aggs = [F.struct(F.lit(c).alias("column"), F.min(F.col(c).cast("double")).alias("lo"), F.max(F.col(c).cast("double")).alias("hi"), F.count_if(F.col(c).isNull()).alias("n_missing")) for c in columns]
+    ends = df.agg(F.array(*aggs).alias("all")).select(F.explode("all").alias("p")).select("p.*")
+    fills = quantiles(long_form(df, {c: F.col(c) for c in columns}), ["column"], "value", [0.5])
+    return ends.join(F.broadcast(fills), "column", "left").select("column", "lo", "hi", F.col("q")[0].alias("fill"), "n_missing")
+
+
+def median_and_deviation(df: DataFrame, column: str) -> DataFrame:
+    """The median and the median of the absolute deviations from it; deviations come from the counted values."""
+    counts = staged(df.select(F.col(column).cast("double").alias("value")).filter("value is not null").groupBy("value").agg(F.count("*").alias("n")), "counts")
+    centre = weighted_quantile(counts, "value", 0.5, "centre")
+    away = counts.join(F.broadcast(centre)).groupBy(F.abs(F.col("value") - F.col("centre")).alias("value")).agg(F.sum("n").alias("n"))
+    return centre.join(F.broadcast(weighted_quantile(away, "value", 0.5, "mad")))
+
+
+def weighted_quantile(counts: DataFrame, value: str, p: float, name: str) -> DataFrame:
+    """The quantile of values that occur n times each."""
+    from .ranks import quantiles_of_ranked, running
+
+    return quantiles_of_ranked(staged(running(counts, [], value, {"n": "upto"}), "ranked"), [], value, [p]).select(F.col("q")[0].alias(name))
 
 
 def entropy(df: DataFrame, columns: list[str]) -> DataFrame:
     """Entropy in nats of the joint distribution of columns."""
     counts = df.groupBy(*columns).agg(F.count("*").alias("n"))
-    return counts.agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.ln("n")).alias("s")).select((F.ln("t") - F.col("s") / F.col("t")).alias("entropy"))
+    return counts.agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.ln("n")).alias("s")).select(F.coalesce(F.ln("t") - F.try_divide("s", "t"), F.lit(0.0)).alias("entropy"))
 
 
 def binned_information(df: DataFrame, x: str, y: str, bins: int = 8) -> DataFrame:
     """Mutual information of equal-width histograms of two columns."""
     ends = df.agg(*(f(c).alias(f"{n}_{c}") for c in (x, y) for n, f in (("lo", F.min), ("hi", F.max))))
-    cut = lambda c: F.least(F.lit(bins - 1), F.floor(bins * (F.col(c) - F.col(f"lo_{c}")) / (F.col(f"hi_{c}") - F.col(f"lo_{c}")))).cast("int")
-    cells = df.join(F.broadcast(ends)).groupBy(cut(x).alias("i"), cut(y).alias("j")).agg(F.count("*").alias("n"))
+    # A constant column has one bin.
+    cut = lambda c: F.least(F.lit(bins - 1), F.floor(F.coalesce(F.try_divide(bins * (F.col(c) - F.col(f"lo_{c}")), F.col(f"hi_{c}") - F.col(f"lo_{c}")), F.lit(0.0)))).cast("int")
+    cells = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).join(F.broadcast(ends)).groupBy(cut(x).alias("i"), cut(y).alias("j")).agg(F.count("*").alias("n"))
     # bins * bins cells at most are left.
     both = cells.withColumns({"a": F.sum("n").over(W.partitionBy("i")), "b": F.sum("n").over(W.partitionBy("j")), "t": F.sum("n").over(W.partitionBy(F.lit(0)))})
     return both.agg(F.sum(F.col("n") / F.col("t") * F.ln(F.col("n") * F.col("t") / (F.col("a") * F.col("b")))).alias("information"))

@@ -6,21 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ranks import running_sum, running_sums
+from .ranks import quantiles, running_sum, running_sums
 
 
 def ks(df: DataFrame, side: Column, column: str) -> DataFrame:
     """The largest distance of the distribution functions of the rows where side holds and where it doesn't."""
     counts = df.groupBy(column).agg(F.sum(side.cast("int")).alias("a"), F.sum((~side).cast("int")).alias("b"))
     both = running_sums(counts, column, {"a": "fa", "b": "fb"}).join(F.broadcast(counts.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))))
-    return both.agg(F.max(F.abs(F.col("fa") / F.col("na") - F.col("fb") / F.col("nb"))).alias("ks"))
+    return both.agg(F.coalesce(F.max(F.abs(F.try_divide("fa", "na") - F.try_divide("fb", "nb"))), F.lit(0.0)).alias("ks"))
 
 
 def wasserstein(df: DataFrame, side: Column, column: str, probes: int = 64) -> DataFrame:
-    """Mean distance of both sides' quantiles over a grid."""
-    grid = F.array(*(F.lit((k + 0.5) / probes) for k in range(probes)))
-    found = df.agg(F.percentile(F.when(side, F.col(column)), grid).alias("a"), F.percentile(F.when(~side, F.col(column)), grid).alias("b"))
-    return found.select((F.aggregate(F.zip_with("a", "b", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x) / probes).alias("wasserstein"))
+    """Mean distance of both sides' quantiles over a grid, null if a side is empty."""
+    sides = df.select(F.when(side, "a").otherwise("b").alias("side"), F.col(column).cast("double").alias("value"))
+    found = quantiles(sides, ["side"], "value", [(k + 0.5) / probes for k in range(probes)])
+    both = found.agg(F.max(F.when(F.col("side") == "a", F.col("q"))).alias("a"), F.max(F.when(F.col("side") == "b", F.col("q"))).alias("b"))  # two rows
+    return both.select((F.aggregate(F.zip_with("a", "b", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x) / probes).alias("wasserstein"))
 
 
 def threshold_errors(df: DataFrame, side: Column, column: str, thresholds: list[float]) -> DataFrame:
@@ -31,15 +32,16 @@ def threshold_errors(df: DataFrame, side: Column, column: str, thresholds: list[
 
 
 def calibration(df: DataFrame, p: Column, y: Column, bins: int = 10) -> DataFrame:
-    """Bins of p with the mean forecast, the rate, and the bin's part of the expected calibration error."""
-    cells = df.groupBy(F.least(F.lit(bins - 1), F.floor(p * bins)).cast("int").alias("bin")).agg(F.count("*").alias("n"), F.avg(p).alias("forecast"), F.avg(y.cast("double")).alias("rate"))
+    """Bins of p (null ones left out) with the mean forecast, the rate, and the bin's part of the expected calibration error."""
+    cells = df.filter(p.isNotNull()).groupBy(F.least(F.lit(bins - 1), F.floor(p * bins)).cast("int").alias("bin")).agg(F.count("*").alias("n"), F.avg(p).alias("forecast"), F.avg(y.cast("double")).alias("rate"))
     total = F.sum("n").over(W.partitionBy(F.lit(0)))  # bins rows at most
     return cells.select("bin", "n", "forecast", "rate", (F.col("n") / total * F.abs(F.col("forecast") - F.col("rate"))).alias("gap"))
 
 
 def exact_copies(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Classes of rows that agree in columns, by digest: the least key and the number."""
-    digest = F.sha2(F.concat_ws("\x01", *(F.coalesce(F.col(c).cast("string"), F.lit("\x02")) for c in columns)), 256)
+    # As JSON, a null is told from any text.
+    digest = F.sha2(F.to_json(F.array(*(F.col(c).cast("string") for c in columns))), 256)
     return df.groupBy(digest.alias("digest")).agg(F.min(key).alias("first_key"), F.count("*").alias("n")).filter("n > 1").select("first_key", "n")
 
 
@@ -63,8 +65,8 @@ def nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int)
 
 
 def rank_auc(df: DataFrame, positive: Column, score: str) -> DataFrame:
-    """The chance that a positive row scores above another, ties counting half."""
+    """The chance that a positive row scores above another, ties counting half; one half if a side is empty."""
     counts = df.groupBy(score).agg(F.sum(positive.cast("int")).alias("p"), F.sum((~positive).cast("int")).alias("q"))
     below = running_sum(counts, score, "q", "upto")
     sums = below.agg(F.sum(F.col("p") * (F.col("upto") - F.col("q") + F.col("q") / 2)).alias("wins"), F.sum("p").alias("p"), F.sum("q").alias("q"))
-    return sums.select((F.col("wins") / (F.col("p") * F.col("q"))).alias("auc"))
+    return sums.select(F.coalesce(F.try_divide("wins", F.col("p") * F.col("q")), F.lit(0.5)).alias("auc"))

@@ -11,6 +11,10 @@ from loomtab.functions.cells import hashed
 from loomtab.operators.columns import gram
 
 
+#: Rows of a block within which a column is shuffled.
+BLOCK_ROWS = 20_000
+
+
 def ridge(df: DataFrame, terms: dict[str, Column], y: Column, penalty: float = 1e-6) -> dict[str, float]:
     """Weights of terms and an intercept, from one aggregation of sums of products."""
     every = {"one": F.lit(1.0), **terms, "__y": y}
@@ -36,7 +40,8 @@ def permutation_importance(df: DataFrame, key: str, weights: dict[str, float], c
     Within a block, rows in the order of one hash take the value of the row
     that follows in the order of another, so no window spans the table.
     """
-    base = df.withColumn("__block", F.pmod(F.xxhash64(key), F.lit(256)))
+    blocks = df.count() // BLOCK_ROWS + 1
+    base = df.withColumn("__block", F.pmod(F.xxhash64(key), F.lit(blocks)))
     terms = {c: F.col(c) for c in columns}
     loss = F.avg(F.pow(y - scored(weights, terms), 2))
     out = None
@@ -59,7 +64,8 @@ def chow_liu(df: DataFrame, columns: list[str], spark: SparkSession) -> DataFram
         weight[a, b] = weight[b, a] = -0.5 * np.log(max(1 - found[f"r{k}"] ** 2, 1e-12))
     inside, edges = [columns[0]], []
     while len(inside) < len(columns):
-        a, b = max(((a, b) for a in inside for b in columns if b not in inside), key=lambda e: (weight[e], e[::-1]))
+        # Ties go to the column that stands first, then to the parent that does.
+        a, b = max(((a, b) for a in inside for b in columns if b not in inside), key=lambda e: (weight[e], -columns.index(e[1]), -columns.index(e[0])))
         edges.append((a if weight[a, b] > 1e-6 else None, b, float(round(weight[a, b], 8))))
         inside.append(b)
     return spark.createDataFrame(edges, "parent string, child string, weight double")

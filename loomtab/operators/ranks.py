@@ -1,8 +1,9 @@
-"""Ranks over a whole table without ordering it in one task.
+"""Ranks, running sums and exact quantiles without ordering a table in one task.
 
-Values are counted first; the running count goes over ranges of values whose
-bounds are approximate quantiles, and each range is lifted by what the ranges
-before it hold.
+Values are counted first; the counts are dealt by ranges of keys and values, as
+many ranges as the session has partitions, and each range is lifted by what the
+ranges before it hold. Quantiles are read off the ranges in which their ranks
+fall, so no task holds a column's values.
 """
 
 from __future__ import annotations
@@ -11,31 +12,80 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-RANGES = 64
+from loomtab.session import staged
+
+
+def dealt_by_range(df: DataFrame, *order: str) -> DataFrame:
+    """df in ranges of order, with the range of each row as ``__range``; written, so that all readers see the same ranges."""
+    return staged(df.repartitionByRange(*map(F.col, order)).withColumn("__range", F.spark_partition_id()), "ranges")
+
+
+def running(df: DataFrame, keys: list[str], order: str, names: dict[str, str]) -> DataFrame:
+    """df, one row for each keys and order, with the sums of columns up to and including its row within its keys, named by names.
+
+    ``__range`` tells the range of the row.
+    """
+    dealt = dealt_by_range(df, *keys, order)
+    # A row for each range, and one more for each key.
+    totals = dealt.groupBy("__range", *keys).agg(*(F.sum(v).alias(f"__{v}") for v in names))
+    upto = W.partitionBy(*(keys or [F.lit(0)])).orderBy("__range")
+    before = totals.select("__range", *keys, *((F.sum(f"__{v}").over(upto) - F.col(f"__{v}")).alias(f"__{v}") for v in names))
+    own = W.partitionBy("__range", *keys).orderBy(order)
+    joined = dealt.join(before, ["__range", *keys])
+    return joined.withColumns({n: F.sum(v).over(own) + F.col(f"__{v}") for v, n in names.items()}).drop(*(f"__{v}" for v in names))
 
 
 def running_sums(df: DataFrame, order: str, names: dict[str, str]) -> DataFrame:
-    """df, one row for each numeric order, with the sums of columns up to and including its row, named by names."""
-    bounds = sorted(set(df.approxQuantile(order, [k / RANGES for k in range(1, RANGES)], 0.01)))
-    place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(order))) if bounds else F.lit(0)
-    dealt = df.withColumn("__range", place)
-    totals = dealt.groupBy("__range").agg(*(F.sum(v).alias(f"__{v}") for v in names))
-    # RANGES rows at most, so one task orders them.
-    before = totals.select("__range", *((F.sum(f"__{v}").over(W.orderBy("__range")) - F.col(f"__{v}")).alias(f"__{v}") for v in names))
-    own = W.partitionBy("__range").orderBy(order)
-    joined = dealt.join(F.broadcast(before), "__range")
-    return joined.withColumns({n: F.sum(v).over(own) + F.col(f"__{v}") for v, n in names.items()}).drop("__range", *(f"__{v}" for v in names))
+    """df, one row for each order, with the sums of columns up to and including its row, named by names."""
+    return running(df, [], order, names).drop("__range")
 
 
 def running_sum(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
     return running_sums(df, order, {value: name})
 
 
+def ranked_values(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, value, n (rows of that value), upto (rows up to it within keys) and ``__range``; null values are left out."""
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    return running(counts, keys, value, {"n": "upto"})
+
+
+def long_form(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """column and value: a row for each row of df and each of the columns."""
+    return df.select(F.explode(F.array(*(F.struct(F.lit(n).alias("column"), c.cast("double").alias("value")) for n, c in columns.items()))).alias("c")).select("c.*")
+
+
+def quantiles(rows: DataFrame, keys: list[str], value: str, probabilities: list[float]) -> DataFrame:
+    """keys, total (present values), levels (distinct ones) and q, the exact quantiles (linear between order statistics)."""
+    return quantiles_of_ranked(staged(ranked_values(rows, keys, value), "ranked"), keys, value, probabilities)
+
+
+def quantiles_of_ranked(ranked: DataFrame, keys: list[str], value: str, probabilities: list[float]) -> DataFrame:
+    spans = ranked.groupBy(*keys, "__range").agg(F.min(F.col("upto") - F.col("n")).alias("lo"), F.max("upto").alias("hi"), F.count("*").alias("levels"))
+    sizes = spans.groupBy(*keys).agg(F.max("hi").alias("total"), F.sum("levels").alias("levels"))
+    at = sizes.select(*keys, "total", F.posexplode(F.array(*(F.lit(float(p)) for p in probabilities))).alias("k", "p"))
+    at = at.withColumn("h", F.col("p") * (F.col("total") - 1)).withColumn("low", F.floor("h"))
+    # Each wanted rank is in one range of its key.
+    wanted = at.select(*keys, "k", "h", "low", F.explode(F.array(F.col("low"), F.least(F.col("low") + 1, F.col("total") - 1))).alias("rank"))
+    if keys:
+        wanted = wanted.join(spans, keys)
+    else:
+        wanted = wanted.join(F.broadcast(spans))  # a row for each range
+    wanted = wanted.filter((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))).select(*keys, "__range", "k", "h", "low", "rank")
+    hits = ranked.join(wanted, [*keys, "__range"]).filter((F.col("rank") >= F.col("upto") - F.col("n")) & (F.col("rank") < F.col("upto")))
+    x = F.col(value).cast("double")
+    ends = hits.groupBy(*keys, "k").agg(F.min(x).alias("a"), F.max(x).alias("b"), F.first(F.col("h") - F.col("low")).alias("part"))
+    values = ends.select(*keys, F.struct("k", (F.col("a") + F.col("part") * (F.col("b") - F.col("a"))).alias("x")).alias("q"))
+    if not keys:
+        found = values.agg(F.transform(F.array_sort(F.collect_list("q")), lambda s: s["x"]).alias("q"))
+        return sizes.join(F.broadcast(found))  # one row each
+    found = values.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list("q")), lambda s: s["x"]).alias("q"))
+    return sizes.join(found, keys)
+
+
 def value_ranks(df: DataFrame, column: str) -> DataFrame:
     """Each distinct value with its number n, the number of rows up to it, and its mid-rank."""
-    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    summed = running_sum(counts, column, "n", "upto")
-    return summed.withColumn("mid_rank", F.col("upto") - F.col("n") + (F.col("n") + 1) / 2)
+    return ranked_values(df, [], column).drop("__range").withColumn("mid_rank", F.col("upto") - F.col("n") + (F.col("n") + 1) / 2)
 
 
 def mid_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -44,16 +94,32 @@ def mid_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    ranked = mid_ranks(mid_ranks(df.select(x, y), x, "rx"), y, "ry")
-    return ranked.agg(F.coalesce(F.corr("rx", "ry"), F.lit(0.0)).alias("rho"))
+    """Correlation of the mid-ranks over the rows where both are present, 0 where one is constant.
+
+    Pairs of values are counted once; both columns' ranks come from these counts.
+    """
+    pairs = staged(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("c")), "pairs")
+
+    def ranks(side: str) -> DataFrame:
+        counts = pairs.groupBy(side).agg(F.sum("c").alias("n"))
+        upto = running_sum(counts, side, "n", "upto")
+        # Twice the rank is a whole number, and the mean rank is known: the centred sums below are exact.
+        return upto.select(side, (2 * F.col("upto") - F.col("n") + 1).alias(f"r{side}"))
+
+    n = pairs.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total"))
+    ranked = pairs.join(ranks("x"), "x").join(ranks("y"), "y").join(F.broadcast(n))
+    a, b = ((F.col(f"r{s}") - F.col("total") - 1).cast("double") for s in "xy")
+    sums = ranked.agg(F.sum(F.col("c") * a * b).alias("ab"), F.sum(F.col("c") * a * a).alias("aa"), F.sum(F.col("c") * b * b).alias("bb"))
+    return sums.select(F.coalesce(F.try_divide("ab", F.sqrt(F.col("aa")) * F.sqrt(F.col("bb"))), F.lit(0.0)).alias("rho"))
 
 
 def correlation_ratio(df: DataFrame, group: str, x: str) -> DataFrame:
     """The root of the share of the squared deviations of x that lies between groups."""
-    sums = df.groupBy(group).agg(F.count(x).alias("n"), F.sum(x).alias("s"), F.sum(F.col(x) * F.col(x)).alias("q"))
+    sums = df.filter(F.col(x).isNotNull()).groupBy(group).agg(F.count(x).alias("n"), F.sum(x).alias("s"), F.sum(F.col(x) * F.col(x)).alias("q"))
     whole = sums.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b"))
-    between, total = F.col("b") - F.col("s") * F.col("s") / F.col("n"), F.col("q") - F.col("s") * F.col("s") / F.col("n")
-    return whole.select(F.when(total > 0, F.sqrt(F.greatest(F.lit(0.0), between / total))).otherwise(0.0).alias("eta"))
+    off = F.try_divide(F.col("s") * F.col("s"), F.col("n"))
+    between, total = F.col("b") - off, F.col("q") - off
+    return whole.select(F.when(total > 0, F.sqrt(F.greatest(F.lit(0.0), F.try_divide(between, total)))).otherwise(0.0).alias("eta"))
 
 
 def chatterjee_xi(df: DataFrame, x: str, y: str, tie: str) -> DataFrame:
@@ -62,17 +128,59 @@ def chatterjee_xi(df: DataFrame, x: str, y: str, tie: str) -> DataFrame:
     Neighbours across ranges of x are the last row of one and the first of the
     next, so each range is ordered in its own task.
     """
-    counted = value_ranks(df, y)
-    up = counted.withColumn("n_all", F.lit(df.filter(F.col(y).isNotNull()).count()))
-    ranked = df.select(x, y, tie).join(up.select(y, F.col("upto").alias("r"), (F.col("n_all") - F.col("upto") + F.col("n")).alias("l"), "n_all"), y)
-    bounds = sorted(set(df.approxQuantile(x, [k / RANGES for k in range(1, RANGES)], 0.01)))
-    place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(x))) if bounds else F.lit(0)
-    dealt = ranked.withColumn("__range", place)
+    present = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    counted = staged(value_ranks(present, y), "counted")
+    n = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_all"))
+    ranked = present.select(x, y, tie).join(counted.select(y, F.col("upto").alias("r"), "n"), y)
+    dealt = dealt_by_range(ranked, x, tie).join(F.broadcast(n)).withColumn("l", F.col("n_all") - F.col("r") + F.col("n"))
     steps = dealt.withColumn("step", F.abs(F.lead("r").over(W.partitionBy("__range").orderBy(x, tie)) - F.col("r")))
     inside = steps.groupBy("__range").agg(
         F.sum("step").alias("steps"), F.sum(F.col("l") * (F.col("n_all") - F.col("l"))).alias("bottom"), F.first("n_all").alias("n"),
         F.min_by("r", F.struct(x, tie)).alias("head"), F.max_by("r", F.struct(x, tie)).alias("tail"),
     )
-    joined = inside.withColumn("seam", F.abs(F.lead("head").over(W.orderBy("__range")) - F.col("tail")))  # RANGES rows at most
+    joined = inside.withColumn("seam", F.abs(F.lead("head").over(W.orderBy("__range")) - F.col("tail")))  # a row for each range
     whole = joined.agg((F.coalesce(F.sum("steps"), F.lit(0)) + F.coalesce(F.sum("seam"), F.lit(0))).alias("s"), F.sum("bottom").alias("b"), F.first("n").alias("n"))
-    return whole.select(F.when((F.col("n") >= 3) & (F.col("b") > 0), 1 - F.col("n") * F.col("s") / (2 * F.col("b"))).otherwise(0.0).alias("xi"))
+    return whole.select(F.when((F.col("n") >= 3) & (F.col("b") > 0), 1 - F.try_divide(F.col("n") * F.col("s"), 2 * F.col("b"))).otherwise(0.0).alias("xi"))
+
+
+def normal_scores(df: DataFrame, key: str, column: str) -> DataFrame:
+    """key and the van der Waerden score of its value: the normal quantile of mid-rank / (n + 1)."""
+    from loomtab.functions.normal import ppf_column
+
+    ranks = staged(value_ranks(df, column), "ranks")
+    n = ranks.agg(F.sum("n").alias("total"))
+    scores = ranks.join(F.broadcast(n)).select(column, ppf_column(F.col("mid_rank") / (F.col("total") + 1)).alias("score"))
+    return df.select(key, column).join(scores, column).select(key, "score")
+
+
+def rank_uniforms(df: DataFrame, key: str, column: str, edge: float = 1e-4) -> DataFrame:
+    """key and mid-rank / (n + 1), cut off at both edges."""
+    ranks = staged(value_ranks(df, column), "ranks")
+    n = ranks.agg(F.sum("n").alias("total"))
+    u = F.greatest(F.lit(edge), F.least(F.lit(1 - edge), F.col("mid_rank") / (F.col("total") + 1)))
+    return df.select(key, column).join(ranks.join(F.broadcast(n)).select(column, u.alias("u")), column).select(key, "u")
+
+
+def percent_ranks(df: DataFrame, key: str, column: str) -> DataFrame:
+    """key and (rows below + half of the other equal ones) / (n - 1), one half for a single row."""
+    ranks = staged(value_ranks(df, column), "ranks")
+    n = ranks.agg(F.sum("n").alias("total"))
+    share = F.coalesce(F.try_divide(F.col("upto") - F.col("n") + (F.col("n") - 1) / 2, F.col("total") - 1), F.lit(0.5))
+    return df.select(key, column).join(ranks.join(F.broadcast(n)).select(column, share.alias("share")), column).select(key, "share")
+
+
+def ordinal_ranks(df: DataFrame, key: str, column: str) -> DataFrame:
+    """key and its place, from 0, in the order of column and key."""
+    dealt = dealt_by_range(df.filter(F.col(column).isNotNull()).select(key, column), column, key)
+    totals = dealt.groupBy("__range").agg(F.count("*").alias("n"))
+    before = totals.select("__range", (F.sum("n").over(W.orderBy("__range")) - F.col("n")).alias("before"))  # a row for each range
+    own = F.row_number().over(W.partitionBy("__range").orderBy(column, key)) - 1
+    return dealt.join(F.broadcast(before), "__range").select(key, (F.col("before") + own).alias("place"))
+
+
+def strided(df: DataFrame, order: str, cap: int) -> DataFrame:
+    """Rows 0, s, 2s, ... in the order of a column, s the least stride that leaves at most cap of them."""
+    n = df.count()
+    stride = max(1, -(-n // cap))
+    places = ordinal_ranks(df.select(order, F.col(order).alias("__at")), order, "__at") if n else df.select(order, F.lit(0).alias("place"))
+    return df.join(places.filter(F.pmod("place", F.lit(stride)) == 0).select(order), order, "left_semi")

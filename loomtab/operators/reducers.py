@@ -64,12 +64,14 @@ def first_reaching(cells: DataFrame, task: str, budget: str, value: str, level:
 
 def cvar(df: DataFrame, group: str, loss: str, tail: float) -> DataFrame:
     """Mean of the losses at or above each group's quantile of 1 - tail."""
-    cut = df.groupBy(group).agg(F.percentile(loss, F.lit(1 - tail)).alias("cut"))
-    return df.join(F.broadcast(cut), group).filter(F.col(loss) >= F.col("cut")).groupBy(group).agg(F.avg(loss).alias("cvar"), F.count("*").alias("n_tail"))
+    from loomtab.operators.ranks import quantiles
+
+    cut = quantiles(df.select(group, F.col(loss).cast("double").alias("value")), [group], "value", [1 - tail]).select(group, F.col("q")[0].alias("cut"))
+    return df.join(cut, group).filter(F.col(loss) >= F.col("cut")).groupBy(group).agg(F.avg(loss).alias("cvar"), F.count("*").alias("n_tail"))
 
 
 def leave_one_out(df: DataFrame, group: str, value: str) -> DataFrame:
     """The mean of value without each group, from the groups' sums."""
     sums = df.groupBy(group).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
     every = W.partitionBy(F.lit(0))  # a row a group
-    return sums.select(group, ((F.sum("s").over(every) - F.col("s")) / (F.sum("n").over(every) - F.col("n"))).alias("mean_without"))
+    return sums.select(group, ((F.sum("s").over(every) - F.col("s")) / F.nullif(F.sum("n").over(every) - F.col("n"), F.lit(0))).alias("mean_without"))

@@ -14,17 +14,73 @@ def fold_of(key: Column, folds: int, seed: str = "") -> Column:
     return F.pmod(hashed(key, seed), F.lit(folds))
 
 
+#: Rows that one task orders at most, in the mean.
+ORDERED_ROWS = 100_000
+
+
+def least_hashes(df: DataFrame, key: str, stratum: str, wanted: Column) -> DataFrame:
+    """df with ``__in``: whether the row is among the wanted ones (an expression of the stratum's ``__size``) of least hash.
+
+    Hashes are counted by their first bits; only rows of the one bin of a stratum
+    in which the border falls are put in order.
+    """
+    bits = min(24, max(1, (df.count() // ORDERED_ROWS).bit_length()))
+    binned = df.withColumns({"__hash": hashed(F.col(key)), "__bin": F.shiftright(hashed(F.col(key)), 32 - bits)})
+    counts = binned.groupBy(stratum, "__bin").agg(F.count("*").alias("__n"))
+    upto = F.sum("__n").over(W.partitionBy(stratum).orderBy("__bin"))
+    edges = counts.select(stratum, "__bin", "__n", upto.alias("__upto"), F.sum("__n").over(W.partitionBy(stratum)).alias("__size")).withColumn("__wanted", wanted)
+    edges = edges.select(F.col(stratum).alias("__stratum"), F.col("__bin").alias("__of"), (F.col("__upto") - F.col("__n")).alias("__before"), "__upto", "__wanted")
+    dealt = binned.join(edges, F.col(stratum).eqNullSafe(F.col("__stratum")) & (F.col("__bin") == F.col("__of")))
+    whole, border = F.col("__upto") <= F.col("__wanted"), (F.col("__upto") > F.col("__wanted")) & (F.col("__before") < F.col("__wanted"))
+    place = F.row_number().over(W.partitionBy(stratum, "__bin").orderBy("__hash", key))
+    ordered = dealt.filter(border).withColumn("__in", place + F.col("__before") <= F.col("__wanted"))
+    return dealt.filter(~border).withColumn("__in", whole).unionByName(ordered).select(*df.columns, "__in")
+
+
 def stratified_split(df: DataFrame, key: str, stratum: str, share: float) -> DataFrame:
     """Of each stratum the rounded share of rows with the least hashes go to the test side."""
+    return least_hashes(df, key, stratum, F.floor(F.col("__size") * share + 0.5)).withColumnRenamed("__in", "is_test")
+
+
+def capped(df: DataFrame, key: str, stratum: str, most: int) -> DataFrame:
+    """Of each stratum the rows of least hash, at most so many."""
+    return least_hashes(df, key, stratum, F.least(F.col("__size"), F.lit(most))).filter("__in").drop("__in")
+
+
+def fit_validation_split(df: DataFrame, key: str, share: float = 0.15, least: int = 10, most: int = 5000) -> DataFrame:
+    """The rows of least hash go to validation: a share of all within limits."""
+    n = F.greatest(F.lit(least), F.least(F.lit(most), F.floor(F.col("__size") * share + 0.5)))
+    dealt = least_hashes(df.withColumn("__all", F.lit(0)), key, "__all", n)
+    return dealt.withColumnRenamed("__in", "is_validation").drop("__all")
+
+
+def stratified_folds(df: DataFrame, key: str, stratum: str, folds: int) -> DataFrame:
+    """A fold for each row: round robin in hash order within each stratum, the start moved on by the sizes of the strata before."""
+    from loomtab.operators.ranks import dealt_by_range
+
+    dealt = dealt_by_range(df.withColumn("__hash", hashed(F.col(key))), stratum, "__hash", key)
+    totals = dealt.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = totals.select("__range", (F.sum("__n").over(W.orderBy("__range")) - F.col("__n")).alias("__before"))  # a row for each range
+    own = F.row_number().over(W.partitionBy("__range").orderBy(stratum, "__hash", key)) - 1
+    # Strata follow one another in that order, so the running place has the offset in it.
+    return dealt.join(F.broadcast(before), "__range").withColumn("fold", F.pmod(F.col("__before") + own, F.lit(folds)).cast("int")).select(*df.columns, "fold")
+
+
+def stratified_subsample(df: DataFrame, key: str, stratum: str, seats: int) -> DataFrame:
+    """seats rows shared out to the strata by largest remainders, each stratum's by least hash."""
+    sizes = df.groupBy(stratum).agg(F.count("*").alias("n"))
+    quota = largest_remainder(sizes, stratum, "n", seats).select(F.col(stratum).alias("__quota_of"), F.col("seats").alias("__quota"))
+    given = df.join(F.broadcast(quota), F.col(stratum).eqNullSafe(F.col("__quota_of"))).drop("__quota_of")  # a row for each stratum
     order = W.partitionBy(stratum).orderBy(hashed(F.col(key)), key)
-    size = F.count("*").over(W.partitionBy(stratum))
-    return df.withColumn("is_test", F.row_number().over(order) <= F.floor(size * share + 0.5))
+    best = least_hashes(given.select(*df.columns), key, stratum, F.least(F.col("__size"), F.lit(seats))).filter("__in").drop("__in")
+    ranked = best.join(F.broadcast(quota), F.col(stratum).eqNullSafe(F.col("__quota_of"))).withColumn("__place", F.row_number().over(order))
+    return ranked.filter(F.col("__place") <= F.col("__quota")).select(*df.columns)
 
 
 def largest_remainder(sizes: DataFrame, stratum: str, n: str, seats: int) -> DataFrame:
     """Seats for the strata in proportion to n, what rounding leaves to the largest remainders. One row a stratum."""
     every = W.partitionBy(F.lit(0))
-    exact = F.col(n) * seats / F.sum(n).over(every)
+    exact = F.coalesce(F.try_divide(F.col(n) * seats, F.sum(n).over(every)), F.lit(0.0))
     base = sizes.withColumns({"__base": F.floor(exact), "__rest": exact - F.floor(exact)})
     ranked = base.withColumns({"__left": F.lit(seats) - F.sum("__base").over(every), "__rank": F.row_number().over(every.orderBy(F.desc("__rest"), stratum))})
     return ranked.select(stratum, n, (F.col("__base") + (F.col("__rank") <= F.col("__left")).cast("long")).alias("seats"))
@@ -38,12 +94,17 @@ def hash_sample(df: DataFrame, key: str, n: int) -> DataFrame:
 def bootstrap_means(df: DataFrame, key: str, column: str, draws: int) -> DataFrame:
     """The mean of a column in each of draws resamples, each row counting as often as a Poisson(1) draw by hash says.
 
-    Poisson weights need no table of indices and no shuffle of rows: each row is
-    expanded over the draws and summed on its own side.
+    Poisson weights need no table of indices and no shuffle of rows.
     """
     # Cumulative Poisson(1) probabilities.
     steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
-    u = hashed(F.concat_ws(":", F.col("draw"), F.col(key))) / F.lit(4294967296.0)
-    weight = sum((u >= s).cast("int") for s in steps)
-    rows = df.select(key, column).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("w", weight)
-    return rows.groupBy("draw").agg(F.sum("w").alias("weight"), (F.sum(F.col("w") * F.col(column)) / F.sum("w")).alias("mean_value"))
+    def drawn(d: int) -> Column:
+        u = hashed(F.concat_ws(":", F.lit(d), F.col(key))) / F.lit(4294967296.0)
+        return sum((u >= s).cast("int") for s in steps)
+
+    # All draws in one aggregation: a row isn't copied for each.
+    x = F.col(column).cast("double")
+    rows = df.filter(x.isNotNull()).select(x.alias("x"), F.array(*(drawn(d) for d in range(draws))).alias("w"))
+    sums = rows.agg(*(f(v).alias(f"{n}{d}") for d in range(draws) for n, f, v in (("w", F.sum, F.col("w")[d]), ("s", F.sum, F.col("w")[d] * F.col("x")))))
+    made = F.array(*(F.struct(F.lit(d).alias("draw"), F.col(f"w{d}").alias("weight"), F.try_divide(f"s{d}", f"w{d}").alias("mean_value")) for d in range(draws)))
+    return sums.select(F.explode(made).alias("m")).select("m.*")

@@ -36,9 +36,9 @@ def signed_log(spark, sf_dir):
 
 @query("SELECT median(abs(l_quantity - m)) AS mad, median(l_quantity) AS centre FROM lineitem, (SELECT median(l_quantity) AS m FROM lineitem)")
 def median_absolute_deviation(spark, sf_dir):
-    items = load(spark, sf_dir, "lineitem").select("l_quantity")
-    centre = items.agg(F.median("l_quantity").alias("m"))
-    return items.join(F.broadcast(centre)).agg(F.median(F.abs(F.col("l_quantity") - F.col("m"))).alias("mad"), F.median("l_quantity").alias("centre"))
+    from loomtab.operators.columns import median_and_deviation
+
+    return median_and_deviation(load(spark, sf_dir, "lineitem"), "l_quantity").select("mad", "centre")
 
 
 @query("SELECT round(avg(pow(z, 3)), 4) AS skew, round(avg(pow(z, 4)) - 3, 4) AS excess FROM (SELECT (l_extendedprice - m) / s AS z FROM lineitem, (SELECT avg(l_extendedprice) AS m, stddev_pop(l_extendedprice) AS s FROM lineitem))")
@@ -85,8 +85,7 @@ def content_fingerprint(spark, sf_dir):
     f"SELECT o_orderstatus, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY {HEX.format('o_orderkey')}, o_orderkey) AS k FROM orders) WHERE k <= 50"
 )
 def capped_strata(spark, sf_dir):
-    order = W.partitionBy("o_orderstatus").orderBy(cells.hashed(F.col("o_orderkey")), "o_orderkey")
-    return load(spark, sf_dir, "orders").select("o_orderstatus", "o_orderkey", F.row_number().over(order).alias("k")).filter("k <= 50").drop("k")
+    return splits.capped(load(spark, sf_dir, "orders").select("o_orderstatus", "o_orderkey"), "o_orderkey", "o_orderstatus", 50)
 
 
 @query("SELECT event_type, (date_diff('day', DATE '2024-01-01', ts::DATE) // 7)::BIGINT AS block, count(*)::BIGINT AS n, count(DISTINCT user_id)::BIGINT AS n_users FROM events GROUP BY 1, 2")
@@ -158,10 +157,9 @@ def classification_losses(spark, sf_dir):
 @query("SELECT c_mktsegment, count(*)::BIGINT AS n FROM customer GROUP BY 1")
 def csv_round_trip(spark, sf_dir):
     """Cells written to CSV and read under the intake's rules give the table back."""
-    import uuid
+    from loomtab.session import scratch
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}"
-    path = f"{base.rstrip('/')}/loomtab-csv-{uuid.uuid4().hex}"
+    path = scratch(spark, "csv")
     files.write_csv(load(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment"), path)
     back = files.read_cells(spark, path)
     return back.filter(cells.present_number(F.col("c_acctbal")).isNotNull()).groupBy("c_mktsegment").agg(F.count("*").alias("n"))

@@ -1,7 +1,10 @@
-"""Sessions and tables."""
+"""Sessions, tables and the shared folder for intermediate ones."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -15,3 +18,27 @@ def session(name: str = "loomtab", **conf: str) -> SparkSession:
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that spark.checkpoint.dir names, removed when the session's JVM ends.
+
+    Only a local session may do without that setting; it gets a temporary folder.
+    """
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or getattr(sc, "_loomtab_scratch", None)
+    if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = sc._loomtab_scratch = "file://" + tempfile.mkdtemp(prefix="loomtab-scratch-")
+    path = f"{base.rstrip('/')}/loomtab/{name}-{uuid.uuid4().hex}"
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: its lineage is cut, and it is computed once."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
