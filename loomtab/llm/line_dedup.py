@@ -19,6 +19,8 @@ joined and counted are hashes.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,84 +31,104 @@ from .common import BLANKS, boxed, discard, join_counted, let, stage, unboxed
 RUN_WORDS = 30
 
 
-def units(text: Column) -> Column:
-    """The units of a text; joined, they give it back."""
-    return F.split(F.coalesce(text, F.lit("")), r"(?<=\n)|(?<=[.!?] )")
+#: Marks the ends of units in texts that don't hold it.
+END = "\x01"
+#: Units that a window is looked for in first, before RUN_WORDS of them.
+FEW = 5
 
 
-def hashed(docs: DataFrame) -> DataFrame:
-    """doc_id, same (the text's hash), and of all units with a word their places, two hashes and numbers of words."""
+def units(text: Column) -> Column:
+    """The units of a text; joined, they give it back. A unit ends after a line feed, or after a stop and a blank."""
+    whole = F.coalesce(text, F.lit(""))
+    marked = whole
+    for end in ("\n", ". ", "! ", "? "):
+        marked = F.replace(marked, F.lit(end), F.lit(end + END))
+    # Plain replacements take a fraction of the time of looking behind at each character.
+    return F.when(F.contains(whole, F.lit(END)), F.split(whole, r"(?<=\n)|(?<=[.!?] )")).otherwise(F.split(marked, END))
 
+
+def counted(text: Column, parts: Column) -> Column:
+    """Of all units with a word an array of words (their number), hash, second (another hash) and place."""
     blanks = F.lit(" \t\n\x0b\x0c\r")
 
-    def of(parts: Column) -> Column:
+    def of(words) -> Column:
         bare = F.transform(parts, lambda u: F.btrim(u, blanks))
-        # A unit without blanks at its ends has as many words as splitting it gives parts.
-        words = lambda u: F.when(u == "", 0).otherwise(F.size(F.split(u, f"[{BLANKS}]+")))
-        # 58 bits of the second hash, so that those of a window can be added up.
-        second = lambda u: F.shiftright(F.xxhash64(F.lit(1), u), 6)
-        counted = F.transform(bare, lambda u, i: F.struct(i.alias("place"), F.xxhash64(u).alias("hash"), second(u).alias("second"), words(u).alias("word")))
-        return F.filter(counted, lambda u: u["word"] > 0)
+        found = F.transform(bare, lambda u, i: F.struct(F.when(u == "", 0).otherwise(words(u)).alias("words"), F.xxhash64(u).alias("hash"), F.xxhash64(F.lit(1), u).alias("second"), i.alias("place")))
+        return F.filter(found, lambda u: u["words"] > 0)
+
+    # A unit without blanks at its ends and with single blanks inside has a word more than blanks.
+    odd = reduce(lambda a, b: a | b, (F.contains(text, F.lit(x)) for x in ("  ", "\t", "\x0b", "\x0c", "\r")))
+    return F.when(odd, of(lambda u: F.size(F.split(u, f"[{BLANKS}]+")))).otherwise(of(lambda u: F.octet_length(u) - F.octet_length(F.replace(u, F.lit(" "), F.lit(""))) + 1))
+
+
+def windows(text: Column) -> Column:
+    """All windows of a text, an array of structs: gram and second (two hashes), mark (the fingerprint), first and last unit.
+
+    A run takes the units without words that follow it along, so last is the place
+    before the next unit with a word.
+    """
 
-    found = docs.select("doc_id", F.xxhash64("text").alias("same"), let(units(F.col("text")), of).alias("units"))
-    # Arrays take 24 bytes a unit, an array of structs 48.
-    return found.select("doc_id", "same", *(F.col(f"units.{f}").alias(n) for n, f in {"hashes": "hash", "seconds": "second", "words": "word", "places": "place"}.items()))
+    def length(w: Column, i: Column) -> Column:
+        """The number of units in the window from unit i on, null if it has too few words."""
+        total, found = None, None
+        for k in range(FEW):
+            own = F.get(w, i + k)
+            total = own if total is None else total + own
+            found = F.when(total >= RUN_WORDS, k + 1) if found is None else found.when(total >= RUN_WORDS, k + 1)
+        start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("k"))
+        grown = F.aggregate(F.slice(w, i + 1, RUN_WORDS), start, lambda s, x: F.when(s["n"] >= RUN_WORDS, s).otherwise(F.struct((s["n"] + x).alias("n"), (s["k"] + 1).alias("k"))))
+        return found.otherwise(let(grown, lambda s: F.when(s["n"] >= RUN_WORDS, s["k"])))
+
+    def full(u: Column, lengths: Column, parts: Column) -> Column:
+        """Windows from their first unit on, and those from their last one back that end between two of them."""
+
+        def made(i: Column, m: Column) -> Column:
+            hashes = F.slice(u["hash"], i + 1, m)
+            last = F.coalesce(F.get(u["place"], i + m) - 1, F.size(parts) - 1)
+            return let(hashes, lambda h: F.struct(F.xxhash64(h).alias("gram"), F.xxhash64(F.slice(u["second"], i + 1, m)).alias("second"), F.array_min(h).alias("mark"), F.get(u["place"], i).alias("first"), last.alias("last")))
+
+        def of(k: Column, i: Column) -> Column:
+            most = F.greatest(k, F.coalesce(F.get(lengths, i + 1), F.size(lengths) - i))
+            return F.when(k.isNotNull(), F.transform(F.sequence(k, most), lambda m: made(i, m)))
+
+        return F.flatten(F.filter(F.transform(lengths, of), lambda x: x.isNotNull()))
+
+    fields = ("words", "hash", "second", "place")
+    apart = lambda a: F.struct(*(a[f].alias(f) for f in fields))
+    return let(units(text), lambda p: let(counted(F.coalesce(text, F.lit("")), p), lambda a: let(apart(a), lambda u: let(F.transform(u["words"], lambda x, i: length(u["words"], i)), lambda k: full(u, k, p)))))
 
 
 def runs(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, same and the runs (array of first and last place) to delete, for each document that has any."""
-    # Documents are told apart by doc_id and the hash of their text; equal rows beyond the first are repeats of it as a whole.
-    known = stage(spark, hashed(docs.filter("doc_id is not null")).dropDuplicates(["doc_id", "same"]), "units")
-    # The arrays are dealt by document, not their units: the windows below need no other exchange.
-    closed = [F.concat(c, F.array(F.lit(0).cast(t))).alias(c) for c, t in (("hashes", "long"), ("seconds", "long"), ("words", "int"))]
-    dealt = known.select("doc_id", "same", *closed).repartition("doc_id", "same")
-    each = dealt.select("doc_id", "same", F.posexplode(F.arrays_zip("hashes", "seconds", "words")).alias("at", "unit")).select("doc_id", "same", "at", F.col("unit.hashes").alias("hash"), F.col("unit.seconds").alias("second"), F.col("unit.words").alias("words"))
-    own = W.partitionBy("doc_id", "same").orderBy("at")
-    each = each.withColumns({"begins": F.sum("words").over(own) - F.col("words"), "past": F.lag(F.struct("hash", "second", "words")).over(own)})
-    # The units from this one on that begin within RUN_WORDS words; and those before this one that end within as many.
-    # The unit of no words at the end of each document lets its last unit be one before.
-    spread = W.partitionBy("doc_id", "same").orderBy("begins")
-    ahead, behind = spread.rangeBetween(0, RUN_WORDS - 1), spread.rangeBetween(1 - RUN_WORDS, 0)
-    both = each.withColumns({
-        "ahead": F.collect_list("hash").over(ahead), "n_ahead": F.sum("words").over(ahead), "s_ahead": F.sum("second").over(ahead),
-        "behind": F.collect_list("past.hash").over(behind), "n_behind": F.sum("past.words").over(behind), "s_behind": F.sum("past.second").over(behind),
-    })
-
-    def window(hashes: str, second: str, first: Column) -> Column:
-        # A window has at most RUN_WORDS units.
-        return F.struct(F.xxhash64(hashes).alias("gram"), F.col(second).alias("second"), F.array_min(hashes).alias("mark"), (first * RUN_WORDS + F.size(hashes) - 1).cast("long").alias("spot"))
-
-    forward = F.when(F.col("n_ahead") >= RUN_WORDS, window("ahead", "s_ahead", F.col("at")))
-    # A window from its last unit back is also one from its first unit on, unless it has enough words without the last.
-    backward = F.when(F.col("n_behind") - F.col("past.words") >= RUN_WORDS, window("behind", "s_behind", F.col("at") - F.size("behind")))
-    grams = both.select("doc_id", "same", F.explode(F.filter(F.array(forward, backward), lambda g: g.isNotNull())).alias("g")).select("doc_id", "same", "g.*")
-    before = F.lag("spot").over(W.partitionBy("doc_id", "same", "gram", "second").orderBy("spot"))
-    grams = stage(spark, grams.withColumn("again", before.isNotNull()), "grams")
+    # Documents are told apart by doc_id and the hash of their text; equal rows are one document.
+    every = docs.filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("same"), windows(F.col("text")).alias("all"))
+    repeats = let(F.transform("all", lambda w: w["gram"]), lambda g: F.size(F.array_distinct(g)) < F.size(g))
+    grams = stage(spark, every.withColumn("repeats", repeats).select("doc_id", "same", "repeats", F.explode("all").alias("w")).select("doc_id", "same", "repeats", "w.*"), "grams")
+
+    # Of each window all occurrences but the first go; repeats inside a document need no comparison with others.
+    inside = grams.filter("repeats").drop("repeats").distinct()
+    order = W.partitionBy("doc_id", "same", "gram", "second").orderBy("first", "last")
+    inside = stage(spark, inside.withColumn("again", F.row_number().over(order) > 1), "inside")
+    once = grams.filter("not repeats").drop("repeats").union(inside.filter("not again").drop("again"))
 
     # Fingerprints that more than one document has; documents are told apart by a hash here.
-    once = grams.filter("not again").drop("again")
     who = F.xxhash64("doc_id", "same")
     marks = once.groupBy("mark").agg(F.min(who).alias("a"), F.max(who).alias("b"), F.count("*").alias("n")).filter("a < b").select("mark", "n")
     n = grams.count()
     around = stage(spark, join_counted(once, stage(spark, marks, "marks"), ["mark"], n).drop("mark"), "around")
-
-    # Of each window all occurrences but the first go; repeats inside a document need no comparison with others.
-    again = grams.filter("again").select("doc_id", "same", "spot")
     firsts = around.groupBy("gram", "second").agg(F.min(F.struct("doc_id", "same")).alias("e"), F.count("*").alias("n")).filter("n > 1")
-    across = join_counted(around, stage(spark, firsts, "firsts"), ["gram", "second"], n).filter(F.struct("doc_id", "same") != F.col("e")).select("doc_id", "same", "spot")
-    gone = again.union(across).select("doc_id", "same", F.floor(F.col("spot") / RUN_WORDS).alias("first"), F.pmod("spot", F.lit(RUN_WORDS)).alias("more"))
-    gone = stage(spark, gone.select("doc_id", "same", "first", (F.col("first") + F.col("more")).alias("last")), "gone")
-    discard(spark, grams)
-    discard(spark, around)
+    across = join_counted(around, stage(spark, firsts, "firsts"), ["gram", "second"], n).filter(F.struct("doc_id", "same") != F.col("e"))
+    gone = inside.filter("again").select("doc_id", "same", "first", "last").union(across.select("doc_id", "same", "first", "last")).distinct()
 
     # Windows that overlap or follow one another are one run.
     by = W.partitionBy("doc_id", "same").orderBy("first", "last")
     reach = F.max("last").over(by.rowsBetween(W.unboundedPreceding, -1))
     parted = gone.withColumn("starts", F.when(F.col("first") <= reach + 1, 0).otherwise(1))
     run = parted.withColumn("run", F.sum("starts").over(by)).groupBy("doc_id", "same", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    found = run.groupBy("doc_id", "same").agg(F.collect_list(F.struct(F.col("first").cast("int").alias("first"), F.col("last").cast("int").alias("last"))).alias("found"))
-    placed = let(F.col("places"), lambda p: F.transform("found", lambda r: F.struct(F.get(p, r["first"]).alias("first"), F.get(p, r["last"]).alias("last"))))
-    return known.select("doc_id", "same", "places").join(found.hint("merge"), ["doc_id", "same"]).select("doc_id", "same", placed.alias("runs"))
+    found = stage(spark, run.groupBy("doc_id", "same").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "runs")
+    for done in (grams, inside, around):
+        discard(spark, done)
+    return found
 
 
 def drop_runs(spark: SparkSession, docs: DataFrame, count: str | None = None) -> DataFrame:
@@ -124,7 +146,7 @@ def drop_runs(spark: SparkSession, docs: DataFrame, count: str | None = None) ->
 def shortened(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """row (the columns but text), text without the later runs, and removed, the number of units cut."""
     # The runs have no bound, so they are never broadcast.
-    found = stage(spark, runs(spark, docs.select("doc_id", "text")), "runs").select(F.col("doc_id").alias("of_id"), F.col("same").alias("of_text"), "runs")
+    found = runs(spark, docs.select("doc_id", "text")).select(F.col("doc_id").alias("of_id"), F.col("same").alias("of_text"), "runs")
     source = docs.select("text", boxed(docs).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("same"))
     joined = source.join(found.hint("merge"), (F.col("id") == F.col("of_id")) & (F.col("same") == F.col("of_text")), "left")
 
