@@ -19,6 +19,7 @@ import gzip
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -221,10 +222,30 @@ def pages_to_arc(spark: SparkSession, pages: DataFrame, path: str) -> None:
     write_archives(pages.select("page_id", "url", "html"), run, path)
 
 
+def unpacked(content: bytes) -> bytes:
+    """The whole of a file of gzip members; a file that isn't compressed is given back.
+
+    A member's rest is looked for in small pieces, so that no member copies all
+    those that follow it.
+    """
+    if content[:2] != b"\x1f\x8b":
+        return content
+    out, at = [], 0
+    while at < len(content):
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            piece = content[at : at + 8192]
+            if not piece:
+                raise ValueError("an archive ends within a gzip member")
+            out.append(member.decompress(piece))
+            at += len(piece) - len(member.unused_data)
+    return b"".join(out)
+
+
 def arc_records(archive: str, content: bytes) -> Iterator[dict]:
     """The records of an ARC file with what WARC needs: uid, place in the file, url, ip, date, type, HTTP header and payload."""
     name = archive.rsplit("/", 1)[-1]
-    for k, r in enumerate(parse_arc(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content)):
+    for k, r in enumerate(parse_arc(unpacked(content))):
         head, payload = split_http(r["block"])
         uid = str(uuid.uuid5(uuid.NAMESPACE_URL, f"{name}#{k}|{r['url']}|{r['date']}"))
         yield r | {"uid": uid, "place": k, "date": warc_date(r["date"]), "kind": warc_type(r["url"], head), "head": head, "payload": payload}
@@ -305,7 +326,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         def rows():
             for b in batches:
                 for content in b.column("content").to_pylist():
-                    for head, block in w.parse_warc(gzip.decompress(content)):
+                    for head, block in w.parse_warc(w.unpacked(content)):
                         kind = w.header(head, "WARC-Type")
                         if kind == "warcinfo":
                             continue
