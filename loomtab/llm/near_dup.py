@@ -34,7 +34,7 @@ SLACK = 5 * (0.8 * 0.2 / (2 * PERMUTATIONS)) ** 0.5
 BLOCK_BYTES = 4 << 20
 BLOCK_SETS = 1_500
 #: Words whose hashes a worker keeps before it starts afresh.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 200_000
 #: Shingles hashed at once, which bounds memory for texts of any length.
 CHUNK = 4096
 
