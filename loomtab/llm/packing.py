@@ -34,8 +34,8 @@ from .common import stage
 CAPACITY = 4096
 #: The id that closes each document.
 CLOSING_ID = 1
-#: Within a length, ranks are counted in parts of about so many pieces, so that no length lands in one task.
-PART_PIECES = 100_000
+#: Within a length, ranks are counted in parts of about so many pieces, so that no length lands in one task; of a length there are MOST_PARTS at most.
+PART_PIECES, MOST_PARTS = 5_000, 100_000
 
 
 def reduce_by_dominance(counts: np.ndarray, capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -179,7 +179,7 @@ def assign(spark: SparkSession, cut: DataFrame, capacity: int = CAPACITY) -> Dat
     """
     lengths = cut.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most capacity rows
     counts = {r["length"]: r["n"] for r in lengths}
-    parts = spark.createDataFrame([(s, -(-n // PART_PIECES)) for s, n in counts.items()], "length long, parts long")
+    parts = spark.createDataFrame([(s, min(MOST_PARTS, -(-n // PART_PIECES))) for s, n in counts.items()], "length long, parts long")
     dealt = cut.join(F.broadcast(parts), "length").withColumn("part", F.pmod(F.xxhash64("row"), "parts"))
     by_part = dealt.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = by_part.withColumn("before", F.sum("n").over(W.partitionBy("length").orderBy("part")) - F.col("n")).drop("n")
