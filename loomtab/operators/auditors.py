@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
@@ -19,17 +20,26 @@ FAMILIES = {
 }
 
 
-def assembled(df: DataFrame, features: list[str]) -> DataFrame:
-    """Rows with a vector of features; those with a missing one are left out."""
-    return VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="skip").transform(df)
+def imputed(df: DataFrame, features: list[str], fills: dict[str, float]) -> DataFrame:
+    """Rows with a vector of features: missing ones stand at their fill, with a flag for each feature."""
+    kept = df.select(*df.columns, *(F.coalesce(F.col(c).cast("double"), F.lit(fills[c])).alias(f"__f_{c}") for c in features), *(F.col(c).isNull().cast("double").alias(f"__n_{c}") for c in features))
+    return VectorAssembler(inputCols=[f"__{k}_{c}" for k in "fn" for c in features], outputCol="__x").transform(kept)
+
+
+def medians(df: DataFrame, features: list[str]) -> dict[str, float]:
+    """Medians of the present values, 0 without any."""
+    from loomtab.operators.ranks import long_form, quantiles
+
+    found = {r["column"]: r["q"][0] for r in quantiles(long_form(df, {c: F.col(c) for c in features}), ["column"], "value", [0.5]).collect()}
+    return {c: float(found.get(c, 0.0)) for c in features}
 
 
 def family_losses(real: DataFrame, synthetic: DataFrame, test: DataFrame, features: list[str], y: str) -> DataFrame:
     """A row a family: its loss on the test rows after real rows and after synthetic rows, and the retention."""
     mean = real.agg(F.avg(y)).first()[0]
-    held, out = assembled(test, features), None
+    fills, out = {k: medians(df, features) for k, df in (("real", real), ("synthetic", synthetic))}, None
     for name, make in FAMILIES.items():
-        scored = {k: make(y).fit(assembled(df, features)).transform(held) for k, df in (("real", real), ("synthetic", synthetic))}
+        scored = {k: make(y).fit(imputed(df, features, fills[k])).transform(imputed(test, features, fills[k])) for k, df in (("real", real), ("synthetic", synthetic))}
         sums = [s.agg(F.avg(F.pow(F.col(y) - F.col("__p"), 2)).alias(f"{k}_loss"), F.avg(F.pow(F.col(y) - F.lit(mean), 2)).alias(f"null_{k}")) for k, s in scored.items()]
         row = sums[0].join(sums[1]).select(F.lit(name).alias("family"), F.col("null_real").alias("null_loss"), "real_loss", "synthetic_loss")
         out = row if out is None else out.union(row)
@@ -39,17 +49,55 @@ def family_losses(real: DataFrame, synthetic: DataFrame, test: DataFrame, featur
 def c2st(a: DataFrame, b: DataFrame, features: list[str]) -> float:
     """How well a logistic regression tells two samples apart on the half that it hasn't seen, as an area under the curve."""
     both = a.select(*features).withColumn("__y", F.lit(1.0)).union(b.select(*features).withColumn("__y", F.lit(0.0)))
-    dealt = assembled(both, features).withColumn("__half", F.pmod(F.xxhash64(*features, "__y"), F.lit(2)))
+    dealt = imputed(both, features, medians(both, features)).withColumn("__half", F.pmod(F.xxhash64(*features, "__y"), F.lit(2)))
     model = LogisticRegression(featuresCol="__x", labelCol="__y", regParam=1e-3).fit(dealt.filter("__half = 0"))
     return BinaryClassificationEvaluator(labelCol="__y").evaluate(model.transform(dealt.filter("__half = 1")))
 
 
-def regimes(spark: SparkSession, df: DataFrame, features: list[str], k: int, seed: int = 7) -> DataFrame:
-    """Weight and mean of each of k Gaussian regimes."""
-    model = GaussianMixture(featuresCol="__x", k=k, seed=seed, maxIter=20).fit(assembled(df, features))
-    means = [list(map(float, g.mean)) for g in model.gaussiansDF.collect()]
-    rows = sorted(zip(map(float, model.weights), means, strict=True), reverse=True)
-    return spark.createDataFrame([(j, w, m) for j, (w, m) in enumerate(rows)], "regime int, weight double, mean array<double>")
+def regimes(spark: SparkSession, df: DataFrame, features: list[str], k: int, rounds: int = 20, key: str | None = None) -> DataFrame:
+    """Weight, means and deviations of each of k regimes of independent normal numbers, by expectation and maximisation.
+
+    The start depends on the data alone: means at the quantiles of the first
+    feature. Each round is one aggregation, so partitions change only the last
+    digits. Rows with a missing feature are left out; fewer than k rows give
+    fewer regimes.
+    """
+    from loomtab.operators.ranks import quantiles
+    from loomtab.session import staged
+
+    rows = staged(df.select(*(F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate(features))).dropna(), "regimes")
+    d = len(features)
+    first = rows.agg(F.count("*").alias("n"), *(F.avg(f"x{j}").alias(f"m{j}") for j in range(d)), *(F.stddev_pop(f"x{j}").alias(f"s{j}") for j in range(d))).first()
+    k = min(k, first["n"])
+    out = "regime int, weight double, mean array<double>, deviation array<double>"
+    if not k:
+        return spark.createDataFrame([], out)
+    starts = quantiles(rows.select(F.col("x0").alias("value")), [], "value", [(i + 0.5) / k for i in range(k)]).first()["q"]
+    floor = [max((first[f"s{j}"] or 0.0) * 1e-3, 1e-9) for j in range(d)]
+    weight = [1 / k] * k
+    mean = [[starts[i], *(first[f"m{j}"] for j in range(1, d))] for i in range(k)]
+    sd = [[max(first[f"s{j}"] or 0.0, floor[j]) / (k if j == 0 else 1) or floor[j] for j in range(d)] for i in range(k)]
+    for _ in range(rounds):
+        logs = []
+        for i in range(k):
+            z = F.lit(math.log(max(weight[i], 1e-300)))
+            for j in range(d):
+                z = z - F.pow((F.col(f"x{j}") - mean[i][j]) / sd[i][j], 2) / 2 - math.log(sd[i][j])
+            logs.append(z)
+        top = F.greatest(*logs) if k > 1 else logs[0]
+        shares = rows.select("*", top.alias("top"), *(z.alias(f"l{i}") for i, z in enumerate(logs))).select("*", *(F.exp(F.col(f"l{i}") - F.col("top")).alias(f"e{i}") for i in range(k)))
+        total = sum((F.col(f"e{i}") for i in range(1, k)), F.col("e0"))
+        r = [F.col(f"e{i}") / total for i in range(k)]
+        sums = shares.agg(*(F.sum(r[i]).alias(f"r{i}") for i in range(k)), *(F.sum(r[i] * F.col(f"x{j}")).alias(f"a{i}_{j}") for i in range(k) for j in range(d)), *(F.sum(r[i] * F.pow(F.col(f"x{j}") - mean[i][j], 2)).alias(f"b{i}_{j}") for i in range(k) for j in range(d))).first()
+        for i in range(k):
+            own = max(sums[f"r{i}"], 1e-12)
+            weight[i] = own / first["n"]
+            for j in range(d):
+                new = sums[f"a{i}_{j}"] / own
+                sd[i][j] = max(math.sqrt(max(sums[f"b{i}_{j}"] / own - (new - mean[i][j]) ** 2, 0.0)), floor[j])
+                mean[i][j] = new
+    rows_out = sorted(((w, m, s) for w, m, s in zip(weight, mean, sd, strict=True)), key=lambda t: (-t[0], t[1]))
+    return spark.createDataFrame([(i, float(w), [float(v) for v in m], [float(v) for v in s]) for i, (w, m, s) in enumerate(rows_out)], out)
 
 
 def frontier(spark: SparkSession, df: DataFrame, key: str, target: str, numbers: list[str], categories: list[str], budgets: list[int], level: float = 0.9) -> DataFrame:
@@ -64,8 +112,8 @@ def frontier(spark: SparkSession, df: DataFrame, key: str, target: str, numbers:
                 known[own] = program.retention(spark, df, key, target, *chosen, rows=20_000).first()
             if known[own]["program_bytes"] <= budget:
                 r = known[own]["retention"]
-                rows.append((budget, known[own]["program_bytes"], r, not reached and r >= level))
-                reached = reached or r >= level
+                rows.append((budget, known[own]["program_bytes"], r, not reached and r is not None and r >= level))
+                reached = reached or (r is not None and r >= level)
                 break
         else:
             rows.append((budget, None, None, False))

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from loomtab.functions import normal
 from loomtab.operators.columns import ordered_levels
+from loomtab.operators.ranks import long_form, quantiles
 
 GRID = np.linspace(-3, 3, 17)
 RESIDUAL_KNOTS = np.linspace(0.02, 0.98, 9)
@@ -96,13 +97,13 @@ def outer_sums(df: DataFrame, make, size: int) -> np.ndarray:
 def fit(df: DataFrame, target: str, numbers: list[str], categories: list[str], shrink: float = 0.04, ridge: float = 1e-3) -> Program:
     """The program of df's features and numeric target; rows without a target are left out."""
     df = df.select(target, *numbers, *categories).filter(F.col(target).isNotNull())
-    probabilities = F.array(*(F.lit(float(p)) for p in normal.cdf(GRID)))
+    knots = {r["column"]: r["q"] for r in quantiles(long_form(df, {c: F.col(c) for c in numbers}), ["column"], "value", normal.cdf(GRID).tolist()).collect()} if numbers else {}
     summary = df.agg(
         F.count("*").alias("n"), F.min(F.col(target).cast("double")).alias("low"), F.max(F.col(target).cast("double")).alias("high"),
-        *(F.percentile(F.col(c).cast("double"), probabilities).alias(f"q_{c}") for c in numbers), *(F.count_if(F.col(c).isNull()).alias(f"m_{c}") for c in [*numbers, *categories]),
+        *(F.count_if(F.col(c).isNull()).alias(f"m_{c}") for c in [*numbers, *categories]),
     ).first()
     n = max(summary["n"], 1)
-    features = [Feature(c, "number", summary[f"m_{c}"] / n, [round(x, 6) for x in summary[f"q_{c}"] or [0.0] * len(GRID)], [], []) for c in numbers]
+    features = [Feature(c, "number", summary[f"m_{c}"] / n, [round(x, 6) for x in knots.get(c) or [0.0] * len(GRID)], [], []) for c in numbers]
     for c in categories:
         levels = ordered_levels(df.filter(F.col(c).isNotNull()), c, F.col(target).cast("double")).orderBy("code").collect()
         counts = np.array([r["n"] for r in levels], float)
@@ -126,7 +127,8 @@ def fit(df: DataFrame, target: str, numbers: list[str], categories: list[str], s
     penalty[0, 0] = 0
     program.weights = [round(float(x), 6) for x in np.linalg.solve(g[:-1, :-1] + penalty, g[:-1, -1])]
     fitted = predict(df, program, "__y").select((F.col(target).cast("double") - F.col("__y")).alias("e"))
-    program.residuals = [round(x, 6) for x in fitted.agg(F.percentile("e", F.array(*(F.lit(float(p)) for p in RESIDUAL_KNOTS))).alias("q")).first()["q"] or [0.0] * 9]
+    found = quantiles(fitted.select(F.col("e").alias("value")), [], "value", RESIDUAL_KNOTS.tolist()).first()
+    program.residuals = [round(x, 6) for x in (found["q"] if found else None) or [0.0] * 9]
     return program
 
 

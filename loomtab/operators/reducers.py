@@ -40,11 +40,17 @@ def elo(spark: SparkSession, wins: DataFrame) -> DataFrame:
     names = sorted({r["a"] for r in rows} | {r["b"] for r in rows})
     at = {n: k for k, n in enumerate(names)}
     theta = np.zeros(len(names))
+
+    def value(t: np.ndarray) -> float:
+        d = np.array([t[at[r["a"]]] - t[at[r["b"]]] for r in rows])
+        won, games = (np.array([float(r[c]) for r in rows]) for c in ("wins_a", "games"))
+        return float(-(t @ t) / 2 + (won * d - games * np.logaddexp(0, d)).sum()) if rows else 0.0
+
     for _ in range(60):
         g, h = -theta, -np.eye(len(names))
         for r in rows:
             i, j = at[r["a"]], at[r["b"]]
-            p = 1 / (1 + np.exp(theta[j] - theta[i]))
+            p = 1 / (1 + np.exp(np.clip(theta[j] - theta[i], -500, 500)))
             g[i] += r["wins_a"] - r["games"] * p
             g[j] -= r["wins_a"] - r["games"] * p
             w = r["games"] * p * (1 - p)
@@ -52,7 +58,13 @@ def elo(spark: SparkSession, wins: DataFrame) -> DataFrame:
             h[j, j] -= w
             h[i, j] += w
             h[j, i] += w
-        theta = theta - np.linalg.solve(h, g)
+        step, now = np.linalg.solve(h, g), value(theta)
+        # Halved until it gains, so that one-sided panels don't throw the ratings about.
+        while value(theta - step) < now and np.abs(step).max() > 1e-12:
+            step = step / 2
+        theta = theta - step
+        if np.abs(step).max() < 1e-12:
+            break
     ratings = 1500 + 400 / np.log(10) * (theta - theta.mean())
     return spark.createDataFrame([(n, float(round(x, 6))) for n, x in zip(names, ratings, strict=True)], "method string, rating double")
 

@@ -9,13 +9,27 @@ from loomtab.functions import cells
 
 
 def read_cells(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
-    """A headered CSV file as trimmed strings; ragged rows fail, and so do headers that occur twice."""
-    head = spark.read.option("header", False).option("sep", separator).csv(path).first()
-    names = [c for c in (head or []) if c is not None]
-    if not names or len(set(names)) != len(names):
-        raise ValueError("a table needs a header of distinct names")
-    df = spark.read.option("header", True).option("sep", separator).option("mode", "FAILFAST").schema(", ".join(f"`{n}` string" for n in names)).csv(path)
-    return df.select(*(F.trim(F.col(f"`{c}`")).alias(c) for c in df.columns))
+    """A headered CSV or TSV file, also compressed by gzip, as trimmed strings.
+
+    Ragged rows fail whichever columns are asked for, and so do headers that are
+    empty or occur twice, and files without a header.
+    """
+    reader = spark.read.option("sep", separator)
+    head = reader.option("header", False).csv(path).first()
+    names = ["" if c is None else c.strip() for c in (head or [])]
+    if not names or "" in names or len(set(names)) != len(names):
+        raise ValueError("a table needs a header of distinct, non-empty names")
+    # With pruned columns, Spark wouldn't see that a row is ragged; the column of broken rows makes it parse each one whole.
+    schema = ", ".join(f"`{n}` string" for n in names)
+    lines = spark.read.option("header", True).option("sep", separator).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__broken").option("enforceSchema", True).schema(schema + ", `__broken` string").csv(path)
+    checked = lines.select(F.struct(*(F.trim(F.col(f"`{c}`")).alias(c) for c in names)).alias("row"), F.col("__broken").alias("broken"))
+    row = F.when(F.col("broken").isNull(), F.col("row")).otherwise(F.raise_error(F.concat(F.lit("a row has another number of cells than the header: "), F.substring("broken", 1, 200))).cast(checked.schema["row"].dataType))
+    return checked.select(row.alias("row")).select(*(F.col("row")[c].alias(c) for c in names))
+
+
+def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A file of one JSON object a line; a line that is none, or not of the schema, fails when it is read."""
+    return spark.read.option("mode", "FAILFAST").option("columnNameOfCorruptRecord", "__broken").schema(schema).json(path)
 
 
 def read_units(spark: SparkSession, path: str, width: int) -> DataFrame:
@@ -29,19 +43,19 @@ def infer(df: DataFrame, target: str, numeric_share: float = 0.98, id_levels: in
     """column, kind (number, category, dropped) and counts for each column of cells, in one aggregation.
 
     A column is a number if numeric_share of its present cells parse; text with
-    more than id_levels distinct values that make up over id_share of its cells
+    more than id_levels distinct values that make up over id_share of its rows
     looks like an identifier and is dropped, as is a column with no present cell.
     """
     aggs = []
     for c in df.columns:
         cell = F.col(f"`{c}`")
         there = ~cells.is_missing(cell)
-        aggs.append(F.struct(F.lit(c).alias("column"), F.count_if(there).alias("present"), F.count(F.when(there, cells.parse_number(cell))).alias("numbers"), F.count_distinct(F.when(there, cell)).alias("levels")))
+        aggs.append(F.struct(F.lit(c).alias("column"), F.count("*").alias("rows"), F.count_if(there).alias("present"), F.count(F.when(there, cells.parse_number(cell))).alias("numbers"), F.count_distinct(F.when(there, cell)).alias("levels")))
     found = df.agg(F.array(*aggs).alias("all")).select(F.explode("all").alias("c")).select("c.*")
     kind = (
         F.when(F.col("present") == 0, "dropped")
         .when(F.col("numbers") >= numeric_share * F.col("present"), "number")
-        .when((F.col("levels") > id_levels) & (F.col("levels") > id_share * F.col("present")) & (F.col("column") != target), "dropped")
+        .when((F.col("levels") > id_levels) & (F.col("levels") > id_share * F.col("rows")) & (F.col("column") != target), "dropped")
         .otherwise("category")
     )
     return found.withColumn("kind", kind)
