@@ -9,8 +9,8 @@ and equal windows choose equal fingerprints: so a run that two documents share
 shows in a shared fingerprint at least, for certain.
 
 Where fingerprints meet those of other documents, they are extended both ways to
-all windows that chose them. Equal windows, told by 128 bits, make up the
-repeated runs: each occurrence of a window that isn't the first of all documents
+all windows that chose them. Equal windows, told by the hashes of several units
+or by two hashes of a single one, make up the repeated runs: each occurrence of a window that isn't the first of all documents
 is deleted. No partner has to be chosen, and none is missed.
 
 Everything is DataFrame operations. Texts meet only the runs to delete; what is
@@ -33,10 +33,6 @@ RUN_WORDS = 30
 
 #: Marks the ends of units in texts that don't hold it.
 END = "\x01"
-#: Units that a window is looked for in first, before RUN_WORDS of them.
-FEW = 5
-
-
 def units(text: Column) -> Column:
     """The units of a text; joined, they give it back. A unit ends after a line feed, or after a stop and a blank."""
     whole = F.coalesce(text, F.lit(""))
@@ -47,63 +43,64 @@ def units(text: Column) -> Column:
     return F.when(F.contains(whole, F.lit(END)), F.split(whole, r"(?<=\n)|(?<=[.!?] )")).otherwise(F.split(marked, END))
 
 
-def counted(text: Column, parts: Column) -> Column:
-    """Of all units with a word an array of words (their number), hash, second (another hash) and place."""
+def hashed(docs: DataFrame) -> DataFrame:
+    """doc_id, same (the text's hash), and of all units with a word two hashes and the numbers of words."""
     blanks = F.lit(" \t\n\x0b\x0c\r")
-
-    def of(words) -> Column:
-        bare = F.transform(parts, lambda u: F.btrim(u, blanks))
-        found = F.transform(bare, lambda u, i: F.struct(F.when(u == "", 0).otherwise(words(u)).alias("words"), F.xxhash64(u).alias("hash"), F.xxhash64(F.lit(1), u).alias("second"), i.alias("place")))
-        return F.filter(found, lambda u: u["words"] > 0)
-
+    text = F.coalesce(F.col("text"), F.lit(""))
     # A unit without blanks at its ends and with single blanks inside has a word more than blanks.
     odd = reduce(lambda a, b: a | b, (F.contains(text, F.lit(x)) for x in ("  ", "\t", "\x0b", "\x0c", "\r")))
-    return F.when(odd, of(lambda u: F.size(F.split(u, f"[{BLANKS}]+")))).otherwise(of(lambda u: F.octet_length(u) - F.octet_length(F.replace(u, F.lit(" "), F.lit(""))) + 1))
-
 
-def windows(text: Column) -> Column:
-    """All windows of a text, an array of structs: gram and second (two hashes), mark (the fingerprint), first and last unit.
+    def of(parts: Column, words) -> Column:
+        # A unit that is a window of its own has a second hash; in longer windows several hashes would have to agree by chance.
+        second = lambda u, n: F.when(n >= RUN_WORDS, F.xxhash64(F.lit(1), u)).otherwise(0)
+        bare = F.filter(F.transform(parts, lambda u: F.btrim(u, blanks)), lambda u: u != "")
+        return F.transform(bare, lambda u: F.struct(F.xxhash64(u).alias("hash"), second(u, words(u)).alias("second"), words(u).alias("words")))
 
-    A run takes the units without words that follow it along, so last is the place
-    before the next unit with a word.
-    """
-
-    def length(w: Column, i: Column) -> Column:
-        """The number of units in the window from unit i on, null if it has too few words."""
-        total, found = None, None
-        for k in range(FEW):
-            own = F.get(w, i + k)
-            total = own if total is None else total + own
-            found = F.when(total >= RUN_WORDS, k + 1) if found is None else found.when(total >= RUN_WORDS, k + 1)
-        start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("k"))
-        grown = F.aggregate(F.slice(w, i + 1, RUN_WORDS), start, lambda s, x: F.when(s["n"] >= RUN_WORDS, s).otherwise(F.struct((s["n"] + x).alias("n"), (s["k"] + 1).alias("k"))))
-        return found.otherwise(let(grown, lambda s: F.when(s["n"] >= RUN_WORDS, s["k"])))
-
-    def full(u: Column, lengths: Column, parts: Column) -> Column:
-        """Windows from their first unit on, and those from their last one back that end between two of them."""
+    split = lambda u: F.size(F.split(u, f"[{BLANKS}]+"))
+    count = lambda u: (F.octet_length(u) - F.octet_length(F.replace(u, F.lit(" "), F.lit(""))) + 1)
+    made = let(units(F.col("text")), lambda p: F.when(odd, of(p, split)).otherwise(of(p, count)))
+    found = docs.select("doc_id", F.xxhash64("text").alias("same"), made.alias("made"))
+    return found.select("doc_id", "same", *(F.col(f"made.{f}").alias(n) for n, f in {"hashes": "hash", "seconds": "second", "words": "words"}.items()))
 
-        def made(i: Column, m: Column) -> Column:
-            hashes = F.slice(u["hash"], i + 1, m)
-            last = F.coalesce(F.get(u["place"], i + m) - 1, F.size(parts) - 1)
-            return let(hashes, lambda h: F.struct(F.xxhash64(h).alias("gram"), F.xxhash64(F.slice(u["second"], i + 1, m)).alias("second"), F.array_min(h).alias("mark"), F.get(u["place"], i).alias("first"), last.alias("last")))
 
-        def of(k: Column, i: Column) -> Column:
-            most = F.greatest(k, F.coalesce(F.get(lengths, i + 1), F.size(lengths) - i))
-            return F.when(k.isNotNull(), F.transform(F.sequence(k, most), lambda m: made(i, m)))
+def windows(docs: DataFrame) -> DataFrame:
+    """doc_id, same, repeats, and all windows: gram and second (two hashes), mark (the fingerprint), first and last unit.
 
-        return F.flatten(F.filter(F.transform(lengths, of), lambda x: x.isNotNull()))
-
-    fields = ("words", "hash", "second", "place")
-    apart = lambda a: F.struct(*(a[f].alias(f) for f in fields))
-    return let(units(text), lambda p: let(counted(F.coalesce(text, F.lit("")), p), lambda a: let(apart(a), lambda u: let(F.transform(u["words"], lambda x, i: length(u["words"], i)), lambda k: full(u, k, p)))))
+    Units are counted without those that have no word. repeats tells documents
+    that hold a unit twice: others can't hold a window twice.
+    """
+    twice = let(F.col("hashes"), lambda h: F.size(F.array_distinct(h)) < F.size(h))
+    # A unit of no words at the end of each document lets its last unit be one before.
+    zero = {"hashes": F.lit(0).cast("long"), "seconds": F.lit(0).cast("long"), "words": F.lit(0)}
+    rows = hashed(docs).filter(F.size("hashes") > 0).select("doc_id", "same", twice.alias("repeats"), *(F.concat(c, F.array(v)).alias(c) for c, v in zero.items()), F.monotonically_increasing_id().alias("row"))
+    # The arrays are dealt by row, not their units: the windows below need no other exchange.
+    kept = ("doc_id", "same", "repeats", "row")
+    each = rows.repartition("row").select(*kept, F.posexplode(F.arrays_zip(*zero)).alias("at", "u"))
+    each = each.select(*kept, "at", F.col("u.hashes").alias("hash"), F.col("u.seconds").alias("second"), F.col("u.words").alias("words"))
+    own = W.partitionBy("row").orderBy("at")
+    each = each.withColumns({"begins": F.sum("words").over(own) - F.col("words"), **{f"past_{c}": F.lag(c).over(own) for c in ("hash", "words")}})
+    # The units from this one on that begin within RUN_WORDS words; and those before this one that end within as many.
+    spread = W.partitionBy("row").orderBy("begins")
+    ahead, behind = spread.rangeBetween(0, RUN_WORDS - 1), spread.rangeBetween(1 - RUN_WORDS, 0)
+    both = each.withColumns({
+        "ahead": F.collect_list("hash").over(ahead), "n_ahead": F.sum("words").over(ahead),
+        "behind": F.collect_list("past_hash").over(behind), "n_behind": F.sum("past_words").over(behind),
+    })
+
+    def window(hashes: str, second: Column, first: Column) -> Column:
+        return F.struct(F.xxhash64(hashes).alias("gram"), second.alias("second"), F.array_min(hashes).alias("mark"), first.cast("int").alias("first"), (first + F.size(hashes) - 1).cast("int").alias("last"))
+
+    forward = F.when(F.col("n_ahead") >= RUN_WORDS, window("ahead", F.when(F.size("ahead") == 1, F.col("second")).otherwise(0), F.col("at")))
+    # A window from its last unit back is also one from its first unit on, unless it has enough words without the last; then it has several units.
+    backward = F.when(F.col("n_behind") - F.col("past_words") >= RUN_WORDS, window("behind", F.lit(0).cast("long"), F.col("at") - F.size("behind")))
+    found = both.select("doc_id", "same", "repeats", F.explode(F.filter(F.array(forward, backward), lambda g: g.isNotNull())).alias("g"))
+    return found.select("doc_id", "same", "repeats", "g.*")
 
 
 def runs(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, same and the runs (array of first and last place) to delete, for each document that has any."""
+    """doc_id, same and the runs (array of first and last unit, of those with a word) to delete, for each document that has any."""
     # Documents are told apart by doc_id and the hash of their text; equal rows are one document.
-    every = docs.filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("same"), windows(F.col("text")).alias("all"))
-    repeats = let(F.transform("all", lambda w: w["gram"]), lambda g: F.size(F.array_distinct(g)) < F.size(g))
-    grams = stage(spark, every.withColumn("repeats", repeats).select("doc_id", "same", "repeats", F.explode("all").alias("w")).select("doc_id", "same", "repeats", "w.*"), "grams")
+    grams = stage(spark, windows(docs.filter("doc_id is not null")), "grams")
 
     # Of each window all occurrences but the first go; repeats inside a document need no comparison with others.
     inside = grams.filter("repeats").drop("repeats").distinct()
@@ -151,7 +148,10 @@ def shortened(spark: SparkSession, docs: DataFrame) -> DataFrame:
     joined = source.join(found.hint("merge"), (F.col("id") == F.col("of_id")) & (F.col("same") == F.col("of_text")), "left")
 
     def left(parts: Column) -> Column:
-        return F.filter(parts, lambda u, i: ~F.exists(F.col("runs"), lambda r: (i >= r["first"]) & (i <= r["last"])))
+        """The units outside the runs; those without a word between two of a run go with it."""
+        worded = F.filter(F.transform(parts, lambda u, i: F.when(F.btrim(u, F.lit(" \t\n\x0b\x0c\r")) != "", i)), lambda i: i.isNotNull())
+        places = let(worded, lambda w: F.transform("runs", lambda r: F.struct(F.get(w, r["first"]).alias("first"), F.get(w, r["last"]).alias("last"))))
+        return let(places, lambda p: F.filter(parts, lambda u, i: ~F.exists(p, lambda r: (i >= r["first"]) & (i <= r["last"]))))
 
     cut = joined.withColumn("left", F.when(F.col("runs").isNotNull(), left(units(F.col("text")))))
     removed = F.when(F.col("runs").isNotNull(), F.size(units(F.col("text"))) - F.size("left")).otherwise(0).cast("long")
