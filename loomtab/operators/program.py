@@ -125,7 +125,7 @@ def fit(df: DataFrame, target: str, numbers: list[str], categories: list[str], s
     program.mixing = [[round(float(x), 5) for x in row[: k + 1]] for k, row in enumerate(lower)]
     penalty = np.eye(size - 1) * ridge * n
     penalty[0, 0] = 0
-    program.weights = [round(float(x), 6) for x in np.linalg.solve(g[:-1, :-1] + penalty, g[:-1, -1])]
+    program.weights = [round(float(x), 6) for x in np.linalg.lstsq(g[:-1, :-1] + penalty, g[:-1, -1], rcond=None)[0]]
     fitted = predict(df, program, "__y").select((F.col(target).cast("double") - F.col("__y")).alias("e"))
     found = quantiles(fitted.select(F.col("e").alias("value")), [], "value", RESIDUAL_KNOTS.tolist()).first()
     program.residuals = [round(x, 6) for x in (found["q"] if found else None) or [0.0] * 9]

@@ -192,3 +192,27 @@ def landmark_panel(spark, sf_dir):
     items = load(spark, sf_dir, "lineitem").select(key, "l_quantity", F.when(F.col("l_linenumber") != 3, F.col("l_discount")).alias("l_discount"), y.alias("y"))
     members = [m for m, family in landmarks.PANEL.items() if family in ("additive", "interaction", "kernel", "missingness", "dominance") or m == "lin_quarter"]
     return rounded(landmarks.signature(spark, items, "key", ["l_quantity", "l_discount"], "y", members))
+
+
+def flagged(spark, sf_dir):
+    """lineitem with a class that its numbers tell in part."""
+    score = F.col("l_quantity") / 10 + F.col("l_discount") * 30 + F.when(F.col("l_linestatus") == "O", 1).otherwise(0) + (F.col("l_partkey") % 7) / 2
+    key = F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("key")
+    return load(spark, sf_dir, "lineitem").select(key, "l_quantity", "l_discount", "l_linestatus", F.when(score > 7, "high").when(score > 4.5, "middle").otherwise("low").alias("class"))
+
+
+@query()
+def class_program_retention(spark, sf_dir):
+    from loomtab.operators import classes
+
+    return rounded(classes.class_retention(spark, flagged(spark, sf_dir), "key", "class", ["l_quantity", "l_discount"], ["l_linestatus"]))
+
+
+@query(
+    """SELECT 'l_linenumber' AS "column", 'uint16' AS storage UNION ALL SELECT 'is_return', 'bits' UNION ALL SELECT 'l_discount', 'grid' UNION ALL SELECT 'l_extendedprice', 'float64'"""
+)
+def storage_plan(spark, sf_dir):
+    from loomtab.sources import files
+
+    items = load(spark, sf_dir, "lineitem").select("l_linenumber", (F.col("l_returnflag") == "R").cast("int").alias("is_return"), "l_discount", "l_extendedprice")
+    return files.storage_plan(items)

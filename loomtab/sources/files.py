@@ -71,3 +71,50 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.json(path)
+
+
+def storage_plan(df: DataFrame, grid: int = 256) -> DataFrame:
+    """column and storage of numeric columns: bits (0 and 1), uint16 (whole numbers of that range), grid (so few distinct values), float32 where that loses nothing, else float64."""
+    aggs = []
+    for c in df.columns:
+        x = F.col(f"`{c}`").cast("double")
+        kind = (
+            F.when(F.count_if((x != 0) & (x != 1)) == 0, "bits")
+            .when(F.count_if((x != F.floor(x)) | (x < 0) | (x > 65535)) == 0, "uint16")
+            .when(F.count_distinct(x) <= grid, "grid")
+            .when(F.count_if(x.cast("float").cast("double") != x) == 0, "float32")
+            .otherwise("float64")
+        )
+        aggs.append(F.struct(F.lit(c).alias("column"), kind.alias("storage")))
+    return df.agg(F.array(*aggs).alias("all")).select(F.explode("all").alias("c")).select("c.*")
+
+
+def write_packed(df: DataFrame, path: str, task: str, order: str) -> None:
+    """A folder for each task, rows in order within each file, columns in the types of their storage plan."""
+    types = {"bits": "boolean", "uint16": "int", "grid": "double", "float32": "float", "float64": "double"}
+    numbers = [c for c, t in df.dtypes if t in ("double", "float", "int", "bigint") and c not in (task, order)]
+    plan = {r["column"]: types[r["storage"]] for r in storage_plan(df.select(*numbers)).collect()}
+    packed = df.select(*(F.col(f"`{c}`").cast(plan[c]).alias(c) if c in plan else F.col(f"`{c}`") for c in df.columns))
+    packed.repartition(task).sortWithinPartitions(task, order).write.partitionBy(task).parquet(path)
+
+
+def read_packed(spark: SparkSession, path: str) -> DataFrame:
+    """A packed corpus with booleans as numbers again."""
+    df = spark.read.parquet(path)
+    return df.select(*(F.col(f"`{c}`").cast("int").alias(c) if t == "boolean" else F.col(f"`{c}`") for c, t in df.dtypes))
+
+
+def raw_output(df: DataFrame, numbers: dict[str, tuple[float, float, bool, bool]], levels: dict[str, list[str]]) -> DataFrame:
+    """Unit codes as cells in original units: numbers by (lo, hi, logged, whole), categories by the nearest of their evenly spaced levels; missing codes stay missing."""
+    out = []
+    for c in df.columns:
+        u = F.col(f"`{c}`")
+        if c in numbers:
+            lo, hi, logged, whole = numbers[c]
+            out.append(cells.format_number(cells.from_unit(u, F.lit(lo), F.lit(hi), F.lit(logged), whole)).alias(c))
+        elif c in levels:
+            at = F.least(F.lit(len(levels[c]) - 1), F.greatest(F.lit(0), F.floor(u * (len(levels[c]) - 1) + 0.5))).cast("int")
+            out.append(F.get(F.array(*map(F.lit, levels[c])), at).alias(c))
+        else:
+            out.append(u)
+    return df.select(*out)

@@ -248,3 +248,32 @@ def test_noise_of_few_rows_is_the_deviation(spark):
     found = boosting.noise_scale(rows, "r", ["x"])
     assert found["coefficients"][1] == 0.0 and math.exp(found["coefficients"][0]) == pytest.approx(0.1)
     assert pd.Series(found["knots"]).is_monotonic_increasing
+
+
+def test_class_programs_learn_sample_and_retain(spark):
+    from loomtab.operators import classes
+
+    rng = np.random.default_rng(3)
+    x, c = rng.normal(size=3000), rng.choice(["u", "v"], 3000)
+    y = np.where(x + (c == "u") + 0.5 * rng.normal(size=3000) > 1, "hi", np.where(x < -0.5, "lo", "mid"))
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(3000), "x": x, "c": c, "y": y}))
+    fitted = classes.fit(df, "y", ["x"], ["c"])
+    assert fitted.labels == ["hi", "lo", "mid"]
+    scored = classes.predict(df, fitted).toPandas()
+    p = np.array(scored["probabilities"].tolist())
+    assert np.allclose(p.sum(1), 1) and (np.array(fitted.labels)[p.argmax(1)] == scored["y"]).mean() > 0.75
+    made = classes.sample(spark, fitted, 3000).toPandas()
+    assert all(abs((made["y"] == k).mean() - (y == k).mean()) < 0.05 for k in fitted.labels)
+    found = classes.class_retention(spark, df, "id", "y", ["x"], ["c"], rows=3000).first()
+    assert found["real_loss"] < 0.8 * found["null_loss"] and found["retention"] > 0.85
+    assert classes.fit(df.filter("false"), "y", ["x"], ["c"]).labels == []
+
+
+def test_packed_and_raw_tables_come_back(spark, tmp_path):
+    rows = spark.createDataFrame([(k % 2, k, k % 2, 0.25 * (k % 3), 0.1 * k) for k in range(20)], "task int, id long, bit int, level double, x double")
+    files.write_packed(rows, str(tmp_path / "packed"), "task", "id")
+    back = files.read_packed(spark, str(tmp_path / "packed")).select(rows.columns)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
+    units = spark.createDataFrame([(0.5, 1.0, None), (0.25, 0.0, 1.0)], "a double, c double, n double")
+    raw = files.raw_output(units, {"a": (0.0, 10.0, False, False), "n": (0.0, math.log1p(99), True, True)}, {"c": ["x", "y"]})
+    assert [tuple(r) for r in raw.collect()] == [("5", "y", None), ("2.5", "x", "99")]
