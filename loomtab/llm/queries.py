@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, license_scan, line_dedup, near_dup, packing, permutation_index, pii, quality_classifier, quality_rules, warc
+from . import bpe, fill_in_middle, hard_negatives, license_scan, line_dedup, near_dup, packing, permutation_index, pii, quality_classifier, quality_rules, url_filter, warc
 from .common import table
 
 
@@ -62,6 +62,20 @@ def op10_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.search(spark, table(spark, sf_dir, "embeddings"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.transform(spark, table(spark, sf_dir, "documents"), digests=True)
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    rules = url_filter.mine(spark, url_filter.labelled(pages, table(spark, sf_dir, "labels")))
+    return url_filter.judge(spark, pages.select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict", "mined")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(spark, table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -75,6 +89,9 @@ QUERIES = {
         op8_license_scan,
         op9_quality_classifier,
         op10_permutation_index,
+        op11_fill_in_middle,
+        op12_url_filter,
+        op13_hard_negatives,
     )
 }
 
@@ -143,5 +160,69 @@ ruled AS (SELECT doc_id, s, n, list_filter([{_rules}], lambda x: x IS NOT NULL)
 SELECT doc_id, array_to_string(s || n, ',') AS sentence_ids,
        CASE WHEN len(g) > 0 THEN array_to_string(list_filter(g, lambda x, i: list_position(g, x) = i), ',') WHEN list_contains(n, 'reserved') THEN 'proprietary' ELSE '' END AS licenses
 FROM ruled
+""",
+    "op11_fill_in_middle": r"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+units AS (
+  SELECT *, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS u, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4
+  FROM docs),
+cuts AS (
+  SELECT doc_id, t, u, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM units),
+made AS (SELECT doc_id, t, n, form, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:n], '') AS s FROM cuts)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
+       sha256(CASE form WHEN 'plain' THEN t ELSE p || m || s END) AS restored_sha256
+FROM made
+""",
+    "op12_url_filter": rf"""
+WITH rest AS (
+  SELECT row_number() OVER () AS rid, page_id, url, coalesce(url, '') AS t, regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1) AS r FROM pages),
+split AS (
+  SELECT rid, page_id, url, t, translate(regexp_extract(r, '^([^/?#]*)', 1), '{url_filter.UPPER}', '{url_filter.LOWER}') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+slots AS (
+  SELECT *, list_reverse(string_split(host, '.')) AS h, list_filter(string_split(path, '/'), lambda x: x <> '') AS f, regexp_extract(path, '\.([A-Za-z0-9]+)$', 1) AS e,
+         list_sort(list_distinct(list_filter(list_transform(string_split(regexp_extract(t, '(?s)^[^?#]*\?([^#]*)', 1), '&'), lambda x: regexp_extract(x, '(?s)^([^=]*)', 1)), lambda x: x <> ''))) AS q,
+         regexp_replace(regexp_extract(t, '(?s)#(.*)$', 1), '[0-9]+', '0', 'g') AS g
+  FROM split),
+urls AS (
+  SELECT rid, page_id, url, host, path, CASE WHEN host = '' THEN [] ELSE list_sort(list_filter([
+           'scheme ' || translate(regexp_extract(t, '(?s)^(.*?)://', 1), '{url_filter.UPPER}', '{url_filter.LOWER}'), {", ".join(f"'host{k} ' || h[{k + 1}]" for k in range(url_filter.HOST_SLOTS))},
+           {", ".join(f"'path{k} ' || regexp_replace(f[{k + 1}], '[0-9]+', '0', 'g')" for k in range(url_filter.PATH_SLOTS))},
+           'ending ' || nullif(e, ''), CASE WHEN len(q) > 0 THEN 'query ' || array_to_string(q, ' ') END, 'fragment ' || nullif(g, '')], lambda x: x IS NOT NULL)) END AS k
+  FROM slots),
+judged AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS blocked FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+examples AS (SELECT DISTINCT url, k, blocked FROM urls JOIN judged ON page_id = doc_id WHERE len(k) > 0),
+total AS (SELECT count(*) AS n, sum(blocked) AS b FROM examples),
+combos AS (
+  SELECT list_filter(k, lambda x, i: (mask >> (i - 1)::BIGINT) & 1 = 1) AS c, blocked FROM (SELECT k, blocked, unnest(range(1, 1 << len(k))) AS mask FROM examples)),
+counted AS (SELECT c, count(*) AS n, sum(blocked) AS b FROM combos GROUP BY c),
+rules AS (
+  SELECT c, counted.b / counted.n AS confidence, counted.b / total.n AS support FROM counted, total
+  WHERE counted.b >= ceil(greatest({url_filter.LEAST_SUPPORT}::DOUBLE, {url_filter.LEAST_COUNT}::DOUBLE / total.n) * total.n) AND counted.b / counted.n >= {url_filter.LEAST_CONFIDENCE}::DOUBLE
+    AND counted.b / counted.n / (total.b / total.n) >= {url_filter.LEAST_LIFT}::DOUBLE),
+met AS (
+  SELECT rid, min(r) AS r FROM (SELECT urls.rid, {{'a': -confidence, 'b': -support, 'l': len(c), 'c': c}} AS r FROM urls JOIN rules ON list_has_all(urls.k, rules.c)) GROUP BY rid),
+given AS (SELECT rid, max_by({{'rule': rule, 'verdict': verdict}}, length(rule)) AS g
+  FROM urls JOIN (VALUES {", ".join(f"('{r}', '{v}')" for r, v in url_filter.GIVEN)}) AS x(rule, verdict)
+    ON ('.' || host) LIKE '%.' || split_part(rule, '/', 1) AND starts_with(path, substr(rule, instr(rule, '/'))) GROUP BY rid)
+SELECT page_id, host, path, g.rule AS rule, CASE WHEN g IS NOT NULL THEN g.verdict WHEN r IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, array_to_string(r.c, ' & ') AS mined
+FROM urls LEFT JOIN met USING (rid) LEFT JOIN given USING (rid)
+""",
+    "op13_hard_negatives": r"""
+WITH rows AS (
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.rid AS anchor, a.vec_id AS anchor_id, b.vec_id AS vec_id, b.rid AS rid, a.label = b.label AS alike, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM rows a JOIN rows b ON a.vec_id % 100 = 0 AND a.rid <> b.rid AND len(a.v) = len(b.v)),
+positives AS (SELECT * FROM scored WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, rid) <= 5),
+ranked AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor, p.rid ORDER BY n.score DESC, n.vec_id, n.rid)::INT AS rank
+  FROM positives p JOIN scored n ON n.anchor = p.anchor AND NOT n.alike AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 5
 """,
 }
