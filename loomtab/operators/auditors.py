@@ -28,10 +28,10 @@ def imputed(df: DataFrame, features: list[str], fills: dict[str, float]) -> Data
 
 def medians(df: DataFrame, features: list[str]) -> dict[str, float]:
     """Medians of the present values, 0 without any."""
-    from loomtab.operators.ranks import long_form, quantiles
+    from loomtab.operators.ranks import bracketed
 
-    found = {r["column"]: r["q"][0] for r in quantiles(long_form(df, {c: F.col(c) for c in features}), ["column"], "value", [0.5]).collect()}
-    return {c: float(found.get(c, 0.0)) for c in features}
+    found, _ = bracketed(df, {c: F.col(c) for c in features}, [0.5])
+    return {c: float(q[0]) if q else 0.0 for c, (_, q) in found.items()}
 
 
 def family_losses(real: DataFrame, synthetic: DataFrame, test: DataFrame, features: list[str], y: str) -> DataFrame:

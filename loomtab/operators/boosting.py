@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtab.functions import normal
-from loomtab.operators.columns import gram
-from loomtab.operators.ranks import quantiles
+from loomtab.operators.columns import correlation, gram
+from loomtab.operators.ranks import bracketed, quantiles
 from loomtab.session import staged
 
 LEVELS = 256
@@ -261,14 +261,14 @@ def correlation_pairs(df: DataFrame, columns: dict[str, Column], deviations: dic
         for b in names[i + 1 :]:
             x, y = columns[a].cast("double"), columns[b].cast("double")
             both = x.isNotNull() & y.isNotNull()
-            r = F.corr(F.when(both, x), F.when(both, y)) / F.lit((deviations or {}).get(a, 1.0) * (deviations or {}).get(b, 1.0))
-            pairs.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count_if(both).alias("n"), F.when(F.count_if(both) >= least, F.greatest(F.lit(-0.995), F.least(F.lit(0.995), F.coalesce(F.nanvl(r, F.lit(0.0)), F.lit(0.0))))).otherwise(0.0).alias("r")))
+            r = correlation(x, y) / F.lit((deviations or {}).get(a, 1.0) * (deviations or {}).get(b, 1.0))
+            pairs.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count_if(both).alias("n"), F.when(F.count_if(both) >= least, F.greatest(F.lit(-0.995), F.least(F.lit(0.995), r))).otherwise(0.0).alias("r")))
     return df.agg(F.array(*pairs).alias("all")).select(F.explode("all").alias("p")).select("p.*")
 
 
 def interaction_gains(df: DataFrame, columns: list[str], y: Column, fold: Column, folds: int = 4) -> DataFrame:
     """a, b and gain: how much less the cell means of two columns' median splits err on each held-out fold than the fold's mean."""
-    cut = {r["column"]: r["q"][0] for r in quantiles(long(df, columns), ["column"], "value", [0.5]).collect()}
+    cut = {c: q[0] if q else 0.0 for c, (_, q) in bracketed(df, {c: F.col(c) for c in columns}, [0.5])[0].items()}
     rows = staged(df.select(fold.alias("fold"), y.cast("double").alias("y"), *((F.col(c) > cut[c]).alias(c) for c in columns)), "rows")
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     cells = rows.select("fold", "y", F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.concat(F.col(a).cast("string"), F.col(b).cast("string")).alias("cell")) for a, b in pairs))).alias("p"))
@@ -283,9 +283,3 @@ def interaction_gains(df: DataFrame, columns: list[str], y: Column, fold: Column
     error = lambda m: F.col("q") - 2 * m * F.col("s") + m * m * F.col("n")
     judged = sums.select("a", "b", error(base).alias("null_error"), error(mean).alias("error"))
     return judged.groupBy("a", "b").agg((1 - F.try_divide(F.sum("error"), F.sum("null_error"))).alias("gain"))
-
-
-def long(df: DataFrame, columns: list[str]) -> DataFrame:
-    from loomtab.operators.ranks import long_form
-
-    return long_form(df, {c: F.col(c) for c in columns})

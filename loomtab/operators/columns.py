@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomtab.session import staged
-
-from .ranks import long_form, quantiles, running_sum
+from .ranks import bracketed, column_quantiles, long_form, quantiles, running_sum
 
 QUANTILES = [0.05, 0.25, 0.5, 0.75, 0.95]
 
@@ -16,9 +14,9 @@ QUANTILES = [0.05, 0.25, 0.5, 0.75, 0.95]
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row for each numeric column: rows, missing share, distinct values, moments and quantiles.
 
-    One aggregation has the moments; values are counted once for their number and
-    quantiles. A column without values has null moments and quantiles, an empty
-    table a missing share of 0.
+    Moments come with the pass that brackets the quantiles; only the number of
+    distinct values takes a shuffle of them. A column without values has null
+    moments and quantiles, an empty table a missing share of 0.
     """
     aggs = []
     for c in columns:
@@ -29,27 +27,38 @@ def profile(df: DataFrame, columns: list[str]) -> DataFrame:
                 F.min(x).alias("min_value"), F.max(x).alias("max_value"), F.avg(x).alias("mean_value"), F.var_pop(x).alias("variance"), F.skewness(x).alias("skew"),
             )
         )
-    whole = df.agg(F.array(*aggs).alias("all")).select(F.explode("all").alias("p")).select("p.*")
-    levels = quantiles(long_form(df, {c: F.col(c) for c in columns}), ["column"], "value", QUANTILES)
-    both = whole.join(F.broadcast(levels), "column", "left")  # a row for each column
+    every = {c: F.col(c) for c in columns}
+    found, more = bracketed(df, every, QUANTILES, [F.array(*aggs).alias("all")])
     names = ["q05", "q25", "q50", "q75", "q95"]
-    return both.select(*whole.columns, F.coalesce("levels", F.lit(0)).alias("n_distinct"), *(F.col("q")[k].alias(n) for k, n in enumerate(names)))
+    kinds = "column string, n_rows long, missing_share double, min_value double, max_value double, mean_value double, variance double, skew double"
+    rows = [(*r, *(found[r["column"]][1] or [None] * 5)) for r in more["all"]]
+    whole = df.sparkSession.createDataFrame(rows, f"{kinds}, {', '.join(f'{n} double' for n in names)}")
+    values = long_form(df, every).filter("value is not null").distinct().groupBy("column").agg(F.count("*").alias("n_distinct"))
+    both = whole.join(F.broadcast(values), "column", "left")  # a row for each column
+    return both.select(*kinds.replace(" string", "").replace(" long", "").replace(" double", "").split(", "), F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"), *names)
 
 
 def robust_scale(df: DataFrame, column: str) -> DataFrame:
-    """lo, hi and whether the logarithm is taken: the 0.5 % and 99.5 % quantiles, of log(1 + x) if x >= 0 is skewed beyond 2.
+    return robust_scales(df, [column]).select("logged", "lo", "hi")
+
+
+def robust_scales(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, logged, lo, hi, median and missing: the 0.5 % and 99.5 % quantiles, of log(1 + x) if x >= 0 is skewed beyond 2.
 
     Where both quantiles agree, least and most take their place, and where these
-    agree, too, hi is lo + 1.
+    agree, too, hi is lo + 1. missing tells whether a cell is. One call serves
+    all columns.
     """
-    x = F.col(column).cast("double")
-    found = df.agg(F.min(x).alias("least"), F.max(x).alias("most"), F.skewness(x).alias("skew"))
-    cuts = quantiles(df.select(x.alias("value")), [], "value", [0.005, 0.995]).select("q")
+    every = {c: F.col(c).cast("double") for c in columns}
+    stats = F.array(*(F.struct(F.min(x).alias("least"), F.max(x).alias("most"), F.skewness(x).alias("skew"), (F.count_if(x.isNull()) > 0).alias("missing")) for x in every.values()))
+    cuts, more = bracketed(df, every, [0.005, 0.5, 0.995], [stats.alias("all")])
+    rows = [(c, *m, cuts[c][1] and [cuts[c][1][0], cuts[c][1][2]], cuts[c][1] and cuts[c][1][1]) for c, m in zip(columns, more["all"], strict=True)]
+    found = df.sparkSession.createDataFrame(rows, "column string, least double, most double, skew double, missing boolean, q array<double>, median double")
     log = (F.col("least") >= 0) & (F.coalesce("skew", F.lit(0.0)) > 2)
     scale = lambda v: F.when(log, F.log1p(F.greatest(v, F.lit(0.0)))).otherwise(v)
     lo, hi = scale(F.col("q")[0]), scale(F.col("q")[1])
     narrow = hi - lo <= 1e-12 * (1 + F.abs(lo))
-    ends = found.join(F.broadcast(cuts), how="left").select(log.alias("logged"), F.when(narrow, scale(F.col("least"))).otherwise(lo).alias("lo"), F.when(narrow, scale(F.col("most"))).otherwise(hi).alias("hi"))
+    ends = found.select("column", "median", "missing", log.alias("logged"), F.when(narrow, scale(F.col("least"))).otherwise(lo).alias("lo"), F.when(narrow, scale(F.col("most"))).otherwise(hi).alias("hi"))
     return ends.withColumn("hi", F.when(F.col("hi") - F.col("lo") <= 1e-12 * (1 + F.abs("lo")), F.col("lo") + 1).otherwise(F.col("hi")))
 
 
@@ -96,23 +105,16 @@ def min_max_card(df: DataFrame, columns: list[str]) -> DataFrame:
     """Least and greatest value, median and number of missing values of each column."""
     aggs = [F.struct(F.lit(c).alias("column"), F.min(F.col(c).cast("double")).alias("lo"), F.max(F.col(c).cast("double")).alias("hi"), F.count_if(F.col(c).isNull()).alias("n_missing")) for c in columns]
     ends = df.agg(F.array(*aggs).alias("all")).select(F.explode("all").alias("p")).select("p.*")
-    fills = quantiles(long_form(df, {c: F.col(c) for c in columns}), ["column"], "value", [0.5])
+    fills = column_quantiles(df, {c: F.col(c) for c in columns}, [0.5])
     return ends.join(F.broadcast(fills), "column", "left").select("column", "lo", "hi", F.col("q")[0].alias("fill"), "n_missing")
 
 
 def median_and_deviation(df: DataFrame, column: str) -> DataFrame:
-    """The median and the median of the absolute deviations from it; deviations come from the counted values."""
-    counts = staged(df.select(F.col(column).cast("double").alias("value")).filter("value is not null").groupBy("value").agg(F.count("*").alias("n")), "counts")
-    centre = weighted_quantile(counts, "value", 0.5, "centre")
-    away = counts.join(F.broadcast(centre)).groupBy(F.abs(F.col("value") - F.col("centre")).alias("value")).agg(F.sum("n").alias("n"))
-    return centre.join(F.broadcast(weighted_quantile(away, "value", 0.5, "mad")))
-
-
-def weighted_quantile(counts: DataFrame, value: str, p: float, name: str) -> DataFrame:
-    """The quantile of values that occur n times each."""
-    from .ranks import quantiles_of_ranked, running
-
-    return quantiles_of_ranked(staged(running(counts, [], value, {"n": "upto"}), "ranked"), [], value, [p]).select(F.col("q")[0].alias(name))
+    """The median and the median of the absolute deviations from it, both null without values."""
+    x = F.col(column).cast("double")
+    centre = bracketed(df, {"x": x}, [0.5])[0]["x"][1]
+    away = bracketed(df, {"d": F.abs(x - F.lit(centre[0]))}, [0.5])[0]["d"][1] if centre else None
+    return df.sparkSession.createDataFrame([(centre and centre[0], away and away[0])], "centre double, mad double")
 
 
 def entropy(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -132,6 +134,13 @@ def binned_information(df: DataFrame, x: str, y: str, bins: int = 8) -> DataFram
     return both.agg(F.sum(F.col("n") / F.col("t") * F.ln(F.col("n") * F.col("t") / (F.col("a") * F.col("b")))).alias("information"))
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Correlation over the rows where both are present, 0 where one is constant."""
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
+    return F.coalesce(F.nanvl(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)), F.lit(0.0)), F.lit(0.0))
+
+
 def gram(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Sums of products of all pairs of columns, a row a pair, in one aggregation."""
     names = list(columns)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ranks import quantiles, running_sum, running_sums
+from .ranks import column_quantiles, running_sum, running_sums
 
 
 def ks(df: DataFrame, side: Column, column: str) -> DataFrame:
@@ -18,9 +18,9 @@ def ks(df: DataFrame, side: Column, column: str) -> DataFrame:
 
 def wasserstein(df: DataFrame, side: Column, column: str, probes: int = 64) -> DataFrame:
     """Mean distance of both sides' quantiles over a grid, null if a side is empty."""
-    sides = df.select(F.when(side, "a").otherwise("b").alias("side"), F.col(column).cast("double").alias("value"))
-    found = quantiles(sides, ["side"], "value", [(k + 0.5) / probes for k in range(probes)])
-    both = found.agg(F.max(F.when(F.col("side") == "a", F.col("q"))).alias("a"), F.max(F.when(F.col("side") == "b", F.col("q"))).alias("b"))  # two rows
+    first = F.coalesce(side, F.lit(False))
+    found = column_quantiles(df, {"a": F.when(first, F.col(column)), "b": F.when(~first, F.col(column))}, [(k + 0.5) / probes for k in range(probes)])
+    both = found.agg(F.max(F.when(F.col("column") == "a", F.col("q"))).alias("a"), F.max(F.when(F.col("column") == "b", F.col("q"))).alias("b"))  # two rows
     return both.select((F.aggregate(F.zip_with("a", "b", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x) / probes).alias("wasserstein"))
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtab.functions.cells import hashed
-from loomtab.operators.ranks import long_form, quantiles
+from loomtab.operators.columns import correlation
+from loomtab.operators.ranks import column_quantiles
 from loomtab.session import staged
 
 #: Parts of a digest that are added up, each a number of 28 bits.
@@ -42,11 +43,11 @@ def near_fingerprint(df: DataFrame, columns: dict[str, Column], target: str) ->
 
     Columns are on the unit scale.
     """
-    q = quantiles(long_form(df, columns), ["column"], "value", [k / 8 for k in range(9)])
+    q = column_quantiles(df, columns, [k / 8 for k in range(9)]).filter("total > 0")
     sketch = F.concat_ws(",", F.transform("q", lambda x: F.round(32 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))).cast("int").cast("string")))
     sketches = q.agg(F.concat_ws(";", F.array_sort(F.collect_list(sketch))).alias("sketches"))  # a row for each column
     others = [c for c in columns if c != target]
-    stats = df.agg(F.count("*").alias("n"), F.array(*(F.round(16 * F.coalesce(F.corr(columns[c].cast("double"), columns[target].cast("double")), F.lit(0.0))).cast("int") for c in others)).alias("r"))
+    stats = df.agg(F.count("*").alias("n"), F.array(*(F.round(16 * correlation(columns[c], columns[target])).cast("int") for c in others)).alias("r"))
     power = F.ceil(F.log2(F.greatest("n", F.lit(1)).cast("double"))).cast("int").cast("string")
     return stats.join(F.broadcast(sketches)).select(F.concat_ws("|", power, F.lit(str(len(others))), "sketches", F.concat_ws(",", F.transform(F.array_sort("r"), lambda x: x.cast("string")))).alias("near"))
 
@@ -67,10 +68,14 @@ def origin(path: Column) -> Column:
 
 
 def first_of_each(inventory: DataFrame, key: str, fingerprint: str, group: str) -> DataFrame:
-    """inventory with the first key of its fingerprint, whether it is that, and that one's group, which its duplicates inherit."""
-    first = inventory.groupBy(fingerprint).agg(F.min(F.struct(key, group)).alias("__f"))
-    joined = inventory.join(first, fingerprint)
-    return joined.select(*inventory.columns, F.col("__f")[key].alias("first_key"), (F.col(key) == F.col("__f")[key]).alias("kept"), F.col("__f")[group].alias("lineage"))
+    """inventory with the first key of its fingerprint, whether it is that, and that one's group, which its duplicates inherit.
+
+    A row without a fingerprint is no one's duplicate; null keys come last.
+    """
+    least = F.min_by(F.struct(key, group), F.struct(F.col(key).isNull(), F.col(key), F.col(group)))
+    first = inventory.filter(F.col(fingerprint).isNotNull()).groupBy(fingerprint).agg(least.alias("__f"))
+    joined = inventory.join(first, fingerprint, "left").withColumn("__f", F.coalesce("__f", F.struct(key, group)))
+    return joined.select(*inventory.columns, F.col("__f")[key].alias("first_key"), F.col(key).eqNullSafe(F.col("__f")[key]).alias("kept"), F.col("__f")[group].alias("lineage"))
 
 
 def lineage_components(edges: DataFrame, a: str, b: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,7 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomtab.functions.cells import hashed
-from loomtab.operators.ranks import running
+from loomtab.operators.ranks import column_quantiles, null_safe, placed, running
+from loomtab.session import staged
 
 # Cumulative Poisson(1) probabilities.
 POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
@@ -65,7 +67,7 @@ def weighted_cvar(df: DataFrame, group: str, loss: str, weight: str, alpha: floa
     total = counts.groupBy(group).agg(F.sum("__w").alias("__total"))
     share = lambda c: F.col(c) / F.col("__total")
     take = F.greatest(F.lit(0.0), F.least(share("__w"), F.lit(1 - alpha) - (share("__upto") - share("__w"))))
-    return summed.join(total, group).groupBy(group).agg((F.sum(-F.col("__order") * take) / (1 - alpha)).alias("cvar"))
+    return null_safe(summed, total, [group]).groupBy(group).agg((F.sum(-F.col("__order") * take) / (1 - alpha)).alias("cvar"))
 
 
 def btr_auc(ledger: DataFrame, method: str, config: str, seed: str, size: str, robust: str, budgets: list[int]) -> DataFrame:
@@ -116,12 +118,24 @@ def choice_regret(losses: DataFrame, group: str, candidate: str, validation: str
 
 
 def sign_test(wins: Column, losses: Column) -> Column:
-    """The two-sided probability of a split as uneven by fair coins, 1 without games; ties are left out before."""
-    n, k = wins + losses, F.least(wins, losses)
-    # Terms of the binomial sum, each from the one before.
-    start = F.struct(F.pow(F.lit(0.5), n.cast("double")).alias("term"), F.lit(0.0).alias("sum"))
-    add = lambda s, i: F.struct((s["term"] * (n - i) / (i + 1)).alias("term"), (s["sum"] + s["term"]).alias("sum"))
-    tail = F.aggregate(F.sequence(F.lit(0).cast("long"), k.cast("long")), start, add)["sum"]
+    """The two-sided probability of a split as uneven by fair coins, 1 without games; ties are left out before.
+
+    The logarithm of the tail's greatest term comes from products for few losses,
+    else from Stirling's series; the terms below are summed in parts of it, as far
+    down as twelve deviations of their number, where they are nothing.
+    """
+    n, k = (wins + losses).cast("double"), F.least(wins, losses).cast("double")
+    few = 10
+    products = F.aggregate(F.sequence(F.lit(1), F.lit(few)), F.lit(0.0), lambda s, i: s + F.when(i <= k, F.ln((n - i + 1) / i)).otherwise(0.0)) - n * F.ln(F.lit(2.0))
+    series = lambda x: 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, F.lit(5.0)))
+    part = lambda x: x * F.ln(2 * x / n)
+    stirling = -part(k) - part(n - k) + F.ln(n / (2 * math.pi * k * (n - k))) / 2 + series(n) - series(k) - series(n - k)
+    top = F.when(k < few, products).otherwise(stirling)
+    steps = F.least(k, F.ceil(12 * F.sqrt(n)) + 100).cast("int")
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("sum"))
+    # The term for i losses less than k, in parts of the term for k.
+    add = lambda s, i: F.struct((s["term"] * (k - i) / (n - k + i + 1)).alias("term"), (s["sum"] + s["term"]).alias("sum"))
+    tail = F.exp(top) * F.aggregate(F.sequence(F.lit(0), steps), start, add)["sum"]
     return F.when(n > 0, F.least(F.lit(1.0), 2 * tail)).otherwise(1.0)
 
 
@@ -154,17 +168,24 @@ def simultaneous_bounds(ledger: DataFrame, method: str, family: str, seed: str,
 
 
 def median_interval(values: DataFrame, key: str, value: str, draws: int, alpha: float = 0.05) -> DataFrame:
-    """The median and the quantiles of the medians of resamples with replacement, for a small table of contrasts.
+    """The median and the quantiles of the medians of resamples with replacement.
 
     The j-th pick of a draw is the row of the rank that the hash of both says.
+    Picks are counted by draw and rank, and a draw's median is read off its
+    counts, in the order of values: no row holds a table. Rows without a value
+    are left out; without any, all three are null.
     """
-    held = values.filter(F.col(value).isNotNull()).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(value).alias("v")))), lambda x: x["v"]).alias("all"))
-    picked = held.select("all", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    picks = picked.select("draw", F.posexplode("all").alias("j", "own"), "all")
-    rank = F.pmod(hashed(F.concat_ws(":", F.col("draw"), F.col("j"))), F.size("all"))
-    medians = picks.groupBy("draw").agg(F.median(F.get("all", rank.cast("int"))).alias("m"))
-    ends = medians.agg(F.percentile("m", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("q"))
-    return values.agg(F.median(value).alias("centre")).join(F.broadcast(ends)).select("centre", F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper"))
+    rows = staged(placed(values.filter(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).cast("double").alias("v")), "k", "v"), "places").withColumnRenamed("__place", "place")
+    n = rows.count()
+    picks = values.sparkSession.range(n).select(F.col("id").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    rank = F.pmod(hashed(F.concat_ws(":", F.col("draw"), F.col("j"))), F.lit(max(n, 1)))
+    counts = picks.groupBy("draw", rank.alias("place")).agg(F.count("*").alias("c")).join(rows, "place")
+    upto = counts.withColumn("upto", F.sum("c").over(W.partitionBy("draw").orderBy("v", "place")))
+    middle = upto.filter((F.col("upto") > (n - 1) // 2) & (F.col("upto") - F.col("c") <= n // 2))
+    medians = middle.groupBy("draw").agg(((F.min("v") + F.max("v")) / 2).alias("m"))
+    ends = medians.agg(F.percentile("m", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("q"))  # a value for each draw
+    centre = column_quantiles(rows, {"v": F.col("v")}, [0.5]).select(F.col("q")[0].alias("centre"))
+    return centre.join(F.broadcast(ends)).select("centre", F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper"))
 
 
 def composite(df: DataFrame, weights: dict[str, float], gates: list[Column], epsilon: float = 1e-6) -> Column:

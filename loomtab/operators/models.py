@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomtab.functions.cells import hashed
-from loomtab.operators.columns import gram
+from loomtab.operators.columns import correlation, gram
 
 
 #: Rows of a block within which a column is shuffled.
@@ -56,9 +56,9 @@ def permutation_importance(df: DataFrame, key: str, weights: dict[str, float], c
 
 
 def chow_liu(df: DataFrame, columns: list[str], spark: SparkSession) -> DataFrame:
-    """Edges of the maximum spanning tree of -ln(1 - r^2) / 2 over the columns' correlations, grown from the first column."""
+    """Edges of the maximum spanning tree of -ln(1 - r^2) / 2 over the columns' correlations, grown from the first column; a constant column has none."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    found = df.agg(*(F.coalesce(F.corr(a, b), F.lit(0.0)).alias(f"r{k}") for k, (a, b) in enumerate(pairs))).first()
+    found = df.agg(*(correlation(F.col(a), F.col(b)).alias(f"r{k}") for k, (a, b) in enumerate(pairs))).first()
     weight = {}
     for k, (a, b) in enumerate(pairs):
         weight[a, b] = weight[b, a] = -0.5 * np.log(max(1 - found[f"r{k}"] ** 2, 1e-12))

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomtab.functions import cells
-from loomtab.operators.ranks import long_form, quantiles, quantiles_of_ranked, running
+from loomtab.operators.ranks import bracketed, column_quantiles, long_form, quantiles
 from loomtab.session import staged
 
 # Probabilities of the scalers' nine knots, and the normal quantiles at them.
@@ -26,47 +26,46 @@ def fit_scalers(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
     Kinds are constant (also without values), binary, log (skewed, heavy or
     long-tailed: signed logarithms of robustly scaled distances from the median)
-    and robust. Values are counted once; medians of distances and moments of
-    logarithms come from the counts.
+    and robust. Moments and brackets of the quantiles come from one pass over all
+    columns, medians of distances from another, moments of logarithms from a third.
     """
-    rows = df.agg(F.count("*").alias("n_rows"))
-    counts = staged(long_form(df, columns).filter("value is not null and not isnan(value) and abs(value) < double('inf')").groupBy("column", "value").agg(F.count("*").alias("n")), "counts")
-    ranked = staged(running(counts, ["column"], "value", {"n": "upto"}), "ranked")
-    q = quantiles_of_ranked(ranked, ["column"], "value", QUANTILE_GRID).select("column", "levels", "q")
-    x, n = F.col("value"), F.col("n")
-    means = counts.groupBy("column").agg(F.sum("n").alias("present"), (F.sum(x * n) / F.sum("n")).alias("mean"))
-    off = counts.join(F.broadcast(means), "column").withColumn("d", x - F.col("mean"))
-    power = lambda k: F.sum(F.pow("d", F.lit(k)) * n) / F.sum("n")
-    moments = off.groupBy("column").agg(F.first("present").alias("present"), F.first("mean").alias("mean"), F.sqrt(power(2)).alias("sd"), power(3).alias("m3"), power(4).alias("m4"))
-    known = moments.join(F.broadcast(q), "column")
-    away = counts.join(F.broadcast(q.select("column", F.col("q")[4].alias("median"))), "column").groupBy("column", F.abs(x - F.col("median")).alias("value")).agg(F.sum("n").alias("n"))
-    spread = quantiles_of_ranked(staged(running(away, ["column"], "value", {"n": "upto"}), "ranked"), ["column"], "value", [0.5]).select("column", F.col("q")[0].alias("mad"))
-    skew = F.greatest(F.lit(-50.0), F.least(F.lit(50.0), F.coalesce(F.try_divide("m3", F.pow("sd", F.lit(3))), F.lit(0.0))))
-    kurt = F.greatest(F.lit(-50.0), F.least(F.lit(200.0), F.coalesce(F.try_divide("m4", F.pow("sd", F.lit(4))) - 3, F.lit(0.0))))
-    card = known.join(F.broadcast(spread), "column").withColumns({"skew": skew, "kurt": kurt})
-    at = lambda k: F.col("q")[k]
-    iqr = at(5) - at(3)
-    tail = F.when(iqr > 1e-9, F.try_divide(at(7) - at(1), iqr)).otherwise(1.0)
-    robust = F.greatest(iqr / NORMAL_IQR, F.col("mad") * 1.4826, F.col("sd") * 0.25, F.lit(1e-6))
-    kind = F.when(F.col("levels") <= 1, "constant").when(F.col("levels") == 2, "binary").when((F.abs("skew") > 1) | (F.col("kurt") > 4) | (tail > 4.2), "log").otherwise("robust")
-    card = staged(card.withColumns({"kind": kind, "robust": robust}), "card")
-    z = signed_log(x, F.col("centre"), F.col("robust"))
-    logs = counts.join(F.broadcast(card.filter("kind = 'log'").select("column", at(4).alias("centre"), "robust")), "column").withColumn("z", z)
-    logs = logs.groupBy("column").agg((F.sum(F.col("z") * n) / F.sum("n")).alias("lm"), F.sum("n").alias("t"), F.sum(F.col("z") * F.col("z") * n).alias("zz"))
-    logs = logs.select("column", "lm", F.greatest(F.sqrt(F.greatest(F.col("zz") / F.col("t") - F.col("lm") * F.col("lm"), F.lit(0.0))), F.lit(1e-6)).alias("ls"))
-    full = card.join(F.broadcast(logs), "column", "left").join(F.broadcast(rows))
-    by = lambda **v: F.when(F.col("kind") == "constant", v["constant"]).when(F.col("kind") == "binary", v["binary"]).when(F.col("kind") == "log", v["log"]).otherwise(v["robust"])
-    sd = F.greatest("sd", F.lit(1e-6))
-    fitted = full.select(
-        "column", "kind", (1 - F.try_divide("present", "n_rows")).alias("missing_rate"),
-        by(constant=at(4), binary=F.col("mean"), log=at(4), robust=at(4)).alias("centre"), by(constant=F.lit(1.0), binary=sd, log=F.col("robust"), robust=F.col("robust")).alias("scale"),
-        by(constant=F.lit(0.0), binary=F.lit(0.0), log=F.col("lm"), robust=F.col("mean")).alias("post_mean"), by(constant=F.lit(1.0), binary=F.lit(1.0), log=F.col("ls"), robust=sd).alias("post_std"),
-        "q", F.when(F.col("kind") == "constant", 0.0).otherwise(F.col("skew")).alias("skew"), F.when(F.col("kind") == "constant", 0.0).otherwise(F.col("kurt")).alias("kurt"),
-        by(constant=F.lit(0.35), binary=F.lit(0.0), log=F.lit(0.35), robust=F.lit(0.30)).alias("weight"),
-    )
-    every = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
-    bare = {"kind": F.lit("constant"), "missing_rate": F.lit(1.0), "centre": F.lit(0.0), "scale": F.lit(1.0), "post_mean": F.lit(0.0), "post_std": F.lit(1.0), "q": F.array(*[F.lit(0.0)] * 9), "skew": F.lit(0.0), "kurt": F.lit(0.0), "weight": F.lit(0.35)}
-    return every.join(F.broadcast(fitted), "column", "left").select("column", *(F.coalesce(F.col(c), v).alias(c) for c, v in bare.items()))
+    x = {c: F.when(~F.isnan(e.cast("double")) & (F.abs(e.cast("double")) < float("inf")), e.cast("double")) for c, e in columns.items()}
+    moments = F.array(*(F.struct(F.min(e).alias("least"), F.max(e).alias("most"), F.avg(e).alias("mean"), F.stddev_pop(e).alias("sd"), F.skewness(e).alias("skew"), F.kurtosis(e).alias("kurt")) for e in x.values()))
+    found, more = bracketed(df, x, QUANTILE_GRID, [F.count("*").alias("rows"), moments.alias("moments")])
+    cards = {}
+    for c, m in zip(x, more["moments"], strict=True):
+        total, q = found[c]
+        bare = {"kind": "constant", "missing_rate": 1.0, "centre": 0.0, "scale": 1.0, "post_mean": 0.0, "post_std": 1.0, "q": [0.0] * 9, "skew": 0.0, "kurt": 0.0, "weight": 0.35}
+        cards[c] = bare if not total else bare | m.asDict() | {"missing_rate": 1 - total / more["rows"], "q": q, "centre": q[4]}
+    # A column's kind needs the median of its distances, and whether it has a third value.
+    open_ = [c for c in x if found[c][0] and cards[c]["least"] < cards[c]["most"]]
+    third = [F.count_if((x[c] != cards[c]["least"]) & (x[c] != cards[c]["most"])).alias(f"t{k}") for k, c in enumerate(open_)]
+    away, levels = bracketed(df, {c: F.abs(x[c] - F.lit(cards[c]["q"][4])) for c in open_}, [0.5], third) if open_ else ({}, {})
+    for k, c in enumerate(open_):
+        card, q = cards[c], cards[c]["q"]
+        card["skew"] = min(max(card["skew"] or 0.0, -50.0), 50.0)
+        card["kurt"] = min(max(card["kurt"] or 0.0, -50.0), 200.0)
+        iqr, sd = q[5] - q[3], max(card["sd"], 1e-6)
+        tail = (q[7] - q[1]) / iqr if iqr > 1e-9 else 1.0
+        robust = max(iqr / NORMAL_IQR, away[c][1][0] * 1.4826, card["sd"] * 0.25, 1e-6)
+        if not levels[f"t{k}"]:
+            card |= {"kind": "binary", "centre": card["mean"], "scale": sd, "weight": 0.0}
+        elif abs(card["skew"]) > 1 or card["kurt"] > 4 or tail > 4.2:
+            card |= {"kind": "log", "scale": robust}
+        else:
+            card |= {"kind": "robust", "scale": robust, "post_mean": card["mean"], "post_std": sd, "weight": 0.30}
+    logged = [c for c in open_ if cards[c]["kind"] == "log"]
+    if logged:
+        z = {c: signed_log(x[c], F.lit(cards[c]["centre"]), F.lit(cards[c]["scale"])) for c in logged}
+        sums = df.agg(*(f(e).alias(f"{n}{k}") for k, e in enumerate(z.values()) for n, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
+        for k, c in enumerate(logged):
+            cards[c] |= {"post_mean": sums[f"m{k}"], "post_std": max(sums[f"s{k}"], 1e-6)}
+    for c in x:
+        if cards[c]["kind"] == "constant":
+            cards[c] |= {"skew": 0.0, "kurt": 0.0}
+    names = ["kind", "missing_rate", "centre", "scale", "post_mean", "post_std", "q", "skew", "kurt", "weight"]
+    schema = "column string, kind string, missing_rate double, centre double, scale double, post_mean double, post_std double, q array<double>, skew double, kurt double, weight double"
+    return df.sparkSession.createDataFrame([(c, *(cards[c][n] for n in names)) for c in x], schema)
 
 
 def signed_log(x: Column, centre: Column, scale: Column) -> Column:
@@ -177,7 +176,7 @@ def fit_card(df: DataFrame, numbers: list[str], nominals: list[str], most: int =
     """
     aggs = [F.struct(F.lit(c).alias("column"), F.min(F.col(c).cast("double")).alias("lo"), F.max(F.col(c).cast("double")).alias("hi"), (F.count_if(F.col(c).isNull()) > 0).alias("had_missing")) for c in numbers]
     ends = df.agg(F.array(*aggs).alias("all")).select(F.explode("all").alias("p")).select("p.*")
-    fills = quantiles(long_form(df, {c: F.col(c) for c in numbers}), ["column"], "value", [0.5]).select("column", F.col("q")[0].alias("fill"))
+    fills = column_quantiles(df, {c: F.col(c) for c in numbers}, [0.5]).select("column", F.col("q")[0].alias("fill"))
     ranges = ends.join(F.broadcast(fills), "column", "left").select("column", F.lit("number").alias("kind"), "lo", "hi", "fill", "had_missing", F.lit(None).cast("string").alias("level"), F.lit(None).cast("int").alias("slot"))
     for c in nominals:
         counts = df.filter(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "level").limit(most)
@@ -278,16 +277,15 @@ def model_matrix(df: DataFrame, key: str, numbers: list[str], categories: dict[s
 
     Levels not listed have no column of their own: their rows are 0 in all.
     """
-    from loomtab.operators.columns import robust_scale
+    from loomtab.operators.columns import robust_scales
 
-    fill = {r["column"]: (r["q"][0] if r["q"] else 0.0) for r in quantiles(long_form(df, {c: F.col(c) for c in numbers}), ["column"], "value", [0.5]).collect()} if numbers else {}
-    lost = df.agg(F.count("*").alias("n"), *(F.count_if(F.col(c).isNull()).alias(c) for c in numbers)).first()
+    cards = {r["column"]: r for r in robust_scales(df, numbers).collect()} if numbers else {}
     out = [F.col(key)]
     for c in numbers:
-        card = robust_scale(df, c).first()
-        x = F.coalesce(F.col(c).cast("double"), F.lit(fill.get(c, 0.0)))
+        card = cards[c]
+        x = F.coalesce(F.col(c).cast("double"), F.lit(card["median"]), F.lit(0.0))
         out.append(cells.unit(F.log1p(F.greatest(x, F.lit(0.0))) if card["logged"] else x, F.lit(card["lo"]), F.lit(card["hi"])).alias(c))
-        if lost[c]:
+        if card["missing"]:
             out.append(F.col(c).isNull().cast("double").alias(f"{c}=__missing__"))
     for c, levels in categories.items():
         out += [F.coalesce(F.col(c) == x, F.lit(False)).cast("double").alias(f"{c}={x}") for x in levels]

@@ -162,9 +162,13 @@ def p95_error(errors: DataFrame) -> DataFrame:
 
 
 def false_rejections(correlations: DataFrame, real: str, made: str, n: str, m: str) -> DataFrame:
-    """Among features without a real correlation (within 1 / sqrt(n - 3)) the share whose generated one is beyond 1.96 / sqrt(m - 3)."""
-    quiet = F.abs(real) <= 1 / F.sqrt(F.col(n) - 3)
-    return correlations.agg(F.avg(F.when(quiet, (F.abs(made) > 1.96 / F.sqrt(F.col(m) - 3)).cast("double"))).alias("type_i"), F.count_if(quiet).alias("features"))
+    """Among features without a real correlation (within 1 / sqrt(n - 3)) the share whose generated one is beyond 1.96 / sqrt(m - 3).
+
+    With three rows or fewer a bound is infinite: any real correlation is none, and no generated one is beyond.
+    """
+    error = lambda c: F.coalesce(F.try_divide(F.lit(1.0), F.sqrt(F.greatest(F.col(c) - 3, F.lit(0)).cast("double"))), F.lit(float("inf")))
+    quiet = F.abs(real) <= error(n)
+    return correlations.agg(F.avg(F.when(quiet, (F.abs(made) > 1.96 * error(m)).cast("double"))).alias("type_i"), F.count_if(quiet).alias("features"))
 
 
 def driver_overlap(correlations: DataFrame, feature: str, real: str, made: str) -> DataFrame:

@@ -22,7 +22,8 @@ from pyspark.sql import types as T
 
 from loomtab.functions import normal
 from loomtab.operators.columns import ordered_levels
-from loomtab.operators.ranks import long_form, quantiles
+from loomtab.operators.reducers import retention as retained
+from loomtab.operators.ranks import bracketed, quantiles
 
 GRID = np.linspace(-3, 3, 17)
 RESIDUAL_KNOTS = np.linspace(0.02, 0.98, 9)
@@ -97,7 +98,7 @@ def outer_sums(df: DataFrame, make, size: int) -> np.ndarray:
 def fit(df: DataFrame, target: str, numbers: list[str], categories: list[str], shrink: float = 0.04, ridge: float = 1e-3) -> Program:
     """The program of df's features and numeric target; rows without a target are left out."""
     df = df.select(target, *numbers, *categories).filter(F.col(target).isNotNull())
-    knots = {r["column"]: r["q"] for r in quantiles(long_form(df, {c: F.col(c) for c in numbers}), ["column"], "value", normal.cdf(GRID).tolist()).collect()} if numbers else {}
+    knots = {c: q for c, (_, q) in bracketed(df, {c: F.col(c) for c in numbers}, normal.cdf(GRID).tolist())[0].items()}
     summary = df.agg(
         F.count("*").alias("n"), F.min(F.col(target).cast("double")).alias("low"), F.max(F.col(target).cast("double")).alias("high"),
         *(F.count_if(F.col(c).isNull()).alias(f"m_{c}") for c in [*numbers, *categories]),
@@ -179,4 +180,4 @@ def retention(spark: SparkSession, df: DataFrame, key: str, target: str, numbers
     both = predict(predict(held, real, "__real"), made, "__made")
     y = F.col(target).cast("double")
     losses = both.agg(F.avg(F.pow(y - F.lit(mean), 2)).alias("null_loss"), F.avg(F.pow(y - F.col("__real"), 2)).alias("real_loss"), F.avg(F.pow(y - F.col("__made"), 2)).alias("synthetic_loss"))
-    return losses.select("*", ((F.col("null_loss") - F.col("synthetic_loss")) / (F.col("null_loss") - F.col("real_loss"))).alias("retention"), F.lit(len(real.encode())).alias("program_bytes"))
+    return losses.select("*", retained(F.col("null_loss"), F.col("real_loss"), F.col("synthetic_loss")).alias("retention"), F.lit(len(real.encode())).alias("program_bytes"))

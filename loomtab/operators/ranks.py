@@ -14,6 +14,20 @@ from pyspark.sql import functions as F
 
 from loomtab.session import staged
 
+#: Up to so many rows all values are counted; beyond, a sketch of this accuracy brackets each quantile first.
+COUNTED_ROWS, ACCURACY = 20_000, 10_000
+#: Bracketed values of a column that one task puts in order; more are dealt by ranges.
+ORDERED_VALUES = 200_000
+
+
+def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left joined with right on keys, null keys meeting null keys."""
+    own = right.select(*(F.col(k).alias(f"__on_{k}") if k in keys else F.col(k) for k in right.columns))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__on_{k}"))
+    return left.join(own, on, how).drop(*(f"__on_{k}" for k in keys))
+
 
 def dealt_by_range(df: DataFrame, *order: str) -> DataFrame:
     """df in ranges of order, with the range of each row as ``__range``; written, so that all readers see the same ranges."""
@@ -31,7 +45,7 @@ def running(df: DataFrame, keys: list[str], order: str, names: dict[str, str]) -
     upto = W.partitionBy(*(keys or [F.lit(0)])).orderBy("__range")
     before = totals.select("__range", *keys, *((F.sum(f"__{v}").over(upto) - F.col(f"__{v}")).alias(f"__{v}") for v in names))
     own = W.partitionBy("__range", *keys).orderBy(order)
-    joined = dealt.join(before, ["__range", *keys])
+    joined = null_safe(dealt, before, ["__range", *keys])
     return joined.withColumns({n: F.sum(v).over(own) + F.col(f"__{v}") for v, n in names.items()}).drop(*(f"__{v}" for v in names))
 
 
@@ -56,8 +70,89 @@ def long_form(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
 
 def quantiles(rows: DataFrame, keys: list[str], value: str, probabilities: list[float]) -> DataFrame:
-    """keys, total (present values), levels (distinct ones) and q, the exact quantiles (linear between order statistics)."""
-    return quantiles_of_ranked(staged(ranked_values(rows, keys, value), "ranked"), keys, value, probabilities)
+    """keys, total (present values) and q, the exact quantiles (linear between order statistics), with keys also levels (distinct values).
+
+    Null keys are a group of their own.
+    """
+    if keys:
+        return quantiles_of_ranked(staged(ranked_values(rows, keys, value), "ranked"), keys, value, probabilities)
+    return column_quantiles(rows, {"value": F.col(value)}, probabilities).filter("total > 0").drop("column")
+
+
+def column_quantiles(df: DataFrame, columns: dict[str, Column], probabilities: list[float]) -> DataFrame:
+    """A row for each column: its name, total (present values) and q, the exact quantiles, null without values."""
+    found, _ = bracketed(df, columns, probabilities)
+    return df.sparkSession.createDataFrame([(c, *found[c]) for c in columns], "column string, total long, q array<double>")
+
+
+def bracketed(df: DataFrame, columns: dict[str, Column], probabilities: list[float], more: list[Column] = ()) -> tuple[dict, dict]:
+    """(total, exact quantiles) of each column, and the values of more aggregations, which the first pass makes, too.
+
+    The first pass sketches all columns, which puts each wanted rank between two
+    values. The second counts what lies between brackets and the values inside
+    them; nothing else is shuffled, so near-unique columns cost no more than
+    others. Ranks are looked up among the values inside. A rank that its bracket
+    misses, which the sketch's bound rules out, is found by counting all values.
+    """
+    if not columns:
+        return {}, df.agg(*more).first().asDict() if more else {}
+    x = {c: e.cast("double") for c, e in columns.items()}
+    slack = 2 / ACCURACY
+    marks = sorted({min(max(p + d, 0.0), 1.0) for p in probabilities for d in (-slack, slack)})
+    sketch = [f for k, e in enumerate(x.values()) for f in (F.count(e).alias(f"__n{k}"), F.percentile_approx(e, marks, ACCURACY).alias(f"__q{k}"))]
+    first = df.agg(*sketch, *more).first().asDict()
+    totals = {c: first.pop(f"__n{k}") for k, c in enumerate(x)}
+    sketches = {c: first.pop(f"__q{k}") for k, c in enumerate(x)}
+    wanted, cells, inside = [], [], 0
+    for k, (c, e) in enumerate(x.items()):
+        n = totals[c]
+        if not n:
+            continue
+        wanted += [(k, r) for r in sorted({r for p in probabilities for r in (int(p * (n - 1)), min(int(p * (n - 1)) + 1, n - 1))})]
+        brackets = [(None, None)] if n <= COUNTED_ROWS else merged(probabilities, dict(zip(marks, sketches[c], strict=True)), slack)
+        inside += n if n <= COUNTED_ROWS else int(2 * slack * n * len(brackets))
+        cell = F.when(e.isNull(), F.lit(None))
+        for at, (low, high) in enumerate(brackets):
+            if low is not None:
+                cell = cell.when(e < low, F.struct(F.lit(at).alias("slot"), F.lit(None).cast("double").alias("value")))
+            cell = cell.when(F.lit(True) if high is None else e <= high, F.struct(F.lit(at).alias("slot"), e.alias("value")))
+        cells.append(F.struct(F.lit(k).alias("column"), cell.otherwise(F.struct(F.lit(len(brackets)).alias("slot"), F.lit(None).cast("double").alias("value"))).alias("cell")))
+    found = {c: (totals[c], None) for c in columns}
+    if not cells:
+        return found, first
+    counts = df.select(F.explode(F.array(*cells)).alias("c")).select("c.column", "c.cell").filter("cell is not null").groupBy("column", "cell").agg(F.count("*").alias("n"))
+    if inside <= ORDERED_VALUES * len(cells):
+        summed = counts.withColumn("upto", F.sum("n").over(W.partitionBy("column").orderBy("cell")))
+    else:
+        summed = running(counts, ["column"], "cell", {"n": "upto"})
+    ranks = df.sparkSession.createDataFrame(wanted, "column int, rank long").groupBy("column").agg(F.collect_list("rank").alias("ranks"))  # two for each probability
+    near = summed.filter("cell.value is not null").join(F.broadcast(ranks), "column")
+    hits = near.select("column", "cell.value", F.explode(F.filter("ranks", lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n")))).alias("rank"))
+    at = {(r["column"], r["rank"]): r["value"] for r in hits.collect()}
+    for k, c in enumerate(x):
+        n = totals[c]
+        if n:
+            if any((k, r) not in at for j, r in wanted if j == k):
+                ranked = staged(ranked_values(df.select(x[c].alias("value")), [], "value"), "ranked")
+                found[c] = (n, quantiles_of_ranked(ranked, [], "value", probabilities).first()["q"])
+                continue
+            ends = [(at[k, int(p * (n - 1))], at[k, min(int(p * (n - 1)) + 1, n - 1)], p * (n - 1) - int(p * (n - 1))) for p in probabilities]
+            found[c] = (n, [a + part * (b - a) if a != b else a for a, b, part in ends])
+    return found, first
+
+
+def merged(probabilities: list[float], sketch: dict[float, float], slack: float) -> list[tuple]:
+    """Disjoint brackets in ascending order, open where a probability lies at an end."""
+    out: list[tuple] = []
+    for p in sorted(probabilities):
+        low = None if p - slack <= 0 else sketch[p - slack]
+        high = None if p + slack >= 1 else sketch[p + slack]
+        if out and (out[-1][1] is None or low is None or low <= out[-1][1]):
+            top = None if high is None or out[-1][1] is None else max(high, out[-1][1])
+            out[-1] = (out[-1][0], top)
+        else:
+            out.append((low, high))
+    return out
 
 
 def quantiles_of_ranked(ranked: DataFrame, keys: list[str], value: str, probabilities: list[float]) -> DataFrame:
@@ -68,11 +163,11 @@ def quantiles_of_ranked(ranked: DataFrame, keys: list[str], value: str, probabil
     # Each wanted rank is in one range of its key.
     wanted = at.select(*keys, "k", "h", "low", F.explode(F.array(F.col("low"), F.least(F.col("low") + 1, F.col("total") - 1))).alias("rank"))
     if keys:
-        wanted = wanted.join(spans, keys)
+        wanted = null_safe(wanted, spans, keys)
     else:
         wanted = wanted.join(F.broadcast(spans))  # a row for each range
     wanted = wanted.filter((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))).select(*keys, "__range", "k", "h", "low", "rank")
-    hits = ranked.join(wanted, [*keys, "__range"]).filter((F.col("rank") >= F.col("upto") - F.col("n")) & (F.col("rank") < F.col("upto")))
+    hits = null_safe(ranked, wanted, [*keys, "__range"]).filter((F.col("rank") >= F.col("upto") - F.col("n")) & (F.col("rank") < F.col("upto")))
     x = F.col(value).cast("double")
     ends = hits.groupBy(*keys, "k").agg(F.min(x).alias("a"), F.max(x).alias("b"), F.first(F.col("h") - F.col("low")).alias("part"))
     values = ends.select(*keys, F.struct("k", (F.col("a") + F.col("part") * (F.col("b") - F.col("a"))).alias("x")).alias("q"))
@@ -80,7 +175,7 @@ def quantiles_of_ranked(ranked: DataFrame, keys: list[str], value: str, probabil
         found = values.agg(F.transform(F.array_sort(F.collect_list("q")), lambda s: s["x"]).alias("q"))
         return sizes.join(F.broadcast(found))  # one row each
     found = values.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list("q")), lambda s: s["x"]).alias("q"))
-    return sizes.join(found, keys)
+    return null_safe(sizes, found, keys)
 
 
 def value_ranks(df: DataFrame, column: str) -> DataFrame:
@@ -169,13 +264,18 @@ def percent_ranks(df: DataFrame, key: str, column: str) -> DataFrame:
     return df.select(key, column).join(ranks.join(F.broadcast(n)).select(column, share.alias("share")), column).select(key, "share")
 
 
+def placed(df: DataFrame, *order: str) -> DataFrame:
+    """df with ``__place``, from 0, in the order of columns."""
+    dealt = dealt_by_range(df, *order)
+    totals = dealt.groupBy("__range").agg(F.count("*").alias("n"))
+    before = totals.select("__range", (F.sum("n").over(W.orderBy("__range")) - F.col("n")).alias("__before"))  # a row for each range
+    own = F.row_number().over(W.partitionBy("__range").orderBy(*order)) - 1
+    return dealt.join(F.broadcast(before), "__range").select(*df.columns, (F.col("__before") + own).alias("__place"))
+
+
 def ordinal_ranks(df: DataFrame, key: str, column: str) -> DataFrame:
     """key and its place, from 0, in the order of column and key."""
-    dealt = dealt_by_range(df.filter(F.col(column).isNotNull()).select(key, column), column, key)
-    totals = dealt.groupBy("__range").agg(F.count("*").alias("n"))
-    before = totals.select("__range", (F.sum("n").over(W.orderBy("__range")) - F.col("n")).alias("before"))  # a row for each range
-    own = F.row_number().over(W.partitionBy("__range").orderBy(column, key)) - 1
-    return dealt.join(F.broadcast(before), "__range").select(key, (F.col("before") + own).alias("place"))
+    return placed(df.filter(F.col(column).isNotNull()).select(key, column), column, key).select(key, F.col("__place").alias("place"))
 
 
 def strided(df: DataFrame, order: str, cap: int) -> DataFrame:

@@ -76,10 +76,10 @@ def first_reaching(cells: DataFrame, task: str, budget: str, value: str, level:
 
 def cvar(df: DataFrame, group: str, loss: str, tail: float) -> DataFrame:
     """Mean of the losses at or above each group's quantile of 1 - tail."""
-    from loomtab.operators.ranks import quantiles
+    from loomtab.operators.ranks import null_safe, quantiles
 
     cut = quantiles(df.select(group, F.col(loss).cast("double").alias("value")), [group], "value", [1 - tail]).select(group, F.col("q")[0].alias("cut"))
-    return df.join(cut, group).filter(F.col(loss) >= F.col("cut")).groupBy(group).agg(F.avg(loss).alias("cvar"), F.count("*").alias("n_tail"))
+    return null_safe(df, cut, [group]).filter(F.col(loss) >= F.col("cut")).groupBy(group).agg(F.avg(loss).alias("cvar"), F.count("*").alias("n_tail"))
 
 
 def leave_one_out(df: DataFrame, group: str, value: str) -> DataFrame:

@@ -10,8 +10,14 @@ from loomtab.functions.cells import hashed
 
 
 def fold_of(key: Column, folds: int, seed: str = "") -> Column:
-    """A fold by hash; rows of one group share it if key is the group's."""
-    return F.pmod(hashed(key, seed), F.lit(folds))
+    """A fold by hash; rows of one group share it if key is the group's, and those without a key are in the first."""
+    return F.coalesce(F.pmod(hashed(key, seed), F.lit(folds)), F.lit(0))
+
+
+def row_hash(df: DataFrame, key: str) -> Column:
+    """The hash of a row's key; of all its cells where it has no key, so that such rows are dealt out, too."""
+    cells = F.concat_ws("\x01", *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x02")) for c in df.columns))
+    return F.coalesce(hashed(F.col(key)), hashed(cells))
 
 
 #: Rows that one task orders at most, in the mean.
@@ -25,7 +31,7 @@ def least_hashes(df: DataFrame, key: str, stratum: str, wanted: Column) -> DataF
     in which the border falls are put in order.
     """
     bits = min(24, max(1, (df.count() // ORDERED_ROWS).bit_length()))
-    binned = df.withColumns({"__hash": hashed(F.col(key)), "__bin": F.shiftright(hashed(F.col(key)), 32 - bits)})
+    binned = df.withColumn("__hash", row_hash(df, key)).withColumn("__bin", F.shiftright("__hash", 32 - bits))
     counts = binned.groupBy(stratum, "__bin").agg(F.count("*").alias("__n"))
     upto = F.sum("__n").over(W.partitionBy(stratum).orderBy("__bin"))
     edges = counts.select(stratum, "__bin", "__n", upto.alias("__upto"), F.sum("__n").over(W.partitionBy(stratum)).alias("__size")).withColumn("__wanted", wanted)
@@ -56,14 +62,11 @@ def fit_validation_split(df: DataFrame, key: str, share: float = 0.15, least: in
 
 def stratified_folds(df: DataFrame, key: str, stratum: str, folds: int) -> DataFrame:
     """A fold for each row: round robin in hash order within each stratum, the start moved on by the sizes of the strata before."""
-    from loomtab.operators.ranks import dealt_by_range
+    from loomtab.operators.ranks import placed
 
-    dealt = dealt_by_range(df.withColumn("__hash", hashed(F.col(key))), stratum, "__hash", key)
-    totals = dealt.groupBy("__range").agg(F.count("*").alias("__n"))
-    before = totals.select("__range", (F.sum("__n").over(W.orderBy("__range")) - F.col("__n")).alias("__before"))  # a row for each range
-    own = F.row_number().over(W.partitionBy("__range").orderBy(stratum, "__hash", key)) - 1
     # Strata follow one another in that order, so the running place has the offset in it.
-    return dealt.join(F.broadcast(before), "__range").withColumn("fold", F.pmod(F.col("__before") + own, F.lit(folds)).cast("int")).select(*df.columns, "fold")
+    found = placed(df.withColumn("__hash", row_hash(df, key)), stratum, "__hash", key)
+    return found.select(*df.columns, F.pmod("__place", F.lit(folds)).cast("int").alias("fold"))
 
 
 def stratified_subsample(df: DataFrame, key: str, stratum: str, seats: int) -> DataFrame:
@@ -71,7 +74,7 @@ def stratified_subsample(df: DataFrame, key: str, stratum: str, seats: int) -> D
     sizes = df.groupBy(stratum).agg(F.count("*").alias("n"))
     quota = largest_remainder(sizes, stratum, "n", seats).select(F.col(stratum).alias("__quota_of"), F.col("seats").alias("__quota"))
     given = df.join(F.broadcast(quota), F.col(stratum).eqNullSafe(F.col("__quota_of"))).drop("__quota_of")  # a row for each stratum
-    order = W.partitionBy(stratum).orderBy(hashed(F.col(key)), key)
+    order = W.partitionBy(stratum).orderBy(row_hash(df, key), key)
     best = least_hashes(given.select(*df.columns), key, stratum, F.least(F.col("__size"), F.lit(seats))).filter("__in").drop("__in")
     ranked = best.join(F.broadcast(quota), F.col(stratum).eqNullSafe(F.col("__quota_of"))).withColumn("__place", F.row_number().over(order))
     return ranked.filter(F.col("__place") <= F.col("__quota")).select(*df.columns)
@@ -88,7 +91,7 @@ def largest_remainder(sizes: DataFrame, stratum: str, n: str, seats: int) -> Dat
 
 def hash_sample(df: DataFrame, key: str, n: int) -> DataFrame:
     """The n rows of least hash."""
-    return df.orderBy(hashed(F.col(key)), key).limit(n)
+    return df.orderBy(row_hash(df, key), key).limit(n)
 
 
 def bootstrap_means(df: DataFrame, key: str, column: str, draws: int) -> DataFrame:

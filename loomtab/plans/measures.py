@@ -119,11 +119,11 @@ def choice_regret(spark, sf_dir):
 
 
 @query(
-    """WITH w AS (SELECT l_linenumber AS k, count(*) FILTER (l_discount > l_tax) % 90 AS a, count(*) FILTER (l_discount < l_tax) % 70 AS b FROM lineitem GROUP BY 1), t AS (SELECT k, a, b, unnest(range(0, least(a, b) + 1)) AS i FROM w)
+    """WITH w AS (SELECT l_linenumber AS k, count(*) FILTER (l_discount > l_tax) AS a, count(*) FILTER (l_discount < l_tax) AS b FROM lineitem GROUP BY 1), t AS (SELECT k, a, b, unnest(range(0, least(a, b) + 1)) AS i FROM w)
 SELECT k, a::BIGINT AS wins, b::BIGINT AS losses, round(least(1.0, 2 * sum(exp(lgamma(a + b + 1) - lgamma(i + 1) - lgamma(a + b - i + 1) - (a + b) * ln(2)))), 8) AS p FROM t GROUP BY 1, 2, 3"""
 )
 def sign_tests(spark, sf_dir):
-    won = load(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("k")).agg((F.count_if(F.col("l_discount") > F.col("l_tax")) % 90).alias("wins"), (F.count_if(F.col("l_discount") < F.col("l_tax")) % 70).alias("losses"))
+    won = load(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("k")).agg(F.count_if(F.col("l_discount") > F.col("l_tax")).alias("wins"), F.count_if(F.col("l_discount") < F.col("l_tax")).alias("losses"))
     return won.withColumn("p", F.round(ledger.sign_test(F.col("wins"), F.col("losses")), 8))
 
 

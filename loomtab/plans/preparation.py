@@ -58,8 +58,8 @@ def numeric_scaler_transform(spark, sf_dir):
 
 _CATEGORY = """WITH l AS (SELECT p_brand AS token, count(*) AS n, sum(p_retailprice) AS s FROM part GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY n DESC, token) AS id FROM l WHERE n >= {least} ORDER BY n DESC, token LIMIT 127),
 f AS (SELECT id, token, n, s FROM k UNION ALL SELECT 0, '__other__', (SELECT sum(n) FROM l) - coalesce((SELECT sum(n) FROM k), 0), (SELECT sum(s) FROM l) - coalesce((SELECT sum(s) FROM k), 0)),
-e AS (SELECT *, (s + 10 * (sum(s) OVER () / sum(n) OVER ())) / (n + 10) + 0.15 * (id * 0.5 / (count(*) OVER () - 1) - 0.25) AS encoding, n / sum(n) OVER () AS frequency FROM f),
-m AS (SELECT sum(encoding * frequency) AS post_mean FROM e), d AS (SELECT sqrt(sum(pow(encoding - post_mean, 2) * frequency)) AS post_std, any_value(post_mean) AS post_mean FROM e, m)"""
+e AS (SELECT *, (s + 10 * (sum(s) OVER () / sum(n) OVER ())) / (n + 10) + 0.15 * coalesce(id * 0.5 / nullif(count(*) OVER () - 1, 0) - 0.25, -0.25) AS encoding, n / sum(n) OVER () AS frequency FROM f),
+m AS (SELECT sum(encoding * frequency) AS post_mean FROM e), d AS (SELECT greatest(sqrt(sum(pow(encoding - post_mean, 2) * frequency)), 1e-6) AS post_std, any_value(post_mean) AS post_mean FROM e, m)"""
 
 
 @query(_CATEGORY.format(least=20) + " SELECT id::INTEGER AS id, token, n::BIGINT AS n, round(encoding, 6) AS encoding, round(frequency, 8) AS frequency, round(post_mean, 6) AS post_mean, round(post_std, 5) AS post_std FROM e, d")
