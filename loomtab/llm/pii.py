@@ -10,8 +10,8 @@ are kept).
 A name after a title is two entities: the family name, which has one surrogate
 whatever stands before it, and the given names within that family, drawn by key
 from a list of the title's gender and the name's script. Later mentions of a
-name that a document has introduced, with or without its given names, get the
-same surrogates.
+name that a document has introduced, with or without its given names, and of a
+given name alone, get the same surrogates.
 
 Lists and formats can still make two entities meet, and a surrogate may be
 another document's real entity. So all distinct entities are checked: of those
@@ -24,6 +24,7 @@ free value always exists. Only these exceptions travel to the documents.
 from __future__ import annotations
 
 import re
+import secrets
 import unicodedata
 from bisect import bisect_right
 from functools import lru_cache
@@ -76,13 +77,15 @@ PARTICLES = "von van der den de del della di da dos du la le zu zum zur ter ten
 _particles = "|".join(PARTICLES)
 PATTERNS = [
     ("email", r"(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}"),
+    ("secret", r"(?<!\w)(?:sk|pk|rk|ghp|gho|ghs|ghu|github_pat|glpat|xox[abprs]|hf|npm|AIza|ya29)[-_.]?(?=[A-Za-z_-]*\d)[A-Za-z0-9][A-Za-z0-9_-]{15,}(?!\w)"),
     ("access_key", r"(?<!\w)A[KS]IA[0-9A-Z]{16}(?!\w)"),
     ("token", r"(?<!\w)[0-9A-Fa-f]{32,64}(?!\w)"),
     ("iban", r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"),
+    ("ipv6", r"(?<![\w:.])(?=[0-9A-Fa-f:]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|(?:[0-9A-Fa-f]{1,4}:){2,7}:)(?![\w:])"),
     ("ip", r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)"),
     ("card", r"(?<![\w.])\d(?:[ -]?\d){12,18}(?![\w]|\.\d)"),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
-    ("phone", r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}(?!\w)|(?<!\w)\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"),
+    ("phone", r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}(?!\w)|(?<!\w)\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])|(?<![\w.,-])0\d{2,4}[ -]\d{3,4}[ -]?\d{3,4}(?![\w-]|[.,]\d)"),
     ("name", rf"(?<!\w)(?P<title>{_title})\.? (?P<given>(?:{_initial}[ -]?|(?!(?:{_title})(?!\w))(?:{_name}|{_particles}) )*)(?P<family>(?!(?:{_title})(?!\w)){_name})"),
 ]
 FINDER = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS))
@@ -159,26 +162,36 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
             continue
         if kind in ("card", "phone", "iban"):
             value = re.sub(r"[^0-9A-Za-z+]", "", value)
-        elif kind in ("email", "token"):
+        elif kind in ("email", "token", "ipv6"):
             value = value.lower()
         found.append((start, end, kind, value))
-    # A single cased letter may be any word; other families are looked for in the whole text.
-    later = [f for f in named if len(f) > 1 or f.lower() == f.upper()]
-    if later:
-        taken = [(e[0], e[1]) for e in found]
-        starts = [t[0] for t in taken]
-        for m in re.finditer(r"(?<!\w)(?:" + "|".join(sorted(map(re.escape, later), key=len, reverse=True)) + r")(?!\w)", text):
-            at = bisect_right(starts, m.start())
-            if (at and taken[at - 1][1] > m.start()) or (at < len(taken) and taken[at][0] < m.end()):
-                continue
-            family = m[0]
-            for given, kind in named[family].items():
-                first = m.start() - len(given) - 1
-                if first >= 0 and text[first : m.start()] in (given + " ", given + "\n") and not (first and text[first - 1].isalnum()) and not (at and taken[at - 1][1] > first):
-                    found.append((first, first + len(given), kind, f"{given}\n{family}"))
-            found.append((m.start(), m.end(), "family", family))
-        found.sort()
-    return found
+    # A single cased letter may be any word; other families and given names are looked for in the whole text.
+    families = [f for f in named if len(f) > 1 or f.lower() == f.upper()]
+    alone = {g: (kind, f) for f in reversed(named) for g, kind in named[f].items() if len(g) > 2 and g.isalpha() and g not in PARTICLES}
+    for m, free in mentions(text, families, found):
+        family = m[0]
+        for given, kind in named[family].items():
+            first = m.start() - len(given) - 1
+            if first >= free and text[first : m.start()] in (given + " ", given + "\n") and not (first and text[first - 1].isalnum()):
+                found.append((first, first + len(given), kind, f"{given}\n{family}"))
+        found.append((m.start(), m.end(), "family", family))
+    found.sort()
+    for m, _ in mentions(text, [g for g in alone if g not in named], found):
+        kind, family = alone[m[0]]
+        found.append((m.start(), m.end(), kind, f"{m[0]}\n{family}"))
+    return sorted(found)
+
+
+def mentions(text: str, words: list[str], found: list[tuple]):
+    """Whole words of text outside of the entities found so far, each with the end of the entity before it."""
+    if not words:
+        return
+    taken = [(e[0], e[1]) for e in found]
+    starts = [t[0] for t in taken]
+    for m in re.finditer(r"(?<!\w)(?:" + "|".join(sorted(map(re.escape, words), key=len, reverse=True)) + r")(?!\w)", text):
+        at = bisect_right(starts, m.start())
+        if not (at and taken[at - 1][1] > m.start()) and not (at < len(taken) and taken[at][0] < m.end()):
+            yield m, taken[at - 1][1] if at else 0
 
 
 def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
@@ -187,7 +200,7 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
     more = GROWTH * (attempt - SAME_LENGTH + 1)
     if more <= 0:
         return made
-    letters = {"token": HEX[0], "access_key": KEY32[0], "email": CLASSES[2]}.get(kind, CLASSES[0])
+    letters = {"token": HEX[0], "ipv6": HEX[0], "access_key": KEY32[0], "email": CLASSES[2]}.get(kind, CLASSES[0])
     family = ""
     if kind == "family" or kind.startswith("name "):
         made, _, family = made.partition("\n")
@@ -226,6 +239,13 @@ def formatted(kind: str, value: str, key: bytes, attempt: int) -> str:
             body = value[0] + permuted(value[1:-1], key, tweak + value[0], CLASSES)
             return body + str(luhn(body))
         return value[0] + permuted(value[1:], key, tweak + value[0], CLASSES)
+    if kind == "ipv6":
+        return permuted(value, key, tweak, HEX)
+    if kind == "secret":
+        head = re.match(r"(?:github_pat|xox[abprs]|AIza|ya29|[a-z]+)[-_.]?", value).end()
+        return value[:head] + permuted(value[head:], key, tweak + value[:head], CLASSES)
+    if kind == "phone" and value.startswith("0"):
+        return "0" + permuted(value[1:], key, tweak + "0", CLASSES)
     if kind == "phone" and value.startswith("+"):
         head = 2 if value[1] in "17" else 3
         return value[:head] + permuted(value[head:], key, tweak + value[:head], CLASSES)
@@ -258,7 +278,7 @@ def dressed(found: str, kind: str, value: str) -> str:
         return "".join(next(signs, "") if re.match(r"[0-9A-Za-z+]", c) else c for c in found) + "".join(signs)
     if kind == "token" and found.upper() == found:
         return value.upper()
-    if kind in ("email", "token") and len(found) == len(value):
+    if kind in ("email", "token", "ipv6") and len(found) == len(value):
         return "".join(v.upper() if c.isupper() else v for c, v in zip(found, value, strict=True))
     return value
 
@@ -326,6 +346,19 @@ def key_of(spark: SparkSession, key: bytes | None) -> bytes:
     return found
 
 
+def session_key(spark: SparkSession) -> bytes | None:
+    """None where the session names a key; else a secret one of this session, drawn once and known to no one after it.
+
+    Surrogates then agree within a run, and no one can undo them, but another run makes others.
+    """
+    if spark.conf.get(KEY_SETTING, None):
+        return None
+    sc = spark.sparkContext
+    if not hasattr(sc, "_loomtab_key"):
+        sc._loomtab_key = secrets.token_bytes(32)
+    return sc._loomtab_key
+
+
 def replace_table(spark: SparkSession, docs: DataFrame, key: bytes | None = None, count: str | None = None) -> DataFrame:
     """docs, all columns as they are, with entities in text replaced; with count, their number in a last column of that name.
 
