@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomtab.llm import line_dedup, near_dup, packing, pii, quality_rules
 from loomtab.llm.common import stage
-from loomtab.llm.queries import public_key
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +24,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with surrogates for personal data."""
-    return pii.replace_table(spark, docs, public_key(spark))
+    """Documents with surrogates for personal data, by the session's secret key, or one drawn for this run alone."""
+    return pii.replace_table(spark, docs, pii.session_key(spark))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
