@@ -168,7 +168,7 @@ def boost(df: DataFrame, codes: list[str], y: str, binary: bool = False, trees:
         f = forest.output()
         p = sigmoid(f)
         g, h = (p - F.col("__y"), p * (1 - p)) if binary else (f - F.col("__y"), F.lit(1.0))
-        current = staged(train.select(*codes, g.alias("__g"), h.alias("__h")), "derivatives")
+        current = train.select(*codes, g.alias("__g"), h.alias("__h"))
         leaf = F.lit(0)
         for k in range(depth):
             found = best_split(histogram(current, leaf, codes, F.col("__g"), F.col("__h")), penalty, least).first()

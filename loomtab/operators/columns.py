@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -141,6 +142,43 @@ def correlation(x: Column, y: Column) -> Column:
     return F.coalesce(F.nanvl(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)), F.lit(0.0)), F.lit(0.0))
 
 
+def descriptors(df: DataFrame, columns: list[str]) -> DataFrame:
+    """A row for each column: present, zeros and mode_share, the share of its most frequent value among the present ones.
+
+    A sketch of frequent values names the mode, a second pass counts it: no
+    column's values are shuffled. A value of less than a thousandth of the rows
+    may be missed.
+    """
+    tops = df.agg(*(F.call_function("approx_top_k", F.col(c).cast("double"), F.lit(1), F.lit(4096)).alias(f"t{k}") for k, c in enumerate(columns))).first()
+    modes = [tops[f"t{k}"][0]["item"] if tops[f"t{k}"] else None for k in range(len(columns))]
+    x = lambda c: F.col(c).cast("double")
+    rows = [F.struct(F.lit(c).alias("column"), F.count(c).alias("present"), F.coalesce(F.try_divide(F.count_if(x(c) == 0), F.count(c)), F.lit(0.0)).alias("zeros"),
+                     F.coalesce(F.try_divide(F.count_if(x(c) == F.lit(m)), F.count(c)), F.lit(0.0)).alias("mode_share")) for c, m in zip(columns, modes, strict=True)]
+    return df.agg(F.array(*rows).alias("all")).select(F.explode("all").alias("d")).select("d.*")
+
+
+def spectrum(df: DataFrame, columns: list[str]) -> dict[str, float]:
+    """effective_rank, spectral_entropy (of the eigenvalues' shares, 0 to 1), mean and greatest absolute correlation, from one pairwise-complete matrix."""
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
+    found = df.agg(F.count("*").alias("n"), *(correlation(F.col(columns[i]), F.col(columns[j])).alias(f"r{i}_{j}") for i, j in pairs)).first()
+    r = np.eye(len(columns))
+    for i, j in pairs:
+        r[i, j] = r[j, i] = found[f"r{i}_{j}"]
+    values = np.maximum(np.linalg.eigvalsh(r), 0.0)
+    share = values[values > 1e-12] / values.sum() if len(columns) else np.zeros(0)
+    h = float(-(share * np.log(share)).sum())
+    off = [abs(found[f"r{i}_{j}"]) for i, j in pairs]
+    return {"effective_rank": float(np.exp(h)) if len(columns) else 0.0, "spectral_entropy": h / float(np.log(len(columns))) if len(columns) > 1 else 0.0, "mean_correlation": float(np.mean(off)) if off else 0.0, "greatest_correlation": max(off, default=0.0)}
+
+
+def driver_weights(df: DataFrame, columns: list[str], y: Column) -> DataFrame:
+    """column and weight: its squared correlation with y, as a part of all columns'; equal parts where none has any."""
+    squares = [F.pow(correlation(F.col(c), y), 2) for c in columns]
+    found = df.agg(F.array(*(F.struct(F.lit(c).alias("column"), s.alias("s")) for c, s in zip(columns, squares, strict=True))).alias("all"))
+    total = F.aggregate("all", F.lit(0.0), lambda t, x: t + x["s"])
+    return found.select(total.alias("t"), F.explode("all").alias("c")).select("c.column", F.coalesce(F.try_divide(F.col("c.s"), "t"), F.lit(1 / max(len(columns), 1))).alias("weight"))
+
+
 def gram(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Sums of products of all pairs of columns, a row a pair, in one aggregation."""
     names = list(columns)

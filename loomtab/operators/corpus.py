@@ -126,6 +126,59 @@ def lineage_split(groups: DataFrame, stratum: str, group: str, weight: str, shar
     return base.groupBy(stratum).applyInPandas(deal, f"`{stratum}` {kinds[stratum]}, `{group}` {kinds[group]}, split string")
 
 
+#: Steps of the unit scale in a sketch, steps in a cell, and how many shifted grids of cells are laid over the sketches.
+SKETCH_STEPS, CELL_STEPS, GRIDS = 32, 4, 8
+
+
+def table_sketches(df: DataFrame, table: str, columns: list[str]) -> DataFrame:
+    """A row for each table in a long one: its rows, the power of two above them, and a sketch, nine quantiles of each column in 32nds of the column's range over all tables.
+
+    Quantiles are sketched, so a table of any size takes bounded memory; a column
+    without values in a table stands at -1.
+    """
+    ends = df.agg(*(f(F.col(c).cast("double")).alias(f"{n}{k}") for k, c in enumerate(columns) for n, f in (("lo", F.min), ("hi", F.max)))).first()
+    marks = [k / 8 for k in range(9)]
+
+    def steps(k: int, c: str) -> Column:
+        lo, hi = float(ends[f"lo{k}"] or 0.0), float(ends[f"hi{k}"] or 0.0)
+        unit = lambda x: F.round(SKETCH_STEPS * (x - lo) / (hi - lo)).cast("int") if hi > lo else F.lit(0)
+        return F.coalesce(F.transform(F.percentile_approx(F.col(c).cast("double"), marks, 2000), unit), F.array(*[F.lit(-1)] * 9))
+
+    made = df.groupBy(table).agg(F.count("*").alias("rows"), F.concat(*(steps(k, c) for k, c in enumerate(columns))).alias("sketch"))
+    return made.withColumn("power", F.ceil(F.log2(F.col("rows").cast("double"))).cast("int"))
+
+
+def near_tables(sketches: DataFrame, table: str, most: float = 1.0) -> DataFrame:
+    """Edges (a, b) of tables whose sketches differ by at most so many steps in the mean.
+
+    Sketches fall into the cells of GRIDS grids, each shifted on its own, so that
+    near ones share a cell of some grid. A cell's tables are compared with its
+    least one only; as a cell's sketches differ by three steps at most, they are
+    near to it or to none there. Tables without a name are left out.
+    """
+    sized = sketches.filter(F.col(table).isNotNull())
+
+    def cell(g: int) -> Column:
+        moved = F.transform("sketch", lambda x, i: F.floor((x + F.pmod(F.hash(F.lit(g), i), F.lit(CELL_STEPS))) / CELL_STEPS))
+        return F.struct(F.lit(g).alias("grid"), F.xxhash64(moved, F.size("sketch"), "power").alias("cell"))
+
+    shifted = [cell(g) for g in range(GRIDS)]
+    celled = sized.select(F.col(table).alias("b"), "sketch", F.explode(F.array(*shifted)).alias("c")).select("b", "sketch", "c.grid", "c.cell")
+    # A row for each cell; the least table's sketch goes with it.
+    least = celled.groupBy("grid", "cell").agg(F.min_by(F.struct("b", "sketch"), "b").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    apart = F.aggregate(F.zip_with("sketch", F.col("first.sketch"), lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x) / F.size("sketch")
+    met = celled.join(least, ["grid", "cell"]).filter((F.col("b") != F.col("first.b")) & (apart <= most))
+    return met.select(F.col("first.b").alias("a"), "b").distinct()
+
+
+def table_lineages(df: DataFrame, table: str, columns: list[str], most: float = 1.0) -> DataFrame:
+    """table, rows and lineage: the least table that a chain of near ones leads to, itself if it has none."""
+    sketches = staged(table_sketches(df, table, columns), "sketches")
+    roots = lineage_components(near_tables(sketches, table, most), "a", "b")
+    named = sketches.join(roots.withColumnRenamed("member", table), table, "left")
+    return named.select(table, "rows", F.coalesce("root", table).alias("lineage"))
+
+
 def overlapping_rows(train: DataFrame, query: DataFrame, columns: list[str]) -> DataFrame:
     """Rows of query whose digest over the columns is a training row's; a corpus is disjoint if there are none."""
     digest = F.sha2(F.concat_ws("\x01", *(cell_text(F.col(c)) for c in columns)), 256)

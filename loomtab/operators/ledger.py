@@ -188,6 +188,34 @@ def median_interval(values: DataFrame, key: str, value: str, draws: int, alpha:
     return centre.join(F.broadcast(ends)).select("centre", F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper"))
 
 
+def paired_draws(losses: DataFrame, block: Column, null: str, real: str, a: str, b: str, draws: int) -> DataFrame:
+    """draw, retention_a, retention_b and difference of two artifacts over the same rows, in resamples of blocks.
+
+    Rows are summed into their blocks first; a draw weighs a block by a Poisson
+    number of the hash of both, so work is rows + draws x blocks, in one
+    aggregation each. A draw without a real gain has no retention. Rows that lack
+    a loss are left out, those without a block form one.
+    """
+    whole = losses.filter(" and ".join(f"`{c}` is not null" for c in (null, real, a, b)))
+    cells = whole.groupBy(block.cast("string").alias("block")).agg(*(F.sum(c).alias(n) for n, c in (("n", null), ("r", real), ("a", a), ("b", b))))
+    drawn = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    w = poisson(F.col("draw"), F.coalesce("block", F.lit("")), salt="p")
+    sums = drawn.groupBy("draw").agg(*(F.sum(w * F.col(c)).alias(c) for c in "nrab"))
+    gain = F.col("n") - F.col("r")
+    kept = sums.select("draw", *(F.when(gain > 0, F.try_divide(F.col("n") - F.col(c), gain)).alias(f"retention_{c}") for c in "ab"))
+    return kept.withColumn("difference", F.col("retention_a") - F.col("retention_b"))
+
+
+def paired_interval(losses: DataFrame, block: Column, null: str, real: str, a: str, b: str, draws: int = 10_000, level: float = 0.95) -> DataFrame:
+    """The difference of retentions over all rows, its limits over the draws, and the share of draws that a wins, ties counting half."""
+    gain = F.avg(null) - F.avg(real)
+    whole = losses.filter(" and ".join(f"`{c}` is not null" for c in (null, real, a, b))).agg(F.when(gain > 0, F.try_divide(F.avg(b) - F.avg(a), gain)).alias("difference"))
+    drawn = paired_draws(losses, block, null, real, a, b, draws).filter("difference is not null")
+    wins = F.avg(F.when(F.col("difference") > 0, 1.0).when(F.col("difference") == 0, 0.5).otherwise(0.0))
+    ends = drawn.agg(F.percentile("difference", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2))).alias("q"), wins.alias("wins"))  # a value for each draw
+    return whole.join(F.broadcast(ends)).select("difference", F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper"), "wins")
+
+
 def composite(df: DataFrame, weights: dict[str, float], gates: list[Column], epsilon: float = 1e-6) -> Column:
     """Weighted geometric mean of terms between 0 and 1, null if a gate fails or a term is missing or out of range."""
     total = sum(weights.values())

@@ -34,6 +34,34 @@ def scored(weights: dict[str, float], terms: dict[str, Column]) -> Column:
     return out
 
 
+def out_of_fold(df: DataFrame, terms: dict[str, Column], y: Column, fold: Column, folds: int, name: str = "residual", penalty: float = 1e-6) -> DataFrame:
+    """df with the residual of y after a linear model of the rows of all other folds.
+
+    One aggregation has the sums of products of each fold; a model is solved from
+    all sums but its fold's, and one projection has the residuals. A row whose y,
+    terms or fold is missing has none, and is in no sum.
+    """
+    every = {"one": F.lit(1.0), **{n: t.cast("double") for n, t in terms.items()}, "__y": y.cast("double")}
+    names = list(every)
+    whole = fold.isNotNull()
+    for c in every.values():
+        whole = whole & c.isNotNull()
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    own = df.filter(whole).groupBy(fold.cast("int").alias("__fold"))
+    sums = np.zeros((folds, len(names), len(names)))
+    for r in own.agg(*(F.sum(every[names[i]] * every[names[j]]).alias(f"p{i}_{j}") for i, j in pairs)).collect():  # a row for each fold
+        for i, j in pairs:
+            sums[r["__fold"], i, j] = sums[r["__fold"], j, i] = r[f"p{i}_{j}"] or 0.0
+    out = F.lit(None).cast("double")
+    for k in range(folds):
+        g = sums.sum(0) - sums[k]
+        pull = np.eye(len(names) - 1) * penalty * max(g[0, 0], 1.0)
+        pull[0, 0] = 1e-12
+        weights = np.linalg.solve(g[:-1, :-1] + pull, g[:-1, -1]).tolist()
+        out = F.when(fold == k, y.cast("double") - scored(dict(zip(names[:-1], weights, strict=True)), {n: t.cast("double") for n, t in terms.items()})).otherwise(out)
+    return df.withColumn(name, F.when(whole, out))
+
+
 def permutation_importance(df: DataFrame, key: str, weights: dict[str, float], columns: list[str], y: Column) -> DataFrame:
     """Rise of the mean squared error when a column is shuffled, each within blocks of rows by hash.
 

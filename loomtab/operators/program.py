@@ -38,11 +38,15 @@ class Feature:
     levels: list  # of a category, in the order of their codes
     cumulative: list  # shares of the levels so far
 
+    def grid(self) -> np.ndarray:
+        """The normal quantiles that the knots stand at."""
+        return np.linspace(-3, 3, len(self.knots))
+
     def scores(self, values: pd.Series) -> np.ndarray:
         """Normal scores, 0 where a value is missing or unknown."""
         if self.kind == "number":
             x = values.to_numpy(dtype=float, na_value=np.nan)
-            z = np.interp(x, np.maximum.accumulate(np.array(self.knots)) + np.arange(len(GRID)) * 1e-12, GRID)
+            z = np.interp(x, np.maximum.accumulate(np.array(self.knots)) + np.arange(len(self.knots)) * 1e-12, self.grid())
         else:
             middle = dict(zip(self.levels, (np.array([0, *self.cumulative[:-1]]) + np.array(self.cumulative)) / 2, strict=True))
             z = normal.ppf(values.map(middle).fillna(0.5).to_numpy(dtype=float))
@@ -50,7 +54,7 @@ class Feature:
 
     def values(self, z: np.ndarray):
         if self.kind == "number":
-            return np.interp(z, GRID, self.knots)
+            return np.interp(z, self.grid(), self.knots)
         at = np.minimum(np.searchsorted(np.array(self.cumulative), normal.cdf(z)), len(self.levels) - 1)
         return np.array(self.levels, dtype=object)[at]
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -94,6 +97,48 @@ def hash_sample(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.orderBy(row_hash(df, key), key).limit(n)
 
 
+#: Rows that are compressed together.
+CHUNK_ROWS = 1000
+
+
+def packed_size(rows: list[str]) -> int:
+    return len(zlib.compress("\n".join(rows).encode(), 6))
+
+
+def byte_prefix(df: DataFrame, key: str, budget: int) -> DataFrame:
+    """The longest prefix of df, in the order of its rows' hashes, whose chunks take at most budget bytes compressed.
+
+    Chunks of CHUNK_ROWS rows are compressed where they are; their sizes are
+    summed up by ranges. Only the chunk in which the border falls is opened
+    again, and halved until the last row that fits is known. Null cells count as
+    empty ones apart from others; equal rows have an order among themselves by
+    their cells.
+    """
+    from loomtab.operators.ranks import placed, running_sum
+    from loomtab.session import staged
+
+    cells = F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)), {"ignoreNullFields": "false"})
+    rows = placed(df.withColumns({"__hash": row_hash(df, key), "__text": cells}), "__hash", "__text")
+    rows = staged(rows.withColumn("__chunk", F.floor(F.col("__place") / CHUNK_ROWS)), "chunks")
+
+    def size(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"chunk": pdf["__chunk"].iloc[:1], "bytes": packed_size(pdf.sort_values("__place")["__text"].tolist())})
+
+    sizes = rows.select("__chunk", "__place", "__text").groupBy("__chunk").applyInPandas(size, "chunk long, bytes long")
+    upto = staged(running_sum(sizes, "chunk", "bytes", "upto"), "sizes")
+    fits = upto.filter(F.col("upto") <= budget).agg(F.max("chunk"), F.max("upto")).first()
+    last, used = (-1, 0) if fits[0] is None else (fits[0], fits[1])
+    border = [r["__text"] for r in rows.filter(F.col("__chunk") == last + 1).orderBy("__place").select("__text").collect()]  # CHUNK_ROWS at most
+    low, high = 0, len(border)
+    while low < high:
+        middle = (low + high + 1) // 2
+        if packed_size(border[:middle]) <= budget - used:
+            low = middle
+        else:
+            high = middle - 1
+    return rows.filter(F.col("__place") < (last + 1) * CHUNK_ROWS + low).select(*df.columns)
+
+
 def bootstrap_means(df: DataFrame, key: str, column: str, draws: int) -> DataFrame:
     """The mean of a column in each of draws resamples, each row counting as often as a Poisson(1) draw by hash says.
 

@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from loomtab.plans import catalogue, evidence, measures, model_queries, preparation, privacy_queries  # noqa: F401
+from loomtab.plans import catalogue, evidence, measures, model_queries, preparation, privacy_queries, structure_queries  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 
