@@ -7,13 +7,20 @@ identifiers as a subsequence.
 
 Long sentences, those of licence texts, are found wherever their words stand one
 after another, whatever line ends, comment signs and stops are between. Notices
-("Released under the MIT License.") count from a mark to a mark, with line ends
-inside. All of it is one projection of built-in functions, with sentences,
-notices and rules as constants.
+("Released under the MIT License, see below.", "License: MIT", "Code is MIT
+licensed.") count from a mark to a mark, those that grant under a licence also
+to a comma, with line ends inside. An SPDX identifier line names all licences of
+its expression (AND, OR, WITH, brackets, -only and -or-later forms). Where two
+rules hold and one has all identifiers of the other, the longer one wins. All of
+it is one projection of built-in functions, with sentences, notices and rules as
+constants.
 """
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +47,9 @@ SENTENCES = {
     "epl2-v": "made available under the terms of the eclipse public license v2 0",
     "eupl": "licensed under the eupl version 1 2",
     "gpl-warranty": "but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "gpl2-plain": "gnu general public license version 2 as published by the free software foundation",
     "gpl2-version": "gnu general public license as published by the free software foundation either version 2",
+    "gpl3-plain": "gnu general public license version 3 as published by the free software foundation",
     "gpl3-version": "gnu general public license as published by the free software foundation either version 3",
     "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
     "isc-notice": "provided that the above copyright notice and this permission notice appear in all copies",
@@ -100,13 +109,17 @@ PHRASES = {
 }
 #: Identifiers of notices: the licence they name.
 NOTICES = {name: licence for licence, names in NAMES.items() for name in names} | PHRASES
-_gap = r" (?:\| \| )?"
+_gap = r" (?:\| \| |~ )?"
 _any = lambda options: "(?:" + "|".join(o.replace(" ", _gap) for o in options) + ")"
 _subject = f"(?:{_any(['this', 'the', 'our'])}{_gap}{_any(['work', 'software', 'project', 'program', 'file', 'code', 'document', 'package', 'library', 'text', 'dataset', 'content'])}{_gap}{_any(['is', 'are'])}{_gap})?"
 _verb = f"{_any(['licensed', 'released', 'distributed', 'published', 'provided', 'available', 'made available'])}{_gap}under{_gap}(?:{_any(['the terms of'])}{_gap})?(?:{_any(['the', 'a', 'an'])}{_gap})?"
 _names = _any(sorted((n for names in NAMES.values() for n in names), key=lambda n: (-len(n), n)))
-#: What a notice looks like in a normalised text. It holds its licence's name in the first group, or is one of PHRASES in the second.
-NOTICE = rf"\| (?:{_subject}{_verb}({_names})(?:{_gap}license)?|({_any(sorted(PHRASES, key=lambda n: (-len(n), n)))})) \|"
+_form = f"(?:{_gap}{_any(['or later', 'only', 'or any later version'])})?"
+_phrases = _any(sorted(PHRASES, key=lambda n: (-len(n), n)))
+_things = _any(["code", "software", "project", "program", "library", "package", "work", "file", "source"])
+#: What a notice looks like in a normalised text. One of GROUPS holds its licence's name, or one of PHRASES.
+NOTICE = rf"[|~] (?:(?:{_subject}{_verb}|license{_gap})({_names}){_form}(?:{_gap}license)? [|~]|({_phrases}) \||(?:{_any(['this', 'the', 'our', 'all'])}{_gap})?{_things}{_gap}{_any(['is', 'are'])}{_gap}({_names}){_form}{_gap}licensed [|~])"
+GROUPS = (1, 2, 3)
 # Ordered rules, licence by identifiers that must follow one another.
 RULES = [
     ("AFL-3.0", ["afl"]),
@@ -126,7 +139,9 @@ RULES = [
     ("EPL-2.0", ["epl2-v"]),
     ("EUPL-1.2", ["eupl"]),
     ("GPL-2.0", ["gpl2-version", "gpl-warranty"]),
+    ("GPL-2.0", ["gpl2-plain"]),
     ("GPL-3.0", ["gpl3-version", "gpl-warranty"]),
+    ("GPL-3.0", ["gpl3-plain"]),
     ("ISC", ["isc-grant", "isc-notice"]),
     ("LGPL-2.1", ["lgpl21-version", "gpl-warranty"]),
     ("LGPL-3.0", ["lgpl3-version", "gpl-warranty"]),
@@ -143,19 +158,28 @@ RULES = [
     ("WTFPL", ["wtfpl"]),
     ("Zlib", ["zlib"]),
 ]
+#: For each rule the rules that hold all its identifiers and more.
+LONGER = [[other for _, other in RULES if set(other) > set(rule)] for _, rule in RULES]
+# SPDX: each licence's own identifier, as normalised() leaves it.
+SPDX_NAMES = {" ".join(re.findall("[a-z0-9]+", n.lower())): n for n in sorted({*NAMES, *(n for n, _ in RULES)})}
+#: An identifier line in a normalised text: its expression is the group. JOINS part it, in a text of doubled blanks.
+SPDX = r" spdx license identifier (?:\| \| )?([a-z0-9 ]+)"
+JOINS = " (and|or|with|only|later) "
 #: What a text of reserved rights without any licence has.
 RESERVED = ("proprietary", "reserved")
 # In a normalised text each word stands between two blanks, and each end of a sentence is two marks.
 SENTENCE_END = r"\n+|[.!?;:][\x20\x09\x0B-\x0D]+"
+#: What doesn't stand in a normalised text; a comma is a mark of its own.
+NEITHER = "[^a-z0-9|~]+"
 #: Words of which each known sentence and each notice has one, so that a text without them needs no normalising. They have no k, which other scripts' signs become in lower case.
-HINTS = "license licensed released distributed published provided available domain reserved permission redistributions advertising warranty misrepresented distributor notice".split()
+HINTS = "spdx license licensed released distributed published provided available domain reserved permission redistributions advertising warranty misrepresented distributor notice".split()
 #: Identifiers in a text whose sentences have been replaced by them.
 IDENTIFIER = r"<([a-z0-9-]+)>"
 
 
 def normalised(text: Column) -> Column:
-    ends = F.regexp_replace(F.lower(text), SENTENCE_END, " | | ")
-    return F.regexp_replace(F.concat(F.lit(" | | "), ends, F.lit(" | | ")), "[^a-z0-9|]+", " ")
+    ends = F.replace(F.regexp_replace(F.lower(text), SENTENCE_END, " | | "), F.lit(","), F.lit(" ~ "))
+    return F.regexp_replace(F.concat(F.lit(" | | "), ends, F.lit(" | | ")), NEITHER, " ")
 
 
 def long_sentences() -> list[tuple[str, str]]:
@@ -168,7 +192,7 @@ def scan(docs: DataFrame, ids: str = "sentence_ids", licenses: str = "licenses")
     """docs with the known sentences of its texts and the licences whose rules they satisfy, in two last columns.
 
     Sentences of licence texts come first, in the text's order, then the licences
-    that notices name, in the text's order. Licences are in the rules' order, then those of notices;
+    that notices name, in the text's order, then those of SPDX expressions. Licences are in the rules' order, then those of notices;
     reserved rights alone make a text proprietary, beside a licence they don't. A null or empty
     text has none. Equal rows get equal results; a null doc_id and columns of any
     other name are handed on, those of the results' names are replaced; an empty
@@ -177,22 +201,29 @@ def scan(docs: DataFrame, ids: str = "sentence_ids", licenses: str = "licenses")
     form = normalised(F.coalesce(F.col("text"), F.lit("")))
 
     def found(marked: Column) -> Column:
-        whole = F.regexp_replace(F.regexp_replace(marked, r"\|", " "), " +", "  ")
+        whole = F.regexp_replace(F.regexp_replace(marked, "[|~]", " "), " +", "  ")
         for sentence, name in long_sentences():
             whole = F.replace(whole, F.lit(sentence), F.lit(name))
         sentences = F.regexp_extract_all(whole, F.lit(IDENTIFIER), F.lit(1))
         notices = F.regexp_extract_all(marked, F.lit(NOTICE), F.lit(0))
-        named = lambda n: F.coalesce(F.nullif(F.regexp_extract(n, NOTICE, 1), F.lit("")), F.regexp_extract(n, NOTICE, 2))
-        bare = F.transform(notices, lambda n: F.regexp_replace(named(n), r"[| ]+", " "))
+        named = lambda n: F.concat(*(F.regexp_extract(n, NOTICE, g) for g in GROUPS))
+        bare = F.transform(notices, lambda n: F.regexp_replace(named(n), "[|~ ]+", " "))
         table = F.create_map(*(F.lit(x) for pair in NOTICES.items() for x in pair))
-        return F.struct(sentences.alias("sentences"), F.transform(bare, lambda n: F.element_at(table, n)).alias("notices"))
+        expressions = F.transform(F.regexp_extract_all(marked, F.lit(SPDX), F.lit(1)), lambda e: F.replace(F.concat(F.lit(" "), e, F.lit(" ")), F.lit(" "), F.lit("  ")))
+        pieces = F.flatten(F.transform(expressions, lambda e: F.split(F.regexp_replace(e, JOINS, "|"), r"\|")))
+        known = F.create_map(*(F.lit(x) for pair in SPDX_NAMES.items() for x in pair))
+        one = F.filter(F.transform(pieces, lambda n: F.element_at(known, F.btrim(F.replace(n, F.lit("  "), F.lit(" "))))), lambda n: n.isNotNull())
+        return F.struct(sentences.alias("sentences"), F.concat(F.transform(bare, lambda n: F.element_at(table, n)), one).alias("notices"))
 
     def judged(x: Column) -> Column:
         def satisfied(rule: list[str]) -> Column:
             step = F.aggregate(x["sentences"], F.lit(0), lambda at, s: F.when(s == F.element_at(F.array(*map(F.lit, [*rule, ""])), at + 1), at + 1).otherwise(at))
             return step == len(rule)
 
-        ruled = F.filter(F.array(*(F.when(satisfied(rule), F.lit(name)) for name, rule in RULES)), lambda r: r.isNotNull())
+        def chosen(rule: list[str], longer: list[list[str]]) -> Column:
+            return reduce(lambda a, b: a & ~satisfied(b), longer, satisfied(rule))
+
+        ruled = F.filter(F.array(*(F.when(chosen(rule, longer), F.lit(name)) for (name, rule), longer in zip(RULES, LONGER, strict=True))), lambda r: r.isNotNull())
         ruled = F.when(F.size(x["sentences"]) > 0, ruled).otherwise(F.array().cast("array<string>"))
         granted = F.array_distinct(F.concat(ruled, F.filter(x["notices"], lambda n: n != RESERVED[1])))
         reserved = F.when(F.array_contains(x["notices"], RESERVED[1]), F.array(F.lit(RESERVED[0]))).otherwise(F.array().cast("array<string>"))

@@ -107,7 +107,10 @@ def _replaced(column: str) -> str:
 
 
 _names = "MAP {" + ", ".join(f"'{n}': '{x}'" for n, x in license_scan.NOTICES.items()) + "}"
-_rules = ", ".join(f"CASE WHEN line LIKE '%,{',%,'.join(rule)},%' THEN '{name}' END" for name, rule in license_scan.RULES)
+_held = lambda rule: f"line LIKE '%,{',%,'.join(rule)},%'"
+_rules = ", ".join(f"CASE WHEN {' AND NOT '.join(map(_held, [rule, *longer]))} THEN '{name}' END" for (name, rule), longer in zip(license_scan.RULES, license_scan.LONGER, strict=True))
+_spdx = "MAP {" + ", ".join(f"'{n}': '{x}'" for n, x in license_scan.SPDX_NAMES.items()) + "}"
+_named = " || ".join(f"regexp_extract(n, '{license_scan.NOTICE}', {g})" for g in license_scan.GROUPS)
 
 ORACLE_SQL = {
     "op2_quality_rules": rf"""
@@ -148,12 +151,13 @@ FROM r
 """,
     "op8_license_scan": rf"""
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, lower(coalesce(text, '')) AS t FROM documents),
-marked AS (SELECT rid, doc_id, regexp_replace(' | | ' || regexp_replace(t, '{license_scan.SENTENCE_END}', ' | | ', 'g') || ' | | ', '[^a-z0-9|]+', ' ', 'g') AS m FROM docs),
-whole AS (SELECT rid, doc_id, m, regexp_replace(regexp_replace(m, '\|', ' ', 'g'), ' +', '  ', 'g') AS w FROM marked),
+marked AS (SELECT rid, doc_id, regexp_replace(' | | ' || replace(regexp_replace(t, '{license_scan.SENTENCE_END}', ' | | ', 'g'), ',', ' ~ ') || ' | | ', '{license_scan.NEITHER}', ' ', 'g') AS m FROM docs),
+whole AS (SELECT rid, doc_id, m, regexp_replace(regexp_replace(m, '[|~]', ' ', 'g'), ' +', '  ', 'g') AS w FROM marked),
 ids AS (
   SELECT rid, doc_id, regexp_extract_all({_replaced("w")}, '{license_scan.IDENTIFIER}', 1) AS s,
-         list_transform(regexp_extract_all(m, '{license_scan.NOTICE}', 0),
-                        lambda n: {_names}[regexp_replace(CASE WHEN regexp_extract(n, '{license_scan.NOTICE}', 1) <> '' THEN regexp_extract(n, '{license_scan.NOTICE}', 1) ELSE regexp_extract(n, '{license_scan.NOTICE}', 2) END, '[| ]+', ' ', 'g')]) AS n
+         list_transform(regexp_extract_all(m, '{license_scan.NOTICE}', 0), lambda n: {_names}[regexp_replace({_named}, '[|~ ]+', ' ', 'g')]) ||
+         list_filter(list_transform(flatten(list_transform(regexp_extract_all(m, '{license_scan.SPDX}', 1), lambda e: string_split(regexp_replace(replace(' ' || e || ' ', ' ', '  '), '{license_scan.JOINS}', '|', 'g'), '|'))),
+                                    lambda n: {_spdx}[trim(replace(n, '  ', ' '))]), lambda n: n IS NOT NULL) AS n
   FROM whole),
 lines AS (SELECT *, ',' || array_to_string(s, ',') || ',' AS line FROM ids),
 ruled AS (SELECT doc_id, s, n, list_filter([{_rules}], lambda x: x IS NOT NULL) || list_filter(n, lambda x: x <> 'reserved') AS g FROM lines)

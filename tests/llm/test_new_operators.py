@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomtab.llm import fill_in_middle, hard_negatives, url_filter
+from loomtab.llm import fill_in_middle, hard_negatives, license_scan, url_filter
 
 SPICE = "ab Z.é日<>PSM\n1\x00"
 
@@ -180,3 +180,31 @@ def test_few_candidates_are_left_after_the_first_planes():
     whole = [[(hard_negatives.NONE, 1 << 62, hard_negatives.NONE)]]
     [(at, _)] = hard_negatives.Sliced(codes).search(codes[:1], whole, np.ones((1, 5000), bool), 6)
     assert len(at) < 20
+
+
+NOTICED = [
+    ("// SPDX-License-Identifier: MIT\nint x;", ["MIT"]), ("# SPDX-License-Identifier: Apache-2.0", ["Apache-2.0"]), ("/* SPDX-License-Identifier: (GPL-2.0-only OR MIT) AND BSD-3-Clause */", ["GPL-2.0", "MIT", "BSD-3-Clause"]),
+    ("SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0\nMIT", ["GPL-2.0"]), ("SPDX-License-Identifier: LGPL-2.1+ or ISC", ["LGPL-2.1", "ISC"]), ("SPDX-License-Identifier: BSD-3-Clause-Clear", []),
+    ("This project is licensed under the MIT License, see LICENSE for details.", ["MIT"]), ("It is licensed under the terms of the\nGNU General Public License version 2 as published by the Free Software Foundation.", ["GPL-2.0"]),
+    ("Licensed under GPL-3.0-or-later", ["GPL-3.0"]), ("License: MIT", ["MIT"]), ("Code is MIT licensed.", ["MIT"]), ("This library is Apache-2.0 licensed, and more.", ["Apache-2.0"]),
+    ("We like MIT, ISC license, and others.", []), ("The license of MIT students", []), ("mit or isc", []),
+]
+
+
+def test_licences_of_identifier_lines_and_short_notices(spark):
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(NOTICED)], "doc_id long, text string")
+    assert {r["doc_id"]: r["licenses"] for r in license_scan.scan(docs).collect()} == {k: found for k, (_, found) in enumerate(NOTICED)}
+
+
+def test_sql_of_licences_agrees_on_them(spark, tmp_path):
+    import duckdb
+    import pandas as pd
+
+    from loomtab.llm import queries
+
+    pd.DataFrame({"doc_id": range(len(NOTICED)), "text": [t for t, _ in NOTICED]}).to_parquet(tmp_path / "documents.parquet")
+    got = queries.op8_license_scan(spark, str(tmp_path)).toPandas().sort_values("doc_id")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    want = con.execute(queries.ORACLE_SQL["op8_license_scan"]).df().sort_values("doc_id")
+    assert got.values.tolist() == want[got.columns].values.tolist() and want["licenses"].tolist() == [",".join(x) for _, x in NOTICED]
