@@ -356,7 +356,10 @@ def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     pages_to_arc(spark, pages, source)
     arc_to_warc(spark, source, target)
     found = stage(spark, read_warc(spark, target), "records")
-    responses = found.filter("record_type = 'response'").select(F.col("uid").alias("__uid"), F.col("page_id").alias("refers_to"))
-    joined = found.filter("record_type = 'revisit'").join(responses, F.col("refers") == F.col("__uid"), "left")
+    responses = found.filter("record_type = 'response'").select(F.col("uid").alias("refers"), F.col("page_id").alias("refers_to"))
+    revisits = found.filter("record_type = 'revisit'")
+    # A page that very many others repeat is one key.
+    named = revisits.groupBy("refers").agg(F.count("*").alias("n")).join(responses, "refers", "left")
+    joined = join_counted(revisits, stage(spark, named, "responses"), ["refers"], found.count())
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     return found.filter("record_type <> 'revisit'").withColumn("refers_to", F.lit(None).cast("long")).select(*names).union(joined.select(*names))
