@@ -165,31 +165,32 @@ def failures(names: dict[str, str], rules: Sequence[Rule] = RULES) -> Column:
     return F.filter(F.array(*(F.when(~holds(r), F.lit(r.name)) for r in rules)), lambda x: x.isNotNull())
 
 
-def judge(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
+def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, stop_words: Sequence[str] | None = None) -> DataFrame:
     """docs with its MEASURES, base_failed, failed_rules and kept as last columns.
 
+    stop_words, in lower case, take the place of those of STOP_WORDS.
     A null text counts as one without words, which fails the base. Rows are
     judged one by one, so equal rows get equal verdicts; a null doc_id and other
     columns stay as they are, those of the results' names are replaced; an empty
     table gives an empty one; texts of any length are measured whole.
     """
     names = {m: m for m in MEASURES}
-    return verdicts(docs, names, rules, ["base_failed", "failed_rules", "kept"])
+    return verdicts(docs, names, rules, ["base_failed", "failed_rules", "kept"], stop_words)
 
 
-def verdicts(docs: DataFrame, names: dict[str, str], rules: Sequence[Rule], results: list[str]) -> DataFrame:
+def verdicts(docs: DataFrame, names: dict[str, str], rules: Sequence[Rule], results: list[str], stop_words: Sequence[str] | None = None) -> DataFrame:
     base, failed, kept = results
-    found = measured(docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in results)), names)
+    found = measured(docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in results)), names, stop_words=stop_words)
     return found.withColumns({base: base_failed(names), failed: failures(names, rules)}).withColumn(kept, ~F.col(base) & (F.size(failed) == 0))
 
 
-def keep(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """The rows of docs, all columns as they are, that no rule rejects."""
+def keep(docs: DataFrame, rules: Sequence[Rule] = RULES, stop_words: Sequence[str] | None = None) -> DataFrame:
+    """The rows of docs, all columns as they are, that no rule rejects; stop_words as for judge."""
     taken = list(docs.columns)
     names = {}
     for m in [*MEASURES, "base", "failed", "kept", "row"]:
         names[m] = unused(taken, m)
         taken.append(names[m])
     # Pushed below the projection, the filter would compute the measures again in its own lambdas; a row number holds it back.
-    judged = verdicts(docs, names, rules, [names["base"], names["failed"], names["kept"]]).withColumn(names["row"], F.monotonically_increasing_id())
+    judged = verdicts(docs, names, rules, [names["base"], names["failed"], names["kept"]], stop_words).withColumn(names["row"], F.monotonically_increasing_id())
     return judged.filter(F.col(names["kept"]) & (F.col(names["row"]) >= 0)).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomtab.llm import fill_in_middle, hard_negatives, license_scan, url_filter
+from loomtab.llm import fill_in_middle, hard_negatives, license_scan, quality_rules, url_filter
 
 SPICE = "ab Z.é日<>PSM\n1\x00"
 
@@ -208,3 +208,14 @@ def test_sql_of_licences_agrees_on_them(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
     want = con.execute(queries.ORACLE_SQL["op8_license_scan"]).df().sort_values("doc_id")
     assert got.values.tolist() == want[got.columns].values.tolist() and want["licenses"].tolist() == [",".join(x) for _, x in NOTICED]
+
+
+def test_stop_words_of_another_language_reach_the_verdict(spark):
+    czech = "Tento text byl napsán proto aby bylo jasné kdy pravidla kvality zamítnou dokument bez známých slov ".split()
+    docs = spark.createDataFrame([(1, "\n".join(" ".join(czech[k:] + czech[:k]) for k in range(0, 15, 2)) + " konec jedna dvě tři")], "doc_id long, text string")
+    given = ["aby", "bez", "kdy", "proto"]
+    assert "stop_word_share" in quality_rules.judge(docs).first()["failed_rules"]
+    assert "stop_word_share" not in quality_rules.judge(docs, stop_words=given).first()["failed_rules"]
+    rules = [r for r in quality_rules.RULES if r.name == "stop_word_share"]
+    long = docs.withColumn("text", F.concat(*(F.concat(F.lit(f"{k} x{k} y{k} z{k} "), F.lit(w + " ")) for k, w in enumerate(czech))))
+    assert (quality_rules.keep(long, rules).count(), quality_rules.keep(long, rules, given).count()) == (0, 1)
