@@ -253,6 +253,36 @@ def associations(df: DataFrame, features: dict[str, Column], y: Column) -> DataF
     return out.select("feature", "rho", (F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc(F.round(F.abs("rho"), 9)), "j")) - 1).alias("place"))  # a row for each feature
 
 
+def association(df: DataFrame, features: dict[str, Column], y: Column, key: str) -> DataFrame:
+    """feature, rho, xi and strength, the greater of |rho| and xi, 0 at least.
+
+    It is 0 with fewer than five pairs, and for a constant feature, whose xi is
+    that of the key that breaks its ties.
+    """
+    from loomtab.operators.ranks import chatterjee_xi, spearman
+
+    out = None
+    for n, c in features.items():
+        pairs = df.select(c.cast("double").alias("a"), y.cast("double").alias("b"), F.col(key).alias("k"))
+        counts = pairs.agg(F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("pairs"), (F.min("a") < F.max("a")).alias("varies"))
+        row = spearman(pairs, "a", "b").join(F.broadcast(chatterjee_xi(pairs, "a", "b", "k"))).join(F.broadcast(counts))  # a row each
+        row = row.select(F.lit(n).alias("feature"), "rho", "xi", F.when((F.col("pairs") >= 5) & F.col("varies"), F.greatest(F.abs("rho"), F.col("xi"), F.lit(0.0))).otherwise(0.0).alias("strength"))
+        out = row if out is None else out.union(row)
+    return out
+
+
+def class_association(df: DataFrame, features: dict[str, Column], label: Column) -> DataFrame:
+    """feature and eta, the correlation ratio of its mid-ranks by class."""
+    from loomtab.operators.ranks import correlation_ratio, mid_ranks
+
+    out = None
+    for n, c in features.items():
+        ranked = mid_ranks(df.select(c.cast("double").alias("a"), label.alias("label")).filter("a is not null and label is not null"), "a", "r")
+        row = correlation_ratio(ranked, "label", "r").select(F.lit(n).alias("feature"), "eta")
+        out = row if out is None else out.union(row)
+    return out
+
+
 def correlation_pairs(df: DataFrame, columns: dict[str, Column], deviations: dict[str, float] | None = None, least: int = 10) -> DataFrame:
     """a, b, n and r of all pairs over the rows where both are present, divided by given deviations' product, within 0.995; 0 with fewer than least rows."""
     names = list(columns)

@@ -179,6 +179,13 @@ def table_lineages(df: DataFrame, table: str, columns: list[str], most: float =
     return named.select(table, "rows", F.coalesce("root", table).alias("lineage"))
 
 
+def validation_halves(groups: DataFrame, group: str) -> DataFrame:
+    """groups with part, select or certify: they take turns in the order of their hashes, so that no group is in both."""
+    from loomtab.operators.splits import group_folds
+
+    return group_folds(groups, group, 2, "__half").withColumn("part", F.when(F.col("__half") == 0, "select").otherwise("certify")).drop("__half")
+
+
 def overlapping_rows(train: DataFrame, query: DataFrame, columns: list[str]) -> DataFrame:
     """Rows of query whose digest over the columns is a training row's; a corpus is disjoint if there are none."""
     digest = F.sha2(F.concat_ws("\x01", *(cell_text(F.col(c)) for c in columns)), 256)

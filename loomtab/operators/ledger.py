@@ -229,17 +229,22 @@ def byte_corrected(fidelity: Column, size: Column, cells: Column) -> Column:
     return fidelity - 0.03 * F.log2(size / cells)
 
 
-def power_simulation(spark, sizes: list[int], effect: float, draws: int, critical: float = 1.96) -> DataFrame:
-    """n and power: the share of simulated samples of uniform deviations around an effect whose mean is significantly above 0.
+def power_simulation(values: DataFrame, key: str, value: str, sizes: list[int], effect: float, draws: int, critical: float = 1.96) -> DataFrame:
+    """n and power: the share of samples of a table's values, centred, scaled and moved by an effect, whose mean is significantly above 0.
 
-    Numbers come from hashes of draw and place, so any engine simulates the same.
+    The i-th pick of a draw is the row, in the order of the key, that a hash of
+    draw, size and i says, so any engine simulates the same. A constant column,
+    or one without values, has no power.
     """
-    rows = spark.range(draws).select(F.col("id").alias("draw"), F.explode(F.array(*map(F.lit, sizes))).alias("n"))
-    rows = rows.select("draw", "n", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
-    u = hashed(F.concat_ws(":", "draw", "n", "i")) / F.lit(4294967296.0)
-    x = (u - 0.5) * F.sqrt(F.lit(12.0)) + effect
-    tests = rows.groupBy("draw", "n").agg((F.avg(x) / (F.stddev_samp(x) / F.sqrt(F.count("*")))).alias("t"))
-    return tests.groupBy("n").agg(F.avg((F.col("t") > critical).cast("double")).alias("power"))
+    rows = staged(placed(values.filter(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).cast("double").alias("v")), "k", "v"), "places")
+    s = rows.agg(F.count("*").alias("n"), F.avg("v").alias("m"), F.stddev_pop("v").alias("sd")).first()
+    x = F.coalesce(F.try_divide(F.col("v") - F.lit(s["m"]), F.lit(s["sd"])), F.lit(0.0)) + effect
+    picks = values.sparkSession.range(draws).select(F.col("id").alias("draw"), F.explode(F.array(*map(F.lit, sizes))).alias("n"))
+    picks = picks.select("draw", "n", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
+    place = F.pmod(hashed(F.concat_ws(":", "draw", "n", "i")), F.lit(max(s["n"], 1)))
+    drawn = picks.withColumn("__place", place).join(rows.select("__place", x.alias("x")), "__place")
+    tests = drawn.groupBy("draw", "n").agg(F.try_divide(F.avg("x"), F.stddev_samp("x") / F.sqrt(F.count("*").cast("double"))).alias("t"))
+    return tests.groupBy("n").agg(F.avg((F.coalesce("t", F.lit(0.0)) > critical).cast("double")).alias("power"))
 
 
 def fidelity_pairs(outcomes: DataFrame, task: str, level: str, low: str, high: str, value: str) -> DataFrame:

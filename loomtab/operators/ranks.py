@@ -256,6 +256,14 @@ def rank_uniforms(df: DataFrame, key: str, column: str, edge: float = 1e-4) -> D
     return df.select(key, column).join(ranks.join(F.broadcast(n)).select(column, u.alias("u")), column).select(key, "u")
 
 
+def midrank_quantiles(df: DataFrame, key: str, column: str) -> DataFrame:
+    """key and (mid-rank - 1/2) / n, the middle of the value's step of the distribution function."""
+    ranks = staged(value_ranks(df, column), "ranks")
+    n = ranks.agg(F.sum("n").alias("total"))
+    middle = ranks.join(F.broadcast(n)).select(column, ((F.col("mid_rank") - 0.5) / F.col("total")).alias("q"))
+    return df.select(key, column).join(middle, column).select(key, "q")
+
+
 def percent_ranks(df: DataFrame, key: str, column: str) -> DataFrame:
     """key and (rows below + half of the other equal ones) / (n - 1), one half for a single row."""
     ranks = staged(value_ranks(df, column), "ranks")

@@ -72,6 +72,29 @@ def stratified_folds(df: DataFrame, key: str, stratum: str, folds: int) -> DataF
     return found.select(*df.columns, F.pmod("__place", F.lit(folds)).cast("int").alias("fold"))
 
 
+def group_folds(df: DataFrame, group: str, folds: int, name: str = "fold") -> DataFrame:
+    """df with a fold that no group crosses: groups take turns in the order of their hashes; rows without a group are one.
+
+    A group's rows are never put together: folds are dealt to the table of
+    groups and joined back.
+    """
+    from loomtab.operators.ranks import null_safe, placed
+
+    groups = df.select(group).distinct().withColumn("__hash", F.coalesce(hashed(F.col(group)), F.lit(-1)))
+    dealt = placed(groups, "__hash", group).select(group, F.pmod("__place", F.lit(folds)).cast("int").alias(name))
+    return null_safe(df, dealt, [group])
+
+
+def value_strata(df: DataFrame, value: str, key: str, bins: int = 10, name: str = "stratum") -> DataFrame:
+    """df with its bin among bins of equal counts in the order of value and key; rows without a value have none."""
+    from loomtab.operators.ranks import placed
+
+    present = df.filter(F.col(value).isNotNull())
+    n = present.count()
+    found = placed(present, value, key).select(*df.columns, F.call_function("div", F.col("__place") * bins, F.lit(max(n, 1))).cast("int").alias(name))
+    return found.unionByName(df.filter(F.col(value).isNull()).withColumn(name, F.lit(None).cast("int")))
+
+
 def stratified_subsample(df: DataFrame, key: str, stratum: str, seats: int) -> DataFrame:
     """seats rows shared out to the strata by largest remainders, each stratum's by least hash."""
     sizes = df.groupBy(stratum).agg(F.count("*").alias("n"))

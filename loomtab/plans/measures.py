@@ -176,11 +176,12 @@ def composite_fitness(spark, sf_dir):
 
 
 @query(
-    f"""WITH x AS (SELECT d, n, ({HEX.format("(d || ':' || n || ':' || i)")} / 4294967296.0::DOUBLE - 0.5) * sqrt(12.0) + 0.3 AS x FROM range(200) a(d), (SELECT unnest([10, 40]) AS n), unnest(range(1, n + 1)) t(i)),
+    f"""WITH v AS (SELECT row_number() OVER (ORDER BY c_custkey, c_acctbal) - 1 AS place, (c_acctbal - avg(c_acctbal) OVER ()) / stddev_pop(c_acctbal) OVER () + 0.3 AS x, count(*) OVER () AS m FROM customer),
+p AS (SELECT d, n, {HEX.format("(d || ':' || n || ':' || i)")} % (SELECT count(*) FROM customer) AS place FROM range(200) a(d), (SELECT unnest([10, 40]) AS n), unnest(range(1, n + 1)) t(i)), x AS (SELECT d, n, x FROM p JOIN v USING (place)),
 t AS (SELECT d, n, avg(x) / (stddev_samp(x) / sqrt(count(*))) AS t FROM x GROUP BY 1, 2) SELECT n, round(avg((t > 1.96)::INTEGER), 8) AS power FROM t GROUP BY 1"""
 )
 def power_simulation(spark, sf_dir):
-    return rounded(ledger.power_simulation(spark, [10, 40], 0.3, 200), 8)
+    return rounded(ledger.power_simulation(load(spark, sf_dir, "customer"), "c_custkey", "c_acctbal", [10, 40], 0.3, 200), 8)
 
 
 @query("SELECT l_suppkey, round(low, 6) AS low, round(high, 6) AS high, round(low - high, 6) AS discrepancy FROM (SELECT l_suppkey, avg(l_discount) FILTER (l_linestatus = 'F') AS low, avg(l_discount) FILTER (l_linestatus = 'O') AS high FROM lineitem GROUP BY 1) WHERE low IS NOT NULL AND high IS NOT NULL")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomtab.operators import additive, columns, compiled, corpus, dependence, gradient, isotonic, ledger, marginals, models, splits
+from loomtab.functions import strict_json
+from loomtab.operators import additive, assessment, auditors, boosting, columns, compiled, corpus, dependence, gradient, isotonic, ledger, marginals, models, ranks, splits
 from loomtab.operators.splits import fold_of
 from loomtab.plans.catalogue import HEX, query, rounded
 from loomtab.plans.measures import _weight
@@ -303,3 +304,138 @@ def byte_prefix(spark, sf_dir):
     """The orders that fit a budget of compressed bytes, a tenth of a kilobyte for each hundred of them."""
     orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     return splits.byte_prefix(orders, "o_orderkey", orders.count())
+
+
+# --- Assessments.
+
+_PREDICTED = "(SELECT l_extendedprice / 1000 AS y, 50 + l_quantity / 10 AS p, l_discount * 9 + 0.05 AS q, (l_tax * 12 < l_discount * 9 + 0.05)::INTEGER AS h, l_returnflag FROM lineitem)"
+
+
+def predicted(spark, sf_dir):
+    q = F.col("l_discount") * 9 + 0.05
+    return load(spark, sf_dir, "lineitem").select((F.col("l_extendedprice") / 1000).alias("y"), (50 + F.col("l_quantity") / 10).alias("p"), q.alias("q"), (F.col("l_tax") * 12 < q).cast("int").alias("h"), "l_returnflag")
+
+
+@query(f"SELECT count(*)::BIGINT AS n, round(avg((abs(y - p) <= {assessment.WIDE}::DOUBLE * 25)::INTEGER), 8) AS covered FROM {_PREDICTED}")
+def nominal_coverage(spark, sf_dir):
+    return rounded(assessment.coverage(predicted(spark, sf_dir), F.col("y"), F.col("p"), 25.0), 8)
+
+
+@query(
+    f"""WITH b AS (SELECT least(9, floor(q * 10)) AS b, count(*) AS n, avg(q) AS p, avg(h) AS h FROM {_PREDICTED} GROUP BY 1 HAVING count(*) >= 5)
+SELECT count(*)::BIGINT AS bins, round(avg((abs(h - p) <= {assessment.WIDE}::DOUBLE * sqrt(p * (1 - p) / n))::INTEGER), 8) AS covered FROM b"""
+)
+def class_coverage(spark, sf_dir):
+    return rounded(assessment.class_coverage(predicted(spark, sf_dir), F.col("h"), F.col("q")), 8)
+
+
+@query(
+    f"""WITH e AS (SELECT quantile_cont(y, [0.1, 0.9]) AS ends FROM {_PREDICTED}), l AS (SELECT count(*) AS n, avg(pow(y - 53, 2)) AS n0, avg(pow(y - (y + 53) / 2, 2)) AS r, avg(pow(y - (y + 2 * p) / 3, 2)) AS s FROM {_PREDICTED}, e WHERE y <= ends[1] OR y >= ends[2])
+SELECT n::BIGINT AS n, round(n0, 5) AS null_loss, round(r, 5) AS real_loss, round(s, 5) AS synthetic_loss, round((n0 - s) / (n0 - r), 5) AS retention FROM l"""
+)
+def tail_retention(spark, sf_dir):
+    y, p = F.col("y"), F.col("p")
+    return rounded(assessment.tail_retention(predicted(spark, sf_dir), "y", F.lit(53.0), (y + 53) / 2, (y + 2 * p) / 3), 5)
+
+
+@query(f"WITH c AS (SELECT l_returnflag AS label, count(*) AS n, avg(q) AS n0, avg(q) / 2 AS r, avg(q) / 2 + avg(p) / 1000 AS s FROM {_PREDICTED} GROUP BY 1 ORDER BY n, label LIMIT 1) SELECT label, n::BIGINT AS n, round((n0 - s) / (n0 - r), 8) AS retention FROM c")
+def rare_class_retention(spark, sf_dir):
+    q, p = F.col("q"), F.col("p")
+    return rounded(assessment.rare_class_retention(predicted(spark, sf_dir), "l_returnflag", q, q / 2, q / 2 + p / 1000), 8)
+
+
+@query(
+    """WITH c AS (SELECT l_suppkey AS f, avg(l_discount) - 0.05 AS r, avg(l_tax) - 0.04 AS s FROM lineitem GROUP BY 1), a AS (SELECT f, r, s, row_number() OVER (ORDER BY abs(r) DESC, f) AS i, row_number() OVER (ORDER BY abs(s) DESC, f) AS j FROM c)
+SELECT round(sum(r * s) / sqrt(sum(r * r) * sum(s * s)), 7) AS cosine, count(*) FILTER (i <= 20 AND j <= 20) / least(20, count(*)) AS overlap, round(sum(CASE WHEN sign(r) = sign(s) THEN abs(r) ELSE 0 END) / sum(abs(r)), 7) AS signs FROM a"""
+)
+def importance_agreement(spark, sf_dir):
+    means = load(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("f")).agg((F.avg("l_discount") - 0.05).alias("r"), (F.avg("l_tax") - 0.04).alias("s"))
+    return rounded(assessment.importance_agreement(means, "f", "r", "s", 20), 7)
+
+
+@query("WITH c AS (SELECT l_linenumber, avg(l_extendedprice) AS m FROM lineitem GROUP BY 1) SELECT count(*)::BIGINT AS clusters, round(avg(m), 5) AS mean_value, round(avg(m) - 1.943180280515303::DOUBLE * stddev_samp(m) / sqrt(count(*)), 5) AS lower FROM c")
+def student_bound(spark, sf_dir):
+    """Seven clusters: the quantile of six degrees of freedom."""
+    return rounded(assessment.student_lower_bound(load(spark, sf_dir, "lineitem"), "l_linenumber", "l_extendedprice"), 5)
+
+
+_W = {"one": 1.0, "quantity": 0.05, "price": 0.02, "discount": 3.0}
+_MOVED = "(SELECT l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey AS k, l_quantity AS quantity, l_extendedprice / 1000 AS price, l_discount AS discount, 1 + l_quantity / 20 + l_extendedprice / 50000 + l_discount * 3 + l_tax AS y FROM lineitem)"
+
+
+def _lead(column: str, tag: str) -> str:
+    order = f"PARTITION BY b ORDER BY {HEX.format(f'({chr(39)}{tag}{chr(39)} || k)')}, k"
+    return f"coalesce(lead({column}) OVER ({order}), first_value({column}) OVER ({order}))"
+
+
+@query(
+    f"""WITH t AS (SELECT *, {HEX.format("('block' || k)")} % ((SELECT count(*) FROM lineitem) // 20000 + 1) AS b FROM {_MOVED}),
+m AS (SELECT *, {", ".join(f"{_lead(c, f'both{r}')} AS {c}_{r}" for c in ("quantity", "price") for r in (0, 1))}, {", ".join(f"{_lead('discount', f'rate{r}')} AS discount_{r}" for r in (0, 1))} FROM t),
+e AS (SELECT avg(pow(y - 1 - 0.05 * quantity - 0.02 * price - 3 * discount, 2)) AS e, {", ".join(f"avg(pow(y - 1 - 0.05 * quantity_{r} - 0.02 * price_{r} - 3 * discount, 2)) AS b{r}, avg(pow(y - 1 - 0.05 * quantity - 0.02 * price - 3 * discount_{r}, 2)) AS d{r}" for r in (0, 1))} FROM m)
+SELECT 'both' AS "group", round((b0 + b1) / 2 - e, 6) AS importance FROM e UNION ALL SELECT 'rate', round((d0 + d1) / 2 - e, 6) FROM e"""
+)
+def grouped_importance(spark, sf_dir):
+    key = F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("k")
+    y = 1 + F.col("l_quantity") / 20 + F.col("l_extendedprice") / 50000 + F.col("l_discount") * 3 + F.col("l_tax")
+    rows = load(spark, sf_dir, "lineitem").select(key, F.col("l_quantity").alias("quantity"), (F.col("l_extendedprice") / 1000).alias("price"), F.col("l_discount").alias("discount"), y.alias("y"))
+    return rounded(models.grouped_importance(rows, "k", _W, {"both": ["quantity", "price"], "rate": ["discount"]}, F.col("y")))
+
+
+@query()
+def class_auditors(spark, sf_dir):
+    """Two families' log losses after the training rows and after a tenth of them."""
+    score = F.col("l_quantity") / 10 + F.col("l_discount") * 30 + (F.col("l_partkey") % 7) / 2
+    key = F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    rows = load(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", F.when(score > 7, 2).when(score > 4.5, 1).otherwise(0).alias("y"), fold_of(key, 10).alias("fold"))
+    train = rows.filter("fold > 1")
+    return rounded(auditors.class_losses(train, train.filter("fold = 2"), rows.filter("fold < 2"), ["l_quantity", "l_discount"], "y", 3))
+
+
+# --- Splits, ranks, associations, JSON.
+
+
+@query(f"WITH g AS (SELECT o_custkey, ((row_number() OVER (ORDER BY {HEX.format('o_custkey')}, o_custkey) - 1) % 5)::INTEGER AS fold FROM (SELECT DISTINCT o_custkey FROM orders)) SELECT o_orderkey, fold FROM orders JOIN g USING (o_custkey)")
+def group_folds(spark, sf_dir):
+    return splits.group_folds(load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_custkey", 5).select("o_orderkey", "fold")
+
+
+@query("SELECT o_orderkey, (((row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1) * 10) // (SELECT count(*) FROM orders))::INTEGER AS stratum FROM orders")
+def value_strata(spark, sf_dir):
+    return splits.value_strata(load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey").select("o_orderkey", "stratum")
+
+
+@query(f"SELECT p_brand, CASE WHEN (row_number() OVER (ORDER BY {HEX.format('p_brand')}, p_brand) - 1) % 2 = 0 THEN 'select' ELSE 'certify' END AS part FROM (SELECT DISTINCT p_brand FROM part)")
+def validation_halves(spark, sf_dir):
+    return corpus.validation_halves(load(spark, sf_dir, "part").select("p_brand").distinct(), "p_brand")
+
+
+@query("SELECT p_partkey, (rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2 - 0.5) / count(*) OVER () AS q FROM part")
+def midrank_quantiles(spark, sf_dir):
+    return ranks.midrank_quantiles(load(spark, sf_dir, "part"), "p_partkey", "p_size")
+
+
+_MID = "rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2"
+
+
+@query(
+    f"""WITH t AS (SELECT p_size AS a, p_retailprice + p_size * 5 AS b, p_partkey AS k FROM part), r AS (SELECT corr(x, y) AS rho FROM (SELECT {_MID.format(c="a")} AS x, {_MID.format(c="b")} AS y FROM t)),
+o AS (SELECT a, k, count(*) OVER (ORDER BY b) AS r, count(*) OVER (ORDER BY b DESC) AS l, count(*) OVER () AS n FROM t), s AS (SELECT abs(lead(r) OVER (ORDER BY a, k) - r) AS d, l, n FROM o), x AS (SELECT 1 - any_value(n) * sum(d) / (2 * sum(l * (n - l))) AS xi FROM s)
+SELECT 'size' AS feature, round(rho, 8) AS rho, round(xi, 8) AS xi, round(greatest(abs(rho), xi, 0), 8) AS strength FROM r, x"""
+)
+def association_strength(spark, sf_dir):
+    return rounded(boosting.association(load(spark, sf_dir, "part"), {"size": F.col("p_size")}, F.col("p_retailprice") + F.col("p_size") * 5, "p_partkey"), 8)
+
+
+@query(
+    f"""WITH t AS (SELECT p_brand, {_MID.format(c="p_size")} AS r FROM part), m AS (SELECT p_brand, count(*) AS n, avg(r) AS m FROM t GROUP BY 1), w AS (SELECT avg(r) AS m, sum(r * r) - count(*) * avg(r) * avg(r) AS q FROM t)
+SELECT 'size' AS feature, round(sqrt(sum(n * pow(m.m - w.m, 2)) / any_value(q)), 8) AS eta FROM m, w"""
+)
+def class_association(spark, sf_dir):
+    return rounded(boosting.class_association(load(spark, sf_dir, "part"), {"size": F.col("p_size")}, F.col("p_brand")), 8)
+
+
+@query("SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN json(props)::VARCHAR END AS canonical FROM events")
+def canonical_json(spark, sf_dir):
+    """Properties with a name that stands twice aren't strict."""
+    props = F.when(F.col("event_id") % 7 != 0, F.col("props")).otherwise(F.concat(F.lit('{"k":1,'), F.substring("props", 2, 1000)))
+    return load(spark, sf_dir, "events").select("event_id", strict_json.canonical(props).alias("canonical"))
