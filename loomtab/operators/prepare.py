@@ -6,6 +6,7 @@ column or level. Cards are applied as projections.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -168,11 +169,13 @@ def binary_target(df: DataFrame, column: str) -> DataFrame:
 # --- Cards of declared columns: numbers by their range, ordinals by rank, nominals by slots.
 
 
-def fit_card(df: DataFrame, numbers: list[str], nominals: list[str], most: int = 256) -> DataFrame:
-    """A row for each number (lo, hi, fill, had_missing) and each level of a nominal column (level, slot).
+def fit_card(df: DataFrame, numbers: list[str], nominals: list[str], most: int = 256, ordinals: dict[str, list[str]] | None = None) -> DataFrame:
+    """A row for each number (lo, hi, fill, had_missing) and each level of a nominal or ordinal column (level, slot).
 
-    Levels stand in the order of their counts, then of their text; one slot more
-    than the levels is for unknown ones.
+    Nominal levels stand in the order of their counts, then of their text; one
+    slot more than the levels is for unknown ones. Ordinal levels are given in
+    their order; their rows hold the median level's place as fill, the first one's
+    without any, for cells that are missing or of no level.
     """
     aggs = [F.struct(F.lit(c).alias("column"), F.min(F.col(c).cast("double")).alias("lo"), F.max(F.col(c).cast("double")).alias("hi"), (F.count_if(F.col(c).isNull()) > 0).alias("had_missing")) for c in numbers]
     ends = df.agg(F.array(*aggs).alias("all")).select(F.explode("all").alias("p")).select("p.*")
@@ -183,6 +186,14 @@ def fit_card(df: DataFrame, numbers: list[str], nominals: list[str], most: int =
         slots = counts.withColumn("slot", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("n"), "level")) - 1)  # most rows at most
         none = F.lit(None).cast("double")
         ranges = ranges.union(slots.select(F.lit(c), F.lit("nominal"), none, none, none, F.lit(None).cast("boolean"), "level", "slot"))
+    for c, levels in (ordinals or {}).items():
+        cell = F.col(c).cast("string")
+        found = df.agg(F.array(*(F.count_if(cell == x) for x in levels)).alias("n"), (F.count_if(~F.coalesce(cell.isin(levels), F.lit(False))) > 0).alias("lost")).first()
+        upto = np.cumsum(found["n"])
+        middle = int(np.searchsorted(upto, upto[-1] / 2)) if len(upto) and upto[-1] else 0
+        fill = middle / max(len(levels) - 1, 1)
+        rows = [(c, "ordinal", None, None, fill, found["lost"], x, k) for k, x in enumerate(levels)]
+        ranges = ranges.union(df.sparkSession.createDataFrame(rows, ranges.schema))
     return ranges
 
 
@@ -203,6 +214,12 @@ def apply_card(df: DataFrame, key: str, card: DataFrame) -> DataFrame:
         out.append(encoded_number(F.col(r["column"]), *ends).alias(r["column"]))
         if r["had_missing"]:
             out.append(F.col(r["column"]).isNull().cast("double").alias(f"{r['column']}=missing"))
+    for c, own in ordinal_levels(rows).items():
+        cell = F.col(c).cast("string")
+        place = F.coalesce(*(F.when(cell == r["level"], F.lit(r["slot"] / max(len(own) - 1, 1))) for r in own), F.lit(own[0]["fill"]))
+        out.append(place.alias(c))
+        if own[0]["had_missing"]:
+            out.append((~F.coalesce(cell.isin([r["level"] for r in own]), F.lit(False))).cast("double").alias(f"{c}=missing"))
     for c, own in levels.items():
         cell = F.col(c).cast("string")
         out += [F.coalesce(cell == x, F.lit(False)).cast("double").alias(f"{c}={k}") for k, x in enumerate(own)]
@@ -210,6 +227,40 @@ def apply_card(df: DataFrame, key: str, card: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+def ordinal_levels(rows: list) -> dict[str, list]:
+    """The card's rows of each ordinal column, in the order of its levels."""
+    out: dict[str, list] = {}
+    for r in sorted((r for r in rows if r["kind"] == "ordinal"), key=lambda r: (r["column"], r["slot"])):
+        out.setdefault(r["column"], []).append(r)
+    return out
+
+
+def invert_card(df: DataFrame, key: str, card: DataFrame) -> DataFrame:
+    """key and the raw columns of a table that apply_card encoded.
+
+    Cells with a flag for missing ones, and unknown slots, come back as null.
+    Missing cells whose fit had none have no flag and come back as their fill.
+    """
+    rows = card.collect()  # a row for each column or level
+    out, encoded = [F.col(key)], set(df.columns)
+
+    def present(c: str, value: Column) -> Column:
+        return F.when(F.col(f"`{c}=missing`") == 0, value) if f"{c}=missing" in encoded else value
+
+    for r in sorted((r for r in rows if r["kind"] == "number"), key=lambda r: r["column"]):
+        lo, hi = F.lit(r["lo"]).cast("double"), F.lit(r["hi"]).cast("double")
+        out.append(present(r["column"], lo + F.col(r["column"]) * (hi - lo)).alias(r["column"]))
+    for c, own in ordinal_levels(rows).items():
+        place = F.round(F.col(c) * (len(own) - 1)).cast("int")
+        out.append(present(c, F.get(F.array(*(F.lit(r["level"]) for r in own)), place)).alias(c))
+    nominal: dict[str, list] = {}
+    for r in sorted((r for r in rows if r["kind"] == "nominal"), key=lambda r: (r["column"], r["slot"])):
+        nominal.setdefault(r["column"], []).append(r)
+    for c, own in nominal.items():
+        out.append(F.coalesce(*(F.when(F.col(f"`{c}={r['slot']}`") == 1, r["level"]) for r in own)).alias(c))
+    return df.select(*out)
+
+
 def card_receipt(df: DataFrame, card: DataFrame) -> DataFrame:
     """column, rows, out_of_range, unseen_levels and unexpected_missing of a table against a card."""
     rows = card.collect()

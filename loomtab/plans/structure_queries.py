@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomtab.functions import strict_json
-from loomtab.operators import additive, assessment, auditors, boosting, columns, compiled, corpus, dependence, gradient, isotonic, ledger, marginals, models, ranks, splits
+from loomtab.operators import additive, assessment, auditors, boosting, columns, compiled, corpus, dependence, gradient, isotonic, ledger, marginals, models, prepare, ranks, splits
 from loomtab.operators.splits import fold_of
 from loomtab.plans.catalogue import HEX, query, rounded
 from loomtab.plans.measures import _weight
@@ -439,3 +439,32 @@ def canonical_json(spark, sf_dir):
     """Properties with a name that stands twice aren't strict."""
     props = F.when(F.col("event_id") % 7 != 0, F.col("props")).otherwise(F.concat(F.lit('{"k":1,'), F.substring("props", 2, 1000)))
     return load(spark, sf_dir, "events").select("event_id", strict_json.canonical(props).alias("canonical"))
+
+
+_ORDER = ["5-LOW", "4-NOT SPECIFIED", "3-MEDIUM", "2-HIGH"]
+
+
+def declared_orders(spark, sf_dir):
+    """Orders with numbers, a nominal column with missing cells and an ordinal one whose first level isn't declared."""
+    return load(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 9 != 0, F.col("o_totalprice")).alias("price"), F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderstatus")).alias("status"), F.col("o_orderpriority").alias("priority"))
+
+
+@query(
+    f"""WITH l AS (SELECT unnest({_ORDER}) AS level, unnest(range(4)) AS slot), c AS (SELECT slot, level, sum(n) OVER (ORDER BY slot) AS upto, sum(n) OVER () AS t FROM (SELECT slot, level, (SELECT count(*) FROM orders WHERE o_orderpriority = level) AS n FROM l)),
+f AS (SELECT min(slot) AS m FROM c WHERE upto >= t / 2) SELECT o_orderkey, round(coalesce(slot, m) / 3, 8) AS place, (slot IS NULL)::INTEGER::DOUBLE AS missing FROM orders LEFT JOIN l ON o_orderpriority = level, f"""
+)
+def ordinal_card(spark, sf_dir):
+    rows = declared_orders(spark, sf_dir)
+    card = prepare.fit_card(rows, ["price"], ["status"], ordinals={"priority": _ORDER})
+    return prepare.apply_card(rows, "o_orderkey", card).select("o_orderkey", F.round("priority", 8).alias("place"), F.col("`priority=missing`").alias("missing"))
+
+
+@query(
+    f"""SELECT o_orderkey, round(CASE WHEN o_orderkey % 9 <> 0 THEN o_totalprice END, 3) AS price, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderstatus END AS status, CASE WHEN o_orderpriority IN ({", ".join(f"'{x}'" for x in _ORDER)}) THEN o_orderpriority END AS priority FROM orders"""
+)
+def card_round_trip(spark, sf_dir):
+    """Encoded by a card and back again."""
+    rows = declared_orders(spark, sf_dir)
+    card = staged(prepare.fit_card(rows, ["price"], ["status"], ordinals={"priority": _ORDER}), "card")
+    back = prepare.invert_card(prepare.apply_card(rows, "o_orderkey", card), "o_orderkey", card)
+    return back.select("o_orderkey", F.round("price", 3).alias("price"), "status", "priority")
