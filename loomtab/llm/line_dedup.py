@@ -3,15 +3,19 @@
 A unit is a line, or a sentence where a line has several; it keeps what
 separates it from the next, so units joined give the text. A window is as few
 units as hold ``RUN_WORDS`` words, counted from its first unit on or from its
-last one back, and its fingerprint is the least of its units' hashes. Each unit
+last one back. Winnowing selects of each window the unit of least hash, the
+first of equal ones: neighbouring windows mostly select the same one, so a text
+has few of these fingerprints, and only they are stored and counted. Each unit
 of a repeated run of that many words or more lies in a window inside the run,
-and equal windows choose equal fingerprints: so a run that two documents share
-shows in a shared fingerprint at least, for certain.
+and equal windows select equal units at the same place: so a run that stands
+twice, in one text or in two, has a fingerprint that stands twice, for certain.
 
-Where fingerprints meet those of other documents, they are extended both ways to
-all windows that chose them. Equal windows, told by the hashes of several units
-or by two hashes of a single one, make up the repeated runs: each occurrence of a window that isn't the first of all documents
-is deleted. No partner has to be chosen, and none is missed.
+Positions whose fingerprints meet are joined back to the hashes of their texts
+and extended both ways, unit by unit, to all windows that selected them; texts
+without such a position are not looked at again. Equal windows, told by the
+hashes of several units or by two hashes of a single one, make up the repeated
+runs: each occurrence of a window that isn't the first of all documents is
+deleted. No partner has to be chosen, and none is missed.
 
 Everything is DataFrame operations. Texts meet only the runs to delete; what is
 joined and counted are hashes.
@@ -63,32 +67,59 @@ def hashed(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "same", *(F.col(f"made.{f}").alias(n) for n, f in {"hashes": "hash", "seconds": "second", "words": "words"}.items()))
 
 
-def windows(docs: DataFrame) -> DataFrame:
-    """doc_id, same, repeats, and all windows: gram and second (two hashes), mark (the fingerprint), first and last unit.
+#: What a document's arrays hold of each unit, and what stands for none.
+ARRAYS = {"hashes": 0, "seconds": 0, "words": 0}
 
-    Units are counted without those that have no word. repeats tells documents
-    that hold a unit twice: others can't hold a window twice.
+
+def dealt(arrays: DataFrame, *kept: str) -> DataFrame:
+    """A row for each unit of arrays (by row): kept, row, at, its hash, second and words, those of the unit before, and begins, the words before it.
+
+    A unit of no words at the end of each document lets its last unit be one before.
     """
-    twice = let(F.col("hashes"), lambda h: F.size(F.array_distinct(h)) < F.size(h))
-    # A unit of no words at the end of each document lets its last unit be one before.
-    zero = {"hashes": F.lit(0).cast("long"), "seconds": F.lit(0).cast("long"), "words": F.lit(0)}
-    rows = hashed(docs).filter(F.size("hashes") > 0).select("doc_id", "same", twice.alias("repeats"), *(F.concat(c, F.array(v)).alias(c) for c, v in zero.items()), F.monotonically_increasing_id().alias("row"))
+    longer = arrays.select(*kept, "row", *(F.concat(c, F.array(F.lit(v).cast("int" if c == "words" else "long"))).alias(c) for c, v in ARRAYS.items()))
     # The arrays are dealt by row, not their units: the windows below need no other exchange.
-    kept = ("doc_id", "same", "repeats", "row")
-    each = rows.repartition("row").select(*kept, F.posexplode(F.arrays_zip(*zero)).alias("at", "u"))
-    each = each.select(*kept, "at", F.col("u.hashes").alias("hash"), F.col("u.seconds").alias("second"), F.col("u.words").alias("words"))
+    each = longer.repartition("row").select(*kept, "row", F.posexplode(F.arrays_zip(*ARRAYS)).alias("at", "u"))
+    each = each.select(*kept, "row", "at", F.col("u.hashes").alias("hash"), F.col("u.seconds").alias("second"), F.col("u.words").alias("words"))
     own = W.partitionBy("row").orderBy("at")
-    each = each.withColumns({"begins": F.sum("words").over(own) - F.col("words"), **{f"past_{c}": F.lag(c).over(own) for c in ("hash", "words")}})
-    # The units from this one on that begin within RUN_WORDS words; and those before this one that end within as many.
+    return each.withColumns({"begins": F.sum("words").over(own) - F.col("words"), **{f"past_{c}": F.lag(c).over(own) for c in ("at", "hash", "words")}})
+
+
+def frames() -> tuple:
+    """The units from this one on that begin within RUN_WORDS words; and those before this one that end within as many."""
     spread = W.partitionBy("row").orderBy("begins")
-    ahead, behind = spread.rangeBetween(0, RUN_WORDS - 1), spread.rangeBetween(1 - RUN_WORDS, 0)
-    both = each.withColumns({
+    return spread.rangeBetween(0, RUN_WORDS - 1), spread.rangeBetween(1 - RUN_WORDS, 0)
+
+
+def fingerprints(arrays: DataFrame) -> DataFrame:
+    """doc_id, same, at and hash of the units that winnowing selects, once each; units are counted without those that have no word."""
+    ahead, behind = frames()
+    both = dealt(arrays, "doc_id", "same").withColumns({
+        "f": F.min(F.struct("hash", "at")).over(ahead), "n_ahead": F.sum("words").over(ahead),
+        "b": F.min(F.struct(F.col("past_hash").alias("hash"), F.col("past_at").alias("at"))).over(behind), "n_behind": F.sum("past_words").over(behind),
+    })
+    chosen = F.array(F.when(F.col("n_ahead") >= RUN_WORDS, F.col("f")), F.when(F.col("n_behind") - F.col("past_words") >= RUN_WORDS, F.col("b")))
+    found = both.select("doc_id", "same", F.explode(F.filter(chosen, lambda x: x.isNotNull())).alias("x"))
+    return found.select("doc_id", "same", "x.at", "x.hash").distinct()
+
+
+def extended(arrays: DataFrame) -> DataFrame:
+    """doc_id, same, repeats, and the windows around arrays' met positions: gram and second (two hashes), first and last unit.
+
+    repeats tells documents that hold a unit twice: others can't hold a window twice.
+    """
+    twice = let(F.col("hashes"), lambda h: F.size(F.array_distinct(h)) < F.size(h))
+    kept = ("doc_id", "same", "repeats", "met")
+    ahead, behind = frames()
+    both = dealt(arrays.withColumn("repeats", twice), *kept).withColumns({
         "ahead": F.collect_list("hash").over(ahead), "n_ahead": F.sum("words").over(ahead),
         "behind": F.collect_list("past_hash").over(behind), "n_behind": F.sum("past_words").over(behind),
     })
 
     def window(hashes: str, second: Column, first: Column) -> Column:
-        return F.struct(F.xxhash64(hashes).alias("gram"), second.alias("second"), F.array_min(hashes).alias("mark"), first.cast("int").alias("first"), (first + F.size(hashes) - 1).cast("int").alias("last"))
+        # The place of the unit that the window selects: the first of its least hash.
+        selected = first + F.array_position(hashes, F.array_min(hashes)) - 1
+        made = F.struct(F.xxhash64(hashes).alias("gram"), second.alias("second"), first.cast("int").alias("first"), (first + F.size(hashes) - 1).cast("int").alias("last"))
+        return F.when(F.array_contains("met", selected.cast("int")), made)
 
     forward = F.when(F.col("n_ahead") >= RUN_WORDS, window("ahead", F.when(F.size("ahead") == 1, F.col("second")).otherwise(0), F.col("at")))
     # A window from its last unit back is also one from its first unit on, unless it has enough words without the last; then it has several units.
@@ -100,21 +131,23 @@ def windows(docs: DataFrame) -> DataFrame:
 def runs(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, same and the runs (array of first and last unit, of those with a word) to delete, for each document that has any."""
     # Documents are told apart by doc_id and the hash of their text; equal rows are one document.
-    grams = stage(spark, windows(docs.filter("doc_id is not null")), "grams")
+    arrays = hashed(docs.filter("doc_id is not null")).filter(F.size("hashes") > 0).withColumn("row", F.monotonically_increasing_id())
+    arrays = stage(spark, arrays, "arrays")
+    selected = stage(spark, fingerprints(arrays), "fingerprints")
+
+    # Fingerprints that stand more than once, and where.
+    marks = stage(spark, selected.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1"), "marks")
+    met = join_counted(selected, marks, ["hash"], selected.count()).groupBy("doc_id", "same").agg(F.collect_list("at").alias("met"))
+    # Equal rows are looked at once.
+    open_ = arrays.join(met, ["doc_id", "same"]).dropDuplicates(["doc_id", "same"])
+    grams = stage(spark, extended(open_), "grams")
 
     # Of each window all occurrences but the first go; repeats inside a document need no comparison with others.
-    inside = grams.filter("repeats").drop("repeats").distinct()
     order = W.partitionBy("doc_id", "same", "gram", "second").orderBy("first", "last")
-    inside = stage(spark, inside.withColumn("again", F.row_number().over(order) > 1), "inside")
+    inside = stage(spark, grams.filter("repeats").drop("repeats").withColumn("again", F.row_number().over(order) > 1), "inside")
     once = grams.filter("not repeats").drop("repeats").union(inside.filter("not again").drop("again"))
-
-    # Fingerprints that more than one document has; documents are told apart by a hash here.
-    who = F.xxhash64("doc_id", "same")
-    marks = once.groupBy("mark").agg(F.min(who).alias("a"), F.max(who).alias("b"), F.count("*").alias("n")).filter("a < b").select("mark", "n")
-    n = grams.count()
-    around = stage(spark, join_counted(once, stage(spark, marks, "marks"), ["mark"], n).drop("mark"), "around")
-    firsts = around.groupBy("gram", "second").agg(F.min(F.struct("doc_id", "same")).alias("e"), F.count("*").alias("n")).filter("n > 1")
-    across = join_counted(around, stage(spark, firsts, "firsts"), ["gram", "second"], n).filter(F.struct("doc_id", "same") != F.col("e"))
+    firsts = once.groupBy("gram", "second").agg(F.min(F.struct("doc_id", "same")).alias("e"), F.count("*").alias("n")).filter("n > 1")
+    across = join_counted(once, stage(spark, firsts, "firsts"), ["gram", "second"], grams.count()).filter(F.struct("doc_id", "same") != F.col("e"))
     gone = inside.filter("again").select("doc_id", "same", "first", "last").union(across.select("doc_id", "same", "first", "last")).distinct()
 
     # Windows that overlap or follow one another are one run.
@@ -123,7 +156,7 @@ def runs(spark: SparkSession, docs: DataFrame) -> DataFrame:
     parted = gone.withColumn("starts", F.when(F.col("first") <= reach + 1, 0).otherwise(1))
     run = parted.withColumn("run", F.sum("starts").over(by)).groupBy("doc_id", "same", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
     found = stage(spark, run.groupBy("doc_id", "same").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "runs")
-    for done in (grams, inside, around):
+    for done in (arrays, selected, grams, inside):
         discard(spark, done)
     return found
 

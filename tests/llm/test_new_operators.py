@@ -219,3 +219,15 @@ def test_stop_words_of_another_language_reach_the_verdict(spark):
     rules = [r for r in quality_rules.RULES if r.name == "stop_word_share"]
     long = docs.withColumn("text", F.concat(*(F.concat(F.lit(f"{k} x{k} y{k} z{k} "), F.lit(w + " ")) for k, w in enumerate(czech))))
     assert (quality_rules.keep(long, rules).count(), quality_rules.keep(long, rules, given).count()) == (0, 1)
+
+
+def test_line_dedup_of_a_very_long_text(spark):
+    from loomtab.llm import line_dedup
+
+    passage = "\n".join(f"shared line {k} with some seven words" for k in range(9)) + "\n"
+    filler = ["".join(f"own {p} line number {k} stands here\n" for k in range(20_000)) for p in ("first", "second", "third")]
+    texts = [filler[0] + passage + filler[1] + passage + filler[2], "x" * 2_000_000 + "\n" + passage, passage * 500]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_runs(spark, docs).collect()}
+    assert got[0] == filler[0] + passage + filler[1] + filler[2]
+    assert got[1] == "x" * 2_000_000 + "\n" and not got[2].strip()
