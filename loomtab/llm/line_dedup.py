@@ -47,8 +47,8 @@ def units(text: Column) -> Column:
     return F.when(F.contains(whole, F.lit(END)), F.split(whole, r"(?<=\n)|(?<=[.!?] )")).otherwise(F.split(marked, END))
 
 
-def hashed(docs: DataFrame) -> DataFrame:
-    """doc_id, same (the text's hash), and of all units with a word two hashes and the numbers of words."""
+def hashed(docs: DataFrame, *kept: str) -> DataFrame:
+    """doc_id, same (the text's hash), kept columns, and of all units with a word two hashes and the numbers of words."""
     blanks = F.lit(" \t\n\x0b\x0c\r")
     text = F.coalesce(F.col("text"), F.lit(""))
     # A unit without blanks at its ends and with single blanks inside has a word more than blanks.
@@ -63,8 +63,13 @@ def hashed(docs: DataFrame) -> DataFrame:
     split = lambda u: F.size(F.split(u, f"[{BLANKS}]+"))
     count = lambda u: (F.octet_length(u) - F.octet_length(F.replace(u, F.lit(" "), F.lit(""))) + 1)
     made = let(units(F.col("text")), lambda p: F.when(odd, of(p, split)).otherwise(of(p, count)))
-    found = docs.select("doc_id", F.xxhash64("text").alias("same"), made.alias("made"))
-    return found.select("doc_id", "same", *(F.col(f"made.{f}").alias(n) for n, f in {"hashes": "hash", "seconds": "second", "words": "words"}.items()))
+    found = docs.select("doc_id", F.xxhash64("text").alias("same"), *kept, made.alias("made"))
+    return found.select("doc_id", "same", *kept, *(F.col(f"made.{f}").alias(n) for n, f in {"hashes": "hash", "seconds": "second", "words": "words"}.items()))
+
+
+def numbered(docs: DataFrame, *kept: str) -> DataFrame:
+    """hashed without texts of no unit, and a row number."""
+    return hashed(docs, *kept).filter(F.size("hashes") > 0).withColumn("row", F.monotonically_increasing_id())
 
 
 #: What a document's arrays hold of each unit, and what stands for none.
@@ -131,16 +136,16 @@ def extended(arrays: DataFrame) -> DataFrame:
 def runs(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, same and the runs (array of first and last unit, of those with a word) to delete, for each document that has any."""
     # Documents are told apart by doc_id and the hash of their text; equal rows are one document.
-    arrays = hashed(docs.filter("doc_id is not null")).filter(F.size("hashes") > 0).withColumn("row", F.monotonically_increasing_id())
-    arrays = stage(spark, arrays, "arrays")
-    selected = stage(spark, fingerprints(arrays), "fingerprints")
+    known = docs.filter("doc_id is not null")
+    selected = stage(spark, fingerprints(numbered(known)), "fingerprints")
 
     # Fingerprints that stand more than once, and where.
     marks = stage(spark, selected.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1"), "marks")
     met = join_counted(selected, marks, ["hash"], selected.count()).groupBy("doc_id", "same").agg(F.collect_list("at").alias("met"))
-    # Equal rows are looked at once.
-    open_ = arrays.join(met, ["doc_id", "same"]).dropDuplicates(["doc_id", "same"])
-    grams = stage(spark, extended(open_), "grams")
+    met = stage(spark, met, "met").withColumnsRenamed({"doc_id": "of_id", "same": "of_text"})
+    # Only texts that hold a met position are hashed again; what their rows hold more than once is so in grams, too, and goes there.
+    here = known.withColumn("same", F.xxhash64("text")).join(met, (F.col("doc_id") == F.col("of_id")) & (F.col("same") == F.col("of_text")))
+    grams = stage(spark, extended(numbered(here.drop("same"), "met")).distinct(), "grams")
 
     # Of each window all occurrences but the first go; repeats inside a document need no comparison with others.
     order = W.partitionBy("doc_id", "same", "gram", "second").orderBy("first", "last")
@@ -156,7 +161,7 @@ def runs(spark: SparkSession, docs: DataFrame) -> DataFrame:
     parted = gone.withColumn("starts", F.when(F.col("first") <= reach + 1, 0).otherwise(1))
     run = parted.withColumn("run", F.sum("starts").over(by)).groupBy("doc_id", "same", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
     found = stage(spark, run.groupBy("doc_id", "same").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "runs")
-    for done in (arrays, selected, grams, inside):
+    for done in (selected, grams, inside):
         discard(spark, done)
     return found
 
