@@ -18,6 +18,8 @@ from loomtab.session import staged
 COUNTED_ROWS, ACCURACY = 20_000, 10_000
 #: Bracketed values of a column that one task puts in order; more are dealt by ranges.
 ORDERED_VALUES = 200_000
+#: More brackets than these are looked up in an array; fewer make a chain of comparisons.
+MANY_BRACKETS = 24
 
 
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -111,12 +113,7 @@ def bracketed(df: DataFrame, columns: dict[str, Column], probabilities: list[flo
         wanted += [(k, r) for r in sorted({r for p in probabilities for r in (int(p * (n - 1)), min(int(p * (n - 1)) + 1, n - 1))})]
         brackets = [(None, None)] if n <= COUNTED_ROWS else merged(probabilities, dict(zip(marks, sketches[c], strict=True)), slack)
         inside += n if n <= COUNTED_ROWS else int(2 * slack * n * len(brackets))
-        cell = F.when(e.isNull(), F.lit(None))
-        for at, (low, high) in enumerate(brackets):
-            if low is not None:
-                cell = cell.when(e < low, F.struct(F.lit(at).alias("slot"), F.lit(None).cast("double").alias("value")))
-            cell = cell.when(F.lit(True) if high is None else e <= high, F.struct(F.lit(at).alias("slot"), e.alias("value")))
-        cells.append(F.struct(F.lit(k).alias("column"), cell.otherwise(F.struct(F.lit(len(brackets)).alias("slot"), F.lit(None).cast("double").alias("value"))).alias("cell")))
+        cells.append(F.struct(F.lit(k).alias("column"), bracket_of(e, brackets).alias("cell")))
     found = {c: (totals[c], None) for c in columns}
     if not cells:
         return found, first
@@ -141,6 +138,24 @@ def bracketed(df: DataFrame, columns: dict[str, Column], probabilities: list[flo
     return found, first
 
 
+def bracket_of(e: Column, brackets: list[tuple]) -> Column:
+    """slot, the number of brackets that end below e, and value, e itself where it lies inside the next one; null without e."""
+    none = F.lit(None).cast("double")
+    if len(brackets) > MANY_BRACKETS:
+        inf = float("inf")
+        lows, highs = (F.array(*(F.lit(float(side if b[i] is None else b[i])) for b in brackets)) for i, side in ((0, -inf), (1, inf)))
+        # Bound as a lambda's variable, so that they are made once a row.
+        slot = F.size(F.filter(highs, lambda h: h < e))
+        found = F.transform(F.array(slot), lambda s: F.struct(s.alias("slot"), F.when(e >= F.get(lows, s), e).alias("value")))
+        return F.when(e.isNotNull(), found[0])
+    cell = F.when(e.isNull(), F.lit(None))
+    for at, (low, high) in enumerate(brackets):
+        if low is not None:
+            cell = cell.when(e < low, F.struct(F.lit(at).alias("slot"), none.alias("value")))
+        cell = cell.when(F.lit(True) if high is None else e <= high, F.struct(F.lit(at).alias("slot"), e.alias("value")))
+    return cell.otherwise(F.struct(F.lit(len(brackets)).alias("slot"), none.alias("value")))
+
+
 def merged(probabilities: list[float], sketch: dict[float, float], slack: float) -> list[tuple]:
     """Disjoint brackets in ascending order, open where a probability lies at an end."""
     out: list[tuple] = []

@@ -87,12 +87,12 @@ def btr_auc(spark, sf_dir):
 
 
 @query(
-    f"""WITH c AS (SELECT dataset, config, max((coalesce(robust, 0) >= 1.05)::INTEGER) AS q, min(bytes) FILTER (coalesce(robust, 0) >= 1.05 AND bytes <= 1000) AS b FROM {LEDGER} WHERE method = 'R' AND seed = 1 GROUP BY 1, 2),
+    f"""WITH c AS (SELECT dataset, config, max((coalesce(robust, 0) >= 1.05)::INTEGER) AS q, min(bytes) FILTER (coalesce(robust, 0) >= 1.05 AND bytes <= 1000) AS b FROM {LEDGER} GROUP BY 1, 2),
 m AS (SELECT *, q = 0 AND coalesce(max(q) OVER (PARTITION BY dataset ORDER BY config ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS broken FROM c)
 SELECT r.dataset, min(b)::BIGINT AS minimum_bytes, coalesce(bool_or(broken), false) AS non_monotone FROM (SELECT unnest(range(15)) AS dataset) r LEFT JOIN m ON r.dataset = m.dataset GROUP BY 1"""
 )
 def roster_frontier(spark, sf_dir):
-    trials = cells(spark, sf_dir).filter("method = 'R' and seed = 1").withColumn("qualified", F.coalesce("robust", F.lit(0.0)) >= 1.05)
+    trials = cells(spark, sf_dir).withColumn("qualified", F.coalesce("robust", F.lit(0.0)) >= 1.05)
     return ledger.roster_frontier(spark.range(15).select(F.col("id").alias("dataset")), trials, "dataset", "config", "bytes", "qualified", 1000)
 
 

@@ -52,8 +52,8 @@ def _prior(where: str) -> str:
 @query(
     f"""WITH flags AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 AND l_orderkey % 4 <> 0 THEN 'N' ELSE l_returnflag END AS l_returnflag FROM lineitem),
 null_ AS (SELECT l_returnflag AS label, (count(*) + 0.5) / (sum(count(*)) OVER () + 0.5 * count(*) OVER ()) AS p FROM flags WHERE l_orderkey % 5 <> 0 GROUP BY 1),
-l AS (SELECT avg(-ln(n.p)) AS n, avg(-ln(r.p)) AS r, avg(-ln(s.p)) AS s FROM flags t JOIN null_ n ON n.label = l_returnflag JOIN {_prior("l_orderkey % 5 <> 0")} r ON r.k = l_linenumber AND r.label = l_returnflag
-JOIN {_prior("l_orderkey % 5 <> 0 AND l_orderkey % 7 = 0")} s ON s.k = l_linenumber AND s.label = l_returnflag WHERE l_orderkey % 5 = 0) SELECT round(n, 8) AS null_loss, round(r, 8) AS real_loss, round(s, 8) AS synthetic_loss, round((n - s) / (n - r), 6) AS retention FROM l"""
+l AS (SELECT avg(-ln(coalesce(n.p, 1e-7))) AS n, avg(-ln(coalesce(r.p, 1e-7))) AS r, avg(-ln(coalesce(s.p, 1e-7))) AS s FROM flags t LEFT JOIN null_ n ON n.label = l_returnflag LEFT JOIN {_prior("l_orderkey % 5 <> 0")} r ON r.k = l_linenumber AND r.label = l_returnflag
+LEFT JOIN {_prior("l_orderkey % 5 <> 0 AND l_orderkey % 7 = 0")} s ON s.k = l_linenumber AND s.label = l_returnflag WHERE l_orderkey % 5 = 0) SELECT round(n, 8) AS null_loss, round(r, 8) AS real_loss, round(s, 8) AS synthetic_loss, round((n - s) / (n - r), 6) AS retention FROM l"""
 )
 def class_retention(spark, sf_dir):
     """Cross entropies on held-out rows: of the prior, of class shares by line number of all training rows, and of a seventh of them."""
@@ -68,8 +68,10 @@ def class_retention(spark, sf_dir):
         return counts.join(whole, "k").select("k", "label", ((F.col("n") + 0.5) / (F.col("t") + 0.5 * F.col("c"))).alias(name))
 
     prior = boosting.class_prior(train, F.col("label"))
-    both = held.join(F.broadcast(prior), "label").join(shares(train, "real"), ["k", "label"]).join(shares(train.filter("l_orderkey % 7 = 0"), "synthetic"), ["k", "label"])
-    losses = both.agg(F.avg(-F.ln("prior")).alias("null_loss"), F.avg(-F.ln("real")).alias("real_loss"), F.avg(-F.ln("synthetic")).alias("synthetic_loss"))
+    both = held.join(F.broadcast(prior), "label", "left").join(shares(train, "real"), ["k", "label"], "left").join(shares(train.filter("l_orderkey % 7 = 0"), "synthetic"), ["k", "label"], "left")
+    # A class that a side hasn't seen has the least probability.
+    loss = lambda p: F.avg(-F.ln(F.coalesce(p, F.lit(1e-7))))
+    losses = both.agg(loss("prior").alias("null_loss"), loss("real").alias("real_loss"), loss("synthetic").alias("synthetic_loss"))
     r = retention(F.col("null_loss"), F.col("real_loss"), F.col("synthetic_loss"))
     return losses.select(*(F.round(c, 8).alias(c) for c in ("null_loss", "real_loss", "synthetic_loss")), F.round(r, 6).alias("retention"))
 

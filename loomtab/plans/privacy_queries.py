@@ -107,10 +107,30 @@ def driver_overlap(spark, sf_dir):
     return privacy.driver_overlap(correlations(spark, sf_dir), "feature", "r", "s")
 
 
-@query(f"SELECT round(m, 8) AS marginal, round(d, 8) AS dependence, round(0.55::DOUBLE * m + 0.45::DOUBLE * d, 8) AS joint FROM (SELECT avg(1 - least(abs(r) / 0.25::DOUBLE, 1)) AS m, avg(1 - least(abs(r - s) / 1.5::DOUBLE, 1)) AS d FROM ({_CORR}))")
+_UNIT = {"quantity": "l_quantity / 50", "discount": "l_discount * 10", "price": "l_extendedprice * (1 + (l_orderkey % 2) * 0.2) / 130000"}
+_PROBES = str([(k + 0.5) / 64 for k in range(64)])
+
+
+@query(
+    "WITH w AS ("
+    + " UNION ALL ".join(
+        f"SELECT list_sum(list_transform(range(1, 65), lambda i: abs(a[i] - b[i]))) / 64 AS w, r - s AS d FROM (SELECT quantile_cont({e}, {_PROBES}) FILTER (l_orderkey % 2 = 0) AS a, quantile_cont({e}, {_PROBES}) FILTER (l_orderkey % 2 <> 0) AS b, corr({e}, {_Y}) FILTER (l_orderkey % 2 = 0) AS r, corr({e}, {_Y}) FILTER (l_orderkey % 2 <> 0) AS s FROM lineitem)"
+        for e in _UNIT.values()
+    )
+    + ") SELECT round(m, 7) AS marginal, round(d, 7) AS dependence, round(0.55::DOUBLE * m + 0.45::DOUBLE * d, 7) AS joint FROM (SELECT avg(1 - least(w / 0.25::DOUBLE, 1)) AS m, avg(1 - least(abs(d) / 1.5::DOUBLE, 1)) AS d FROM w)"
+)
 def distribution_fidelity(spark, sf_dir):
-    rows = correlations(spark, sf_dir).select(F.abs("r").alias("distance"), (F.col("r") - F.col("s")).alias("difference"))
-    return rounded(privacy.distribution_fidelity(rows, "distance", "difference"), 8)
+    """Wasserstein distances of columns on the unit scale, and differences of their correlations, between two halves."""
+    from loomtab.operators.columns import correlation
+    from loomtab.operators.compare import wasserstein
+
+    side, y, out = F.col("l_orderkey") % 2 == 0, F.col("l_extendedprice") / 1000 + F.col("l_quantity"), None
+    items = load(spark, sf_dir, "lineitem").select("*", *(F.expr(e).cast("double").alias(n) for n, e in _UNIT.items()))
+    for n in _UNIT:
+        both = items.agg((correlation(F.when(side, F.col(n)), y) - correlation(F.when(~side, F.col(n)), y)).alias("difference"))
+        row = wasserstein(items, side, n).join(F.broadcast(both))  # a row each
+        out = row if out is None else out.union(row)
+    return rounded(privacy.distribution_fidelity(out, "wasserstein", "difference"), 7)
 
 
 def _cell(c: str) -> str:
