@@ -264,3 +264,39 @@ def contrasts(panel: DataFrame) -> DataFrame:
     over = [(f"{m} - lin", m, "lin") for m in PANEL if m not in ("lin", "lin_quarter", "gbdt_quarter", "knn1", "stump")]
     pairs = [*over, ("gbdt - stump", "gbdt", "stump"), ("knn16 - knn1", "knn16", "knn1"), ("lin - lin_quarter", "lin", "lin_quarter"), ("gbdt - gbdt_quarter", "gbdt", "gbdt_quarter")]
     return wide.select(F.explode(F.array(*(F.struct(F.lit(n).alias("name"), (F.col(a) - F.col(b)).alias("value")) for n, a, b in pairs))).alias("c")).select("c.*")
+
+
+def coordinates(panel: DataFrame, rows: int, features: int, classes: int, target: tuple[float, float, float]) -> DataFrame:
+    """place, name, value and known: 96 numbers that stand for a table, 0 and unknown where a member has none.
+
+    23 gains, their 23 standard errors and 23 mid-rank shares, the 18 contrasts
+    of members with the linear one, three statistics of the target, three flags
+    of the task, and the scaled numbers of classes (0 for a number), rows and
+    features.
+    """
+    held = {r["member"]: r for r in panel.collect()}  # a row for each member
+    gains = {m: held[m]["gain"] if m in held else None for m in PANEL}
+    known = [g for g in gains.values() if g is not None]
+    share = lambda g: None if g is None else (sum(x < g for x in known) + 0.5 * sum(x == g for x in known)) / len(known)
+    over = [m for m in PANEL if m not in ("lin", "lin_quarter", "gbdt_quarter", "knn1", "stump")]
+    linear = gains["lin"]
+    out: list[tuple[str, float | None]] = [(f"gain {m}", g) for m, g in gains.items()]
+    out += [(f"error {m}", held[m]["error"] if m in held else None) for m in PANEL]
+    out += [(f"share {m}", share(g)) for m, g in gains.items()]
+    out += [(f"{m} - lin", None if gains[m] is None or linear is None else gains[m] - linear) for m in over]
+    out += list(zip(("target mean", "target deviation", "target skew"), target, strict=True))
+    out += [("regression", float(classes == 0)), ("binary", float(classes == 2)), ("multiclass", float(classes > 2))]
+    out += [("classes", math.log2(classes) / 6 if classes > 0 else 0.0), ("rows", math.log10(max(rows, 1)) / 6), ("features", math.log2(max(features, 1)) / 12)]
+    table = [(k, n, 0.0 if v is None or math.isnan(v) else float(v), v is not None and not math.isnan(v)) for k, (n, v) in enumerate(out)]
+    return panel.sparkSession.createDataFrame(table, "place int, name string, value double, known boolean")
+
+
+def merged_bundles(bundles: DataFrame, scope: str, table: str, version: str, complete: str) -> DataFrame:
+    """The last complete row of each table within its scope; tables without one are left out.
+
+    Rows of different scopes never take each other's place; of equal versions the
+    greatest row stands. Missing scopes and tables are ones of their own.
+    """
+    rest = [c for c in bundles.columns if c not in (scope, table)]
+    last = bundles.filter(F.coalesce(F.col(complete), F.lit(False))).groupBy(scope, table).agg(F.max(F.struct(F.col(version).alias("__v"), *(F.col(f"`{c}`") for c in rest))).alias("__last"))
+    return last.select(*(F.col(c) if c in (scope, table) else F.col("__last")[c].alias(c) for c in bundles.columns))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomtab.functions import strict_json
-from loomtab.operators import additive, assessment, auditors, boosting, columns, compiled, corpus, dependence, gradient, isotonic, ledger, marginals, models, prepare, ranks, splits
+from loomtab.operators import additive, assessment, auditors, boosting, columns, compiled, corpus, dependence, gradient, isotonic, landmarks, ledger, marginals, models, prepare, ranks, splits
 from loomtab.operators.splits import fold_of
 from loomtab.plans.catalogue import HEX, query, rounded
 from loomtab.plans.measures import _weight
@@ -468,3 +468,23 @@ def card_round_trip(spark, sf_dir):
     card = staged(prepare.fit_card(rows, ["price"], ["status"], ordinals={"priority": _ORDER}), "card")
     back = prepare.invert_card(prepare.apply_card(rows, "o_orderkey", card), "o_orderkey", card)
     return back.select("o_orderkey", F.round("price", 3).alias("price"), "status", "priority")
+
+
+@query(
+    """SELECT o_orderstatus AS scope, o_custkey % 500 AS t, max(o_orderkey) AS version, arg_max(o_totalprice, o_orderkey) AS value FROM orders WHERE o_orderpriority <> '5-LOW' GROUP BY 1, 2"""
+)
+def bundle_merge(spark, sf_dir):
+    """The last complete row of each table and scope."""
+    orders = load(spark, sf_dir, "orders")
+    rows = orders.select(F.col("o_orderstatus").alias("scope"), (F.col("o_custkey") % 500).alias("t"), F.col("o_orderkey").alias("version"), F.col("o_totalprice").alias("value"), (F.col("o_orderpriority") != "5-LOW").alias("complete"))
+    return landmarks.merged_bundles(rows, "scope", "t", "version", "complete").drop("complete")
+
+
+@query()
+def landmark_coordinates(spark, sf_dir):
+    """The coordinates of lineitem by the members that take one aggregation each."""
+    y = F.sin(F.col("l_quantity") / 8) + F.col("l_discount") * 5
+    items = load(spark, sf_dir, "lineitem").select(F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("key"), "l_quantity", "l_discount", y.alias("y"))
+    panel = landmarks.signature(spark, items, "key", ["l_quantity", "l_discount"], "y", ["lin", "log", "hinge", "step", "pairs"])
+    s = items.agg(F.count("*").alias("n"), F.avg("y").alias("m"), F.stddev_pop("y").alias("sd"), F.skewness("y").alias("skew")).first()
+    return rounded(landmarks.coordinates(panel, s["n"], 2, 0, (s["m"], s["sd"], s["skew"])))

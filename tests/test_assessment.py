@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomtab.functions import strict_json
-from loomtab.operators import assessment, auditors, boosting, corpus, ledger, models, ranks, splits
+from loomtab.operators import assessment, auditors, boosting, corpus, landmarks, ledger, models, privacy, ranks, splits
 
 
 @pytest.mark.parametrize(("text", "want"), [
@@ -96,3 +96,26 @@ def test_class_auditors_see_the_signal(spark):
     assert set(rows) == {"linear", "boosted"}
     for r in rows.values():
         assert r["real_loss"] < 0.8 * r["null_loss"] and r["retention"] < 1.05
+
+
+def test_coordinates_have_their_places_and_bundles_their_last_rows(spark):
+    panel = spark.createDataFrame([("lin", "additive", 0.5, 0.1), ("hinge", "additive", 0.7, 0.2), ("net", "neural", None, None)], "member string, family string, gain double, error double")
+    rows = landmarks.coordinates(panel, 1000, 4, 3, (1.0, 2.0, float("nan"))).orderBy("place").collect()
+    at = {r["name"]: r for r in rows}
+    assert len(rows) == 96 and [r["place"] for r in rows] == list(range(96))
+    assert at["hinge - lin"]["value"] == pytest.approx(0.2) and at["share hinge"]["value"] == 0.75 and not at["gain net"]["known"] and not at["target skew"]["known"]
+    assert at["multiclass"]["value"] == 1.0 and at["rows"]["value"] == 0.5 and at["features"]["value"] == pytest.approx(2 / 12)
+    bundles = spark.createDataFrame([("a", 1, 1, True, 10), ("a", 1, 2, False, 20), ("a", 1, 2, True, 15), ("b", 1, 9, True, 30), ("b", 2, 1, None, 40), (None, 1, 3, True, 50), (None, 1, 4, True, 60)], "scope string, t int, version int, complete boolean, value int")
+    got = {(r["scope"], r["t"]): r["value"] for r in landmarks.merged_bundles(bundles, "scope", "t", "version", "complete").collect()}
+    assert got == {("a", 1): 15, ("b", 1): 30, (None, 1): 60}
+
+
+def test_discrepancies_follow_their_definitions():
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=(40, 3)), rng.normal(size=(40, 3)) + 1
+    d = lambda x, y: np.sqrt(((x[:, None] - y[None]) ** 2).sum(-1))
+    positive = np.concatenate((d(a, a)[np.triu_indices(40, 1)], d(b, b)[np.triu_indices(40, 1)], d(a, b).ravel()))
+    h = np.median(positive[positive > 0])
+    want = np.mean([np.exp(-d(a, a) / (s * h)).mean() + np.exp(-d(b, b) / (s * h)).mean() - 2 * np.exp(-d(a, b) / (s * h)).mean() for s in (0.5, 1, 2)])
+    assert privacy.kernel_discrepancy(a, b) == pytest.approx(want, rel=1e-6) and privacy.kernel_discrepancy(a, a) == pytest.approx(0, abs=1e-9)
+    assert privacy.sliced_distance(a, a) == 0 and privacy.sliced_distance(a[:, :1], a[:, :1] + 2.0) == pytest.approx(2.0)
