@@ -96,15 +96,16 @@ def frames() -> tuple:
 
 
 def fingerprints(arrays: DataFrame) -> DataFrame:
-    """doc_id, same, at and hash of the units that winnowing selects, once each; units are counted without those that have no word."""
+    """doc_id, same, at and hash of the units that winnowing selects, once for each row; units are counted without those that have no word."""
     ahead, behind = frames()
     both = dealt(arrays, "doc_id", "same").withColumns({
         "f": F.min(F.struct("hash", "at")).over(ahead), "n_ahead": F.sum("words").over(ahead),
         "b": F.min(F.struct(F.col("past_hash").alias("hash"), F.col("past_at").alias("at"))).over(behind), "n_behind": F.sum("past_words").over(behind),
     })
     chosen = F.array(F.when(F.col("n_ahead") >= RUN_WORDS, F.col("f")), F.when(F.col("n_behind") - F.col("past_words") >= RUN_WORDS, F.col("b")))
-    found = both.select("doc_id", "same", F.explode(F.filter(chosen, lambda x: x.isNotNull())).alias("x"))
-    return found.select("doc_id", "same", "x.at", "x.hash").distinct()
+    found = both.select("doc_id", "same", "row", F.explode(F.filter(chosen, lambda x: x.isNotNull())).alias("x"))
+    # Rows are together already: no other exchange.
+    return found.select("doc_id", "same", "row", "x.at", "x.hash").distinct().drop("row")
 
 
 def extended(arrays: DataFrame) -> DataFrame:
@@ -139,17 +140,17 @@ def runs(spark: SparkSession, docs: DataFrame) -> DataFrame:
     known = docs.filter("doc_id is not null")
     selected = stage(spark, fingerprints(numbered(known)), "fingerprints")
 
-    # Fingerprints that stand more than once, and where.
+    # Fingerprints that stand more than once, and where; those of equal rows, too, which come to nothing below.
     marks = stage(spark, selected.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1"), "marks")
-    met = join_counted(selected, marks, ["hash"], selected.count()).groupBy("doc_id", "same").agg(F.collect_list("at").alias("met"))
+    met = join_counted(selected, marks, ["hash"], selected.count()).groupBy("doc_id", "same").agg(F.collect_set("at").alias("met"))
     met = stage(spark, met, "met").withColumnsRenamed({"doc_id": "of_id", "same": "of_text"})
-    # Only texts that hold a met position are hashed again; what their rows hold more than once is so in grams, too, and goes there.
+    # Only texts that hold a met position are hashed again.
     here = known.withColumn("same", F.xxhash64("text")).join(met, (F.col("doc_id") == F.col("of_id")) & (F.col("same") == F.col("of_text")))
-    grams = stage(spark, extended(numbered(here.drop("same"), "met")).distinct(), "grams")
+    grams = stage(spark, extended(numbered(here.drop("same"), "met")), "grams")
 
     # Of each window all occurrences but the first go; repeats inside a document need no comparison with others.
     order = W.partitionBy("doc_id", "same", "gram", "second").orderBy("first", "last")
-    inside = stage(spark, grams.filter("repeats").drop("repeats").withColumn("again", F.row_number().over(order) > 1), "inside")
+    inside = stage(spark, grams.filter("repeats").drop("repeats").distinct().withColumn("again", F.row_number().over(order) > 1), "inside")
     once = grams.filter("not repeats").drop("repeats").union(inside.filter("not again").drop("again"))
     firsts = once.groupBy("gram", "second").agg(F.min(F.struct("doc_id", "same")).alias("e"), F.count("*").alias("n")).filter("n > 1")
     across = join_counted(once, stage(spark, firsts, "firsts"), ["gram", "second"], grams.count()).filter(F.struct("doc_id", "same") != F.col("e"))
