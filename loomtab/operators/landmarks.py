@@ -133,9 +133,44 @@ def signature(spark: SparkSession, df: DataFrame, key: str, numbers: list[str],
     target are left out. knn members and net are fitted on LOCAL_ROWS rows of
     least hash of the training folds.
     """
-    from loomtab.operators.splits import fold_of
+    members = list(PANEL) if members is None else members
+    return summary(spark, panel_errors(df, key, numbers, target, members, seed))
+
 
+def class_signature(spark: SparkSession, df: DataFrame, key: str, numbers: list[str], target: str, members: list[str] | None = None, seed: int = 7, most: int = 32) -> DataFrame:
+    """signature for a class: members predict a flag for each class, and their errors are summed over the classes, as those of the shares are.
+
+    More than most classes are refused; rows without a class are left out.
+    """
     members = list(PANEL) if members is None else members
+    rows = df.filter(F.col(target).isNotNull())
+    labels = [r[0] for r in rows.select(F.col(target).cast("string")).distinct().orderBy(target).limit(most + 1).collect()]
+    if len(labels) > most:
+        raise ValueError(f"a target of more than {most} classes")
+    whole: dict[str, np.ndarray] = {}
+    for label in labels:
+        flagged = rows.select(key, *numbers, (F.col(target).cast("string") == label).cast("double").alias("__flag"))
+        for m, errors in panel_errors(flagged, key, numbers, "__flag", members, seed).items():
+            whole[m] = whole.get(m, 0.0) + np.array(errors, float).reshape(-1, 2)
+    return summary(spark, {m: [tuple(e) for e in whole[m]] if m in whole else [] for m in members})
+
+
+def summary(spark: SparkSession, errors: dict[str, list[tuple[float, float]]]) -> DataFrame:
+    """A row for each member from its folds' errors of the mean and its own."""
+    out = []
+    for m, found in errors.items():
+        shares = [1 - e / n for n, e in found if n > 0]
+        if shares:
+            out.append((m, PANEL[m], float(np.mean(shares)), float(np.std(shares, ddof=1) / math.sqrt(len(shares))) if len(shares) > 1 else None))
+        else:
+            out.append((m, PANEL[m], None, None))
+    return spark.createDataFrame(out, "member string, family string, gain double, error double")
+
+
+def panel_errors(df: DataFrame, key: str, numbers: list[str], target: str, members: list[str], seed: int) -> dict[str, list[tuple[float, float]]]:
+    """For each member and fold the held-out squared error of the mean, and the member's."""
+    from loomtab.operators.splits import fold_of
+
     rows = df.filter(F.col(target).isNotNull()).select(key, *numbers, F.col(target).cast("double").alias("__y"))
     stats = rows.agg(*(f(c).alias(f"{n}{j}") for j, c in enumerate(numbers) for n, f in (("m", F.avg), ("s", F.stddev_pop))), *(F.count_if(F.col(c).isNull()).alias(f"l{j}") for j, c in enumerate(numbers))).first()
     scaled = [F.coalesce((F.col(c).cast("double") - F.lit(stats[f"m{j}"] or 0.0)) / F.lit(stats[f"s{j}"] or 1.0), F.lit(0.0)).alias(f"x{j}") for j, c in enumerate(numbers)]
@@ -149,7 +184,6 @@ def signature(spark: SparkSession, df: DataFrame, key: str, numbers: list[str],
     levels = {j: found[str(j)][HINGES + STEPS :] for j in range(len(numbers))}
     place = [below(levels[j], x[j]) / 256 for j in range(len(numbers))]
     y, fold = F.col("__y"), F.col("__fold") * 20 + F.col("__inner")
-    out = []
     linear_gains: dict[str, list[tuple[float, float]]] = {}
     for m in members:
         terms = basis(m, x, missing, knots, place, seed)
@@ -166,12 +200,7 @@ def signature(spark: SparkSession, df: DataFrame, key: str, numbers: list[str],
             linear_gains[m] = local_gains(base, key, len(numbers), m, seed)
         else:
             linear_gains[m] = []
-        shares = [1 - e / n for n, e in linear_gains[m] if n > 0]
-        if shares:
-            out.append((m, PANEL[m], float(np.mean(shares)), float(np.std(shares, ddof=1) / math.sqrt(len(shares))) if len(shares) > 1 else None))
-        else:
-            out.append((m, PANEL[m], None, None))
-    return spark.createDataFrame(out, "member string, family string, gain double, error double")
+    return linear_gains
 
 
 def below(levels: list[float], x: Column) -> Column:

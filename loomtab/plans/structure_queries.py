@@ -488,3 +488,12 @@ def landmark_coordinates(spark, sf_dir):
     panel = landmarks.signature(spark, items, "key", ["l_quantity", "l_discount"], "y", ["lin", "log", "hinge", "step", "pairs"])
     s = items.agg(F.count("*").alias("n"), F.avg("y").alias("m"), F.stddev_pop("y").alias("sd"), F.skewness("y").alias("skew")).first()
     return rounded(landmarks.coordinates(panel, s["n"], 2, 0, (s["m"], s["sd"], s["skew"])))
+
+
+@query()
+def class_landmarks(spark, sf_dir):
+    """The panel's members that take one aggregation each, for three classes."""
+    score = F.col("l_quantity") / 10 + F.col("l_discount") * 30 + (F.col("l_partkey") % 7) / 2
+    key = F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("key")
+    items = load(spark, sf_dir, "lineitem").select(key, "l_quantity", "l_discount", F.when(score > 7, "high").when(score > 4.5, "middle").otherwise("low").alias("class"))
+    return rounded(landmarks.class_signature(spark, items, "key", ["l_quantity", "l_discount"], "class", ["lin", "hinge", "pairs"]))

@@ -119,3 +119,19 @@ def test_discrepancies_follow_their_definitions():
     want = np.mean([np.exp(-d(a, a) / (s * h)).mean() + np.exp(-d(b, b) / (s * h)).mean() - 2 * np.exp(-d(a, b) / (s * h)).mean() for s in (0.5, 1, 2)])
     assert privacy.kernel_discrepancy(a, b) == pytest.approx(want, rel=1e-6) and privacy.kernel_discrepancy(a, a) == pytest.approx(0, abs=1e-9)
     assert privacy.sliced_distance(a, a) == 0 and privacy.sliced_distance(a[:, :1], a[:, :1] + 2.0) == pytest.approx(2.0)
+
+
+def test_signature_of_classes_sums_their_errors(spark):
+    rng = np.random.default_rng(4)
+    x, z = rng.normal(size=(2, 900))
+    df = spark.createDataFrame(pd.DataFrame({"k": np.arange(900), "x": x, "z": z, "c": np.where(np.abs(x) > 1, "far", np.where(z > 0, "up", "down"))}))
+    got = {r["member"]: r["gain"] for r in landmarks.class_signature(spark, df, "k", ["x", "z"], "c", ["lin", "abs", "stump"]).collect()}
+    assert got["abs"] > got["lin"] + 0.15 > 0.2 and got["stump"] > 0.05
+    two = df.filter("c <> 'far'")
+    one = {r["member"]: r["gain"] for r in landmarks.signature(spark, two.withColumn("y", (F.col("c") == "up").cast("double")), "k", ["x", "z"], "y", ["lin"]).collect()}
+    both = {r["member"]: r["gain"] for r in landmarks.class_signature(spark, two, "k", ["x", "z"], "c", ["lin"]).collect()}
+    assert both["lin"] == pytest.approx(one["lin"], abs=1e-6)
+    none = landmarks.class_signature(spark, df.filter("false"), "k", ["x"], "c", ["lin"]).collect()
+    assert [r["gain"] for r in none] == [None]
+    with pytest.raises(ValueError, match="classes"):
+        landmarks.class_signature(spark, df, "k", ["x"], "k", ["lin"])
