@@ -202,6 +202,19 @@ def pair_candidates() -> list[tuple[str, float]]:
     return [("independent", 0.0), *(("gaussian", r) for r in GAUSSIAN if r), *turns, *(("frank", t) for t in FRANK)]
 
 
+def pair_totals(every: list[tuple[str, float]], u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The sums of pair_log of all families and parameters; those of normal copulas come from three sums of scores."""
+    x, y = normal.ppf(u), normal.ppf(v)
+    squares, products, n = float(x @ x + y @ y), float(x @ y), len(u)
+
+    def total(family: str, t: float) -> float:
+        if family == "gaussian":
+            return -n * np.log1p(-t * t) / 2 - (t * t * squares - 2 * t * products) / (2 * (1 - t * t))
+        return float(pair_log(family, t, u, v).sum())
+
+    return np.array([total(f, t) for f, t in every])
+
+
 @dataclass
 class Vine:
     """A vine along an order of columns: level l joins columns l apart, given those between them; further levels are independent."""
@@ -362,7 +375,7 @@ def fit_vine(df: DataFrame, columns: list[str], r: np.ndarray, depth: int = 2) -
 
         def likelihoods(pdf: pd.DataFrame, level=level, pairs=pairs) -> np.ndarray:
             left, right = vine.conditionals(scores_of(pdf, columns), level)
-            return np.array([pair_log(f, t, left[:, k], right[:, k]).sum() for k in range(pairs) for f, t in every])
+            return np.concatenate([pair_totals(every, left[:, k], right[:, k]) for k in range(pairs)])
 
         found = array_sums(df, likelihoods, pairs * len(every)).reshape(pairs, len(every))
         best = [int(np.argmax(row)) if row.max() > 2.0 else 0 for row in found]

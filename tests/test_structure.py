@@ -32,6 +32,12 @@ def test_pair_copulas_agree_with_themselves(family):
         assert np.quantile(np.abs(slope - density)[inside] / (0.05 + density[inside]), 0.98) < 0.03
 
 
+def test_sums_of_all_pair_copulas_are_those_of_each():
+    u, v = np.random.default_rng(12).uniform(0.01, 0.99, (2, 500))
+    every = dep.pair_candidates()
+    assert np.allclose(dep.pair_totals(every, u, v), [dep.pair_log(f, t, u, v).sum() for f, t in every])
+
+
 VINE = dep.Vine(4, [2, 0, 1, 3], [[("clayton", 3.2), ("gaussian", 0.6), ("clayton90", 2.2)], [("gaussian", -0.4), ("frank", 4.0)]])
 MIXTURE = dep.Mixture(3, [0.5, 0.5], [[-1.2, -1.2, 1.2], [1.2, 1.2, -1.2]], [[0.4, 0.4, 0.4]] * 2, {"kind": "independent", "d": 3})
 
