@@ -10,12 +10,12 @@ of a repeated run of that many words or more lies in a window inside the run,
 and equal windows select equal units at the same place: so a run that stands
 twice, in one text or in two, has a fingerprint that stands twice, for certain.
 
-Positions whose fingerprints meet are joined back to the hashes of their texts
-and extended both ways, unit by unit, to all windows that selected them; texts
-without such a position are not looked at again. Equal windows, told by the
-hashes of several units or by two hashes of a single one, make up the repeated
-runs: each occurrence of a window that isn't the first of all documents is
-deleted. No partner has to be chosen, and none is missed.
+A fingerprint is stored with the hashes of the few units around it, and with the
+places of the windows that selected it. Where fingerprints meet, these windows
+are hashed; the texts aren't read again. Equal windows, told by the hashes of
+several units or by two hashes of a single one, make up the repeated runs: each
+occurrence of a window that isn't the first of all documents is deleted. No
+partner has to be chosen, and none is missed.
 
 Everything is DataFrame operations. Texts meet only the runs to delete; what is
 joined and counted are hashes.
@@ -47,106 +47,122 @@ def units(text: Column) -> Column:
     return F.when(F.contains(whole, F.lit(END)), F.split(whole, r"(?<=\n)|(?<=[.!?] )")).otherwise(F.split(marked, END))
 
 
-def hashed(docs: DataFrame, *kept: str) -> DataFrame:
-    """doc_id, same (the text's hash), kept columns, and of all units with a word two hashes and the numbers of words."""
+def hashed(docs: DataFrame) -> DataFrame:
+    """doc_id, same (the text's hash), and of all units with a word two hashes and the numbers of words."""
     blanks = F.lit(" \t\n\x0b\x0c\r")
     text = F.coalesce(F.col("text"), F.lit(""))
     # A unit without blanks at its ends and with single blanks inside has a word more than blanks.
     odd = reduce(lambda a, b: a | b, (F.contains(text, F.lit(x)) for x in ("  ", "\t", "\x0b", "\x0c", "\r")))
 
     def of(parts: Column, words) -> Column:
-        # A unit that is a window of its own has a second hash; in longer windows several hashes would have to agree by chance.
-        second = lambda u, n: F.when(n >= RUN_WORDS, F.xxhash64(F.lit(1), u)).otherwise(0)
+        # A unit that is a window of its own needs a second hash; in longer windows several hashes would have to agree by chance.
         bare = F.filter(F.transform(parts, lambda u: F.btrim(u, blanks)), lambda u: u != "")
-        return F.transform(bare, lambda u: F.struct(F.xxhash64(u).alias("hash"), second(u, words(u)).alias("second"), words(u).alias("words")))
+        return F.transform(bare, lambda u: F.struct(F.xxhash64(u).alias("hash"), F.xxhash64(F.lit(1), u).alias("second"), words(u).alias("words")))
 
     split = lambda u: F.size(F.split(u, f"[{BLANKS}]+"))
     count = lambda u: (F.octet_length(u) - F.octet_length(F.replace(u, F.lit(" "), F.lit(""))) + 1)
     made = let(units(F.col("text")), lambda p: F.when(odd, of(p, split)).otherwise(of(p, count)))
-    found = docs.select("doc_id", F.xxhash64("text").alias("same"), *kept, made.alias("made"))
-    return found.select("doc_id", "same", *kept, *(F.col(f"made.{f}").alias(n) for n, f in {"hashes": "hash", "seconds": "second", "words": "words"}.items()))
+    found = docs.select("doc_id", F.xxhash64("text").alias("same"), made.alias("made"))
+    return found.select("doc_id", "same", *(F.col(f"made.{f}").alias(n) for n, f in {"hashes": "hash", "seconds": "second", "words": "words"}.items()))
 
 
-def numbered(docs: DataFrame, *kept: str) -> DataFrame:
-    """hashed without texts of no unit, and a row number."""
-    return hashed(docs, *kept).filter(F.size("hashes") > 0).withColumn("row", F.monotonically_increasing_id())
+#: A number of units and the words in them, as words << BITS | units; of a unit's words no more than RUN_WORDS count.
+BITS = RUN_WORDS.bit_length()
+MASK, ENOUGH = (1 << BITS) - 1, RUN_WORDS << BITS
 
 
-#: What a document's arrays hold of each unit, and what stands for none.
-ARRAYS = {"hashes": 0, "seconds": 0, "words": 0}
+def reach(sizes: Column, at: Column) -> Column:
+    """The fewest units from this place on that hold RUN_WORDS words, with their words; null if there are not so many."""
+    grow = lambda held, more: F.when(held < ENOUGH, held + more).otherwise(held)
+    full = lambda held: F.when(held >= ENOUGH, held)
+    # Each unit has a word, so RUN_WORDS units do; mostly a few do.
+    return F.coalesce(*(F.aggregate(F.slice(sizes, at + 1, F.lit(most)), F.lit(0), grow, full) for most in (4, RUN_WORDS)))
 
 
-def dealt(arrays: DataFrame, *kept: str) -> DataFrame:
-    """A row for each unit of arrays (by row): kept, row, at, its hash, second and words, those of the unit before, and begins, the words before it.
+def least(hashes: Column, first: Column, size: Column) -> Column:
+    """The place of the unit that the window of so many units selects: the first of its least hash."""
+    return let(F.slice(hashes, first + 1, size), lambda w: first + F.array_position(w, F.array_min(w)).cast("int") - 1)
 
-    A unit of no words at the end of each document lets its last unit be one before.
+
+def n_units(held: Column) -> Column:
+    return held.bitwiseAND(MASK)
+
+
+def apart(held: Column, last: Column) -> Column:
+    """Whether a window from its last unit back isn't also one from its first unit on: it has enough words without the last."""
+    return F.shiftright(held, BITS) - F.shiftright(last, BITS) >= RUN_WORDS
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """A row for each unit that winnowing selects: doc_id, same, repeats, at, hash, second, and what stands around it.
+
+    Units are counted without those that have no word. hashes are those of as
+    few units before and after it as hold RUN_WORDS words, so of all windows
+    that it may be in; before is the number of those before it; spans are the
+    windows that selected it, their places in hashes << BITS | their units.
+    repeats tells documents that hold a unit twice: others can't hold a window
+    twice.
     """
-    longer = arrays.select(*kept, "row", *(F.concat(c, F.array(F.lit(v).cast("int" if c == "words" else "long"))).alias(c) for c, v in ARRAYS.items()))
-    # The arrays are dealt by row, not their units: the windows below need no other exchange.
-    each = longer.repartition("row").select(*kept, "row", F.posexplode(F.arrays_zip(*ARRAYS)).alias("at", "u"))
-    each = each.select(*kept, "row", "at", F.col("u.hashes").alias("hash"), F.col("u.seconds").alias("second"), F.col("u.words").alias("words"))
-    own = W.partitionBy("row").orderBy("at")
-    return each.withColumns({"begins": F.sum("words").over(own) - F.col("words"), **{f"past_{c}": F.lag(c).over(own) for c in ("at", "hash", "words")}})
 
+    def selected(hashes: Column, seconds: Column, sizes: Column, ahead: Column, behind: Column) -> Column:
+        coded = lambda first, held: F.shiftleft(least(hashes, first, n_units(held)).cast("long"), BITS) + n_units(held)
+        forward = F.transform(ahead, lambda held, i: F.when(held.isNotNull(), coded(i, held)))
+        backward = F.transform(behind, lambda held, i: F.when(apart(held, F.get(sizes, i)), coded(i + 1 - n_units(held), held)))
 
-def frames() -> tuple:
-    """The units from this one on that begin within RUN_WORDS words; and those before this one that end within as many."""
-    spread = W.partitionBy("row").orderBy("begins")
-    return spread.rangeBetween(0, RUN_WORDS - 1), spread.rangeBetween(1 - RUN_WORDS, 0)
+        def around(at: Column, before: Column, after: Column, f: Column, b: Column) -> Column:
+            own = lambda code: F.shiftright(code, BITS) == at
+            size = lambda code: code.bitwiseAND(MASK).cast("int")
+            spans = F.concat(
+                F.transform(F.slice(f, at - before + 1, before + 1), lambda code, k: F.when(own(code), F.shiftleft(k, BITS) + size(code))),
+                F.transform(F.slice(b, at + 1, after + 1), lambda code, k: F.when(own(code), F.shiftleft(before + k + 1 - size(code), BITS) + size(code))),
+            )
+            second = F.when(F.get(sizes, at) >= ENOUGH, F.get(seconds, at)).otherwise(0)
+            near = F.slice(hashes, at - before + 1, before + 1 + after)
+            return F.struct(at.alias("at"), F.get(hashes, at).alias("hash"), second.alias("second"), before.alias("before"), near.alias("hashes"), F.array_compact(spans).alias("spans"))
 
+        def each(at: Column, f: Column, b: Column) -> Column:
+            before, after = F.coalesce(n_units(F.get(behind, at - 1)), at), F.coalesce(n_units(F.get(ahead, at + 1)), F.size(hashes) - 1 - at)
+            return let(before, lambda n: around(at, n, after, f, b))
 
-def fingerprints(arrays: DataFrame) -> DataFrame:
-    """doc_id, same, at and hash of the units that winnowing selects, once for each row; units are counted without those that have no word."""
-    ahead, behind = frames()
-    both = dealt(arrays, "doc_id", "same").withColumns({
-        "f": F.min(F.struct("hash", "at")).over(ahead), "n_ahead": F.sum("words").over(ahead),
-        "b": F.min(F.struct(F.col("past_hash").alias("hash"), F.col("past_at").alias("at"))).over(behind), "n_behind": F.sum("past_words").over(behind),
-    })
-    chosen = F.array(F.when(F.col("n_ahead") >= RUN_WORDS, F.col("f")), F.when(F.col("n_behind") - F.col("past_words") >= RUN_WORDS, F.col("b")))
-    found = both.select("doc_id", "same", "row", F.explode(F.filter(chosen, lambda x: x.isNotNull())).alias("x"))
-    # Rows are together already: no other exchange.
-    return found.select("doc_id", "same", "row", "x.at", "x.hash").distinct().drop("row")
+        def chosen(f: Column, b: Column) -> Column:
+            return F.array_distinct(F.transform(F.array_compact(F.concat(f, b)), lambda code: F.shiftright(code, BITS).cast("int")))
 
+        return let(forward, lambda f: let(backward, lambda b: F.transform(chosen(f, b), lambda at: each(at, f, b))))
 
-def extended(arrays: DataFrame) -> DataFrame:
-    """doc_id, same, repeats, and the windows around arrays' met positions: gram and second (two hashes), first and last unit.
+    def reaches(sizes: Column) -> Column:
+        return F.transform(sizes, lambda _, i: reach(sizes, i))
 
-    repeats tells documents that hold a unit twice: others can't hold a window twice.
-    """
-    twice = let(F.col("hashes"), lambda h: F.size(F.array_distinct(h)) < F.size(h))
-    kept = ("doc_id", "same", "repeats", "met")
-    ahead, behind = frames()
-    both = dealt(arrays.withColumn("repeats", twice), *kept).withColumns({
-        "ahead": F.collect_list("hash").over(ahead), "n_ahead": F.sum("words").over(ahead),
-        "behind": F.collect_list("past_hash").over(behind), "n_behind": F.sum("past_words").over(behind),
-    })
-
-    def window(hashes: str, second: Column, first: Column) -> Column:
-        # The place of the unit that the window selects: the first of its least hash.
-        selected = first + F.array_position(hashes, F.array_min(hashes)) - 1
-        made = F.struct(F.xxhash64(hashes).alias("gram"), second.alias("second"), first.cast("int").alias("first"), (first + F.size(hashes) - 1).cast("int").alias("last"))
-        return F.when(F.array_contains("met", selected.cast("int")), made)
-
-    forward = F.when(F.col("n_ahead") >= RUN_WORDS, window("ahead", F.when(F.size("ahead") == 1, F.col("second")).otherwise(0), F.col("at")))
-    # A window from its last unit back is also one from its first unit on, unless it has enough words without the last; then it has several units.
-    backward = F.when(F.col("n_behind") - F.col("past_words") >= RUN_WORDS, window("behind", F.lit(0).cast("long"), F.col("at") - F.size("behind")))
-    found = both.select("doc_id", "same", "repeats", F.explode(F.filter(F.array(forward, backward), lambda g: g.isNotNull())).alias("g"))
-    return found.select("doc_id", "same", "repeats", "g.*")
+    def made(hashes: Column, seconds: Column, sizes: Column) -> Column:
+        back = let(F.reverse(sizes), lambda r: F.reverse(reaches(r)))
+        return let(reaches(sizes), lambda ahead: let(back, lambda behind: selected(hashes, seconds, sizes, ahead, behind)))
+
+    sizes = F.transform("words", lambda n: F.shiftleft(F.least(n, F.lit(RUN_WORDS)), BITS) + 1)
+    found = let(F.col("hashes"), lambda h: let(F.col("seconds"), lambda s: let(sizes, lambda n: F.struct((F.size(F.array_distinct(h)) < F.size(h)).alias("repeats"), made(h, s, n).alias("made")))))
+    rows = hashed(docs).select("doc_id", "same", found.alias("found"))
+    # A plain explode would have its array made twice, once to tell whether it is empty.
+    rows = rows.select("doc_id", "same", F.col("found.repeats").alias("repeats"), F.explode_outer("found.made").alias("f")).filter(F.col("f").isNotNull())
+    return rows.select("doc_id", "same", "repeats", "f.*")
+
+
+def extended(met: DataFrame) -> DataFrame:
+    """doc_id, same, repeats, and the windows that selected these fingerprints: gram and second (two hashes), first and last unit."""
+    each = met.select("doc_id", "same", "repeats", "second", "hashes", (F.col("at") - F.col("before")).alias("begin"), F.explode("spans").alias("span"))
+    place, size = F.shiftright("span", BITS), F.col("span").bitwiseAND(MASK)
+    second = F.when(size == 1, F.col("second")).otherwise(0)
+    first = F.col("begin") + place
+    return each.select("doc_id", "same", "repeats", F.xxhash64(F.slice("hashes", place + 1, size)).alias("gram"), second.alias("second"), first.alias("first"), (first + size - 1).alias("last"))
 
 
 def runs(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, same and the runs (array of first and last unit, of those with a word) to delete, for each document that has any."""
     # Documents are told apart by doc_id and the hash of their text; equal rows are one document.
     known = docs.filter("doc_id is not null")
-    selected = stage(spark, fingerprints(numbered(known)), "fingerprints")
+    selected = stage(spark, fingerprints(known), "fingerprints")
 
     # Fingerprints that stand more than once, and where; those of equal rows, too, which come to nothing below.
     marks = stage(spark, selected.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1"), "marks")
-    met = join_counted(selected, marks, ["hash"], selected.count()).groupBy("doc_id", "same").agg(F.collect_set("at").alias("met"))
-    met = stage(spark, met, "met").withColumnsRenamed({"doc_id": "of_id", "same": "of_text"})
-    # Only texts that hold a met position are hashed again.
-    here = known.withColumn("same", F.xxhash64("text")).join(met, (F.col("doc_id") == F.col("of_id")) & (F.col("same") == F.col("of_text")))
-    grams = stage(spark, extended(numbered(here.drop("same"), "met")), "grams")
+    met = join_counted(selected, marks, ["hash"], selected.count())
+    grams = stage(spark, extended(met), "grams")
 
     # Of each window all occurrences but the first go; repeats inside a document need no comparison with others.
     order = W.partitionBy("doc_id", "same", "gram", "second").orderBy("first", "last")

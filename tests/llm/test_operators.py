@@ -643,3 +643,24 @@ def test_pipeline(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, DIR)
     assert packed.select("doc_id").distinct().count() == before
     assert corpus_pipeline.run(spark, DIR).count() == packed.count()
+
+
+def test_fingerprints_carry_the_windows_that_selected_them(spark):
+    """All windows by a plain search, each with the unit that it selects; extended makes them from the fingerprints alone."""
+    rng = np.random.default_rng(9)
+    made = [[" ".join(rng.choice(["a", "b", "c"], rng.choice([1, 2, 9, 14, 29, 30, 45]))) for _ in range(rng.integers(1, 50))] for _ in range(40)]
+    docs = spark.createDataFrame([(k, "\n".join(lines)) for k, lines in enumerate(made)] + [(98, None), (99, " \n")], "doc_id long, text string")
+    found = line_dedup.fingerprints(docs).localCheckpoint()
+    hashes = {r["doc_id"]: r["hashes"] for r in line_dedup.hashed(docs).collect()}
+    want = set()
+    for k, lines in enumerate(made):
+        n = [len(line.split()) for line in lines]
+        for i in range(len(n)):
+            forward = next((j for j in range(i, len(n)) if sum(n[i : j + 1]) >= line_dedup.RUN_WORDS), None)
+            backward = next((j for j in range(i, -1, -1) if sum(n[j : i + 1]) >= line_dedup.RUN_WORDS), None)
+            spans = [(i, forward)] if forward is not None else []
+            spans += [(backward, i)] if backward is not None and sum(n[backward:i]) >= line_dedup.RUN_WORDS else []
+            want |= {(k, a, b, min(range(a, b + 1), key=lambda u: (hashes[k][u], u))) for a, b in spans}
+    got = [(r["doc_id"], r["first"], r["last"]) for r in line_dedup.extended(found).collect()]
+    assert len(got) == len(set(got)) and set(got) == {w[:3] for w in want}
+    assert {(r["doc_id"], r["at"], r["hash"]) for r in found.collect()} == {(k, at, hashes[k][at]) for k, *_, at in want}
