@@ -5,17 +5,18 @@ separates it from the next, so units joined give the text. A window is as few
 units as hold ``RUN_WORDS`` words, counted from its first unit on or from its
 last one back. Winnowing selects of each window the unit of least hash, the
 first of equal ones: neighbouring windows mostly select the same one, so a text
-has few of these fingerprints, and only they are stored and counted. Each unit
-of a repeated run of that many words or more lies in a window inside the run,
-and equal windows select equal units at the same place: so a run that stands
-twice, in one text or in two, has a fingerprint that stands twice, for certain.
-
-A fingerprint is stored with the hashes of the few units around it, and with the
-places of the windows that selected it. Where fingerprints meet, these windows
-are hashed; the texts aren't read again. Equal windows, told by the hashes of
-several units or by two hashes of a single one, make up the repeated runs: each
-occurrence of a window that isn't the first of all documents is deleted. No
-partner has to be chosen, and none is missed.
+has few of these fingerprints, and only they are stored and counted. Hashes
+order longer units first: these are selected by more windows, and fewer of them
+stand in texts that share nothing else. Each unit of a repeated run of that many
+words or more lies in a window inside the run, and equal windows select equal
+units at the same place: so a run that stands twice, in one text or in two, has
+a fingerprint that stands twice, for certain.
+
+A fingerprint is stored with the hashes of the windows that selected it. Where
+all that meet have the same windows, the later ones repeat the first and go as a
+whole; else their windows are compared one by one: each occurrence of a window
+that isn't the first of all documents is deleted. No partner has to be chosen,
+and none is missed; the texts aren't read again.
 
 Everything is DataFrame operations. Texts meet only the runs to delete; what is
 joined and counted are hashes.
@@ -37,6 +38,9 @@ RUN_WORDS = 30
 
 #: Marks the ends of units in texts that don't hold it.
 END = "\x01"
+SPACES = " \t\n\x0b\x0c\r"
+
+
 def units(text: Column) -> Column:
     """The units of a text; joined, they give it back. A unit ends after a line feed, or after a stop and a blank."""
     whole = F.coalesce(text, F.lit(""))
@@ -47,140 +51,191 @@ def units(text: Column) -> Column:
     return F.when(F.contains(whole, F.lit(END)), F.split(whole, r"(?<=\n)|(?<=[.!?] )")).otherwise(F.split(marked, END))
 
 
-def hashed(docs: DataFrame) -> DataFrame:
-    """doc_id, same (the text's hash), and of all units with a word two hashes and the numbers of words."""
-    blanks = F.lit(" \t\n\x0b\x0c\r")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    # A unit without blanks at its ends and with single blanks inside has a word more than blanks.
-    odd = reduce(lambda a, b: a | b, (F.contains(text, F.lit(x)) for x in ("  ", "\t", "\x0b", "\x0c", "\r")))
+def odd(text: Column) -> Column:
+    """Whether a unit may have blanks at its ends besides those that end it, or other than single spaces inside."""
+    found = (F.contains(text, F.lit(x)) for x in ("  ", " \n", "\n ", "\t", "\x0b", "\x0c", "\r", END))
+    return reduce(lambda a, b: a | b, found, F.startswith(text, F.lit(" ")) | F.endswith(text, F.lit(" ")))
 
-    def of(parts: Column, words) -> Column:
-        # A unit that is a window of its own needs a second hash; in longer windows several hashes would have to agree by chance.
-        bare = F.filter(F.transform(parts, lambda u: F.btrim(u, blanks)), lambda u: u != "")
-        return F.transform(bare, lambda u: F.struct(F.xxhash64(u).alias("hash"), F.xxhash64(F.lit(1), u).alias("second"), words(u).alias("words")))
 
+def bare(text: Column, is_odd: Column) -> Column:
+    """The units with a word, without the blanks at their ends."""
+    marked = F.replace(text, F.lit("\n"), F.lit(END))
+    for end in ". ", "! ", "? ":
+        marked = F.replace(marked, F.lit(end), F.lit(end[0] + END))
+    stripped = F.transform(units(text), lambda u: F.btrim(u, F.lit(SPACES)))
+    return F.array_remove(F.when(is_odd, stripped).otherwise(F.split(marked, END)), "")
+
+
+def counted(parts: Column, is_odd: Column) -> Column:
+    """The numbers of words of these units, RUN_WORDS at most."""
     split = lambda u: F.size(F.split(u, f"[{BLANKS}]+"))
+    # A unit that isn't odd has a word more than blanks.
     count = lambda u: (F.octet_length(u) - F.octet_length(F.replace(u, F.lit(" "), F.lit(""))) + 1)
-    made = let(units(F.col("text")), lambda p: F.when(odd, of(p, split)).otherwise(of(p, count)))
-    found = docs.select("doc_id", F.xxhash64("text").alias("same"), made.alias("made"))
-    return found.select("doc_id", "same", *(F.col(f"made.{f}").alias(n) for n, f in {"hashes": "hash", "seconds": "second", "words": "words"}.items()))
+    capped = lambda words: lambda u: F.least(words(u), F.lit(RUN_WORDS))
+    return F.when(is_odd, F.transform(parts, capped(split))).otherwise(F.transform(parts, capped(count)))
 
 
-#: A number of units and the words in them, as words << BITS | units; of a unit's words no more than RUN_WORDS count.
+#: Bits of a number of words, and of a number of units in a window.
 BITS = RUN_WORDS.bit_length()
-MASK, ENOUGH = (1 << BITS) - 1, RUN_WORDS << BITS
+MASK = (1 << BITS) - 1
+
+
+def ranked(parts: Column, words: Column) -> Column:
+    """The units' hashes, below their words, of which many come first."""
 
+    def of(u: Column, i: Column) -> Column:
+        rank = F.lit((1 << BITS - 1) - 2).cast("long") - F.get(words, i)
+        return F.shiftleft(rank, 64 - BITS).bitwiseOR(F.shiftrightunsigned(F.xxhash64(u), BITS))
 
-def reach(sizes: Column, at: Column) -> Column:
-    """The fewest units from this place on that hold RUN_WORDS words, with their words; null if there are not so many."""
-    grow = lambda held, more: F.when(held < ENOUGH, held + more).otherwise(held)
-    full = lambda held: F.when(held >= ENOUGH, held)
-    # Each unit has a word, so RUN_WORDS units do; mostly a few do.
-    return F.coalesce(*(F.aggregate(F.slice(sizes, at + 1, F.lit(most)), F.lit(0), grow, full) for most in (4, RUN_WORDS)))
+    return F.transform(parts, of)
 
 
-def least(hashes: Column, first: Column, size: Column) -> Column:
-    """The place of the unit that the window of so many units selects: the first of its least hash."""
-    return let(F.slice(hashes, first + 1, size), lambda w: first + F.array_position(w, F.array_min(w)).cast("int") - 1)
+def hashed(docs: DataFrame) -> DataFrame:
+    """doc_id, and of all units with a word the hashes by which they are selected."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    found = let(odd(text), lambda o: let(bare(text, o), lambda p: let(counted(p, o), lambda n: ranked(p, n))))
+    return docs.select("doc_id", found.alias("hashes"))
 
 
-def n_units(held: Column) -> Column:
-    return held.bitwiseAND(MASK)
+#: Sums are made in blocks of so many units: an array that grows unit by unit is copied each time.
+BLOCK_BITS = 5
 
 
-def apart(held: Column, last: Column) -> Column:
-    """Whether a window from its last unit back isn't also one from its first unit on: it has enough words without the last."""
-    return F.shiftright(held, BITS) - F.shiftright(last, BITS) >= RUN_WORDS
+def begun(words: Column) -> Column:
+    """How many words stand before each unit."""
+    grow = lambda sums, more: F.array_append(sums, F.element_at(sums, -1) + more)
+    nothing = F.array(F.lit(0))
+    places = F.sequence(F.lit(0), F.greatest(F.shiftright(F.size(words) - 1, BLOCK_BITS), F.lit(0)))
+    blocks = F.transform(places, lambda b: F.aggregate(F.slice(words, F.shiftleft(b, BLOCK_BITS) + 1, F.lit(1 << BLOCK_BITS)), nothing, grow))
 
+    def whole(blocks: Column, before: Column) -> Column:
+        return F.flatten(F.transform(blocks, lambda x, b: F.transform(F.slice(x, 1, F.size(x) - 1), lambda n: n + F.get(before, b))))
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """A row for each unit that winnowing selects: doc_id, same, repeats, at, hash, second, and what stands around it.
-
-    Units are counted without those that have no word. hashes are those of as
-    few units before and after it as hold RUN_WORDS words, so of all windows
-    that it may be in; before is the number of those before it; spans are the
-    windows that selected it, their places in hashes << BITS | their units.
-    repeats tells documents that hold a unit twice: others can't hold a window
-    twice.
+    return let(blocks, lambda x: let(F.aggregate(x, nothing, lambda sums, own: grow(sums, F.element_at(own, -1))), lambda before: whole(x, before)))
+
+
+def reaches(words: Column) -> Column:
+    """The last units of the windows counted from each first unit on, as far as there are such windows."""
+    # A unit's number for each of its words: the window ends in the unit of its last word.
+    owners = F.flatten(F.transform(words, lambda n, i: F.array_repeat(i, n)))
+    return let(owners, lambda u: F.array_compact(F.transform(begun(words), lambda n: F.get(u, n + (RUN_WORDS - 1)))))
+
+
+def windows(parts: Column, hashes: Column, reached: Column) -> Column:
+    """All windows, by first and last unit: first, and gram.
+
+    Windows of a first unit end where RUN_WORDS words are reached, or in a later
+    unit from which back no unit after the first has to be in it. gram has a
+    hash of the units, and lowest the numbers of units in the window before the
+    selected one and after it.
     """
 
-    def selected(hashes: Column, seconds: Column, sizes: Column, ahead: Column, behind: Column) -> Column:
-        coded = lambda first, held: F.shiftleft(least(hashes, first, n_units(held)).cast("long"), BITS) + n_units(held)
-        forward = F.transform(ahead, lambda held, i: F.when(held.isNotNull(), coded(i, held)))
-        backward = F.transform(behind, lambda held, i: F.when(apart(held, F.get(sizes, i)), coded(i + 1 - n_units(held), held)))
-
-        def around(at: Column, before: Column, after: Column, f: Column, b: Column) -> Column:
-            own = lambda code: F.shiftright(code, BITS) == at
-            size = lambda code: code.bitwiseAND(MASK).cast("int")
-            spans = F.concat(
-                F.transform(F.slice(f, at - before + 1, before + 1), lambda code, k: F.when(own(code), F.shiftleft(k, BITS) + size(code))),
-                F.transform(F.slice(b, at + 1, after + 1), lambda code, k: F.when(own(code), F.shiftleft(before + k + 1 - size(code), BITS) + size(code))),
+    def gram(first: Column, last: Column) -> Column:
+        size = last - first
+        # A unit that is a window of its own needs a second hash; in longer windows several hashes would have to agree by chance.
+        other = lambda w: F.when(size == 0, F.xxhash64(F.lit(1), F.get(parts, first))).otherwise(F.xxhash64(w))
+        place = lambda w: (F.array_position(w, F.array_min(w)) - 1) * MASK + size
+        return let(F.slice(hashes, first + 1, size + 1), lambda w: F.shiftleft(other(w), 2 * BITS) + place(w))
+
+    def of(last: Column, first: Column) -> Column:
+        most = F.greatest(last, F.coalesce(F.get(reached, first + 1), F.size(hashes)) - 1)
+        return F.transform(F.sequence(last, most), lambda end: F.struct(first.alias("first"), gram(first, end).alias("gram")))
+
+    return F.flatten(F.transform(reached, of))
+
+
+def before(gram: Column) -> Column:
+    return F.shiftright(gram, BITS).bitwiseAND(MASK).cast("int")
+
+
+def after(gram: Column) -> Column:
+    return gram.bitwiseAND(MASK).cast("int")
+
+
+def selected(parts: Column, hashes: Column, found: Column) -> Column:
+    """The selected units, each with all windows that selected it: at, hash, first, last, grams."""
+    # Both ends of the windows never go back, and so neither does the selected unit.
+    at = lambda w: w["first"] + before(w["gram"])
+    ats = F.transform(found, at)
+
+    def of(starts: Column, own: Column) -> Column:
+        def row(start: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(starts, k + 1), F.size(found))
+            place = F.get(own, start)
+            return F.struct(
+                place.alias("at"),
+                F.get(hashes, place).alias("hash"),
+                F.get(found, start)["first"].alias("first"),
+                (place + after(F.get(found, end - 1)["gram"])).alias("last"),
+                F.slice(found, start + 1, end - start)["gram"].alias("grams"),
             )
-            second = F.when(F.get(sizes, at) >= ENOUGH, F.get(seconds, at)).otherwise(0)
-            near = F.slice(hashes, at - before + 1, before + 1 + after)
-            return F.struct(at.alias("at"), F.get(hashes, at).alias("hash"), second.alias("second"), before.alias("before"), near.alias("hashes"), F.array_compact(spans).alias("spans"))
 
-        def each(at: Column, f: Column, b: Column) -> Column:
-            before, after = F.coalesce(n_units(F.get(behind, at - 1)), at), F.coalesce(n_units(F.get(ahead, at + 1)), F.size(hashes) - 1 - at)
-            return let(before, lambda n: around(at, n, after, f, b))
+        return F.transform(starts, row)
 
-        def chosen(f: Column, b: Column) -> Column:
-            return F.array_distinct(F.transform(F.array_compact(F.concat(f, b)), lambda code: F.shiftright(code, BITS).cast("int")))
+    starts = lambda own: F.array_compact(F.transform(own, lambda x, k: F.when(~x.eqNullSafe(F.get(own, k - 1)), k)))
+    return let(ats, lambda own: let(starts(own), lambda s: of(s, own)))
 
-        return let(forward, lambda f: let(backward, lambda b: F.transform(chosen(f, b), lambda at: each(at, f, b))))
 
-    def reaches(sizes: Column) -> Column:
-        return F.transform(sizes, lambda _, i: reach(sizes, i))
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """A row for each unit that winnowing selects: doc_id, same (the text's hash), at, hash, and the windows that selected it.
 
-    def made(hashes: Column, seconds: Column, sizes: Column) -> Column:
-        back = let(F.reverse(sizes), lambda r: F.reverse(reaches(r)))
-        return let(reaches(sizes), lambda ahead: let(back, lambda behind: selected(hashes, seconds, sizes, ahead, behind)))
+    Units are counted without those that have no word. first and last are the
+    units that these windows cover, grams the windows, and all a hash of them.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
 
-    sizes = F.transform("words", lambda n: F.shiftleft(F.least(n, F.lit(RUN_WORDS)), BITS) + 1)
-    found = let(F.col("hashes"), lambda h: let(F.col("seconds"), lambda s: let(sizes, lambda n: F.struct((F.size(F.array_distinct(h)) < F.size(h)).alias("repeats"), made(h, s, n).alias("made")))))
-    rows = hashed(docs).select("doc_id", "same", found.alias("found"))
+    def made(p: Column, n: Column, h: Column) -> Column:
+        return let(reaches(n), lambda r: let(windows(p, h, r), lambda w: selected(p, h, w)))
+
+    found = let(odd(text), lambda o: let(bare(text, o), lambda p: let(counted(p, o), lambda n: let(ranked(p, n), lambda h: made(p, n, h)))))
     # A plain explode would have its array made twice, once to tell whether it is empty.
-    rows = rows.select("doc_id", "same", F.col("found.repeats").alias("repeats"), F.explode_outer("found.made").alias("f")).filter(F.col("f").isNotNull())
-    return rows.select("doc_id", "same", "repeats", "f.*")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("same"), F.explode_outer(found).alias("f")).filter(F.col("f").isNotNull())
+    return rows.select("doc_id", "same", "f.*").withColumn("all", F.xxhash64("grams"))
 
 
 def extended(met: DataFrame) -> DataFrame:
-    """doc_id, same, repeats, and the windows that selected these fingerprints: gram and second (two hashes), first and last unit."""
-    each = met.select("doc_id", "same", "repeats", "second", "hashes", (F.col("at") - F.col("before")).alias("begin"), F.explode("spans").alias("span"))
-    place, size = F.shiftright("span", BITS), F.col("span").bitwiseAND(MASK)
-    second = F.when(size == 1, F.col("second")).otherwise(0)
-    first = F.col("begin") + place
-    return each.select("doc_id", "same", "repeats", F.xxhash64(F.slice("hashes", place + 1, size)).alias("gram"), second.alias("second"), first.alias("first"), (first + size - 1).alias("last"))
+    """doc_id, same, hash, and the windows that selected these fingerprints: gram, first and last unit."""
+    each = met.select("doc_id", "same", "hash", "at", F.explode("grams").alias("gram"))
+    return each.select("doc_id", "same", "hash", "gram", (F.col("at") - before(F.col("gram"))).alias("first"), (F.col("at") + after(F.col("gram"))).alias("last"))
+
+
+def standing(rows: DataFrame) -> Column:
+    """Where a row stands among all documents' units: by doc_id, then text, then first unit."""
+    if rows.schema["doc_id"].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        return F.struct("doc_id", "same", "first")
+    # A number has a place of its own size in a hash table, so that nothing is sorted. Texts of one doc_id are told apart by 30 bits.
+    place = F.shiftleft(F.col("same").bitwiseAND((1 << 30) - 1), 30).bitwiseOR(F.col("first").cast("long"))
+    return F.col("doc_id").cast("decimal(19,0)") * F.lit(1 << 60).cast("decimal(19,0)") + place.cast("decimal(19,0)")
 
 
 def runs(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, same and the runs (array of first and last unit, of those with a word) to delete, for each document that has any."""
     # Documents are told apart by doc_id and the hash of their text; equal rows are one document.
     known = docs.filter("doc_id is not null")
-    selected = stage(spark, fingerprints(known), "fingerprints")
+    found = stage(spark, fingerprints(known), "fingerprints")
 
-    # Fingerprints that stand more than once, and where; those of equal rows, too, which come to nothing below.
-    marks = stage(spark, selected.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1"), "marks")
-    met = join_counted(selected, marks, ["hash"], selected.count())
-    grams = stage(spark, extended(met), "grams")
+    # Fingerprints that stand more than once, and where first; those of equal rows, too, which come to nothing below.
+    alike = (F.min("all") == F.max("all")).alias("alike")
+    marks = stage(spark, found.groupBy("hash").agg(F.count("*").alias("n"), alike, F.min(standing(found)).alias("e")).filter("n > 1"), "marks")
+    met = stage(spark, join_counted(found, marks, ["hash"], found.count()), "met")
+    parts = ["doc_id", "same", "first", "last"]
+    whole = met.filter(F.col("alike") & (standing(met) != F.col("e"))).select(*parts)
 
-    # Of each window all occurrences but the first go; repeats inside a document need no comparison with others.
-    order = W.partitionBy("doc_id", "same", "gram", "second").orderBy("first", "last")
-    inside = stage(spark, grams.filter("repeats").drop("repeats").distinct().withColumn("again", F.row_number().over(order) > 1), "inside")
-    once = grams.filter("not repeats").drop("repeats").union(inside.filter("not again").drop("again"))
-    firsts = once.groupBy("gram", "second").agg(F.min(F.struct("doc_id", "same")).alias("e"), F.count("*").alias("n")).filter("n > 1")
-    across = join_counted(once, stage(spark, firsts, "firsts"), ["gram", "second"], grams.count()).filter(F.struct("doc_id", "same") != F.col("e"))
-    gone = inside.filter("again").select("doc_id", "same", "first", "last").union(across.select("doc_id", "same", "first", "last")).distinct()
+    # Where windows differ, of each all occurrences but the first go.
+    grams = stage(spark, extended(met.filter("not alike")), "grams")
+    firsts = grams.groupBy("hash", "gram").agg(F.count("*").alias("n"), F.min(standing(grams)).alias("e")).filter("n > 1")
+    again = join_counted(grams, stage(spark, firsts, "firsts"), ["hash", "gram"], grams.count())
+    gone = whole.union(again.filter(standing(again) != F.col("e")).select(*parts))
 
     # Windows that overlap or follow one another are one run.
     by = W.partitionBy("doc_id", "same").orderBy("first", "last")
     reach = F.max("last").over(by.rowsBetween(W.unboundedPreceding, -1))
     parted = gone.withColumn("starts", F.when(F.col("first") <= reach + 1, 0).otherwise(1))
     run = parted.withColumn("run", F.sum("starts").over(by)).groupBy("doc_id", "same", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    found = stage(spark, run.groupBy("doc_id", "same").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "runs")
-    for done in (selected, grams, inside):
+    cut = stage(spark, run.groupBy("doc_id", "same").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "runs")
+    for done in (found, met, grams):
         discard(spark, done)
-    return found
+    return cut
 
 
 def drop_runs(spark: SparkSession, docs: DataFrame, count: str | None = None) -> DataFrame:
@@ -202,15 +257,27 @@ def shortened(spark: SparkSession, docs: DataFrame) -> DataFrame:
     source = docs.select("text", boxed(docs).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("same"))
     joined = source.join(found.hint("merge"), (F.col("id") == F.col("of_id")) & (F.col("same") == F.col("of_text")), "left")
 
-    def left(parts: Column) -> Column:
+    def left(parts: Column, is_odd: Column) -> Column:
         """The units outside the runs; those without a word between two of a run go with it."""
-        worded = F.filter(F.transform(parts, lambda u, i: F.when(F.btrim(u, F.lit(" \t\n\x0b\x0c\r")) != "", i)), lambda i: i.isNotNull())
-        places = let(worded, lambda w: F.transform("runs", lambda r: F.struct(F.get(w, r["first"]).alias("first"), F.get(w, r["last"]).alias("last"))))
-        return let(places, lambda p: F.filter(parts, lambda u, i: ~F.exists(p, lambda r: (i >= r["first"]) & (i <= r["last"]))))
+        # Of a text that isn't odd, these are line feeds and what the split leaves at the end.
+        place = lambda worded: lambda u, i: F.when(worded(u), i)
+        slow, fast = place(lambda u: F.btrim(u, F.lit(SPACES)) != ""), place(lambda u: ~u.isin("", "\n"))
+        worded = F.array_compact(F.when(is_odd, F.transform(parts, slow)).otherwise(F.transform(parts, fast)))
+        places = let(worded, lambda w: F.transform(F.array_sort("runs"), lambda r: F.struct(F.get(w, r["first"]).alias("first"), F.get(w, r["last"]).alias("last"))))
+
+        def kept(cuts: Column) -> Column:
+            """What stands before each of the runs, which lie apart and in order, and after the last one."""
+            start = lambda k: F.coalesce(F.get(cuts, k - 1)["last"] + 1, F.lit(0))
+            end = lambda k: F.coalesce(F.get(cuts, k)["first"], F.size(parts))
+            return F.flatten(F.transform(F.sequence(F.lit(0), F.size(cuts)), lambda k: F.slice(parts, start(k) + 1, end(k) - start(k))))
+
+        return let(places, kept)
+
+    def made(parts: Column) -> Column:
+        return let(left(parts, odd(F.col("text"))), lambda l: F.struct(F.array_join(l, "").alias("text"), (F.size(parts) - F.size(l)).cast("long").alias("removed")))
 
-    cut = joined.withColumn("left", F.when(F.col("runs").isNotNull(), left(units(F.col("text")))))
-    removed = F.when(F.col("runs").isNotNull(), F.size(units(F.col("text"))) - F.size("left")).otherwise(0).cast("long")
-    return cut.select("row", F.when(F.col("runs").isNotNull(), F.array_join("left", "")).otherwise(F.col("text")).alias("text"), removed.alias("removed"))
+    cut = joined.withColumn("cut", F.when(F.col("runs").isNotNull(), let(units(F.col("text")), made)))
+    return cut.select("row", F.when(F.col("cut").isNotNull(), F.col("cut.text")).otherwise(F.col("text")).alias("text"), F.coalesce("cut.removed", F.lit(0).cast("long")).alias("removed"))
 
 
 def keep(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -265,3 +265,28 @@ def test_line_dedup_of_a_very_long_text(spark):
     got = {r["doc_id"]: r["text"] for r in line_dedup.drop_runs(spark, docs).collect()}
     assert got[0] == filler[0] + passage + filler[1] + filler[2]
     assert got[1] == "x" * 2_000_000 + "\n" and not got[2].strip()
+
+
+def test_line_dedup_selects_long_units(spark):
+    """Texts that share short lines only have no fingerprint in common, so nothing of them is compared."""
+    from loomtab.llm import line_dedup
+
+    own = lambda k, i: " ".join(f"own{k}x{i}y{j}" for j in range(12))
+    texts = ["\n".join(line for i in range(12) for line in (own(k, i), "see also", "read more here", "all rights reserved")) for k in range(20)]
+    found = line_dedup.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("hash").collect()
+    assert found and len(found) == len({r["hash"] for r in found})
+
+
+@pytest.mark.parametrize("kind, ids", [("long", [-(2**63), -5, 0, 7, 2**63 - 1]), ("string", ["", "10", "9", "a", "b"])])
+def test_line_dedup_keeps_the_first_by_any_doc_id(spark, kind, ids):
+    from loomtab.llm import line_dedup
+
+    line = lambda name, n: " ".join(f"{name}{j}" for j in range(n))
+    passage = "\n".join(line(f"p{i}", 8) for i in range(6))
+    texts = [f"{line('q', 9)}\n{passage}", f"{line('r', 9)}\n{passage}\n{line('s', 9)}", passage, f"{passage}\n{line('t', 40)}", "\n".join([line("u", 10)] * 5)]
+    # Two texts share an id; equal rows are one document.
+    rows = [*zip(ids, texts, strict=True), (ids[3], f"{line('v', 3)}\n{line('w', 40)}"), (ids[4], line("w", 40)), (ids[0], texts[0])]
+    docs = spark.createDataFrame(rows[::-1], f"doc_id {kind}, text string")
+    got = sorted((r["doc_id"], r["text"].split()) for r in line_dedup.drop_runs(spark, docs).collect())
+    want = [texts[0], f"{line('r', 9)} {line('s', 9)}", "", line("t", 40), line("u", 10), rows[5][1], "", texts[0]]
+    assert got == sorted((k, text.split()) for (k, _), text in zip(rows, want, strict=True))
