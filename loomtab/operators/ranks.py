@@ -236,8 +236,10 @@ def chatterjee_xi(df: DataFrame, x: str, y: str, tie: str) -> DataFrame:
     """1 - n * sum |r_next - r| / (2 * sum l * (n - l)) over rows in the order of x and tie.
 
     Neighbours across ranges of x are the last row of one and the first of the
-    next, so each range is ordered in its own task.
+    next, so each range is ordered in its own task. Both sums grow with the square
+    and the cube of the rows, beyond 64 bits at some millions; they are decimals.
     """
+    whole_number = lambda c: c.cast("decimal(19,0)")
     present = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     counted = staged(value_ranks(present, y), "counted")
     n = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_all"))
@@ -245,12 +247,12 @@ def chatterjee_xi(df: DataFrame, x: str, y: str, tie: str) -> DataFrame:
     dealt = dealt_by_range(ranked, x, tie).join(F.broadcast(n)).withColumn("l", F.col("n_all") - F.col("r") + F.col("n"))
     steps = dealt.withColumn("step", F.abs(F.lead("r").over(W.partitionBy("__range").orderBy(x, tie)) - F.col("r")))
     inside = steps.groupBy("__range").agg(
-        F.sum("step").alias("steps"), F.sum(F.col("l") * (F.col("n_all") - F.col("l"))).alias("bottom"), F.first("n_all").alias("n"),
+        F.sum(whole_number(F.col("step"))).alias("steps"), F.sum(whole_number(F.col("l")) * whole_number(F.col("n_all") - F.col("l"))).alias("bottom"), F.first("n_all").alias("n"),
         F.min_by("r", F.struct(x, tie)).alias("head"), F.max_by("r", F.struct(x, tie)).alias("tail"),
     )
     joined = inside.withColumn("seam", F.abs(F.lead("head").over(W.orderBy("__range")) - F.col("tail")))  # a row for each range
     whole = joined.agg((F.coalesce(F.sum("steps"), F.lit(0)) + F.coalesce(F.sum("seam"), F.lit(0))).alias("s"), F.sum("bottom").alias("b"), F.first("n").alias("n"))
-    return whole.select(F.when((F.col("n") >= 3) & (F.col("b") > 0), 1 - F.try_divide(F.col("n") * F.col("s"), 2 * F.col("b"))).otherwise(0.0).alias("xi"))
+    return whole.select(F.when((F.col("n") >= 3) & (F.col("b") > 0), 1 - F.try_divide(F.col("n").cast("double") * F.col("s").cast("double"), 2 * F.col("b").cast("double"))).otherwise(0.0).alias("xi"))
 
 
 def normal_scores(df: DataFrame, key: str, column: str) -> DataFrame:

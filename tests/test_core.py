@@ -56,6 +56,15 @@ def test_constant_empty_and_one_sided_inputs(spark, table):
     assert compare.exact_copies(spark.createDataFrame([(1, None), (2, "\x02"), (3, None)], "k long, t string"), "k", ["t"]).collect()[0]["n"] == 2
 
 
+def test_chatterjee_xi_sums_pass_64_bits(spark):
+    n = 4_000_000
+    rows = spark.range(n).select("id", F.col("id").alias("x"), F.pmod(F.col("id") * 1_000_003, F.lit(n)).alias("y"))
+    xi = ranks.chatterjee_xi(rows, "x", "y", "id").first()["xi"]
+    # All ranks are distinct: the lower sum is (n^3 - n) / 6, the upper one comes from plain integers.
+    y = (np.arange(n) * 1_000_003) % n
+    assert xi == pytest.approx(1 - 3 * int(np.abs(np.diff(y)).sum()) / (n * n - 1), abs=1e-12)
+
+
 def test_read_cells_is_strict(spark, tmp_path):
     def written(name, text):
         (tmp_path / name).write_text(text)
