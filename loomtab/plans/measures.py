@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomtab.operators import ledger
 from loomtab.plans.catalogue import HEX, query, rounded
-from loomtab.session import load
+from loomtab.session import in_file_order, load
 
 #: A cell: method, configuration, dataset, seed, its bytes and its retention (null where it failed).
 LEDGER = """(SELECT l_returnflag AS method, l_linenumber AS config, l_suppkey % 12 AS dataset, l_partkey % 3 AS seed, (200 * l_linenumber + 5 * (l_suppkey % 12))::BIGINT AS bytes,
@@ -114,7 +114,9 @@ _CHOICES = "(SELECT l_suppkey AS g, l_linenumber AS c, round(avg(l_tax), 2) AS v
 SELECT g, ties > 1 AS tied, CASE WHEN ties = 1 THEN chosen END AS chosen, real_best, CASE WHEN ties = 1 THEN round(ct - best, 8) END AS regret FROM x"""
 )
 def choice_regret(spark, sf_dir):
-    found = load(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("g"), F.col("l_linenumber").alias("c")).agg(F.round(F.avg("l_tax"), 2).alias("v"), F.avg("l_discount").alias("t"))
+    rows = in_file_order(load(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("g"), F.col("l_linenumber").alias("c"), "l_tax", "l_discount"))
+    means = ledger.ordered_means(rows, ["g", "c"], ["__file", "__row"], {"l_tax": "v", "l_discount": "t"})
+    found = means.withColumn("v", F.round("v", 2))
     return rounded(ledger.choice_regret(found, "g", "c", "v", "t"), 8)
 
 

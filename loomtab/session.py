@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 
 def session(name: str = "loomtab", **conf: str) -> SparkSession:
@@ -20,6 +22,13 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_file_order(df: DataFrame) -> DataFrame:
+    """df, a table as load gives it, with ``__file``, the place of a row's file among the table's in the order of their names, and ``__row``, its place in the file."""
+    own = df.select("*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__row"))
+    files = own.select("__path").distinct().select("__path", F.row_number().over(W.orderBy("__path")).alias("__file"))  # a row for each file
+    return own.join(F.broadcast(files), "__path").drop("__path")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that spark.checkpoint.dir names, removed when the session's JVM ends.
 

@@ -141,3 +141,22 @@ def test_sign_agreement_without_direction(spark):
     rows = [("a", 0.0, 1.0), ("a", 0.0, 0.0), ("b", 3.0, 1.0), ("b", -1.0, 2.0), ("c", None, 1.0)]
     found = {r["g"]: r["sign"] for r in ledger.sign_agreement(spark.createDataFrame(rows, "g string, r double, s double"), "g", "r", "s").collect()}
     assert math.isnan(found["a"]) and found["b"] == 0.75 and found["c"] is None
+
+
+def test_choice_regret_adds_in_the_order_of_the_table(spark, tmp_path):
+    import duckdb
+
+    from loomtab.plans import catalogue, measures  # noqa: F401
+
+    # Many means on a half and many equal ones, over files of unequal size.
+    rng = np.random.default_rng(4)
+    n = 40_000
+    rows = pd.DataFrame({"l_suppkey": rng.integers(0, 250, n), "l_linenumber": rng.integers(1, 5, n).astype("int32"), "l_tax": rng.integers(0, 9, n) / 100, "l_discount": rng.integers(0, 3, n) / 100})
+    (tmp_path / "lineitem.parquet").mkdir()
+    for k, part in enumerate(np.split(rows, [25_000, 28_000, 39_000])):
+        part.to_parquet(tmp_path / "lineitem.parquet" / f"part-{k}.parquet", index=False)
+    con = duckdb.connect()
+    con.sql("SET threads = 1")
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.sql(catalogue.ORACLE_SQL["choice_regret"]).fetchall()
+    assert sorted(map(tuple, catalogue.QUERIES["choice_regret"](spark, str(tmp_path)).collect()), key=str) == sorted(want, key=str)
