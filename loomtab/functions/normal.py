@@ -15,7 +15,10 @@ def cdf(z: np.ndarray) -> np.ndarray:
     t = 1 / (1 + 0.5 * x)
     # Coefficients in t of the published fit, constant first.
     c = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]
-    tail = t * np.exp(-x * x + sum(a * t**k for k, a in enumerate(c))) / 2
+    power = c[-1]
+    for a in reversed(c[:-1]):
+        power = power * t + a
+    tail = t * np.exp(-x * x + power) / 2
     return np.where(np.asarray(z) > 0, 1 - tail, tail)
 
 

@@ -191,24 +191,39 @@ class Parts:
         self.outputs = self.classes if self.classes > 2 else 1
         self.z = [f"z{j}" for j in range(len(self.features))]
         held = F.pmod(F.xxhash64(F.lit(seed), target, *self.names), F.lit(100)) < HELD_PER_CENT
-        self.rows = staged(self.scored(df.withColumn("__held", held)), "scored")
+        # Dealt anew: files as few as the table's would leave cores idle in all passes to come.
+        self.rows = staged(self.scored(df.withColumn("__held", held).repartition(F.xxhash64(target, *self.names))), "scored")
         self.train, self.held = self.rows.filter("not held"), self.rows.filter("held")
         self.made: dict = {}
         self.fits = 0  # components fitted so far
 
     def scored(self, df: DataFrame) -> DataFrame:
         """The scores of all features, y as a number and held, if df has it."""
-        features, names, target = self.features, self.z, self.target
-        at = {c: float(k) for k, c in enumerate(self.labels)}
+        names, score = self.z, self.scorer()
 
         def run(frames):
             for pdf in frames:
-                out = {n: f.scores(pdf[f.name]) for n, f in zip(names, features, strict=True)}
-                out["y"] = pdf[target].map(at) if at else pdf[target]
-                yield pd.DataFrame({**out, "held": pdf["__held"] if "__held" in pdf else False}, index=pdf.index)
+                yield score(pdf)
 
         return df.mapInPandas(run, ", ".join([*(f"{n} double" for n in names), "y double", "held boolean"]))
 
+    def scorer(self):
+        """The function that scores a batch of rows; it holds no session."""
+        features, names, target = self.features, self.z, self.target
+        at = {c: float(k) for k, c in enumerate(self.labels)}
+
+        def score(pdf: pd.DataFrame) -> pd.DataFrame:
+            out = {n: f.scores(pdf[f.name]) for n, f in zip(names, features, strict=True)}
+            out["y"] = pdf[target].map(at) if at else pdf[target]
+            return pd.DataFrame({**out, "held": pdf["__held"] if "__held" in pdf else False}, index=pdf.index)
+
+        return score
+
+    def total(self):
+        """The function that adds up make(scores, y), an array of a size, over the rows to fit."""
+        train, names = self.train, self.z
+        return lambda make, size: summed(train, lambda pdf: make(dependence.scores_of(pdf, names), pdf["y"].to_numpy(dtype=float)), size)
+
     def once(self, key, make):
         if key not in self.made:
             self.made[key] = make()
@@ -225,7 +240,7 @@ class Parts:
                 x = np.column_stack([np.ones(len(pdf)), dependence.scores_of(pdf, names), targets_of(pdf["y"].to_numpy(), classes)])
                 return (x.T @ x).ravel()
 
-            return array_sums(self.train, products, k * k).reshape(k, k)
+            return summed(self.train, products, k * k).reshape(k, k)
 
         return self.once("sums", make)
 
@@ -272,7 +287,7 @@ class Parts:
                     miss = targets_of(pdf["y"].to_numpy(), classes) - (q[:, 1:] if k == 1 else q)
                     return (miss.T @ np.column_stack([np.ones(len(z)), z[:, chosen]])).ravel()
 
-                step = np.linalg.solve(bound, (array_sums(self.train, gradients, k * p).reshape(k, p) - w @ pull).T).T
+                step = np.linalg.solve(bound, (summed(self.train, gradients, k * p).reshape(k, p) - w @ pull).T).T
                 w = w + step
                 if np.abs(step).max() < 1e-3:
                     break
@@ -280,24 +295,14 @@ class Parts:
 
         return self.once(("linear", s), make)
 
-    def coded(self) -> tuple[DataFrame, list[str]]:
-        """The rows with a code from 0 to 255 for each score, and the codes' names."""
-        names = [str(j) for j in range(len(self.z))]
-        code = lambda z: F.floor(255 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(z) + 3) / 6)) + 0.5).cast("int")
-        return self.rows.select("*", *(code(z).alias(n) for z, n in zip(self.z, names, strict=True))), names
-
     def trees(self, s: int) -> gradient.Trees:
         """Trees on what the linear model of s features leaves; those of all widths grow side by side."""
 
         def make():
             widths = sorted({s for _, s in plans(len(self.z))})
-            rows, names = self.coded()
-            starts = []
-            for width in widths:
-                chosen, weights = self.linear(width)
-                terms = [sum((F.lit(float(b)) * F.col(self.z[j]) for j, b in zip(chosen, w[1:], strict=True)), F.lit(float(w[0]))) for w in weights]
-                starts.append(terms)
-            return dict(zip(widths, gradient.boost_many(rows.filter("not held"), names, "y", starts, self.classes, MOST_TREES, 2), strict=True))
+            starts = [linear_margins(*self.linear(width)) for width in widths]
+            names = [str(j) for j in range(len(self.z))]
+            return dict(zip(widths, gradient.boost_arrays(self.total(), names, codes_of, starts, self.classes, MOST_TREES, 2), strict=True))
 
         if not self.z:
             return gradient.Trees(self.outputs, 2, [0.0] * self.outputs)
@@ -397,7 +402,8 @@ class Parts:
 
         def make():
             own = Compiled.decode(fitted.encode())
-            made = staged(self.scored(sample(self.spark, own, AUDITED_ROWS, self.seed)).withColumn("held", F.lit(False)), "generated")
+            # The rows that sample gives; they are few whatever the table, so models are fitted to them here.
+            made = self.scorer()(pd.DataFrame(own.rows(np.arange(AUDITED_ROWS), self.seed)))
             synthetic, real = audit_losses(self, made), self.once("real audit", lambda: audit_losses(self, self.train))
             null = self.losses(0)[-1]
             kept = [(null - synthetic[k]) / (null - real[k]) for k in real if null - real[k] > 0 and null - real[k] >= 0.01 * abs(null)]
@@ -406,6 +412,18 @@ class Parts:
         return self.once(("audit", fitted.encode()), make)
 
 
+def summed(rows: DataFrame | pd.DataFrame, make, size: int) -> np.ndarray:
+    """array_sums of a table, or of bounded rows in memory."""
+    if isinstance(rows, pd.DataFrame):
+        return np.asarray(make(rows), float) if len(rows) else np.zeros(size)
+    return array_sums(rows, make, size)
+
+
+def linear_margins(chosen: list[int], weights: list[list[float]]):
+    """The margins of a linear model, a function of scores."""
+    return lambda z: np.column_stack([np.ones(len(z)), z[:, chosen]]) @ np.array(weights, float).T
+
+
 def targets_of(y: np.ndarray, classes: int) -> np.ndarray:
     """A column an output: the number, whether it is the second of two classes, or a flag for each class."""
     return (y[:, None] == np.arange(classes)).astype(float) if classes > 2 else y[:, None]
@@ -429,16 +447,15 @@ def null_loss(null: list[float], y: np.ndarray, classes: int) -> np.ndarray:
     return -np.log(np.maximum(np.array(null)[y.astype(int)], 1e-7)) if classes else (y - null[0]) ** 2
 
 
-def audit_losses(parts: Parts, rows: DataFrame) -> dict[str, float]:
-    """The loss on the held-out rows of a linear and of a boosted model fitted to rows."""
+def audit_losses(parts: Parts, rows: DataFrame | pd.DataFrame) -> dict[str, float]:
+    """The loss on the held-out rows of a linear and of a boosted model fitted to rows, scored ones of a table or in memory."""
     own = Parts.__new__(Parts)
-    own.__dict__ = {**parts.__dict__, "rows": rows, "train": rows.filter("not held"), "made": {}}
+    own.__dict__ = {**parts.__dict__, "rows": rows, "train": rows, "made": {}}
     d = len(parts.z)
     chosen, weights = own.linear(d)
     models = {"linear": Compiled(parts.target, parts.labels, parts.features, {}, chosen, weights)}
     if d:
-        coded, names = own.coded()
-        trees = gradient.boost(coded.filter("not held"), names, "y", parts.classes, AUDIT_TREES, 2, eta=0.6)
+        trees = gradient.boost_arrays(own.total(), [str(j) for j in range(d)], codes_of, [None], parts.classes, AUDIT_TREES, 2, eta=0.6)[0]
         held = {"outputs": trees.outputs, "depth": trees.depth, "base": trees.base, "features": [int(f) for f in trees.features], "thresholds": trees.thresholds, "leaves": trees.leaves}
         base = [[b] for b in trees.base]
         models["boosted"] = Compiled(parts.target, parts.labels, parts.features, {}, [], base, {**held, "base": [0.0] * trees.outputs})

@@ -9,6 +9,7 @@ are expressions of the codes.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Codes of a feature.
 LEVELS = 256
+#: Cells of a level's histograms that one pass of boost_arrays sums; more are summed feature by feature.
+MOST_CELLS = 2_000_000
 
 
 @dataclass
@@ -208,3 +211,85 @@ def boost_many(df: DataFrame, codes: list[str], y: str, starts: list[list[Column
         if not going:
             break
     return [x.cut(min(sizes[m], len(x.leaves))) if hold is not None and best[m] is not None else x for m, x in enumerate(found)]
+
+
+def array_derivatives(margins: np.ndarray, y: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """derivatives over arrays, a column for each output."""
+    if not classes:
+        return margins - y[:, None], np.ones_like(margins)
+    if classes == 2:
+        p, hit = 1 / (1 + np.exp(-np.clip(margins, -500, 500))), y[:, None] == 1
+    else:
+        e = np.exp(margins - margins.max(1, keepdims=True))
+        p, hit = e / e.sum(1, keepdims=True), y[:, None] == np.arange(classes)
+    return p - hit, p * (1 - p)
+
+
+def boost_arrays(
+    total: Callable[[Callable, int], np.ndarray], names: list[str], codes: Callable[[np.ndarray], np.ndarray], starts: list[Callable[[np.ndarray], np.ndarray] | None], classes: int = 0, trees: int = 12, depth: int = 2, eta: float = 0.3,
+    penalty: float = 1.0, least: int = 20,
+) -> list[Trees]:
+    """boost_many where histograms are made from arrays: total(make, size) adds up make(scores, y) over all rows, and codes gives a column of codes for each name.
+
+    Trees are looked up in arrays, so a level costs the same however many trees
+    there are; as expressions they are compiled anew, and longer, for each level.
+    """
+    outputs, d = classes if classes > 2 else 1, len(names)
+    base = [0.0] * outputs
+    if any(s is None for s in starts):
+        wanted = np.array([1]) if classes == 2 else np.arange(outputs)
+        hits = lambda z, y: np.concatenate(([len(y)], (y[:, None] == wanted).sum(0) if classes else [y.sum()]))
+        n, *shares = total(hits, 1 + outputs)
+        p = [float(x / n) if n else 0.5 if classes else 0.0 for x in shares]
+        if classes:
+            p = [min(max(x, 1e-6), 1 - 1e-6) for x in p]
+            p = [float(np.log(x / (1 - x))) for x in p] if classes == 2 else [float(np.log(x)) for x in p]
+        base = p
+    found = [Trees(outputs, depth, base if s is None else [0.0] * outputs) for s in starts]
+    wide = 1 + 2 * outputs
+
+    def tables(going: list[int], k: int, features: range) -> np.ndarray:
+        """Histograms of features at level k of the tree that grows: model, leaf, feature, code, and n, the outputs' g and h."""
+        grown = [(starts[m], found[m].cut(len(found[m].leaves)), found[m].features[len(found[m].leaves) * depth :], found[m].thresholds[len(found[m].leaves) * depth :]) for m in going]
+        shape = (len(going), len(features), (1 << k) * LEVELS, wide)
+        at = {n: j for j, n in enumerate(names)}
+
+        def make(z: np.ndarray, y: np.ndarray) -> np.ndarray:
+            c, out = codes(z), np.empty(shape)
+            for i, (start, forest, own, cuts) in enumerate(grown):
+                margins = forest.of_codes(c, names)
+                g, h = array_derivatives(margins if start is None else margins + start(z), y, classes)
+                leaf = np.zeros(len(z), int)
+                for b, (name, cut) in enumerate(zip(own, cuts, strict=True)):
+                    leaf |= (c[:, at[name]] > cut).astype(int) << b
+                for f, j in enumerate(features):
+                    cell = leaf * LEVELS + c[:, j]
+                    out[i, f] = np.column_stack([np.bincount(cell, w, shape[2]) for w in (None, *g.T, *h.T)])
+            return out.ravel()
+
+        flat = total(make, int(np.prod(shape)))
+        return flat.reshape(len(going), len(features), 1 << k, LEVELS, wide).transpose(0, 2, 1, 3, 4)
+
+    going = list(range(len(starts)))
+    for t in range(trees):
+        children = {}
+        for k in range(depth):
+            step = max(1, MOST_CELLS // (len(going) * (1 << k) * LEVELS * wide))
+            table = np.concatenate([tables(going, k, range(j, min(j + step, d))) for j in range(0, d, step)], axis=2)
+            for i, m in enumerate(going):
+                split = best_split(table[i], penalty, least)
+                feature, code = split[:2] if split else (0, LEVELS - 1)
+                found[m].features.append(names[feature])
+                found[m].thresholds.append(code)
+                left = table[i][:, feature, : code + 1].sum(1)
+                children[m] = np.concatenate((left, table[i][:, feature].sum(1) - left))
+        for m in going:
+            found[m].leaves.append((-eta * children[m][:, 1 : 1 + outputs] / (children[m][:, 1 + outputs :] + penalty)).tolist())
+        # A tree without a split ends its model.
+        ended = {m for m in going if all(c == LEVELS - 1 for c in found[m].thresholds[-depth:])}
+        for m in ended:
+            found[m] = found[m].cut(t)
+        going = [m for m in going if m not in ended]
+        if not going:
+            break
+    return found

@@ -98,7 +98,9 @@ def bracketed(df: DataFrame, columns: dict[str, Column], probabilities: list[flo
     """
     if not columns:
         return {}, df.agg(*more).first().asDict() if more else {}
-    x = {c: e.cast("double") for c, e in columns.items()}
+    # As columns, so that what is compared with many brackets is computed once a row.
+    df = df.withColumns({f"__x{k}": e.cast("double") for k, e in enumerate(columns.values())})
+    x = {c: F.col(f"__x{k}") for k, c in enumerate(columns)}
     slack = 2 / ACCURACY
     marks = sorted({min(max(p + d, 0.0), 1.0) for p in probabilities for d in (-slack, slack)})
     sketch = [f for k, e in enumerate(x.values()) for f in (F.count(e).alias(f"__n{k}"), F.percentile_approx(e, marks, ACCURACY).alias(f"__q{k}"))]

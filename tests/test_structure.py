@@ -142,6 +142,33 @@ def test_parts_lift_a_program(spark):
     assert 0.2 < np.interp(0.84, compiled.normal.cdf(compiled.RESIDUAL_GRID), noise["knots"]) < 2 and noise["lo"] < noise["hi"]
 
 
+@pytest.mark.parametrize("classes", [0, 2, 3])
+def test_trees_from_arrays_are_those_of_aggregations(spark, monkeypatch, classes):
+    rng = np.random.default_rng(5)
+    c = rng.integers(0, 256, (900, 3))
+    y = (c[:, 0] > 90).astype(float) + (c[:, 1] > 200) if classes != 2 else (c[:, 0] + c[:, 2] > 250).astype(float)
+    y = y + (0.1 * rng.normal(size=900) if not classes else 0.0)
+    df = staged(frame(spark, a=c[:, 0], b=c[:, 1], c=c[:, 2], y=y), "coded")
+    monkeypatch.setattr(gradient, "MOST_CELLS", 1)
+    start = [F.col("a") / 1000] * max(1, classes * (classes > 2))
+    want = gradient.boost_many(df, ["a", "b", "c"], "y", [None, start], classes, 4)
+    got = gradient.boost_arrays(lambda make, size: make(c, y), ["a", "b", "c"], lambda z: z, [None, lambda z: np.tile(z[:, :1] / 1000, len(start))], classes, 4)
+    for a, b in zip(want, got, strict=True):
+        assert (a.features, a.thresholds) == (b.features, b.thresholds) and np.allclose(a.leaves, b.leaves) and np.allclose(a.base, b.base)
+
+
+def test_an_audit_of_generated_rows_is_one_pass(spark):
+    df, numbers, categories = mixed(spark, False)
+    parts = compiled.Parts(df, "y", numbers, categories)
+    programs = [parts.finished(len(parts.z), t, 2, "independent") for t in (1, 2)]
+    parts.audit(programs[0])
+    store = spark.sparkContext._jsc.sc().statusStore()
+    before = store.jobsList(None).size()
+    assert parts.audit(programs[1]) is not None
+    # A shuffle is a job of its own; a level of each tree was a pass before.
+    assert store.jobsList(None).size() - before <= 3
+
+
 def test_tables_without_a_signal_or_rows_have_defined_programs(spark):
     df, numbers, categories = mixed(spark, False, 200)
     assert compiled.fit_levels(df.filter("false"), "y", numbers, categories, [500]) == [(500, None, None)]
